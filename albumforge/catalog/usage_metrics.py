@@ -19,11 +19,11 @@ def I():
 
 
 
-def metric_events(spark: SparkSession, sf: str, source: str, name: str, **props) -> DataFrame:
+def metric_events(spark: SparkSession, sf: str, stored: str, event_name: str, /, **props) -> DataFrame:
     """Events of one stored type, renamed, with a JSON body."""
-    rows = views.telemetry(spark, sf).where(F.col("event_name") == source)
+    rows = views.telemetry(spark, sf).where(F.col("event_name") == stored)
     body = F.to_json(F.struct(*[v.alias(k) for k, v in props.items()]))
-    return rows.select("session_id", F.lit(name).alias("event_name"), "server_ts", "event_id", body.alias("properties"))
+    return rows.select("session_id", F.lit(event_name).alias("event_name"), "server_ts", "event_id", body.alias("properties"))
 
 
 def as_text_day(df: DataFrame) -> DataFrame:

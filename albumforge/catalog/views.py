@@ -107,7 +107,7 @@ v_mid AS (SELECT *, (list_sort(blocks)[32] + list_sort(blocks)[33]) / 2 AS middl
 v_hash AS (
   SELECT library_id, ordinal, photo_id, name,
          list_sum(list_transform(range(64), lambda i: CASE WHEN blocks[i + 1] > middle
-                  THEN CAST(1 AS UHUGEINT) << i ELSE CAST(0 AS UHUGEINT) END)) AS h
+                  THEN CAST(1 AS HUGEINT) << i ELSE CAST(0 AS HUGEINT) END)) AS h
   FROM v_mid)"""
 
 

@@ -27,7 +27,7 @@ BLOCK = 1_000_000
 
 
 def spread_sorted(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, drop: Sequence[str] = ()) -> DataFrame:
     """Total order over (keys, order_by), cut over tasks, with ``_part`` and ``_row``.
 
     ``_row`` grows with the order. The order must be unique inside a group
@@ -42,6 +42,7 @@ def spread_sorted(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]
         .sortWithinPartitions(*cols)
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_part", F.spark_partition_id())
+        .drop(*drop)
     )
 
 

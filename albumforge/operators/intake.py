@@ -13,10 +13,11 @@ from albumforge.functions import telemetry as t
 
 def read_batches(raw: DataFrame) -> DataFrame:
     """Add the parsed events, the browser bucket, the rate key and the first reject reason."""
-    doc = F.try_parse_json("body")
+    # The parser stops at the end of the first value; the closing field shows nothing follows it.
+    doc = F.try_parse_json(F.concat(F.lit('{"body":'), F.col("body"), F.lit(',"complete":true}')))
     parsed = (
         raw.withColumn("_doc", doc)
-        .withColumn("_events", F.try_variant_get("_doc", "$.events", "array<variant>"))
+        .withColumn("_events", F.try_variant_get("_doc", "$.body.events", "array<variant>"))
         # The same events as text, which keeps the key order of their properties.
         .withColumn("_texts", F.from_json("body", "events array<string>")["events"])
         .withColumn("ua_bucket", t.browser_bucket(F.col("user_agent")))
@@ -26,7 +27,7 @@ def read_batches(raw: DataFrame) -> DataFrame:
     return (
         parsed.withColumn(
             "reject_reason",
-            F.when(F.col("_doc").isNull(), "bad json")
+            F.when(~F.coalesce(F.try_variant_get("_doc", "$.complete", "boolean"), F.lit(False)), "bad json")
             .when(~size.between(1, t.MAX_EVENTS_PER_BATCH), "bad batch"))
         .withColumn("rate_key", F.coalesce(first_session, F.col("ua_bucket")))
         .drop("_doc")
@@ -93,10 +94,11 @@ def has_valid_event(events: str = "_events"):
         & F.coalesce(F.length(t.text_field(v, "event_name")) <= t.MAX_NAME, F.lit(False))))
 
 
-def batch_outcomes(raw: DataFrame) -> DataFrame:
+def batch_outcomes(raw: DataFrame, window_seconds: int = t.RATE_WINDOW_SECONDS,
+                   max_requests: int = t.RATE_MAX_REQUESTS) -> DataFrame:
     """Every batch with its reject reason (null when accepted). Only well-formed batches count for the rate."""
     read = read_batches(raw)
-    formed = mark_rate(read.where(F.col("reject_reason").isNull()))
+    formed = mark_rate(read.where(F.col("reject_reason").isNull()), window_seconds, max_requests)
     judged = formed.withColumn(
         "reject_reason",
         F.when(F.col("rate_limited"), "rate limited").when(~has_valid_event(), "no valid events"))

@@ -55,7 +55,7 @@ def raw_batches(spark: SparkSession, sf: str) -> DataFrame:
     full = F.concat(F.lit('{"events":['), F.col("events"), F.lit("]}"))
     return batches.select(
         "batch_id", "received_at", pick(AGENTS, F.col("batch_id") % 8).alias("user_agent"),
-        F.when(F.col("batch_id") % 10 == 9, F.col("events")).otherwise(full).alias("body"))
+        F.when(F.col("batch_id") % 10 == 9, F.concat(full, F.lit(" more"))).otherwise(full).alias("body"))
 
 
 V_BATCHES = views.V_TELEMETRY + f""",

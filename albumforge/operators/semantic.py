@@ -8,6 +8,8 @@ vector summariser, which combines before its shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -22,12 +24,13 @@ from albumforge.operators.ordering import with_positions
 from albumforge.session import cut_lineage
 
 MAX_ROUNDS = 50
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 @F.pandas_udf(T.IntegerType())
 def nearest_centroid(vectors: pd.Series, centroids: pd.Series) -> pd.Series:
-    """Index of the centroid with the highest dot product; the first wins ties."""
-    found = [int(np.argmax(np.stack(c).astype(np.float64) @ np.asarray(v, dtype=np.float64)))
+    """Index of the centroid with the highest dot product; the first wins ties, and 0 without centroids."""
+    found = [0 if c is None else int(np.argmax(np.stack(c).astype(np.float64) @ np.asarray(v, dtype=np.float64)))
              for v, c in zip(vectors, centroids)]
     return pd.Series(found, dtype="int32")
 
@@ -87,41 +90,64 @@ def seed_centroids(vectors: DataFrame, sizes: DataFrame, seed: int = 0, library_
     return chosen
 
 
+def _beside(vectors: DataFrame, centroids: DataFrame, library_id: str) -> DataFrame:
+    """Vectors joined with their library's centroids; broadcast only when the centroids are known to be small."""
+    size = centroids.agg(F.sum(F.size("centroids") * F.size(F.element_at("centroids", 1)))).first()[0] or 0
+    side = F.broadcast(centroids) if size * 8 <= BROADCAST_BYTES else centroids
+    return vectors.join(side, library_id)
+
+
 def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None = None, seed: int = 0,
            max_rounds: int = MAX_ROUNDS, library_id: str = "library_id") -> DataFrame:
     """Add ``cluster`` to every vector.
 
-    Libraries with at most k vectors get one cluster per vector. The loop runs
-    all libraries together and stops when no assignment changes; centroids are
-    cut to the checkpoint folder each round. A cluster that lost its members
+    Libraries with at most k vectors get one cluster per vector. All other
+    libraries run together; one leaves the loop when none of its assignments
+    changes. Only centroids are written between rounds: the assignment before is
+    worked out again from the centroids before. A cluster that lost its members
     restarts from a drawn vector.
     """
     counts = vectors.groupBy(library_id).agg(F.count("*").alias("n"))
     sizes = counts.withColumn("k", F.lit(k) if k else default_k(F.col("n")))
-    small = sizes.where(F.col("n") <= F.col("k"))
-    trivial = with_positions(vectors.join(small.select(library_id), library_id, "left_semi"), [library_id],
+    small = sizes.where(F.col("n") <= F.col("k")).select(library_id)
+    trivial = with_positions(vectors.join(small, library_id, "left_semi"), [library_id],
                              [F.col("ordinal").asc()], out="cluster").withColumn("cluster", F.col("cluster").cast("int"))
-    big = vectors.join(small.select(library_id), library_id, "left_anti")
-    centroids = initial if initial is not None else seed_centroids(big, sizes.where(F.col("n") > F.col("k")), seed, library_id)
-    # The first comparison is against cluster 0 for everyone.
-    current = cut_lineage(big.withColumn("cluster", F.lit(0)))
+    big = cut_lineage(vectors.join(small, library_id, "left_anti"))
+    start = initial if initial is not None else seed_centroids(
+        big, sizes.where(F.col("n") > F.col("k")), seed, library_id)
+    active = cut_lineage(start.select(library_id, F.transform(
+        "centroids", lambda c: F.transform(c, lambda x: x.cast("double"))).alias("centroids")))
+    active = active.withColumn("previous", F.lit(None).cast(active.schema["centroids"].dataType))
+    settled = []
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding"))))
     for round_no in range(max_rounds):
-        moved = assign(current.withColumnRenamed("cluster", "_before"), centroids, library_id)
-        moved = cut_lineage(moved)
-        changed = not moved.where(F.col("cluster") != F.col("_before")).isEmpty()
-        current = moved.drop("_before")
-        if not changed:
+        stepped = _beside(big, active, library_id).withColumn(
+            "cluster", nearest_centroid("embedding", "centroids")
+        ).withColumn("_before", nearest_centroid("embedding", "previous"))
+        found = cut_lineage(stepped.groupBy(library_id, "cluster").agg(
+            unit_vector(mean).alias("centroid"),
+            F.count_if(F.col("cluster") != F.col("_before")).alias("_moved")))
+        moving = found.groupBy(library_id).agg(F.sum("_moved").alias("_moved")).where("_moved > 0").select(library_id)
+        settled.append(active.join(moving, library_id, "left_anti").select(library_id, "centroids"))
+        moving_now = active.join(moving, library_id, "left_semi")
+        slots = moving_now.select(library_id, F.posexplode("centroids").alias("cluster", "_old"))
+        filled = slots.join(found.drop("_moved"), [library_id, "cluster"], "left")
+        if not filled.where(F.col("centroid").isNull()).isEmpty():
+            draw = F.struct(_u01(F.lit(seed), F.lit(1000 + round_no), "ordinal"), "ordinal")
+            spare = big.groupBy(library_id).agg(F.max_by("embedding", draw).alias("_spare"))
+            filled = filled.join(spare, library_id).withColumn(
+                "centroid", F.coalesce("centroid", F.transform("_spare", lambda x: x.cast("double"))))
+        packed = filled.groupBy(library_id).agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("cluster", "centroid"))), lambda s: s["centroid"]).alias("_next"))
+        active = cut_lineage(moving_now.join(packed, library_id).select(
+            library_id, F.col("_next").alias("centroids"), F.col("centroids").alias("previous")))
+        if active.isEmpty():
             break
-        found = update(current, library_id)
-        spare = current.groupBy(library_id).agg(F.max_by(
-            "embedding", F.struct(_u01(F.lit(seed), F.lit(1000 + round_no), "ordinal"), "ordinal")).alias("_spare"))
-        slots = centroids.select(library_id, F.explode(F.sequence(F.lit(0), F.size("centroids") - 1)).alias("cluster"))
-        filled = slots.join(found, [library_id, "cluster"], "left").join(spare, library_id).select(
-            library_id, "cluster",
-            F.coalesce("centroid", F.transform("_spare", lambda x: x.cast("double"))).alias("centroid"))
-        centroids = cut_lineage(filled.groupBy(library_id).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))), lambda s: s["centroid"]).alias("centroids")))
-    return current.unionByName(trivial)
+    # A library still moving at the last round keeps the assignment it had then.
+    settled.append(active.select(library_id, F.col("previous").alias("centroids")))
+    final = cut_lineage(reduce(DataFrame.unionByName, settled))
+    assigned = _beside(big, final, library_id).withColumn("cluster", nearest_centroid("embedding", "centroids"))
+    return assigned.drop("centroids").unionByName(trivial)
 
 
 def order_clusters(assigned: DataFrame, library_id: str = "library_id") -> DataFrame:

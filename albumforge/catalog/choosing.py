@@ -100,7 +100,7 @@ def marked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("quality_histogram", f"""WITH {views.V_CONF},
-b AS (SELECT library_id, quality, {CELL} AS cell, CAST(least(3, greatest(0, floor(quality * 4))) AS INT) AS bucket FROM v_conf)
+b AS (SELECT library_id, quality, {CELL} AS cell, CASE WHEN quality IS NOT NULL THEN CAST(least(3, greatest(0, floor(quality * 4))) AS INT) END AS bucket FROM v_conf)
 SELECT library_id, count(*) FILTER (quality IS NULL) AS null_quality,
        {', '.join(f"count(*) FILTER (cell = '{c}' AND bucket = {i}) AS {c}_q{i}" for c in sel.CELLS for i in range(4))}
 FROM b GROUP BY 1""")

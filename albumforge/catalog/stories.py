@@ -286,7 +286,7 @@ def originals(spark: SparkSession, sf: str) -> DataFrame:
 @query("export_manifest", f"""WITH {views.V_PHOTOS},
 k AS (SELECT *, CASE WHEN ordinal % 9 = 0 THEN '' WHEN ordinal % 9 = 1 THEN '--a b.c.PNG' ELSE name END AS nm,
              ordinal % 5 = 1 AS orig FROM v_photos WHERE ordinal % 4 <> 1 AND ordinal % 5 IN (1, 2, 3)),
-n AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY coalesce(epoch_ms(ts), 0), ordinal) AS number FROM k)
+n AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY coalesce((epoch_us(ts) // 1000), 0), ordinal) AS number FROM k)
 SELECT library_id, photo_id, number, concat(CASE WHEN number < 10 THEN '0' ELSE '' END, number, '-',
          CASE WHEN nm = '' AND orig THEN concat('Orig-', ordinal) WHEN nm = '' THEN 'photo' WHEN nm LIKE '--a%' THEN 'a-b-c' ELSE concat('IMG_', ordinal) END,
          CASE WHEN orig AND ordinal % 2 = 0 THEN '.heic' ELSE '.jpg' END) AS file_name,
@@ -301,7 +301,7 @@ def downloadable_photos(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("kept_in_time_order", f"""WITH {views.V_PHOTOS}
-SELECT library_id, photo_id, row_number() OVER (PARTITION BY library_id ORDER BY coalesce(epoch_ms(ts), 0), ordinal) - 1 AS kept_no
+SELECT library_id, photo_id, row_number() OVER (PARTITION BY library_id ORDER BY coalesce((epoch_us(ts) // 1000), 0), ordinal) - 1 AS kept_no
 FROM v_photos WHERE ordinal % 4 <> 1""")
 def kept_in_time_order(spark: SparkSession, sf: str) -> DataFrame:
     return cu.kept_in_time_order(views.photos(spark, sf).where("ordinal % 4 <> 1")).select("library_id", "photo_id", "kept_no")

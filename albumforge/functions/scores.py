@@ -17,11 +17,12 @@ def sharpness_score(variance: Column) -> Column:
 
 
 def quartile_bucket(q: Column) -> Column:
-    return F.least(F.lit(3), F.greatest(F.lit(0), F.floor(q * 4).cast("int")))
+    # least and greatest skip nulls, so a missing score has to be kept out first
+    return F.when(q.isNotNull(), F.least(F.lit(3), F.greatest(F.lit(0), F.floor(q * 4).cast("int"))))
 
 
 def unit_clamp(x: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    return F.when(x.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
 
 
 def display_orientation(explicit: Column, width: Column, height: Column) -> Column:
@@ -84,5 +85,5 @@ def dedup_view_score(status: Column, distance: Column) -> Column:
     return (
         F.when(status == "kept", F.lit(1.0))
         .when(status == "exact", F.lit(0.0))
-        .when(status == "burst", F.coalesce(F.greatest(F.lit(0.0), 1 - distance / 20), F.lit(0.5)))
+        .when(status == "burst", F.when(distance.isNull(), F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), 1 - distance / 20)))
     )

@@ -33,7 +33,7 @@ def first_event_per_piece(events: DataFrame, library_id: str = "library_id") ->
     """(library, date, piece) to the first event, in itinerary order, that covers it."""
     start, end = _minute(F.col("start_time")) * 2, _minute(F.col("end_time")) * 2
     last = F.least(end, F.lit(PIECES_PER_DAY - 1))
-    covered = events.where(start <= last).select(
+    covered = events.where(end.isNotNull() & (start <= last)).select(
         library_id, F.to_date("date").alias("_date"), "ord", "event_id",
         F.explode(F.sequence(start, last)).alias("_piece"))
     return covered.groupBy(library_id, "_date", "_piece").agg(

@@ -54,12 +54,16 @@ def named(events: DataFrame, name: str) -> DataFrame:
     return events.where(F.col("event_name") == name)
 
 
-def uploads_by_day(events: DataFrame) -> DataFrame:
-    return named(events, PHOTOS_UPLOADED).groupBy(day_of()).agg(
+def uploads() -> list[Column]:
+    return [
         F.count("*").alias("upload_events"),
         F.sum(whole("count")).alias("total_photos"),
         F.round(F.avg(number("count")), 1).alias("avg_photos_per_upload"),
-    )
+    ]
+
+
+def uploads_by_day(events: DataFrame) -> DataFrame:
+    return named(events, PHOTOS_UPLOADED).groupBy(day_of()).agg(*uploads())
 
 
 def _timing(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
@@ -94,37 +98,50 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return _timing(stages, ["stage"], F.col("value"))
 
 
-def toggles_by_day(events: DataFrame) -> DataFrame:
-    return named(events, TOGGLE_COUNT).groupBy(day_of()).agg(
+def toggles() -> list[Column]:
+    return [
         F.count("*").alias("sessions"),
         F.round(F.avg(number("presses")), 1).alias("avg_presses"),
         F.round(F.avg(number("distinctPhotos")), 1).alias("avg_distinct_photos"),
-    )
+    ]
 
 
-def funnel_by_day(events: DataFrame) -> DataFrame:
+def toggles_by_day(events: DataFrame) -> DataFrame:
+    return named(events, TOGGLE_COUNT).groupBy(day_of()).agg(*toggles())
+
+
+def funnel() -> list[Column]:
     """Stage sums, and means of the per-session ratios (not ratios of the sums)."""
     zero = F.lit(0).cast("decimal(20,6)")
     ratio = lambda a, b: F.avg(number(a) / F.nullif(number(b), zero))
-    return named(events, CURATION_FUNNEL).groupBy(day_of()).agg(
+    return [
         F.count("*").alias("sessions"),
         F.sum(whole("uploaded")).alias("uploaded"),
         F.sum(whole("autoKept")).alias("auto_kept"),
         F.sum(whole("userKept")).alias("user_kept"),
         F.round(ratio("userKept", "autoKept"), 2).alias("user_vs_auto"),
         F.round(ratio("userKept", "uploaded"), 3).alias("keep_rate"),
-    )
+    ]
+
+
+def funnel_by_day(events: DataFrame) -> DataFrame:
+    return named(events, CURATION_FUNNEL).groupBy(day_of()).agg(*funnel())
+
+
+def bail_out_keys() -> list[Column]:
+    return [text("from").alias("bail_from")]
 
 
 def bail_outs_by_day(events: DataFrame) -> DataFrame:
-    return named(events, BAIL_OUT).groupBy(day_of(), text("from").alias("bail_from")).agg(
-        F.count("*").alias("bail_outs"))
+    return named(events, BAIL_OUT).groupBy(day_of(), *bail_out_keys()).agg(F.count("*").alias("bail_outs"))
+
+
+def error_keys() -> list[Column]:
+    return [text("source").alias("source"), F.coalesce(text("name"), text("failed")).alias("detail")]
 
 
 def errors_by_day(events: DataFrame) -> DataFrame:
-    detail = F.coalesce(text("name"), text("failed"))
-    return named(events, ERROR).groupBy(day_of(), text("source").alias("source"), detail.alias("detail")).agg(
-        F.count("*").alias("errors"))
+    return named(events, ERROR).groupBy(day_of(), *error_keys()).agg(F.count("*").alias("errors"))
 
 
 def quality_errors_by_day(events: DataFrame) -> DataFrame:

@@ -91,3 +91,11 @@ def chapter_day_index(spark: SparkSession, sf: str) -> DataFrame:
     sizes = cl.gap_clusters(views.photos(spark, sf)).groupBy("library_id", "cluster_idx").count().where("count > 1")
     return ch.number_chapters(sizes).select(
         "library_id", ch.chapter_id(F.col("cluster_idx")).alias("chapter_id"), "day_index")
+
+
+@query("chapter_photo_rows", f"""WITH {views.V_GAPS}
+SELECT library_id, printf('chapter_%03d', cluster_idx + 1) AS chapter_id, pos, photo_id, quality FROM v_placed WHERE ordinal % 8 > 0""")
+def chapter_photo_rows(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.photos(spark, sf)
+    listed = ch.chapter_photos(gap_placed(spark, sf))
+    return ch.look_up_photos(listed, p.where("ordinal % 8 > 0")).select("library_id", "chapter_id", "pos", "photo_id", "quality")

@@ -85,10 +85,10 @@ DAY_SECONDS = 86400
 
 
 @query("batch_outcomes", f"""WITH {V_BATCHES}
-SELECT batch_id, ua_bucket, recent_requests, reject_reason FROM v_outcome""")
+SELECT batch_id, ua_bucket, reject_reason FROM v_outcome""")
 def batch_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return intake.batch_outcomes(raw_batches(spark, sf), DAY_SECONDS, 1).select(
-        "batch_id", "ua_bucket", "recent_requests", "reject_reason")
+        "batch_id", "ua_bucket", "reject_reason")
 
 
 @query("accepted_events", f"""WITH {V_BATCHES}
@@ -140,4 +140,5 @@ def request_rate(spark: SparkSession, sf: str) -> DataFrame:
     requests = views.events(spark, sf).select(
         F.col("event_id").alias("batch_id"), F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("rate_key"),
         F.date_trunc("minute", "ts").alias("received_at"))
-    return intake.mark_rate(requests, 3600, 5).select("batch_id", "recent_requests", "rate_limited")
+    counts = intake.recent_requests(requests, 3600).select("batch_id", "recent_requests")
+    return intake.mark_rate(requests, 3600, 5).select("batch_id", "rate_limited").join(counts, "batch_id")

@@ -118,3 +118,12 @@ def ordered_clusters(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("ordinal")
     given = views.photos(spark, sf).withColumn("cluster", F.when(i % 7 > 0, (i % 6).cast("int")))
     return sm.order_clusters(given).select("library_id", "photo_id", "cluster_idx")
+
+
+@query("semantic_positions", f"""WITH {views.V_PHOTOS}
+SELECT p.photo_id, row_number() OVER (PARTITION BY p.library_id, ordinal % 6 ORDER BY CASE WHEN e.vec_id IS NOT NULL THEN ts END NULLS LAST, ordinal) - 1 AS pos
+FROM v_photos p LEFT JOIN embeddings e ON e.vec_id = p.ordinal""")
+def semantic_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """By time with undated last; photos without a vector keep their input order."""
+    given = photos_with_vectors(spark, sf).withColumn("cluster_idx", (F.col("ordinal") % 6).cast("int"))
+    return sm.place_semantic(given).select("photo_id", "pos")

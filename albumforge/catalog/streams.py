@@ -147,3 +147,21 @@ def stream_first_completions(spark: SparkSession, sf: str) -> DataFrame:
     rows = event_stream(spark, sf).where("event_type = 'purchase'").select(
         F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").alias("server_ts"))
     return drain(usage.first_completions(rows, "60 days")).select("session_id")
+
+
+@query("stream_event_table", f"""WITH {V_BATCHES}
+SELECT strftime(s.received_at, '%Y-%m-%d') AS day, e.event_name, count(*) AS events, count(*) AS ids
+FROM v_ev e JOIN v_shape s ON e.batch_id = s.batch_id WHERE s.shape_fault IS NULL AND e.valid GROUP BY 1, 2""")
+def stream_event_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted rows appended to the event table by day, then read back by name."""
+    import uuid
+
+    from albumforge.session import shared_dir
+    from albumforge.sources.telemetry import read_events
+    from albumforge.streaming.running import append_events
+
+    base = f"{shared_dir(spark)}/albumforge-events-{uuid.uuid4().hex}"
+    rows = intake.accepted_rows(batch_stream(spark, sf))
+    append_events(rows, f"{base}/table", f"{base}/checkpoint", available_now=True).awaitTermination()
+    return read_events(spark, f"{base}/table").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_name").agg(
+        F.count("*").alias("events"), F.countDistinct("id").alias("ids"))

@@ -176,3 +176,10 @@ def stage_run_map(spark: SparkSession, sf: str) -> DataFrame:
                        for n, (s, v) in enumerate((("exif", K() * 3), ("dedup", I() % 5000), ("cluster", I() % 7)))])
     timings = rows.select(I().alias("run"), F.inline(stages))
     return m.stage_run_map(timings, "run")
+
+
+@query("events_by_name", "SELECT user_id, count(*) AS n, sum(event_id) AS ids FROM events WHERE event_type = 'purchase' GROUP BY 1")
+def events_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """The name filter reaches the file scan."""
+    e = views.table(spark, sf, "events").withColumnRenamed("event_type", "event_name")
+    return m.named(e, "purchase").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))

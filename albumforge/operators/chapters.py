@@ -96,3 +96,8 @@ def number_chapters(chapters: DataFrame, library_id: str = "library_id") -> Data
     """1-based day index by chapter order. Chapters are few per library, so this window is small."""
     w = Window.partitionBy(library_id).orderBy("cluster_idx")
     return chapters.withColumn("day_index", F.row_number().over(w))
+
+
+def look_up_photos(listed: DataFrame, photos: DataFrame, library_id: str = "library_id") -> DataFrame:
+    """Photo rows of a chapter list (chapter_id, pos, photo_id); ids that are not known are dropped."""
+    return listed.select(library_id, "chapter_id", "pos", "photo_id").join(photos, [library_id, "photo_id"])

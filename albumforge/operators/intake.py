@@ -5,10 +5,11 @@ Input has ``batch_id``, ``received_at``, ``user_agent`` and ``body`` (JSON text)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from albumforge.functions import telemetry as t
+from albumforge.operators.ordering import neighbours, running, with_positions
 
 
 def read_batches(raw: DataFrame) -> DataFrame:
@@ -36,30 +37,35 @@ def read_batches(raw: DataFrame) -> DataFrame:
 
 def mark_rate(batches: DataFrame, window_seconds: int = t.RATE_WINDOW_SECONDS,
               max_requests: int = t.RATE_MAX_REQUESTS) -> DataFrame:
-    """Count the requests of the same key in the window before and at each request.
+    """Flag requests over the limit of their key; rejected requests count too.
 
-    Rejected requests count too. A request is needed by its own window-long slot
-    and by the next one, so it is copied there; every window is then at most two
-    slots of one key, however long the key lives.
+    A request is over the limit when the one ``max_requests`` places before it
+    is still inside the window, so one look back replaces the count, and a key
+    with any number of requests is worked on in blocks. Requests at the same
+    instant are served in batch order.
+    """
+    placed = with_positions(batches.withColumn("_us", F.unix_micros("received_at")), ["rate_key"],
+                            [F.col("_us").asc(), F.col("batch_id").asc()], out="_no")
+    looked = neighbours(placed, ["rate_key"], "_no", before={"_then": "_us"}, offset=max_requests)
+    limited = F.coalesce(F.col("_us") - F.col("_then") < window_seconds * 1_000_000, F.lit(False))
+    return looked.withColumn("rate_limited", limited).drop("_us", "_no", "_then")
+
+
+def recent_requests(batches: DataFrame, window_seconds: int = t.RATE_WINDOW_SECONDS) -> DataFrame:
+    """How many requests of the key fall in the window that ends with the request, itself included.
+
+    Every request also puts a probe one window earlier. In one order of both,
+    the requests up to the probe are those that are too old.
     """
-    span = window_seconds * 1_000_000
     us = F.unix_micros("received_at")
-    home = F.floor(us / span)
-    spread = (
-        batches.withColumn("_us", us).withColumn("_home", home)
-        .withColumn("_slot", F.explode(F.array(home, home + 1)))
-    )
-    by_slot = Window.partitionBy("rate_key", "_slot")
-    recent = F.count("*").over(by_slot.orderBy("_us").rangeBetween(1 - span, 0))
-    same_time = Window.partitionBy("rate_key", "_slot", "_us")
-    # Requests at the same instant are served in batch order.
-    later = F.count("*").over(same_time) - F.row_number().over(same_time.orderBy("batch_id"))
-    return (
-        spread.withColumn("recent_requests", recent - later)
-        .where(F.col("_slot") == F.col("_home"))
-        .withColumn("rate_limited", F.col("recent_requests") > max_requests)
-        .drop("_us", "_home", "_slot")
-    )
+    both = batches.select("rate_key", "batch_id", F.inline(F.array(
+        F.struct(us.alias("_us"), F.lit(0).alias("_probe")),
+        F.struct((us - window_seconds * 1_000_000).alias("_us"), F.lit(1).alias("_probe")))))
+    placed = with_positions(both.withColumn("_one", 1 - F.col("_probe")), ["rate_key"],
+                            [F.col("_us").asc(), F.col("_probe").asc(), F.col("batch_id").asc()])
+    counted = running(placed, ["rate_key"], "_one", "_seen")
+    seen = lambda probe: F.sum(F.when(F.col("_probe") == probe, F.col("_seen")))
+    return counted.groupBy("rate_key", "batch_id").agg((seen(0) - seen(1)).alias("recent_requests"))
 
 
 def event_rows(batches: DataFrame) -> DataFrame:

@@ -67,27 +67,29 @@ def with_positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column
 
 def neighbours(df: DataFrame, keys: Sequence[str], pos: str = "pos",
                before: dict[str, str] | None = None, after: dict[str, str] | None = None,
-               block: int = BLOCK) -> DataFrame:
-    """``lag``/``lead`` by one over dense positions, in blocks of at most ``block`` + 2 rows.
+               offset: int = 1, block: int = BLOCK) -> DataFrame:
+    """``lag``/``lead`` by ``offset`` over dense positions, in blocks of at most ``block`` + 2 ``offset`` rows.
 
-    ``before`` and ``after`` map new column names to source columns. Edge rows
-    of a block are copied into the neighbouring block and dropped afterwards.
+    ``before`` and ``after`` map new column names to source columns. Rows near
+    the edge of a block are copied into the neighbouring block and dropped
+    afterwards.
     """
-    home = F.floor(F.col(pos) / block)
+    block = max(block, offset)
+    home, place = F.floor(F.col(pos) / block), F.col(pos) % block
     blocks = F.filter(
         F.array(
             home,
-            F.when(F.col(pos) % block == block - 1, home + 1),
-            F.when((F.col(pos) % block == 0) & (home > 0), home - 1),
+            F.when(place >= block - offset, home + 1) if before else F.lit(None).cast("bigint"),
+            F.when((place < offset) & (home > 0), home - 1) if after else F.lit(None).cast("bigint"),
         ),
         lambda b: b.isNotNull(),
     )
     spread = df.withColumn("_home", home).withColumn("_block", F.explode(blocks))
     w = Window.partitionBy(*keys, "_block").orderBy(pos)
     for name, src in (before or {}).items():
-        spread = spread.withColumn(name, F.lag(src).over(w))
+        spread = spread.withColumn(name, F.lag(src, offset).over(w))
     for name, src in (after or {}).items():
-        spread = spread.withColumn(name, F.lead(src).over(w))
+        spread = spread.withColumn(name, F.lead(src, offset).over(w))
     return spread.where(F.col("_home") == F.col("_block")).drop("_home", "_block")
 
 

@@ -9,10 +9,12 @@ from albumforge.catalog import views
 from albumforge.catalog.registry import query
 from albumforge.operators import chapters as ch
 from albumforge.operators import cluster as cl
+from albumforge.session import cut_lineage
 
 
 def gap_placed(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.place_in_clusters(cl.gap_clusters(views.photos(spark, sf)))
+    """Placed photos, written once because the queries on top read them several times."""
+    return cut_lineage(cl.place_in_clusters(cl.gap_clusters(views.photos(spark, sf))))
 
 
 @query("chapters_by_gap", f"""WITH {views.V_CHAPTERS}
@@ -52,7 +54,8 @@ def day_clusters_in_zone(spark: SparkSession, sf: str) -> DataFrame:
 @query("positions_in_clusters", f"""WITH {views.V_GAPS}
 SELECT library_id, photo_id, cluster_idx, pos, cluster_size FROM v_placed""")
 def positions_in_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return gap_placed(spark, sf).select("library_id", "photo_id", "cluster_idx", "pos", "cluster_size")
+    placed = cl.place_in_clusters(cl.gap_clusters(views.photos(spark, sf)))
+    return placed.select("library_id", "photo_id", "cluster_idx", "pos", "cluster_size")
 
 
 @query("heroes_by_rule", f"""WITH {views.V_GAPS},

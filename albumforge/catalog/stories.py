@@ -17,6 +17,7 @@ from albumforge.operators import curation as cu
 from albumforge.operators import documents as doc
 from albumforge.operators import itinerary as it
 from albumforge.operators import story as st
+from albumforge.session import cut_lineage
 
 # Day clusters: thirty-one chapters per library, thousands of photos each.
 V_DAYS = views.V_PHOTOS + """,
@@ -36,11 +37,12 @@ v_day_chapters AS (
 
 
 def day_placed(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.place_in_clusters(cl.day_clusters(views.photos(spark, sf)))
+    return cut_lineage(cl.place_in_clusters(cl.day_clusters(views.photos(spark, sf))))
 
 
 def day_chapters(placed: DataFrame) -> DataFrame:
-    return ch.build_chapters(placed)
+    """The chapter table is small and read by everything after it."""
+    return cut_lineage(ch.build_chapters(placed))
 
 
 @query("chapters_by_day", f"""WITH {V_DAYS}

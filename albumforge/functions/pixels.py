@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row, even where ``body`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def gray_levels(red: Column, green: Column, blue: Column) -> Column:
     """Three channel arrays to rounded gray levels."""
     rg = F.zip_with(red, green, lambda r, g: 0.299 * r + 0.587 * g)
@@ -33,14 +38,16 @@ def block_means(gray: Column, side: int = 32, blocks: int = 8) -> Column:
 
 def block_hash(means: Column) -> Column:
     """64 block means to a BIGINT: bit i is set when mean i is above the middle of the 64."""
-    ordered = F.array_sort(F.transform(means, lambda x: x.cast("double")))
-    middle = (F.get(ordered, F.lit(31)) + F.get(ordered, F.lit(32))) / 2
-    bits = F.transform(
-        means,
-        lambda x, i: F.when(x.cast("double") > middle, F.call_function("shiftleft", F.lit(1).cast("bigint"), i))
-        .otherwise(F.lit(0).cast("bigint")),
-    )
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
+    values = F.transform(means, lambda x: x.cast("double"))
+    none = F.lit(0).cast("bigint")
+
+    def bits(middle: Column) -> Column:
+        on = F.transform(values, lambda x, i: F.when(
+            x > middle, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(none))
+        return F.aggregate(on, none, lambda acc, b: acc.bitwiseOR(b))
+
+    middle = bind(F.sort_array(values), lambda s: (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2)
+    return bind(middle, bits)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -108,4 +115,5 @@ def dot(a: Column, b: Column) -> Column:
 def unit_vector(v: Column) -> Column:
     """L2-normalised; the zero vector stays as it is."""
     norm = F.sqrt(fold_sum(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    return bind(F.when(norm == 0, F.lit(1.0)).otherwise(norm),
+                lambda n: F.transform(v, lambda x: x.cast("double") / n))

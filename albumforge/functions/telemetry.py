@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from albumforge.functions.pixels import bind
+
 # Limits of the intake.
 MAX_EVENTS_PER_BATCH = 50
 MAX_PROPERTIES = 20
@@ -51,22 +53,22 @@ def clean_properties(raw: Column) -> Column:
     """
     items = F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>")
     indexed = F.map_from_entries(F.transform(items, lambda v, i: F.struct(i.cast("string"), v)))
-    props = F.coalesce(indexed, F.from_json(raw, "map<string,variant>"))
-    ranked = F.transform(
-        F.map_keys(props),
-        lambda k, i: F.struct(
-            F.when(k.rlike("^(0|[1-9][0-9]{0,9})$") & (F.try_to_number(k, F.lit("9999999999")) < INDEX_LIMIT),
-                   k.try_cast("bigint")).otherwise(F.lit(INDEX_LIMIT) + i).alias("rank"),
-            k.alias("key")),
-    )
-    keys = F.transform(F.array_sort(ranked), lambda s: s["key"])
-    number_types = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN")
-    scalar = F.filter(keys, lambda k: json_type(F.element_at(props, k)).isin(*number_types, "STRING"))
+    props = F.when(F.startswith(F.ltrim(raw), F.lit("[")), indexed).otherwise(F.from_json(raw, "map<string,variant>"))
+    kept = bind(props, _first_scalars)
+    return F.coalesce(F.to_json(kept), F.lit("{}"))
 
-    def entry(k: Column) -> Column:
-        v = F.element_at(props, k)
-        cut = F.substring(F.try_variant_get(v, "$", "string"), 1, MAX_TEXT).cast("variant")
-        return F.struct(k, F.when(json_type(v) == "STRING", cut).otherwise(v))
 
-    kept = F.map_from_entries(F.transform(F.slice(scalar, 1, MAX_PROPERTIES), entry))
-    return F.coalesce(F.to_json(kept), F.lit("{}"))
+def _first_scalars(props: Column) -> Column:
+    ranked = F.transform(
+        F.map_entries(props),
+        lambda e, i: F.struct(
+            F.when(e["key"].rlike("^(0|[1-9][0-9]{0,9})$") & (e["key"].try_cast("bigint") < INDEX_LIMIT),
+                   e["key"].try_cast("bigint")).otherwise(F.lit(INDEX_LIMIT) + i).alias("rank"),
+            i.alias("at"), json_type(e["value"]).alias("type")),
+    )
+    scalar = F.filter(ranked, lambda r: r["type"].isin("STRING", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN"))
+    first = F.slice(F.sort_array(scalar), 1, MAX_PROPERTIES)
+    cut = lambda v: F.substring(F.try_variant_get(v, "$", "string"), 1, MAX_TEXT).cast("variant")
+    return bind(F.map_entries(props), lambda entries: F.map_from_entries(F.transform(
+        first, lambda r: bind(F.get(entries, r["at"]), lambda e: F.struct(
+            e["key"], F.when(r["type"] == "STRING", cut(e["value"])).otherwise(e["value"]))))))

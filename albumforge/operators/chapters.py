@@ -59,11 +59,11 @@ def select_heroes(placed: DataFrame, highlight_dates: Sequence[str] = (), tz: st
 
 def median_coords(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Upper median of latitude and of longitude, each on its own; groups without coordinates drop out."""
-    located = placed.where(F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    upper = {"v": F.floor(F.col("n") / 2)}
-    lat = rank_values(located, keys, "lat", upper, COORD_BUCKET).withColumnRenamed("v", "lat")
-    lng = rank_values(located, keys, "lng", upper, COORD_BUCKET).withColumnRenamed("v", "lng")
-    return lat.join(lng, list(keys))
+    keys = list(keys)
+    axes = F.array(*[F.struct(F.lit(a).alias("_axis"), F.col(a).alias("_deg")) for a in ("lat", "lng")])
+    located = placed.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(*keys, F.inline(axes))
+    upper = rank_values(located, [*keys, "_axis"], "_deg", {"v": F.floor(F.col("n") / 2)}, COORD_BUCKET)
+    return upper.groupBy(*keys).agg(*[F.max(F.when(F.col("_axis") == a, F.col("v"))).alias(a) for a in ("lat", "lng")])
 
 
 def chapter_id(cluster_idx: Column) -> Column:

@@ -4,14 +4,16 @@ A plain ``Window.partitionBy(library_id)`` puts a whole library into one task.
 One library may hold a third of all rows, so nothing here windows over a
 library's photos directly:
 
-* ``with_positions`` range-partitions on (group, order), so a big group is cut
-  over many tasks, and adds the exact rank of each row;
+* ``with_positions`` adds the exact rank of each row: by a window when the
+  largest group is checked to be small, else by range-partitioning on (group,
+  order), which cuts a big group over many tasks;
 * ``neighbours`` and ``running`` work on fixed-size blocks of those ranks;
-* ``rank_values`` picks exact order statistics from value counts.
+* ``rank_values`` picks exact order statistics, from value counts when a group
+  is big.
 
-Windows are left to Spark where the group is a pre-aggregated table (chapters
-of a library, days of a library) or where the filter ``row_number() <= n`` lets
-Spark limit the group before the shuffle.
+Plain windows are used where the group is a pre-aggregated table (chapters of a
+library, days of a library) or where the filter ``row_number() <= n`` lets Spark
+limit the group before the shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +26,13 @@ from pyspark.sql import functions as F
 from albumforge.session import cut_lineage
 
 BLOCK = 1_000_000
+# Largest group, in rows, that a single task sorts in a plain window.
+WINDOW_ROWS = 4_000_000
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the biggest group: one aggregate over the key columns, combined before its shuffle."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def spread_sorted(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
@@ -48,9 +57,16 @@ def spread_sorted(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]
 
 def with_positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
                    out: str = "pos", size: str | None = None,
-                   partitions: int | None = None) -> DataFrame:
-    """Add the 0-based rank inside the group, and the group size when ``size`` is given."""
+                   partitions: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Add the 0-based rank inside the group, and the group size when ``size`` is given.
+
+    The order must be unique inside a group.
+    """
     keys = list(keys)
+    if largest_group(df, keys) <= window_rows:
+        group = Window.partitionBy(*keys)
+        ranked = df.withColumn(out, (F.row_number().over(group.orderBy(*order_by)) - 1).cast("bigint"))
+        return ranked.withColumn(size, F.count("*").over(group)) if size else ranked
     laid = spread_sorted(df, keys, order_by, partitions)
     # One row per (group, task): at most groups + tasks rows, so the windows
     # below see at most one row per task for any group.
@@ -112,18 +128,25 @@ def running(df: DataFrame, keys: Sequence[str], value: str, out: str, how: str =
 
 
 def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column],
-                width: float) -> DataFrame:
+                width: float, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Exact order statistics of ``value`` per group, nulls ignored.
 
     ``ranks`` maps an output name to a 0-based rank given as an expression over
-    ``n`` (the number of non-null values). Values are counted first, so repeats
-    cost nothing after the map side. A histogram of buckets ``width`` wide finds
-    the bucket each rank falls in, and only that bucket is ordered by value, so
-    no group is sorted whole.
+    ``n`` (the number of non-null values). Small groups are ranked by a window.
+    Otherwise values are counted first, so repeats cost nothing after the map
+    side; a histogram of buckets ``width`` wide finds the bucket each rank falls
+    in, and only that bucket is ordered by value, so no group is sorted whole.
     """
     keys = list(keys)
+    known = df.where(F.col(value).isNotNull())
+    if largest_group(known, keys) <= window_rows:
+        group = Window.partitionBy(*keys)
+        ranked = known.select(*keys, F.col(value).alias("_v"), F.count("*").over(group).alias("n"),
+                              (F.row_number().over(group.orderBy(value)) - 1).alias("_r"))
+        return ranked.groupBy(*keys).agg(*[
+            F.max(F.when(F.col("_r") == rank, F.col("_v"))).alias(name) for name, rank in ranks.items()])
     counted = (
-        df.where(F.col(value).isNotNull())
+        known
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count("*").alias("_c"))
         .withColumn("_b", F.floor(F.col("_v") / width))

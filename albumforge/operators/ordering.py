@@ -57,13 +57,13 @@ def spread_sorted(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]
 
 def with_positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
                    out: str = "pos", size: str | None = None,
-                   partitions: int | None = None, window_rows: int = WINDOW_ROWS) -> DataFrame:
+                   partitions: int | None = None, window_rows: int | None = None) -> DataFrame:
     """Add the 0-based rank inside the group, and the group size when ``size`` is given.
 
     The order must be unique inside a group.
     """
     keys = list(keys)
-    if largest_group(df, keys) <= window_rows:
+    if largest_group(df, keys) <= (WINDOW_ROWS if window_rows is None else window_rows):
         group = Window.partitionBy(*keys)
         ranked = df.withColumn(out, (F.row_number().over(group.orderBy(*order_by)) - 1).cast("bigint"))
         return ranked.withColumn(size, F.count("*").over(group)) if size else ranked
@@ -128,7 +128,7 @@ def running(df: DataFrame, keys: Sequence[str], value: str, out: str, how: str =
 
 
 def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column],
-                width: float, window_rows: int = WINDOW_ROWS) -> DataFrame:
+                width: float, window_rows: int | None = None) -> DataFrame:
     """Exact order statistics of ``value`` per group, nulls ignored.
 
     ``ranks`` maps an output name to a 0-based rank given as an expression over
@@ -139,7 +139,7 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str,
     """
     keys = list(keys)
     known = df.where(F.col(value).isNotNull())
-    if largest_group(known, keys) <= window_rows:
+    if largest_group(known, keys) <= (WINDOW_ROWS if window_rows is None else window_rows):
         group = Window.partitionBy(*keys)
         ranked = known.select(*keys, F.col(value).alias("_v"), F.count("*").over(group).alias("n"),
                               (F.row_number().over(group.orderBy(value)) - 1).alias("_r"))

@@ -53,8 +53,8 @@ def chapters_by_day(spark: SparkSession, sf: str) -> DataFrame:
         F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
-KM = """2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians({b}lat - {a}lat) / 2), 2)
-        + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2))))"""
+KM = """2 * 6371 * asin(sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2)
+        + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2)))"""
 V_KM = V_DAYS + f""",
 v_legs AS (SELECT library_id, cluster_idx, lat, lng, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM v_day_chapters
            WINDOW w AS (PARTITION BY library_id ORDER BY cluster_idx)),

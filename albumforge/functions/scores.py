@@ -46,7 +46,8 @@ def fit_box(width: Column, height: Column, box: int) -> Column:
 def scale_long_edge(width: Column, height: Column, edge: int) -> Column:
     """Size whose long edge is exactly ``edge`` (small pictures are enlarged)."""
     scale = F.lit(edge) / F.greatest(width, height)
-    at_least_one = lambda x: F.greatest(F.lit(1), half_up(x * scale)).cast("bigint")
+    known = width.isNotNull() & height.isNotNull()
+    at_least_one = lambda x: F.when(known, F.greatest(F.lit(1), half_up(x * scale))).cast("bigint")
     return F.struct(at_least_one(width).alias("width"), at_least_one(height).alias("height"))
 
 

@@ -11,7 +11,7 @@ SCHEMA = f"trip_name string, events array<{EVENT}>"
 
 def read_itineraries(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents, one per file, as rows of (path, body)."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from albumforge.functions.text import padded
 from albumforge.functions.times import local_date
-from albumforge.operators.ordering import rank_values
+from albumforge.operators.ordering import largest_of, rank_values
 
 # Degrees per histogram bucket when the median coordinate is looked up.
 COORD_BUCKET = 0.001
@@ -62,7 +62,8 @@ def median_coords(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     axes = F.array(*[F.struct(F.lit(a).alias("_axis"), F.col(a).alias("_deg")) for a in ("lat", "lng")])
     located = placed.where(F.col("lat").isNotNull() & F.col("lng").isNotNull()).select(*keys, F.inline(axes))
-    upper = rank_values(located, [*keys, "_axis"], "_deg", {"v": F.floor(F.col("n") / 2)}, COORD_BUCKET)
+    upper = rank_values(located, [*keys, "_axis"], "_deg", {"v": F.floor(F.col("n") / 2)}, COORD_BUCKET,
+                        largest=largest_of(placed, "cluster_size"))
     return upper.groupBy(*keys).agg(*[F.max(F.when(F.col("_axis") == a, F.col("v"))).alias(a) for a in ("lat", "lng")])
 
 

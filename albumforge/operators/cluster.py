@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from albumforge.functions.text import natural_key
 from albumforge.functions.times import local_date
-from albumforge.operators.ordering import with_positions
+from albumforge.operators.ordering import largest_of, with_positions
 
 DEFAULT_GAP_MINUTES = 45
 
@@ -24,11 +24,13 @@ def _number_slots(photos: DataFrame, slot: Column, breaks: Callable[[Column, Col
     """Number runs of slots per library and give every photo its run number.
 
     ``breaks(previous_last, first)`` says whether a slot starts a new run.
-    Photos without a slot (undated) are a run of their own, at the end.
+    Photos without a slot (undated) are a run of their own, at the end. The run's
+    photo count comes along as ``cluster_size``.
     """
     slotted = photos.withColumn("_slot", slot)
     us = F.unix_micros("ts")
-    slots = slotted.groupBy(library_id, "_slot").agg(F.min(us).alias("_min"), F.max(us).alias("_max"))
+    slots = slotted.groupBy(library_id, "_slot").agg(
+        F.min(us).alias("_min"), F.max(us).alias("_max"), F.count("*").alias("_n"))
     w = Window.partitionBy(library_id).orderBy(F.col("_slot").asc_nulls_last())
     starts = (
         F.when(F.row_number().over(w) == 1, 0)
@@ -39,7 +41,8 @@ def _number_slots(photos: DataFrame, slot: Column, breaks: Callable[[Column, Col
     numbered = (
         slots.withColumn("_start", starts)
         .withColumn("cluster_idx", F.sum("_start").over(w).cast("int"))
-        .select(F.col(library_id).alias("_lib"), F.col("_slot").alias("_key"), "cluster_idx")
+        .withColumn("cluster_size", F.sum("_n").over(Window.partitionBy(library_id, "cluster_idx")))
+        .select(F.col(library_id).alias("_lib"), F.col("_slot").alias("_key"), "cluster_idx", "cluster_size")
     )
     on = (F.col(library_id) == F.col("_lib")) & F.col("_slot").eqNullSafe(F.col("_key"))
     return slotted.join(numbered, on).drop("_slot", "_lib", "_key")
@@ -75,6 +78,7 @@ def place_in_clusters(clustered: DataFrame, library_id: str = "library_id",
     """Add ``pos`` (0-based) and ``cluster_size``: by time, then natural name, then input order."""
     keyed = clustered.withColumn("_name", natural_key(F.col("name"))) if by_name else clustered
     order = [F.col("ts").asc_nulls_last()] + ([F.col("_name").asc_nulls_first()] if by_name else [])
+    sized = "cluster_size" in clustered.columns
     placed = with_positions(keyed, [library_id, "cluster_idx"], [*order, F.col("ordinal").asc()],
-                            size="cluster_size")
+                            size=None if sized else "cluster_size", largest=largest_of(clustered, "cluster_size"))
     return placed.drop("_name")

@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from albumforge.functions.text import natural_key
 from albumforge.operators.ordering import spread_sorted, with_positions
+from albumforge.session import cut_lineage
 
 # Bytes hashed at each end of a file; the near-duplicate rule.
 CHUNK_BYTES = 65536
@@ -185,13 +186,15 @@ def burst_members(marked: DataFrame, library_id: str = "library_id") -> DataFram
 
     One row per candidate instead of an array: one photo may have any number of near copies.
     """
-    bursts = marked.where(F.col("status") == "burst").select(library_id, "rep_id", "photo_id", "visit", "distance")
+    # Written once: the walk behind ``marked`` runs in Python workers.
+    bursts = cut_lineage(
+        marked.where(F.col("status") == "burst").select(library_id, "rep_id", "photo_id", "visit", "distance"))
     return with_positions(bursts, [library_id, "rep_id"], [F.col("visit").asc()], out="candidate_no", size="candidates")
 
 
 def burst_ids(marked: DataFrame, library_id: str = "library_id") -> DataFrame:
     """``burst`` = 'b<n>' for representatives and candidates; groups count from 0 in order of discovery."""
-    bursts = marked.where(F.col("status") == "burst")
+    bursts = cut_lineage(marked.where(F.col("status") == "burst").select(library_id, "rep_id", "photo_id", "visit"))
     groups = bursts.groupBy(library_id, "rep_id").agg(F.min("visit").alias("_found"))
     numbered = with_positions(groups, [library_id], [F.col("_found").asc()], out="_no").select(
         library_id, "rep_id", F.concat(F.lit("b"), F.col("_no").cast("string")).alias("burst"))

@@ -35,6 +35,17 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def _fits(df: DataFrame, keys: Sequence[str], window_rows: int | None, largest: int | None) -> bool:
+    """Whether every group may be sorted by one task."""
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    return (largest_group(df, keys) if largest is None else largest) <= limit
+
+
+def largest_of(df: DataFrame, size: str) -> int | None:
+    """Largest value of a column that holds group sizes; None when there is no such column."""
+    return (df.agg(F.max(size)).first()[0] or 0) if size in df.columns else None
+
+
 def spread_sorted(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
                   partitions: int | None = None, drop: Sequence[str] = ()) -> DataFrame:
     """Total order over (keys, order_by), cut over tasks, with ``_part`` and ``_row``.
@@ -57,13 +68,15 @@ def spread_sorted(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]
 
 def with_positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
                    out: str = "pos", size: str | None = None,
-                   partitions: int | None = None, window_rows: int | None = None) -> DataFrame:
+                   partitions: int | None = None, window_rows: int | None = None,
+                   largest: int | None = None) -> DataFrame:
     """Add the 0-based rank inside the group, and the group size when ``size`` is given.
 
-    The order must be unique inside a group.
+    The order must be unique inside a group. ``largest`` is the size of the
+    biggest group where the caller knows it; otherwise it is counted.
     """
     keys = list(keys)
-    if largest_group(df, keys) <= (WINDOW_ROWS if window_rows is None else window_rows):
+    if _fits(df, keys, window_rows, largest):
         group = Window.partitionBy(*keys)
         ranked = df.withColumn(out, (F.row_number().over(group.orderBy(*order_by)) - 1).cast("bigint"))
         return ranked.withColumn(size, F.count("*").over(group)) if size else ranked
@@ -128,7 +141,7 @@ def running(df: DataFrame, keys: Sequence[str], value: str, out: str, how: str =
 
 
 def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column],
-                width: float, window_rows: int | None = None) -> DataFrame:
+                width: float, window_rows: int | None = None, largest: int | None = None) -> DataFrame:
     """Exact order statistics of ``value`` per group, nulls ignored.
 
     ``ranks`` maps an output name to a 0-based rank given as an expression over
@@ -139,7 +152,7 @@ def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str,
     """
     keys = list(keys)
     known = df.where(F.col(value).isNotNull())
-    if largest_group(known, keys) <= (WINDOW_ROWS if window_rows is None else window_rows):
+    if _fits(known, keys, window_rows, largest):
         group = Window.partitionBy(*keys)
         ranked = known.select(*keys, F.col(value).alias("_v"), F.count("*").over(group).alias("n"),
                               (F.row_number().over(group.orderBy(value)) - 1).alias("_r"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from albumforge.operators.ordering import with_positions
+from albumforge.operators.ordering import largest_of, with_positions
 
 
 def allocate_targets(chapters: DataFrame, targets: DataFrame, library_id: str = "library_id",
@@ -63,7 +63,8 @@ def starter_set(chapter_photos: DataFrame, chapters: DataFrame, library_id: str
         chapters.where(F.col("target") > 0).select(*keys, "hero_photo_id", "target"), keys)
     rest = F.coalesce("hero_photo_id", F.lit("")) != F.col("photo_id")
     order = [rest.cast("int").asc(), F.coalesce("quality", F.lit(-1.0)).desc(), F.col("pos").asc()]
-    return with_positions(joined, keys, order, out="pick").where(F.col("pick") < F.col("target"))
+    picked = with_positions(joined, keys, order, out="pick", largest=largest_of(chapters, "photo_count"))
+    return picked.where(F.col("pick") < F.col("target"))
 
 
 def fallback_starters(chapter_photos: DataFrame, chapters: DataFrame, library_id: str = "library_id") -> DataFrame:

@@ -1,13 +1,14 @@
 """Clusters by visual similarity: cosine k-means inside every library at once.
 
-The centroids of a library travel as one array column (k is at most a few dozen
-short vectors), so a photo meets its centroids in a one-to-one join and never
-fans out. Assignment is vectorised in Arrow batches; the update is Spark's own
-vector summariser, which combines before its shuffle.
+A photo never fans out over its centroids: they are broadcast when all of them
+together are small, and otherwise come as one array column by a one-to-one join.
+Assignment is vectorised in Arrow batches; the update is Spark's own vector
+summariser, which combines before its shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -27,20 +28,53 @@ MAX_ROUNDS = 50
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-@F.pandas_udf(T.IntegerType())
-def nearest_centroid(vectors: pd.Series, centroids: pd.Series) -> pd.Series:
-    """Index of the centroid with the highest dot product; the first wins ties, and 0 without centroids."""
-    found = [0 if c is None else int(np.argmax(np.stack(c).astype(np.float64) @ np.asarray(v, dtype=np.float64)))
-             for v, c in zip(vectors, centroids)]
-    return pd.Series(found, dtype="int32")
+def _nearest(sims: np.ndarray) -> np.ndarray:
+    """Index of the highest similarity per row; the first wins ties."""
+    return np.argmax(sims, axis=1).astype(np.float64)
 
 
-@F.pandas_udf(T.DoubleType())
-def seed_distance(vectors: pd.Series, centroids: pd.Series) -> pd.Series:
-    """Squared cosine distance to the closest centroid chosen so far."""
-    found = [float((1 - np.max(np.stack(c).astype(np.float64) @ np.asarray(v, dtype=np.float64))) ** 2)
-             for v, c in zip(vectors, centroids)]
-    return pd.Series(found, dtype="float64")
+def _seed_weight(sims: np.ndarray) -> np.ndarray:
+    """Squared cosine distance to the closest centroid."""
+    return (1 - sims.max(axis=1)) ** 2
+
+
+def _matrix(rows) -> np.ndarray:
+    return np.stack([np.asarray(r, dtype=np.float64) for r in rows])
+
+
+def against_centroids(vectors: DataFrame, centroids: DataFrame, out: str, measure: Callable, column: str = "centroids",
+                      library_id: str = "library_id") -> DataFrame:
+    """Keep vectors of libraries that have centroids and add ``measure`` of their similarities to them.
+
+    Centroids of all libraries together are usually a few megabytes; then they
+    are broadcast once and a batch is one matrix product per library. Above
+    ``BROADCAST_BYTES`` each row gets its library's centroids by a join instead.
+    A library whose ``column`` is null counts as cluster 0.
+    """
+    numbers = F.coalesce(F.size(column) * F.size(F.element_at(column, 1)), F.lit(0))
+    total = centroids.agg(F.sum(numbers)).first()[0] or 0
+    if total * 8 <= BROADCAST_BYTES:
+        known = {r[0]: None if r[1] is None else _matrix(r[1]) for r in centroids.select(library_id, column).collect()}
+        shared = vectors.sparkSession.sparkContext.broadcast(known)
+
+        @F.pandas_udf(T.DoubleType())
+        def measured(libraries: pd.Series, rows: pd.Series) -> pd.Series:
+            result = np.zeros(len(rows))
+            for lib, at in libraries.groupby(libraries).indices.items():
+                if shared.value[lib] is not None:
+                    result[at] = measure(_matrix(rows.iloc[at]) @ shared.value[lib].T)
+            return pd.Series(result)
+
+        present = vectors.join(F.broadcast(centroids.select(library_id)), library_id, "left_semi")
+        return present.withColumn(out, measured(library_id, "embedding"))
+
+    @F.pandas_udf(T.DoubleType())
+    def measured_by_row(rows: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if c is None else float(measure(np.asarray(v, dtype=np.float64)[None, :] @ _matrix(c).T)[0])
+                          for v, c in zip(rows, found)])
+
+    joined = vectors.join(centroids.select(library_id, F.col(column).alias("_centroids")), library_id)
+    return joined.withColumn(out, measured_by_row("embedding", "_centroids")).drop("_centroids")
 
 
 def default_k(n: Column) -> Column:
@@ -48,9 +82,9 @@ def default_k(n: Column) -> Column:
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, library_id: str = "library_id") -> DataFrame:
-    """Add ``cluster``. ``centroids`` has one row per library with an array of vectors."""
-    joined = vectors.join(centroids.select(library_id, "centroids"), library_id)
-    return joined.withColumn("cluster", nearest_centroid("embedding", "centroids")).drop("centroids")
+    """Add ``cluster``, the centroid with the highest dot product. ``centroids`` has an array of vectors per library."""
+    found = against_centroids(vectors, centroids, "cluster", _nearest, library_id=library_id)
+    return found.withColumn("cluster", F.col("cluster").cast("int"))
 
 
 def update(assigned: DataFrame, library_id: str = "library_id") -> DataFrame:
@@ -71,15 +105,13 @@ def seed_centroids(vectors: DataFrame, sizes: DataFrame, seed: int = 0, library_
     A weighted draw is an arg-max over u^(1/w) with u from a hash of the row and
     the round, so every round is one mergeable aggregate.
     """
-    rows = vectors.join(sizes.select(library_id, "k"), library_id)
-    first = rows.groupBy(library_id).agg(
-        F.max_by("embedding", F.struct(_u01(F.lit(seed), F.lit(0), "ordinal"), "ordinal")).alias("_v"),
-        F.first("k").alias("k"))
+    draw = F.struct(_u01(F.lit(seed), F.lit(0), "ordinal"), "ordinal")
+    first = vectors.groupBy(library_id).agg(F.max_by("embedding", draw).alias("_v")).join(
+        sizes.select(library_id, "k"), library_id)
     chosen = cut_lineage(first.select(library_id, "k", F.array("_v").alias("centroids")))
     top = chosen.agg(F.max("k")).first()[0] or 0
     for step in range(1, top):
-        weighed = rows.where(F.col("k") > step).join(chosen.select(library_id, "centroids"), library_id).withColumn(
-            "_w", seed_distance("embedding", "centroids"))
+        weighed = against_centroids(vectors, chosen.where(F.col("k") > step), "_w", _seed_weight, library_id=library_id)
         # log(u)/w orders like u^(1/w); a zero weight comes last
         key = F.when(F.col("_w") > 0, F.log(_u01(F.lit(seed), F.lit(step), "ordinal")) / F.col("_w")).otherwise(
             F.lit(float("-inf")))
@@ -90,13 +122,6 @@ def seed_centroids(vectors: DataFrame, sizes: DataFrame, seed: int = 0, library_
     return chosen
 
 
-def _beside(vectors: DataFrame, centroids: DataFrame, library_id: str) -> DataFrame:
-    """Vectors joined with their library's centroids; broadcast only when the centroids are known to be small."""
-    size = centroids.agg(F.sum(F.size("centroids") * F.size(F.element_at("centroids", 1)))).first()[0] or 0
-    side = F.broadcast(centroids) if size * 8 <= BROADCAST_BYTES else centroids
-    return vectors.join(side, library_id)
-
-
 def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None = None, seed: int = 0,
            max_rounds: int = MAX_ROUNDS, library_id: str = "library_id") -> DataFrame:
     """Add ``cluster`` to every vector.
@@ -121,9 +146,7 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
     settled = []
     mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding"))))
     for round_no in range(max_rounds):
-        stepped = _beside(big, active, library_id).withColumn(
-            "cluster", nearest_centroid("embedding", "centroids")
-        ).withColumn("_before", nearest_centroid("embedding", "previous"))
+        stepped = against_centroids(assign(big, active, library_id), active, "_before", _nearest, "previous", library_id)
         found = cut_lineage(stepped.groupBy(library_id, "cluster").agg(
             unit_vector(mean).alias("centroid"),
             F.count_if(F.col("cluster") != F.col("_before")).alias("_moved")))
@@ -146,8 +169,7 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
     # A library still moving at the last round keeps the assignment it had then.
     settled.append(active.select(library_id, F.col("previous").alias("centroids")))
     final = cut_lineage(reduce(DataFrame.unionByName, settled))
-    assigned = _beside(big, final, library_id).withColumn("cluster", nearest_centroid("embedding", "centroids"))
-    return assigned.drop("centroids").unionByName(trivial)
+    return assign(big, final, library_id).unionByName(trivial)
 
 
 def order_clusters(assigned: DataFrame, library_id: str = "library_id") -> DataFrame:

@@ -42,39 +42,51 @@ def _matrix(rows) -> np.ndarray:
     return np.stack([np.asarray(r, dtype=np.float64) for r in rows])
 
 
-def against_centroids(vectors: DataFrame, centroids: DataFrame, out: str, measure: Callable, column: str = "centroids",
-                      library_id: str = "library_id") -> DataFrame:
-    """Keep vectors of libraries that have centroids and add ``measure`` of their similarities to them.
-
-    Centroids of all libraries together are usually a few megabytes; then they
-    are broadcast once and a batch is one matrix product per library. Above
-    ``BROADCAST_BYTES`` each row gets its library's centroids by a join instead.
-    A library whose ``column`` is null counts as cluster 0.
+def centroids_fit(centroids: DataFrame, columns=("centroids",)) -> bool:
+    """Whether the centroids of all libraries together may be broadcast."""
+    numbers = [F.coalesce(F.size(c) * F.size(F.element_at(c, 1)), F.lit(0)) for c in columns]
+    total = centroids.agg(*[F.sum(n) for n in numbers]).first()
+    return sum(n or 0 for n in total) * 8 <= BROADCAST_BYTES
+
+
+def against_centroids(vectors: DataFrame, centroids: DataFrame, measure: Callable, outputs: dict[str, str],
+                      library_id: str = "library_id", small: bool | None = None) -> DataFrame:
+    """Keep vectors of libraries that have centroids and measure their similarities to them.
+
+    ``outputs`` maps new columns to columns of ``centroids``. Centroids of all
+    libraries together are usually a few megabytes; then (``small``, checked
+    here unless given) they are broadcast once and a batch is one matrix product
+    per library. Otherwise each row gets its library's centroids by a join. A
+    library whose centroids are null counts as 0.
     """
-    numbers = F.coalesce(F.size(column) * F.size(F.element_at(column, 1)), F.lit(0))
-    total = centroids.agg(F.sum(numbers)).first()[0] or 0
-    if total * 8 <= BROADCAST_BYTES:
-        known = {r[0]: None if r[1] is None else _matrix(r[1]) for r in centroids.select(library_id, column).collect()}
+    columns = list(outputs.values())
+    if small if small is not None else centroids_fit(centroids, columns):
+        known = {r[0]: [None if c is None else _matrix(c) for c in r[1:]]
+                 for r in centroids.select(library_id, *columns).collect()}
         shared = vectors.sparkSession.sparkContext.broadcast(known)
 
-        @F.pandas_udf(T.DoubleType())
-        def measured(libraries: pd.Series, rows: pd.Series) -> pd.Series:
-            result = np.zeros(len(rows))
-            for lib, at in libraries.groupby(libraries).indices.items():
-                if shared.value[lib] is not None:
-                    result[at] = measure(_matrix(rows.iloc[at]) @ shared.value[lib].T)
-            return pd.Series(result)
+        def measured(which: int):
+            @F.pandas_udf(T.DoubleType())
+            def by_library(libraries: pd.Series, rows: pd.Series) -> pd.Series:
+                result = np.zeros(len(rows))
+                for lib, at in libraries.groupby(libraries).indices.items():
+                    if shared.value[lib][which] is not None:
+                        result[at] = measure(_matrix(rows.iloc[at]) @ shared.value[lib][which].T)
+                return pd.Series(result)
+
+            return by_library(library_id, "embedding")
 
         present = vectors.join(F.broadcast(centroids.select(library_id)), library_id, "left_semi")
-        return present.withColumn(out, measured(library_id, "embedding"))
+        return present.select("*", *[measured(i).alias(out) for i, out in enumerate(outputs)])
 
     @F.pandas_udf(T.DoubleType())
-    def measured_by_row(rows: pd.Series, found: pd.Series) -> pd.Series:
+    def by_row(rows: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([0.0 if c is None else float(measure(np.asarray(v, dtype=np.float64)[None, :] @ _matrix(c).T)[0])
                           for v, c in zip(rows, found)])
 
-    joined = vectors.join(centroids.select(library_id, F.col(column).alias("_centroids")), library_id)
-    return joined.withColumn(out, measured_by_row("embedding", "_centroids")).drop("_centroids")
+    joined = vectors.join(centroids.select(library_id, *[F.col(c).alias(f"_at_{c}") for c in columns]), library_id)
+    return joined.select("*", *[by_row("embedding", f"_at_{c}").alias(out) for out, c in outputs.items()]).drop(
+        *[f"_at_{c}" for c in columns])
 
 
 def default_k(n: Column) -> Column:
@@ -83,7 +95,7 @@ def default_k(n: Column) -> Column:
 
 def assign(vectors: DataFrame, centroids: DataFrame, library_id: str = "library_id") -> DataFrame:
     """Add ``cluster``, the centroid with the highest dot product. ``centroids`` has an array of vectors per library."""
-    found = against_centroids(vectors, centroids, "cluster", _nearest, library_id=library_id)
+    found = against_centroids(vectors, centroids, _nearest, {"cluster": "centroids"}, library_id)
     return found.withColumn("cluster", F.col("cluster").cast("int"))
 
 
@@ -99,7 +111,8 @@ def _u01(*cols) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(2**53 - 1)) + 1) / F.lit(float(2**53))
 
 
-def seed_centroids(vectors: DataFrame, sizes: DataFrame, seed: int = 0, library_id: str = "library_id") -> DataFrame:
+def seed_centroids(vectors: DataFrame, sizes: DataFrame, seed: int = 0, library_id: str = "library_id",
+                   small: bool | None = None) -> DataFrame:
     """k-means++ start: each next vector is drawn with weight (1 - cosine)^2 to the chosen ones.
 
     A weighted draw is an arg-max over u^(1/w) with u from a hash of the row and
@@ -111,7 +124,8 @@ def seed_centroids(vectors: DataFrame, sizes: DataFrame, seed: int = 0, library_
     chosen = cut_lineage(first.select(library_id, "k", F.array("_v").alias("centroids")))
     top = chosen.agg(F.max("k")).first()[0] or 0
     for step in range(1, top):
-        weighed = against_centroids(vectors, chosen.where(F.col("k") > step), "_w", _seed_weight, library_id=library_id)
+        weighed = against_centroids(
+            vectors, chosen.where(F.col("k") > step), _seed_weight, {"_w": "centroids"}, library_id, small)
         # log(u)/w orders like u^(1/w); a zero weight comes last
         key = F.when(F.col("_w") > 0, F.log(_u01(F.lit(seed), F.lit(step), "ordinal")) / F.col("_w")).otherwise(
             F.lit(float("-inf")))
@@ -134,42 +148,54 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
     """
     counts = vectors.groupBy(library_id).agg(F.count("*").alias("n"))
     sizes = counts.withColumn("k", F.lit(k) if k else default_k(F.col("n")))
-    small = sizes.where(F.col("n") <= F.col("k")).select(library_id)
-    trivial = with_positions(vectors.join(small, library_id, "left_semi"), [library_id],
+    few = sizes.where(F.col("n") <= F.col("k")).select(library_id)
+    trivial = with_positions(vectors.join(few, library_id, "left_semi"), [library_id],
                              [F.col("ordinal").asc()], out="cluster").withColumn("cluster", F.col("cluster").cast("int"))
-    big = cut_lineage(vectors.join(small, library_id, "left_anti"))
-    start = initial if initial is not None else seed_centroids(
-        big, sizes.where(F.col("n") > F.col("k")), seed, library_id)
+    big = cut_lineage(vectors.join(few, library_id, "left_anti"))
+    many = cut_lineage(sizes.where(F.col("n") > F.col("k")))
+    # Both the current and the previous centroids may have to travel.
+    numbers = (many.agg(F.sum("k")).first()[0] or 0) * (big.agg(F.max(F.size("embedding"))).first()[0] or 0)
+    small = 2 * numbers * 8 <= BROADCAST_BYTES
+    start = initial if initial is not None else seed_centroids(big, many, seed, library_id, small)
     active = cut_lineage(start.select(library_id, F.transform(
         "centroids", lambda c: F.transform(c, lambda x: x.cast("double"))).alias("centroids")))
     active = active.withColumn("previous", F.lit(None).cast(active.schema["centroids"].dataType))
     settled = []
     mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding"))))
     for round_no in range(max_rounds):
-        stepped = against_centroids(assign(big, active, library_id), active, "_before", _nearest, "previous", library_id)
-        found = cut_lineage(stepped.groupBy(library_id, "cluster").agg(
+        stepped = against_centroids(big, active, _nearest, {"cluster": "centroids", "_before": "previous"}, library_id, small)
+        found = cut_lineage(stepped.groupBy(library_id, F.col("cluster").cast("int").alias("cluster")).agg(
             unit_vector(mean).alias("centroid"),
             F.count_if(F.col("cluster") != F.col("_before")).alias("_moved")))
         moving = found.groupBy(library_id).agg(F.sum("_moved").alias("_moved")).where("_moved > 0").select(library_id)
         settled.append(active.join(moving, library_id, "left_anti").select(library_id, "centroids"))
-        moving_now = active.join(moving, library_id, "left_semi")
-        slots = moving_now.select(library_id, F.posexplode("centroids").alias("cluster", "_old"))
+        slots = active.join(moving, library_id, "left_semi").select(
+            library_id, F.posexplode("centroids").alias("cluster", "_old"))
         filled = slots.join(found.drop("_moved"), [library_id, "cluster"], "left")
-        if not filled.where(F.col("centroid").isNull()).isEmpty():
+        active = cut_lineage(_pack(filled, library_id))
+        left, lost = active.agg(F.count("*"), F.sum("_lost")).first()
+        if lost:
             draw = F.struct(_u01(F.lit(seed), F.lit(1000 + round_no), "ordinal"), "ordinal")
             spare = big.groupBy(library_id).agg(F.max_by("embedding", draw).alias("_spare"))
-            filled = filled.join(spare, library_id).withColumn(
+            refilled = filled.join(spare, library_id).withColumn(
                 "centroid", F.coalesce("centroid", F.transform("_spare", lambda x: x.cast("double"))))
-        packed = filled.groupBy(library_id).agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("cluster", "centroid"))), lambda s: s["centroid"]).alias("_next"))
-        active = cut_lineage(moving_now.join(packed, library_id).select(
-            library_id, F.col("_next").alias("centroids"), F.col("centroids").alias("previous")))
-        if active.isEmpty():
+            active = cut_lineage(_pack(refilled, library_id))
+        active = active.drop("_lost")
+        if not left:
             break
     # A library still moving at the last round keeps the assignment it had then.
     settled.append(active.select(library_id, F.col("previous").alias("centroids")))
     final = cut_lineage(reduce(DataFrame.unionByName, settled))
-    return assign(big, final, library_id).unionByName(trivial)
+    assigned = against_centroids(big, final, _nearest, {"cluster": "centroids"}, library_id, small)
+    return assigned.withColumn("cluster", F.col("cluster").cast("int")).unionByName(trivial)
+
+
+def _pack(slots: DataFrame, library_id: str) -> DataFrame:
+    """Centroid rows (at most k per library) to arrays, new and old, and the number of lost ones."""
+    rows = F.array_sort(F.collect_list(F.struct("cluster", "centroid", "_old")))
+    return slots.groupBy(library_id).agg(rows.alias("_rows"), F.count_if(F.col("centroid").isNull()).alias("_lost")).select(
+        library_id, F.transform("_rows", lambda r: r["centroid"]).alias("centroids"),
+        F.transform("_rows", lambda r: r["_old"]).alias("previous"), "_lost")
 
 
 def order_clusters(assigned: DataFrame, library_id: str = "library_id") -> DataFrame:

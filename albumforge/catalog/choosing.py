@@ -74,7 +74,7 @@ r AS (SELECT p.library_id, p.photo_id, c.target, row_number() OVER (PARTITION BY
 SELECT library_id, photo_id, pick - 1 AS pick FROM r WHERE pick <= target""")
 def starter_set(spark: SparkSession, sf: str) -> DataFrame:
     placed = gap_placed(spark, sf)
-    chapters = with_half_target(ch.select_heroes(placed, quality=None))
+    chapters = with_half_target(ch.select_heroes(placed))
     return q.starter_set(placed, chapters).select("library_id", "photo_id", "pick")
 
 
@@ -85,7 +85,7 @@ def fallback_starters(spark: SparkSession, sf: str) -> DataFrame:
     from albumforge.functions.scores import fallback_target
 
     placed = gap_placed(spark, sf)
-    chapters = ch.select_heroes(placed, quality=None)
+    chapters = ch.select_heroes(placed)
     picks = q.fallback_starters(placed, chapters)
     return picks.join(chapters, ["library_id", "cluster_idx"]).select(
         "library_id", "cluster_idx", "photo_id", fallback_target(F.col("photo_count")).alias("target"))

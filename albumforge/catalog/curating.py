@@ -59,7 +59,7 @@ SELECT c.library_id, c.cluster_idx, count(*) AS photo_count,
 FROM v_chapters c JOIN k ON k.library_id = c.library_id AND k.cluster_idx = c.cluster_idx GROUP BY 1, 2""")
 def curated_chapters(spark: SparkSession, sf: str) -> DataFrame:
     placed = gap_placed(spark, sf)
-    chapters = ch.select_heroes(placed, quality=None)
+    chapters = ch.select_heroes(placed)
     return cu.curated_chapters(chapters, placed, placed.where("ordinal % 3 = 0")).select(
         "library_id", "cluster_idx", "photo_count", "hero_photo_id")
 

@@ -35,10 +35,10 @@ def fingerprint_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("exact_duplicates", f"""WITH {FP_SQL}
 SELECT library_id, photo_id, CASE WHEN ordinal = f THEN 'kept' ELSE 'exact' END AS status,
-       CASE WHEN ordinal <> f THEN concat('doc_', CAST(f AS VARCHAR)) END AS first_id
+       CASE WHEN ordinal <> f THEN f END AS first_ordinal
 FROM (SELECT *, min(ordinal) OVER (PARTITION BY library_id, fp) AS f FROM v_fp)""")
 def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return dd.exact_duplicates(fingerprinted(spark, sf)).select("library_id", "photo_id", "status", "first_id")
+    return dd.exact_duplicates(fingerprinted(spark, sf)).select("library_id", "photo_id", "status", "first_ordinal")
 
 
 @query("exact_duplicates_overall", f"""WITH {FP_SQL}

@@ -43,7 +43,7 @@ def score_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("hero_snapshot", f"WITH {views.V_CHAPTERS} SELECT library_id, count(hero_photo_id) AS heroes FROM v_chapters GROUP BY 1")
 def hero_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return sn.hero_snapshot(ch.select_heroes(gap_placed(spark, sf), quality=None))
+    return sn.hero_snapshot(ch.select_heroes(gap_placed(spark, sf)))
 
 
 @query("role_snapshot", f"""WITH {views.V_GAPS}

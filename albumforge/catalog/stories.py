@@ -179,7 +179,7 @@ def divider_photos(spark: SparkSession, sf: str) -> DataFrame:
 SELECT library_id, cluster_idx, layout, photo_ids FROM v_card""")
 def card_layouts(spark: SparkSession, sf: str) -> DataFrame:
     placed = gap_placed(spark, sf)
-    return st.card_layouts(placed, ch.select_heroes(placed, quality=None)).select(
+    return st.card_layouts(placed, ch.select_heroes(placed)).select(
         "library_id", "cluster_idx", "layout", F.array_join("photo_ids", ",").alias("photo_ids"))
 
 

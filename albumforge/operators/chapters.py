@@ -1,4 +1,4 @@
-"""Lead photos and chapter rows. Everything here is a mergeable aggregate over placed photos."""
+"""Lead photos and chapter rows, from aggregates and filters over placed photos."""
 
 from __future__ import annotations
 
@@ -15,45 +15,43 @@ from albumforge.operators.ordering import largest_of, rank_values
 COORD_BUCKET = 0.001
 
 
-def first_by(order: Sequence[Column], value: Column, where: Column | None = None) -> Column:
-    """Aggregate: ``value`` of the row that is smallest by ``order`` among rows passing ``where``."""
-    packed = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("v"))
-    return F.min(F.when(where, packed) if where is not None else packed)["v"]
-
-
 def middle_photo(pos: str = "pos", size: str = "cluster_size", photo: str = "photo_id") -> Column:
     return F.max(F.when(F.col(pos) == F.floor(F.col(size) / 2), F.col(photo)))
 
 
 def first_date(tz: str, pos: str = "pos") -> Column:
-    """Local date of the first dated photo of the group, as text."""
-    day = F.date_format(local_date(F.col("ts"), tz), "yyyy-MM-dd")
-    return first_by([F.col(pos)], day, F.col("ts").isNotNull())
+    """Aggregate: local date of the first dated photo of the group, as text."""
+    first = F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col(pos)))
+    return F.date_format(local_date(first, tz), "yyyy-MM-dd")
+
+
+def best_photo(placed: DataFrame, score: str, out: str, keys: Sequence[str]) -> DataFrame:
+    """Photo with the highest score of each group; the first one wins ties."""
+    top = F.min(F.struct((-F.col(score)).alias("s"), "pos", F.col("photo_id").alias("id")))
+    return placed.where(F.col(score) > -1).groupBy(*keys).agg(top["id"].alias(out))
 
 
 def select_heroes(placed: DataFrame, highlight_dates: Sequence[str] = (), tz: str = "UTC",
-                  library_id: str = "library_id", aesthetic: str | None = "aesthetic_score",
-                  quality: str | None = "quality") -> DataFrame:
+                  library_id: str = "library_id", aesthetic: str = "aesthetic_score",
+                  quality: str = "quality") -> DataFrame:
     """One lead photo per cluster.
 
     Highest aesthetic score (first wins); else, on a highlight date, highest
     quality; else the middle photo.
     """
-    def best(score: str | None) -> Column:
-        if score is None or score not in placed.columns:
-            return F.lit(None).cast("string")
-        return first_by([-F.col(score), F.col("pos")], F.col("photo_id"),
-                        F.col(score).isNotNull() & (F.col(score) > -1))
-
-    picks = placed.groupBy(library_id, "cluster_idx").agg(
-        F.count("*").alias("photo_count"),
-        best(aesthetic).alias("_aesthetic"),
-        best(quality).alias("_quality"),
-        middle_photo().alias("_middle"),
-        first_date(tz).alias("date"),
-    )
-    lit_up = F.col("date").isin(list(highlight_dates)) if highlight_dates else F.lit(False)
-    hero = F.coalesce(F.col("_aesthetic"), F.when(lit_up, F.col("_quality")), F.col("_middle"))
+    keys = [library_id, "cluster_idx"]
+    # Fixed-width aggregates stay in hash aggregation; the middle photo is a filter, not an aggregate.
+    picks = placed.groupBy(*keys).agg(F.count("*").alias("photo_count"), first_date(tz).alias("date"))
+    middle = placed.where(F.col("pos") == F.floor(F.col("cluster_size") / 2)).select(
+        *keys, F.col("photo_id").alias("_middle"))
+    picks = picks.join(middle, keys)
+    hero = F.col("_middle")
+    if highlight_dates and quality in placed.columns:
+        picks = picks.join(best_photo(placed, quality, "_quality", keys), keys, "left")
+        hero = F.coalesce(F.when(F.col("date").isin(list(highlight_dates)), F.col("_quality")), hero)
+    if aesthetic in placed.columns:
+        picks = picks.join(best_photo(placed, aesthetic, "_aesthetic", keys), keys, "left")
+        hero = F.coalesce(F.col("_aesthetic"), hero)
     return picks.withColumn("hero_photo_id", hero).drop("_aesthetic", "_quality", "_middle")
 
 

@@ -61,7 +61,8 @@ def gap_clusters(photos: DataFrame, gap_minutes: float = DEFAULT_GAP_MINUTES,
     two neighbouring slots are split depends on their last and first photo only.
     """
     gap = int((gap_minutes or DEFAULT_GAP_MINUTES) * 60_000_000)
-    slot = F.floor(F.unix_micros("ts") / gap)
+    us = F.unix_micros("ts")
+    slot = us - F.pmod(us, F.lit(gap))
     return _number_slots(photos, slot, lambda last, first: first - last > gap, library_id)
 
 

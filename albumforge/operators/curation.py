@@ -17,16 +17,18 @@ def replay(actions: DataFrame, starters: DataFrame, library_id: str = "library_i
     """
     keys = [library_id, "photo_id"]
     explicit = F.col("action") != "flip"
+    when = F.when(explicit, F.col("seq"))
     last = actions.groupBy(*keys).agg(
-        F.max(F.when(explicit, F.struct("seq", "action"))).alias("_last"), F.count("*").alias("presses"))
+        F.max(when).alias("_last"), F.max_by((F.col("action") == "on").cast("int"), when).alias("_on"),
+        F.count("*").alias("presses"))
     flips = (
         actions.where(~explicit).join(last.select(*keys, "_last"), keys)
-        .where(F.col("_last").isNull() | (F.col("seq") > F.col("_last.seq")))
+        .where(F.col("_last").isNull() | (F.col("seq") > F.col("_last")))
         .groupBy(*keys).agg(F.count("*").alias("_flips"))
     )
     started = starters.select(*keys).distinct().withColumn("_starter", F.lit(True))
     state = last.join(flips, keys, "left").join(started, keys, "full_outer")
-    base = F.coalesce(F.col("_last.action") == "on", F.coalesce("_starter", F.lit(False)))
+    base = F.coalesce(F.col("_on") == 1, F.coalesce("_starter", F.lit(False)))
     odd = F.coalesce(F.col("_flips"), F.lit(0)) % 2 == 1
     return state.select(
         *keys, (base != odd).alias("kept"), F.col("presses").isNotNull().alias("touched"),

@@ -38,8 +38,8 @@ def fingerprint(content: Column, chunk: int = CHUNK_BYTES) -> Column:
 
 
 def exact_duplicates(files: DataFrame, keys: Sequence[str] = ("library_id",), fp: str = "fingerprint",
-                     order: str = "ordinal", photo: str = "photo_id") -> DataFrame:
-    """Add ``status`` ('kept' or 'exact') and ``first_id``; the first file in input order is kept.
+                     order: str = "ordinal") -> DataFrame:
+    """Add ``status`` ('kept' or 'exact') and ``first_ordinal``; the first file in input order is kept.
 
     The aggregate combines before its shuffle and only fingerprints seen more
     than once are joined back; a fingerprint with very many copies is split by
@@ -47,15 +47,14 @@ def exact_duplicates(files: DataFrame, keys: Sequence[str] = ("library_id",), fp
     """
     group = [*keys, fp]
     firsts = (
-        files.groupBy(*group)
-        .agg(F.min(F.struct(order, photo)).alias("_first"), F.count("*").alias("_copies"))
+        files.groupBy(*group).agg(F.min(order).alias("_first"), F.count("*").alias("_copies"))
         .where("_copies > 1").drop("_copies")
     )
-    later = F.col("_first").isNotNull() & (F.col(f"_first.{order}") != F.col(order))
+    later = F.coalesce(F.col("_first") != F.col(order), F.lit(False))
     return (
         files.join(firsts, group, "left")
         .withColumn("status", F.when(later, F.lit("exact")).otherwise(F.lit("kept")))
-        .withColumn("first_id", F.when(later, F.col(f"_first.{photo}")))
+        .withColumn("first_ordinal", F.when(later, F.col("_first")))
         .drop("_first")
     )
 
@@ -212,6 +211,6 @@ def dedup(files: DataFrame, threshold: int = HAMMING_THRESHOLD, library_id: str
     unique = first.where(F.col("status") == "kept")
     near = near_duplicates(unique, threshold, library_id=library_id).select(
         library_id, "photo_id", "status", "rep_id", "distance", "nearest_distance", "visit")
-    kept = unique.drop("status", "first_id").join(near, [library_id, "photo_id"])
-    copies = first.where(F.col("status") == "exact").drop("first_id")
+    kept = unique.drop("status", "first_ordinal").join(near, [library_id, "photo_id"])
+    copies = first.where(F.col("status") == "exact").drop("first_ordinal")
     return kept.unionByName(copies, allowMissingColumns=True)

@@ -89,8 +89,8 @@ def test_fingerprint_ignores_the_middle_only(spark):
 def test_first_copy_in_input_order_is_kept(spark):
     df = spark.createDataFrame([("L", 3, "c", "f"), ("L", 1, "a", "f"), ("L", 2, "b", "f"), ("M", 9, "z", "f")],
                                "library_id string, ordinal int, photo_id string, fingerprint string")
-    got = {r["photo_id"]: (r["status"], r["first_id"]) for r in dd.exact_duplicates(df).collect()}
-    assert got == {"a": ("kept", None), "b": ("exact", "a"), "c": ("exact", "a"), "z": ("kept", None)}
+    got = {r["photo_id"]: (r["status"], r["first_ordinal"]) for r in dd.exact_duplicates(df).collect()}
+    assert got == {"a": ("kept", None), "b": ("exact", 1), "c": ("exact", 1), "z": ("kept", None)}
 
 
 def test_block_hash_twins_agree(spark):

@@ -10,6 +10,7 @@ from albumforge.catalog.event_intake import pick
 from albumforge.catalog.registry import query
 from albumforge.functions.times import instant_of
 from albumforge.operators import itinerary as it
+from albumforge.session import cut_lineage
 from albumforge.sources import itineraries, uploads
 
 SUFFIXES = (".jpg", ".JPEG", ".png", ".gif", ".heic", ".txt", ".tiff", ".jpgx", "")
@@ -160,12 +161,14 @@ v_matched AS (
 
 
 def matched(spark: SparkSession, sf: str) -> DataFrame:
-    return it.match_events(views.photos(spark, sf), trip_events(spark, sf))
+    """Matched photos, written once because the queries on top read them several times."""
+    return cut_lineage(it.match_events(views.photos(spark, sf), trip_events(spark, sf)))
 
 
 @query("photos_by_event", f"WITH {V_MATCH} SELECT library_id, photo_id, event_id FROM v_match")
 def photos_by_event(spark: SparkSession, sf: str) -> DataFrame:
-    return matched(spark, sf).select("library_id", "photo_id", "event_id")
+    found = it.match_events(views.photos(spark, sf), trip_events(spark, sf))
+    return found.select("library_id", "photo_id", "event_id")
 
 
 @query("event_chapters", f"""WITH {V_MATCH},

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from albumforge.functions import telemetry as t
 from albumforge.operators.ordering import neighbours, running, with_positions
+from albumforge.session import cut_lineage
 
 
 def read_batches(raw: DataFrame) -> DataFrame:
@@ -104,9 +105,10 @@ def batch_outcomes(raw: DataFrame, window_seconds: int = t.RATE_WINDOW_SECONDS,
                    max_requests: int = t.RATE_MAX_REQUESTS) -> DataFrame:
     """Every batch with its reject reason (null when accepted). Only well-formed batches count for the rate."""
     read = read_batches(raw)
-    formed = mark_rate(read.where(F.col("reject_reason").isNull()), window_seconds, max_requests)
-    judged = formed.withColumn(
-        "reject_reason",
-        F.when(F.col("rate_limited"), "rate limited").when(~has_valid_event(), "no valid events"))
-    malformed = read.where(F.col("reject_reason").isNotNull())
-    return judged.unionByName(malformed, allowMissingColumns=True)
+    # The bodies stay where they are: only key, time and id are ordered, and only limited ids come back.
+    slim = cut_lineage(
+        read.where(F.col("reject_reason").isNull()).select("batch_id", "rate_key", "received_at"))
+    limited = mark_rate(slim, window_seconds, max_requests).where("rate_limited").select("batch_id", "rate_limited")
+    judged = read.join(limited, "batch_id", "left").withColumn("rate_limited", F.coalesce("rate_limited", F.lit(False)))
+    return judged.withColumn("reject_reason", F.coalesce(
+        "reject_reason", F.when(F.col("rate_limited"), "rate limited").when(~has_valid_event(), "no valid events")))

@@ -9,6 +9,7 @@ from albumforge.catalog import views
 from albumforge.catalog.registry import query
 from albumforge.functions import pixels as px
 from albumforge.operators import dedup as dd
+from albumforge.session import cut_lineage
 
 CHUNK = 256  # the documents are short, so a shorter chunk leaves room for differing middles
 THRESHOLD = 24  # hashes of random vectors are never within the default 10
@@ -21,8 +22,9 @@ FP_SQL = f"""v_fp AS (
 
 
 def fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
-    return views.doc_files(spark, sf).select(
-        "library_id", "ordinal", "photo_id", dd.fingerprint(F.col("content"), CHUNK).alias("fingerprint"))
+    """Written once, so that the content is read a single time."""
+    return cut_lineage(views.doc_files(spark, sf).select(
+        "library_id", "ordinal", "photo_id", dd.fingerprint(F.col("content"), CHUNK).alias("fingerprint")))
 
 
 @query("fingerprint_groups", f"""WITH {FP_SQL}
@@ -49,10 +51,10 @@ def exact_duplicates_overall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashed(spark: SparkSession, sf: str) -> DataFrame:
-    """Every ninth picture could not be read and has no hash."""
+    """Every ninth picture could not be read and has no hash. Written once: the walk samples its input first."""
     v = views.vectors(spark, sf)
-    return v.select("library_id", "ordinal", "photo_id", "name",
-                    F.when(F.col("ordinal") % 9 != 4, px.block_hash(F.col("blocks"))).alias("hash"))
+    return cut_lineage(v.select("library_id", "ordinal", "photo_id", "name",
+                                F.when(F.col("ordinal") % 9 != 4, px.block_hash(F.col("blocks"))).alias("hash")))
 
 
 @query("block_hashes", f"""WITH {views.V_HASH}

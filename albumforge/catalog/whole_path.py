@@ -13,6 +13,7 @@ from albumforge.functions import models
 from albumforge.functions import pixels as px
 from albumforge.operators import selection as sel
 from albumforge.plans.selection import Selection, select_photos
+from albumforge.session import cut_lineage
 
 # Photos with picture hash, and time and place of the event with the same number.
 V_KEPT = f"""v_photos AS (
@@ -28,10 +29,10 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("ordinal")
     e = views.events(spark, sf).select(
         F.col("event_id").alias("ordinal"), F.when(F.col("event_type") != "error", F.col("ts")).alias("ts"))
-    return v.join(e, "ordinal").select(
+    return cut_lineage(v.join(e, "ordinal").select(
         "library_id", "ordinal", "photo_id", "name", "ts", F.lit(None).cast("double").alias("quality"),
         F.when(i % 5 != 0, i * 7919 % 90000 / 1000.0).alias("lat"), F.when(i % 5 != 0, i * 104729 % 180000 / 1000.0).alias("lng"),
-        i.alias("fingerprint"), F.when(i % 9 != 4, px.block_hash(F.col("blocks"))).alias("hash"))
+        i.alias("fingerprint"), F.when(i % 9 != 4, px.block_hash(F.col("blocks"))).alias("hash")))
 
 
 def selected(spark: SparkSession, sf: str) -> Selection:

@@ -31,7 +31,10 @@ class Selection:
 def select_photos(files: DataFrame, cluster_by: str = "day", cluster_options: Mapping | None = None,
                   highlight_dates: Sequence[str] = (), tz: str = "UTC",
                   stages: Mapping[str, Callable[..., DataFrame]] | None = None) -> Selection:
-    """``files`` is the photo table with ``fingerprint`` and ``hash`` (and ``embedding`` for 'semantic').
+    """``files`` is the stored photo table with ``fingerprint`` and ``hash`` (and ``embedding`` for 'semantic').
+
+    Fingerprints and hashes come from file contents; keep them in a table, since
+    this path reads its input more than once.
 
     ``stages`` replaces any stage by a function with the same contract. Tables
     that several later steps read are cut to the checkpoint folder once, so no

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumforge.catalog import choosing, duplicates, views  # noqa: F401
+from albumforge.catalog import duplicates, usage_metrics, views
 from albumforge.catalog.event_intake import V_BATCHES, raw_batches
-from albumforge.catalog.registry import query
+from albumforge.catalog.registry import ORACLES, query
 from albumforge.functions import pixels as px
 from albumforge.functions.times import instant_of
 from albumforge.operators import metrics as m
+from albumforge.session import shared_dir
+from albumforge.sources import telemetry
 from albumforge.streaming import intake, photos, usage
-from albumforge.streaming.running import drain, use_rocksdb
+from albumforge.streaming.running import append_events, drain, use_rocksdb
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,14 +31,9 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def batch_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Request batches written out as files and read back as a stream of small micro-batches."""
-    import uuid
-
-    from albumforge.session import shared_dir
-    from albumforge.sources.telemetry import batch_stream as read
-
     path = f"{shared_dir(spark)}/albumforge-batches-{uuid.uuid4().hex}"
     raw_batches(spark, sf).repartitionByRange(4, "received_at").write.json(path)
-    return read(spark, path, files_per_trigger=2)
+    return telemetry.batch_stream(spark, path, files_per_trigger=2)
 
 
 @query("stream_accepted_events", f"""WITH {V_BATCHES}
@@ -96,19 +95,10 @@ def closed_days(sql: str) -> str:
     return f"SELECT * FROM ({sql}) WHERE day < (SELECT strftime(max(ts), '%Y-%m-%d') FROM events)"
 
 
-def day_rows(df: DataFrame) -> DataFrame:
-    from albumforge.catalog.usage_metrics import as_text_day
-
-    return as_text_day(df)
-
-
 def register_daily(metric: str, batch_name: str, stored: str, event_name: str, props) -> None:
-    from albumforge.catalog import usage_metrics  # noqa: F401
-    from albumforge.catalog.registry import ORACLES
-
     @query(f"stream_{batch_name}", closed_days(ORACLES[batch_name]))
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return day_rows(drain(usage.daily_metric(metric_stream(spark, sf, stored, event_name, **props()), metric)))
+        return usage_metrics.as_text_day(drain(usage.daily_metric(metric_stream(spark, sf, stored, event_name, **props()), metric)))
 
 
 register_daily("uploads", "uploads_by_day", "signup", m.PHOTOS_UPLOADED, lambda: {"count": F.col("k")})
@@ -154,14 +144,8 @@ SELECT strftime(s.received_at, '%Y-%m-%d') AS day, e.event_name, count(*) AS eve
 FROM v_ev e JOIN v_shape s ON e.batch_id = s.batch_id WHERE s.shape_fault IS NULL AND e.valid GROUP BY 1, 2""")
 def stream_event_table(spark: SparkSession, sf: str) -> DataFrame:
     """Accepted rows appended to the event table by day, then read back by name."""
-    import uuid
-
-    from albumforge.session import shared_dir
-    from albumforge.sources.telemetry import read_events
-    from albumforge.streaming.running import append_events
-
     base = f"{shared_dir(spark)}/albumforge-events-{uuid.uuid4().hex}"
     rows = intake.accepted_rows(batch_stream(spark, sf))
     append_events(rows, f"{base}/table", f"{base}/checkpoint", available_now=True).awaitTermination()
-    return read_events(spark, f"{base}/table").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_name").agg(
+    return telemetry.read_events(spark, f"{base}/table").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_name").agg(
         F.count("*").alias("events"), F.countDistinct("id").alias("ids"))

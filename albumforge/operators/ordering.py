@@ -53,12 +53,13 @@ def spread_sorted(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]
     ``_row`` grows with the order. The order must be unique inside a group
     (end it with ``ordinal``), so ties never move between tasks. The result is
     checkpointed: range bounds are sampled, and a second run of the plan could
-    cut elsewhere.
+    cut elsewhere. Without ``partitions`` the adaptive planner may join
+    neighbouring small ranges.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(k).asc_nulls_first() for k in keys] + list(order_by)
+    ranged = df.repartitionByRange(partitions, *cols) if partitions else df.repartitionByRange(*cols)
     return cut_lineage(
-        df.repartitionByRange(n, *cols)
+        ranged
         .sortWithinPartitions(*cols)
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_part", F.spark_partition_id())

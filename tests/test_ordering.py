@@ -30,7 +30,7 @@ def expected_order(rows):
 @pytest.mark.parametrize("window_rows", [0, 10**9])
 def test_positions(spark, rows, window_rows):
     out = with_positions(frame(spark, rows), ["g"], [F.col("v").asc_nulls_last(), F.col("id").asc()],
-                         size="n", window_rows=window_rows).collect()
+                         size="n", partitions=8, window_rows=window_rows).collect()
     want = expected_order(rows)
     assert len(out) == len(rows)
     for r in out:
@@ -40,7 +40,7 @@ def test_positions(spark, rows, window_rows):
 def test_big_group_is_cut_over_tasks(spark, rows):
     from albumforge.operators.ordering import spread_sorted
 
-    laid = spread_sorted(frame(spark, rows), ["g"], [F.col("v").asc_nulls_last(), F.col("id").asc()])
+    laid = spread_sorted(frame(spark, rows), ["g"], [F.col("v").asc_nulls_last(), F.col("id").asc()], partitions=8)
     assert laid.where("g = 0").select("_part").distinct().count() > 1
 
 

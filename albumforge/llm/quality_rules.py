@@ -34,9 +34,9 @@ class Rule:
 RULES = (
     Rule("symbols", "n_symbols * 200 <= word_chars", "n_symbols * 20 > word_chars"),
     Rule("repeats", "n_repeat_words * 20 <= n_words", "n_repeat_words * 4 > n_words"),
-    Rule("lines", "n_dup_lines * 20 <= n_lines", "n_dup_lines * 4 > n_lines"),
+    Rule("lines", "n_dup_lines * 20 <= n_lines", "n_dup_lines > 2 AND n_dup_lines * 4 > n_lines"),
     Rule("shouting", "n_upper * 10 <= n_letters", "n_upper * 2 > n_letters"),
-    Rule("marks", "n_marks * 8 <= word_chars", "n_marks * 5 > word_chars"),
+    Rule("marks", "n_marks * 20 <= word_chars", "n_marks * 10 > word_chars"),
     Rule("vocabulary", "n_distinct * 3 > n_words OR n_distinct > 150", "n_distinct * 8 < n_words AND n_distinct < 60"),
     Rule("word length", "word_chars BETWEEN 3 * n_words AND 9 * n_words", "word_chars < 2 * n_words OR word_chars > 12 * n_words"),
     Rule("length", "n_words >= 40", "n_words < 20"),
@@ -88,36 +88,60 @@ def votes(rules: tuple[Rule, ...] = RULES) -> list[Column]:
     return [F.expr(f"CASE WHEN {r.good} THEN 1 WHEN {r.bad} THEN 0 END").alias(f"v{i}") for i, r in enumerate(rules)]
 
 
-def _log_odds(trust: list[float], share: float) -> Column:
-    """Log odds of good, from the columns v0, v1, …: one trusted rule weighs by the log odds of its being right."""
-    def weigh(i: int, a: float) -> Column:
-        return F.coalesce(F.when(F.col(f"v{i}") == 1, log(a / (1 - a))).when(F.col(f"v{i}") == 0, -log(a / (1 - a))), F.lit(0.0))
-    return reduce(Column.__add__, [weigh(i, a) for i, a in enumerate(trust)], F.lit(log(share / (1 - share))))
+@dataclass(frozen=True)
+class Trust:
+    """What EM found: per rule, how often it votes for good documents and against bad ones when it votes; share of good ones."""
+
+    for_good: tuple[float, ...]
+    against_bad: tuple[float, ...]
+    share: float
+
+
+def log_odds(trust: Trust) -> Column:
+    """Log odds of good, from the columns v0, v1, …; a rule that abstains adds nothing."""
+    weighed = [F.when(F.col(f"v{i}") == 1, log(g / (1 - b))).when(F.col(f"v{i}") == 0, log((1 - g) / b)).otherwise(0.0)
+               for i, (g, b) in enumerate(zip(trust.for_good, trust.against_bad, strict=True))]
+    return reduce(Column.__add__, weighed, F.lit(log(trust.share / (1 - trust.share))))
+
+
+def posterior(trust: Trust) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-log_odds(trust)))
+
+
+def _between(x: float, least: float, most: float) -> float:
+    return min(most, max(least, x))
 
 
-def trusted(patterns: DataFrame, n_rules: int, rounds: int = 12, trust: float = 0.8, share: float = 0.8) -> tuple[list[float], float]:
-    """Each rule's accuracy and the share of good documents, by EM over counted vote patterns.
+def trusted(patterns: DataFrame, n_rules: int, rounds: int = 25, for_good: float = 0.97, against_bad: float = 0.4, share: float = 0.85) -> Trust:
+    """Accuracies and share by EM over counted vote patterns (columns v0, v1, … and n), from the given start.
 
-    A rule's accuracy stays between 0.55 and 0.99, so that no rule is read
-    backwards and none decides alone for ever. ``patterns``: v0, v1, … and n.
+    The two accuracies are apart since most rules look for one fault only: they
+    vote for nearly every document, bad ones included, but a vote against says
+    much. Bounds keep rules from being read backwards; ten seen votes on either
+    side hold a rule that hardly votes near its start.
     """
-    trusts = [trust] * n_rules
+    trust = Trust((for_good,) * n_rules, (against_bad,) * n_rules, share)
     for _ in range(rounds):
-        p = patterns.withColumn("p", F.lit(1.0) / (F.lit(1.0) + F.exp(-_log_odds(trusts, share))))
-        right = [F.sum(F.when(F.col(f"v{i}") == 1, F.col("p") * F.col("n")).when(F.col(f"v{i}") == 0, (1 - F.col("p")) * F.col("n"))).alias(f"r{i}")
-                 for i in range(n_rules)]
-        cast = [F.sum(F.when(F.col(f"v{i}").isNotNull(), F.col("n"))).alias(f"c{i}") for i in range(n_rules)]
-        row = p.agg(F.sum(F.col("p") * F.col("n")).alias("good"), F.sum("n").alias("all"), *right, *cast).first()
+        p = patterns.withColumn("p", posterior(trust))
+        sums = []
+        for i in range(n_rules):
+            cast = F.col(f"v{i}").isNotNull()
+            sums += [F.sum(F.when(F.col(f"v{i}") == 1, F.col("p") * F.col("n"))).alias(f"g{i}"),
+                     F.sum(F.when(F.col(f"v{i}") == 0, (1 - F.col("p")) * F.col("n"))).alias(f"b{i}"),
+                     F.sum(F.when(cast, F.col("p") * F.col("n"))).alias(f"gc{i}"),
+                     F.sum(F.when(cast, (1 - F.col("p")) * F.col("n"))).alias(f"bc{i}")]
+        row = p.agg(F.sum(F.col("p") * F.col("n")).alias("good"), F.sum("n").alias("all"), *sums).first()
         if not row["all"]:
             break
-        # Two seen cases on either side keep a rule that hardly votes near its start.
-        new = [min(0.99, max(0.55, ((row[f"r{i}"] or 0) + 4 * trust) / ((row[f"c{i}"] or 0) + 4))) for i in range(n_rules)]
-        new_share = min(0.99, max(0.01, row["good"] / row["all"]))
-        moved = max(abs(a - b) for a, b in zip([*new, new_share], [*trusts, share], strict=True))
-        trusts, share = new, new_share
-        if moved < 1e-4:
+        new = Trust(
+            tuple(_between(((row[f"g{i}"] or 0) + 10 * for_good) / ((row[f"gc{i}"] or 0) + 10), 0.9, 0.999) for i in range(n_rules)),
+            tuple(_between(((row[f"b{i}"] or 0) + 10 * against_bad) / ((row[f"bc{i}"] or 0) + 10), 0.15, 0.95) for i in range(n_rules)),
+            _between(row["good"] / row["all"], 0.5, 0.99))
+        moved = max(abs(x - y) for x, y in zip((*new.for_good, *new.against_bad, new.share), (*trust.for_good, *trust.against_bad, trust.share), strict=True))
+        trust = new
+        if moved < 1e-3:
             break
-    return trusts, share
+    return trust
 
 
 def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES,
@@ -132,7 +156,6 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         "base_failed", F.expr(f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words")), "quality-measures")
     voted = narrow.select("*", *votes(rules))
     patterns = written(voted.groupBy(*[f"v{i}" for i in range(len(rules))]).agg(F.count(F.lit(1)).alias("n")), "quality-patterns")
-    trusts, share = trusted(patterns, len(rules))
-    scored = voted.withColumn("quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-_log_odds(trusts, share))))
+    scored = voted.withColumn("quality", posterior(trusted(patterns, len(rules))))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          (~F.col("base_failed") & (F.col("quality") >= least)).alias("kept"), "quality")

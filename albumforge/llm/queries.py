@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from albumforge.llm.common import table
 from albumforge.llm.license_scan import license_scan
+from albumforge.llm.mixing import mix
 from albumforge.llm.quality_rules import quality_rules
+from albumforge.llm.vantage import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +29,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (mixed["size"] * mixed["copies"]).alias("taken"))
+
+
+@_register
+def op10_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from albumforge.llm.common import table
 from albumforge.llm.license_scan import license_scan
 from albumforge.llm.mixing import mix
+from albumforge.llm.packing import best_fit_packing
 from albumforge.llm.quality_rules import quality_rules
+from albumforge.llm.token_files import read_digests, write_token_files
 from albumforge.llm.vantage import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +43,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op10_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@_register
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = write_token_files(table(spark, sf_dir, "documents"), None, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return read_digests(files)
+
+
+@_register
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from albumforge.llm.common import table
 from albumforge.llm.license_scan import license_scan
 from albumforge.llm.mixing import mix
+from albumforge.llm.ngram_join import ngram_jaccard_join
 from albumforge.llm.packing import best_fit_packing
 from albumforge.llm.quality_rules import quality_rules
 from albumforge.llm.token_files import read_digests, write_token_files
@@ -54,3 +55,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+
+
+@_register
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))

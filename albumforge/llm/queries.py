@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from albumforge.llm.common import table
+from albumforge.llm.language import held_out_language
 from albumforge.llm.license_scan import license_scan
 from albumforge.llm.mixing import mix
 from albumforge.llm.ngram_join import ngram_jaccard_join
@@ -60,3 +61,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_language(table(spark, sf_dir, "documents"))

@@ -59,3 +59,12 @@ def text_or_empty(column: str) -> Column:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+#: Rows of a two-column side that may be broadcast: some 50 MB.
+MOST_BROADCAST = 1_000_000
+
+
+def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``df`` marked for broadcast if it has ``most`` rows at most; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df

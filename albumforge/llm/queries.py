@@ -14,7 +14,9 @@ from albumforge.llm.mixing import mix
 from albumforge.llm.ngram_join import ngram_jaccard_join
 from albumforge.llm.packing import best_fit_packing
 from albumforge.llm.quality_rules import quality_rules
+from albumforge.llm.quality_votes import held_out_quality
 from albumforge.llm.token_files import read_digests, write_token_files
+from albumforge.llm.toxicity import held_out_toxicity
 from albumforge.llm.vantage import nearest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +68,13 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_language(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_register
+def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

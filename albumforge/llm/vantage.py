@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from albumforge.llm.common import clashing, written
 
-LEAF = 128
+LEAF = 512
 
 
 class Tree:
@@ -87,18 +87,20 @@ class Tree:
         rough = self.q[rows] @ self.points[own].T
         slack = 1e-9 * (self.square + self.length[rows])
         picked = (rough >= (self.best[rows, -1] - slack)[:, None]) & (self.ids[own][None, :] != self.skip[rows][:, None])
-        any_ = picked.any(axis=1)
-        if not any_.any():
-            return
-        rows, picked = rows[any_], picked[any_]
         i, j = np.nonzero(picked)
+        if not len(i):
+            return
         q, x, exact = self.q[rows[i]].T, self.points[own[j]].T, np.zeros(len(i))
         for c in range(len(q) - 1):
             exact += q[c] * x[c]
-        score = np.full(picked.shape, -np.inf)
-        score[i, j] = exact
-        score = np.concatenate([self.best[rows], score], axis=1)
-        ids = np.concatenate([self.found[rows], np.broadcast_to(self.ids[own], picked.shape)], axis=1)
+        # What was picked, side by side for each row; after the first leaves that is one or two.
+        begin = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        size = np.diff(np.append(begin, len(i)))
+        rows, place = rows[i[begin]], np.arange(len(i)) - np.repeat(begin, size)
+        line = np.repeat(np.arange(len(rows)), size)
+        score, ids = np.full((len(rows), self.k + size.max()), -np.inf), np.full((len(rows), self.k + size.max()), -1, np.int64)
+        score[:, :self.k], ids[:, :self.k] = self.best[rows], self.found[rows]
+        score[line, self.k + place], ids[line, self.k + place] = exact, self.ids[own][j]
         by = np.lexsort((ids, -score), axis=1)[:, :self.k]
         self.best[rows] = np.take_along_axis(score, by, axis=1)
         self.found[rows] = np.where(np.isinf(self.best[rows]), -1, np.take_along_axis(ids, by, axis=1))

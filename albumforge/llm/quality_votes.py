@@ -23,11 +23,12 @@ from albumforge.llm.encode import string_blocks
 
 #: Hashed features, rank of the space, labelled vectors of each class, neighbours that vote.
 FEATURES, RANK, EACH_CLASS, NEIGHBOURS = 4096, 48, 2048, 15
+REPEATED = 8.0
 BLOCK = 1 << 21
 
 
 def _hashed(strings: pa.Array, salt: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(s.encode(), salt) % FEATURES for s in strings.to_pylist()), np.int64, len(strings))
+    return np.fromiter((zlib.crc32(s.encode(), salt) % FEATURES for s in strings.to_numpy(zero_copy_only=False)), np.int64, len(strings))
 
 
 def bags(texts: pa.Array) -> np.ndarray:
@@ -47,10 +48,14 @@ def bags(texts: pa.Array) -> np.ndarray:
     blank = pc.equal(words, "").to_numpy(zero_copy_only=False)[index]
     next_ = doc[1:] == doc[:-1]
     two = ((shape[:-1] * 31 + shape[1:] * 17 + 5) % FEATURES)[next_]
-    again = np.full(int((next_ & (index[1:] == index[:-1])).sum()), 7)
-    columns = np.concatenate([word[~blank], shape[~blank], two, again])
-    rows = np.concatenate([doc[~blank], doc[~blank], doc[1:][next_], doc[1:][next_ & (index[1:] == index[:-1])]])
-    return np.log1p(np.bincount(rows * FEATURES + columns, minlength=len(texts) * FEATURES).reshape(len(texts), FEATURES).astype(np.float32))
+    columns = np.concatenate([word[~blank], shape[~blank], two])
+    rows = np.concatenate([doc[~blank], doc[~blank], doc[1:][next_]])
+    out = np.log1p(np.bincount(rows * FEATURES + columns, minlength=len(texts) * FEATURES).reshape(len(texts), FEATURES).astype(np.float32))
+    # How much of a text says the word before again: three features of a weight that no single word reaches.
+    again = np.bincount(doc[1:][next_ & (index[1:] == index[:-1])], minlength=len(texts)) / np.maximum(1, counts - 1)
+    some = np.flatnonzero(np.bincount(doc[~blank], minlength=len(texts)))
+    out[some, np.searchsorted([0.05, 0.2], again[some])] += REPEATED
+    return out
 
 
 class Space:

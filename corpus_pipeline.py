@@ -1,22 +1,73 @@
-"""Documents to packed sequences: STAGES names the steps; run() writes each as Parquet and reads it again for the next."""
+"""Documents to packed sequences: STAGES names the steps; run() writes each as Parquet and reads it again for the next.
+
+Each stage works on all rows that its predecessor kept and returns the columns
+of documents, but for the last, which returns the packed pieces. A decision is
+made per id: rows that share an id share it. Rows with a null id are judged
+together, as one id.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumforge.llm.common import table, written
+from albumforge.llm.common import sized, table, written
+from albumforge.llm.mixing import mix
+from albumforge.llm.ngram_join import ngram_jaccard_join
+from albumforge.llm.packing import best_fit_packing
 from albumforge.llm.quality_rules import quality_rules
+from albumforge.llm.quality_votes import held_out_quality
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids`` (column doc_id)."""
+    wanted = sized(ids.select(F.col("doc_id").alias("_wanted")).distinct())
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_wanted"]), "left_semi")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the neighbours' votes find good."""
+    votes = written(held_out_quality(docs, table(spark, sf_dir, "labels")), "votes")
+    return _only(docs, votes.filter("predicted = 1"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
-    kept = quality_rules(docs).filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return _only(docs, quality_rules(docs).filter("kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest id."""
+    joined = written(ngram_jaccard_join(docs), "components")
+    first = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = _only(docs, first)
+    # Equal ids are rare; only then is the text dealt by id to leave one row of each.
+    rows, ids = first.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
+    return kept if rows == ids else kept.dropDuplicates(["doc_id"])
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    copies = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_taken")
+    taken = sized(written(copies, "copies"))
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]))
+    return joined.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of 4096 tokens."""
+    return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"), end=1)
 
 
-STAGES = [("quality rules", rules)]
-#: EM and trained models can't be said in SQL.
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", rules),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources", mixed_sources),
+    ("best-fit packing", packing),
+]
+#: Trained models, EM and tokenizers can't be said in SQL: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 

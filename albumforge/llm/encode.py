@@ -16,11 +16,19 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of texts handled at a time, and distinct words that a worker remembers (a bound on its memory, not on the words).
-BLOCK_BYTES, REMEMBERED = 4 << 20, 600_000
+BLOCK_BYTES, REMEMBERED = 8 << 20, 800_000
+
+#: Where a word ends before ASCII punctuation the vocabularies cut too, so words and what is stuck to them are remembered apart.
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
 
 #: White space beyond space and line feed, as UTF-8: a text that holds any is encoded whole by the byte-level vocabulary.
 _ODD_SPACE = re.compile(rb"[\t\x0b-\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[ \n][ \n]|^[ \n]|[ \n]\Z")
 
+#: Pieces that white space or special tokens keep from being glued to others.
+_ALONE = re.compile(r"^[^\S \n]|.\s|<\||^\s?$", re.S)
+
 
 def string_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES):
     """(first row, texts) in blocks of about ``block_bytes``; nulls become empty."""
@@ -81,9 +89,9 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         """Many words in one call, put apart by a separator whose id none of them can hold."""
         if self.byte_level:
-            alone = [w for w in words if len(w) > 500 or "\n" in w[1:]]
+            alone = [w for w in words if len(w) > 500 or _ALONE.search(w)]
         else:
-            alone = [w for w in words if len(w) > 500 or "\x01" in w]
+            alone = [w for w in words if len(w) > 500 or "\x01" in w or "<|" in w]
         if alone:
             ids = self._ids(alone)
             self._keep(alone, np.concatenate(ids), np.array([len(x) for x in ids]))
@@ -117,15 +125,22 @@ class WordEncoder:
         # A piece begins at a text's start and at each white space; runs of white space go with the word behind them.
         begins = space.copy()
         begins[1:] &= ~space[:-1]
+        after = _LETTER[data[:-1]]
+        # Letters of two bytes from C3 on, but for the signs for times and divided by.
+        after[1:] |= (data[:-2] == 0xC3) & (data[1:-1] != 0x97) & (data[1:-1] != 0xB7)
+        begins[1:] |= _MARK[data[1:]] & after
         begins |= first[:-1]
+        # Special tokens are found across words, and odd white space only in context: such texts are one piece.
+        special = (data[:-1] == 60) & (data[1:] == 124)
+        whole = {int(k) for k in np.searchsorted(starts, np.flatnonzero(special), "right") - 1}
         if self.byte_level:
-            odd = [k for k in self._suspects(data, starts) if _ODD_SPACE.search(data[starts[k]:starts[k + 1]].tobytes())]
-            for k in odd:
-                begins[starts[k] + 1:starts[k + 1]] = False
+            whole |= {int(k) for k in self._suspects(data, starts) if _ODD_SPACE.search(data[starts[k]:starts[k + 1]].tobytes())}
+        for k in whole:
+            begins[starts[k] + 1:starts[k + 1]] = False
         pieces = np.append(np.flatnonzero(begins), len(data))
         words = pa.Array.from_buffers(pa.large_string(), len(pieces) - 1, [None, pa.py_buffer(pieces.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.places) > REMEMBERED:
             self._forget()
         fresh = [w for w in distinct if w not in self.places]

@@ -138,7 +138,7 @@ def language_of(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id",
                 distinct, index, doc = words_of(texts)
                 best, share = np.full(len(texts), len(m.langs)), np.zeros(len(texts))
                 if m.langs and len(index):
-                    by_word = m.scores(distinct.to_pylist())
+                    by_word = m.scores(distinct.to_numpy(zero_copy_only=False).tolist())
                     sums = np.stack([np.bincount(doc, by_word[index, k], len(texts)) for k in range(len(m.langs))], axis=1)
                     some = np.bincount(doc, minlength=len(texts)) > 0
                     odds = np.exp(sums - sums.max(axis=1, keepdims=True))

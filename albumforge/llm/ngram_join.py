@@ -1,12 +1,15 @@
 """N-gram Jaccard join by filtering under several global orders.
 
-Two sets that reach the threshold share one of their first shingles under any
-global order, so they must do so under every one. The orders here put shingles
-that are frequent in the corpus last (counted for all documents in a sketch of
-fixed size: a shared cell only makes the order less apt, never wrong) and
-shuffle the rest by another hash each. The first order finds candidates, with
-length and position filters; the others, intersected, sift them before whole
-sets are compared.
+Two sets that reach the threshold share some of their first shingles under any
+global order, so they must do so under every one. The first order puts
+shingles that are frequent in the corpus last (counted for all documents in a
+sketch of fixed size: a shared cell only makes the order less apt, never wrong)
+and shuffles the rest by a hash. It gives each set its prefix, and with it the
+exact number of sets that share each shingle of a prefix. That number is the
+second order, over the prefixes: a pair that needs l common shingles in its
+prefixes must have the first of them before the last l - 1 places. Further
+orders, by other hashes, sift the candidates that are left, before whole sets
+are compared.
 
 Nodes are distinct shingle sets: exact copies meet once. In a group of sets
 that share a shingle, each is held against the group's first; sets still apart
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from albumforge.llm.common import clashing, written
@@ -97,7 +100,7 @@ class _Sets:
 
 
 def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, num: int = 75, den: int = 100,
-                       orders: int = 3) -> DataFrame:
+                       orders: int = 3, hot_class: int = HOT_CLASS) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable over links, its own included).
 
     Two documents link when den * |intersection| >= num * |union|. Null texts
@@ -136,34 +139,32 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
                 first = [_ordered(shingles[e - m:e], classes.value, 1)[:_prefix(m, num, den)] for e, m in zip(ends[new], n[new], strict=True)]
                 if not first:
                     continue
-                lengths = np.array([len(x) for x in first])
-                tokens, place = np.concatenate(first), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                lengths, tokens = np.array([len(x) for x in first]), np.concatenate(first)
                 marks_of = np.repeat(marks[new], lengths)
-                hot = classes.value[_cells(tokens)] >= HOT_CLASS
+                hot = classes.value[_cells(tokens)] >= hot_class
                 salt = np.where(hot, 1 + (mixed(marks_of.view(np.uint64), 3) % np.uint64(SALTS)).astype(np.int64), 0)
                 yield pa.RecordBatch.from_pydict({"token": tokens.view(np.int64), "salt": salt.astype(np.int32), "digest": marks_of,
-                                                  "n": np.repeat(n[new], lengths).astype(np.int32), "place": place.astype(np.int32)})
+                                                  "n": np.repeat(n[new], lengths).astype(np.int32)})
 
-    def close(n1, p1, n2, p2):
-        """Length and position filters: what is left behind a first common shingle must still make the overlap needed."""
-        need = -(-num * (n1.astype(np.int64) + n2) // (num + den))
-        return (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (np.minimum(n1 - p1, n2 - p2) >= need)
-
-    def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, salt, mark, n, place in _whole_groups(batches, ["token", "salt", "digest", "n", "place"], 2):
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Postings of shingles that more than one set's prefix holds, with the number of these sets."""
+        for token, salt, mark, n in _whole_groups(batches, ["token", "salt", "digest", "n"], 2):
             again = np.zeros(len(token), bool)
             again[1:] = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (mark[1:] == mark[:-1])
-            token, salt, mark, n, place = (x[~again] for x in (token, salt, mark, n, place))
+            token, salt, mark, n = (x[~again] for x in (token, salt, mark, n))
             begin = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
             size = np.diff(np.append(begin, len(token)))
-            lead, size = np.repeat(begin, size), np.repeat(size, size)
-            good = close(n, place, n[lead], place[lead]) & (lead != np.arange(len(lead)))
-            keep = (size > 1) | (salt > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(salt[keep] > 0), pa.array(mark[keep]), pa.array(n[keep]), pa.array(place[keep]),
-                                              pa.array(mark[lead][keep], mask=~good[keep])], names=["token", "hot", "digest", "n", "place", "lead"])
-
-    dealt = text.mapInArrow(posted, "token long, salt int, digest long, n int, place int").repartition("token", "salt").sortWithinPartitions("token", "salt", "digest")
-    members = written(dealt.mapInArrow(starred, "token long, hot boolean, digest long, n int, place int, lead long"), "ngram-members")
+            shared = np.where(salt > 0, 1 << 30, np.repeat(size, size))
+            keep = shared > 1
+            yield pa.RecordBatch.from_pydict({"token": token[keep], "hot": salt[keep] > 0, "digest": mark[keep], "n": n[keep], "shared": shared[keep]})
+
+    dealt = text.mapInArrow(posted, "token long, salt int, digest long, n int").repartition("token", "salt").sortWithinPartitions("token", "salt", "digest")
+    shared = dealt.mapInArrow(grouped, "token long, hot boolean, digest long, n int, shared long")
+    # Within one set: shingles that no other prefix holds come first, then those that few hold.
+    own = Window.partitionBy("digest")
+    length = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1").cast("int")
+    place = length - F.count(F.lit(1)).over(own).cast("int") + F.row_number().over(own.orderBy("shared", "token")) - 1
+    members = written(shared.select("token", "hot", "digest", "n", length.alias("length"), place.alias("place")), "ngram-members")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of digests that link: the other orders' prefixes first, then whole sets."""
@@ -202,11 +203,11 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
         joined = sifted.join(whole.toDF("a", "set_a"), "a").join(whole.toDF("b", "set_b"), "b")
         return joined.filter((num + den) * common >= num * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
-    stars = written(members.filter("lead IS NOT NULL").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct(), "ngram-stars")
+    stars = written(_stars(members, num, den).distinct(), "ngram-stars")
     links = written(verified(stars), "ngram-links")
     known = components(links)
-    held = members.drop("lead").join(known.toDF("digest", "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    across = written(_across(held, close, num, den).join(stars, ["a", "b"], "left_anti").distinct(), "ngram-across")
+    held = members.join(known.toDF("digest", "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    across = written(_across(held, num, den).join(stars, ["a", "b"], "left_anti").distinct(), "ngram-across")
     every = components(links.unionByName(verified(across)))
     smallest = nodes.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least_id")).join(every.toDF("digest", "component"), "digest", "left")
     named = smallest.groupBy(F.coalesce("component", "digest").alias("component")).agg(F.min("least_id").alias("component_id"))
@@ -255,29 +256,66 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], keys: int
         yield [np.concatenate([d[k] for d in held]) for k in range(len(names))]
 
 
-def _across(held: DataFrame, close, num: int, den: int) -> DataFrame:
+def _close(n1, length1, place1, n2, length2, place2, num: int, den: int):
+    """Length filter, and the place filter of the second order: a pair that needs ``l`` common shingles in its prefixes has its first one before the last l - 1."""
+    need = -(-num * (n1.astype(np.int64) + n2) // (num + den))
+    least = np.minimum(length1 - (n1 - need), length2 - (n2 - need))
+    return (den * np.minimum(n1, n2) >= num * np.maximum(n1, n2)) & (np.minimum(length1 - place1, length2 - place2) >= least)
+
+
+def _close_columns(num: int, den: int) -> str:
+    """The same over the columns n, length and place of sides 1 and 2."""
+    need = f"(({num} * (n_1 + n_2) + {num + den - 1}) div {num + den})"
+    return (f"{den} * least(n_1, n_2) >= {num} * greatest(n_1, n_2) AND "
+            f"least(length_1 - place_1, length_2 - place_2) >= least(length_1 - (n_1 - {need}), length_2 - (n_2 - {need}))")
+
+
+_SIDE = ("digest", "n", "length", "place")
+
+
+def _side(members: DataFrame, k: int, *more: str) -> DataFrame:
+    return members.select("token", *[F.col(c).alias(f"{c}_{k}") for c in (*_SIDE, *more)])
+
+
+def _by_token(members: DataFrame) -> DataFrame:
+    # A shingle below the hot class is in fewer than 2^14 distinct sets, so its group is bounded.
+    return members.filter("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token", "digest")
+
+
+def _stars(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of each shingle's first set with its others, where they pass the filters."""
+    def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, mark, n, length, place in _whole_groups(batches, ["token", *_SIDE], 1):
+            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            lead = np.repeat(begin, np.diff(np.append(begin, len(token))))
+            good = _close(n[lead], length[lead], place[lead], n, length, place, num, den) & (lead != np.arange(len(lead)))
+            if good.any():
+                yield pa.RecordBatch.from_pydict({"a": mark[lead][good], "b": mark[good]})
+
+    hot = members.filter("hot")
+    first = hot.groupBy("token").agg(F.min(F.struct(*_SIDE)).alias("f")).select("token", *[F.col(f"f.{c}").alias(f"{c}_1") for c in _SIDE])
+    far = _side(hot, 2).join(first, "token").filter(f"digest_1 < digest_2 AND {_close_columns(num, den)}")
+    return _by_token(members).mapInArrow(starred, "a long, b long").unionByName(far.select(F.col("digest_1").alias("a"), F.col("digest_2").alias("b")))
+
+
+def _across(held: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a < b) of one shingle's sets that lie in different components and pass the filters."""
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, mark, n, place, group in _whole_groups(batches, ["token", "digest", "n", "place", "component"], 1):
+        for token, mark, n, length, place, group in _whole_groups(batches, ["token", *_SIDE, "component"], 1):
             begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            mixed_ = np.maximum.reduceat(group, begin) != np.minimum.reduceat(group, begin)
-            for lo, hi in zip(begin[mixed_], np.append(begin[1:], len(token))[mixed_], strict=True):
-                m, s, p, g = mark[lo:hi], n[lo:hi], place[lo:hi], group[lo:hi]
+            several = np.maximum.reduceat(group, begin) != np.minimum.reduceat(group, begin)
+            for lo, hi in zip(begin[several], np.append(begin[1:], len(token))[several], strict=True):
+                m, s, z, p, g = (x[lo:hi] for x in (mark, n, length, place, group))
                 for at in range(0, hi - lo, 512):
                     cut = slice(at, at + 512)
-                    good = (g[cut, None] != g[None, :]) & (m[cut, None] < m[None, :]) & close(s[cut, None], p[cut, None], s[None, :], p[None, :])
+                    good = ((g[cut, None] != g[None, :]) & (m[cut, None] < m[None, :])
+                            & _close(s[cut, None], z[cut, None], p[cut, None], s[None, :], z[None, :], p[None, :], num, den))
                     i, j = np.nonzero(good)
                     if len(i):
                         yield pa.RecordBatch.from_pydict({"a": m[cut][i], "b": m[j]})
 
-    # A shingle below the hot class is in fewer than 2^14 distinct sets, so its group is bounded.
-    cold = held.filter("NOT hot").select("token", "digest", "n", "place", "component").repartition("token").sortWithinPartitions("token")
     hot = held.filter("hot")
     open_ = hot.groupBy("token").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("token")
-    left = hot.join(open_, "token", "left_semi").select("token", *[F.col(c).alias(f"{c}_1") for c in ("digest", "n", "place", "component")])
-    right = hot.select("token", *[F.col(c).alias(f"{c}_2") for c in ("digest", "n", "place", "component")])
-    need = F.ceil((F.col("n_1") + F.col("n_2")) * num / (num + den))
-    pairs = left.join(right, "token").filter(
-        (F.col("digest_1") < F.col("digest_2")) & (F.col("component_1") != F.col("component_2"))
-        & (den * F.least("n_1", "n_2") >= num * F.greatest("n_1", "n_2")) & (F.least(F.col("n_1") - F.col("place_1"), F.col("n_2") - F.col("place_2")) >= need))
-    return cold.mapInArrow(crossed, "a long, b long").unionByName(pairs.select(F.col("digest_1").alias("a"), F.col("digest_2").alias("b")))
+    pairs = _side(hot.join(open_, "token", "left_semi"), 1, "component").join(_side(hot, 2, "component"), "token").filter(
+        f"digest_1 < digest_2 AND component_1 <> component_2 AND {_close_columns(num, den)}")
+    return _by_token(held).mapInArrow(crossed, "a long, b long").unionByName(pairs.select(F.col("digest_1").alias("a"), F.col("digest_2").alias("b")))

@@ -27,7 +27,7 @@ from albumforge.llm.encode import WordEncoder, gather, string_blocks
 
 MAGIC = b"repair01"
 #: Ids after which a shard is closed (a document is never split); rounds of replacement, rules of a round, least count of a pair.
-SHARD_IDS, ROUNDS, ROUND_RULES, LEAST = 1 << 20, 8, 2048, 12
+SHARD_IDS, ROUNDS, ROUND_RULES, LEAST = 1 << 20, 5, 2048, 12
 CELLS = 1 << 18
 
 
@@ -67,26 +67,27 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RUL
         by = np.sort(rules)
         marked = np.zeros(CELLS, bool)
         marked[_cells(by)] = True
-        maybe = np.flatnonzero(marked[cell])
-        at = np.zeros(len(code), np.int32)
-        at[maybe] = np.minimum(np.searchsorted(by, code[maybe]), len(by) - 1)
-        hit = np.zeros(len(code), bool)
-        hit[maybe] = by[at[maybe]] == code[maybe]
+        hit = np.flatnonzero(marked[cell])
+        own = code[hit]
+        at = np.minimum(np.searchsorted(by, own), len(by) - 1)
+        same = by[at] == own
+        hit, at = hit[same], at[same]
         # Overlapping hits: within a run of hits every second one is taken, from the left.
-        place = np.arange(len(hit))
-        begins = hit.copy()
-        begins[1:] &= ~hit[:-1]
-        since = place - np.maximum.accumulate(np.where(begins, place, 0))
-        taken = hit & (since % 2 == 0)
-        used, name = np.unique(at[taken], return_inverse=True)
+        begins = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1))
+        since = np.arange(len(hit)) - np.repeat(begins, np.diff(np.append(begins, len(hit))))
+        taken = since % 2 == 0
+        hit, at = hit[taken], at[taken]
+        used = np.flatnonzero(np.bincount(at, minlength=len(by)))
+        name = np.zeros(len(by), np.int64)
+        name[used] = np.arange(len(used))
         a, b = (by[used] >> 32).astype(np.int64), (by[used] & 0xFFFFFFFF).astype(np.int64)
         base = len(lengths)
         lengths = np.concatenate([lengths, lengths[a] + lengths[b]])
         left.append(a)
         right.append(b)
         stay = np.ones(len(symbols), bool)
-        stay[1:][taken] = False
-        symbols[:-1][taken] = base + name
+        stay[hit + 1] = False
+        symbols[hit] = base + name[at]
         symbols = symbols[stay]
     a, b = (np.concatenate(x).astype("<i4") if x else np.empty(0, "<i4") for x in (left, right))
     head = np.array([bound, len(a), len(symbols)], "<i8").tobytes()
@@ -155,26 +156,29 @@ def write_token_files(docs: DataFrame, folder: str | None, path: str, end: int =
     arrow_kind = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, held, keys, part = WordEncoder(path, end, byte_level=True), 0, [], [], 0
+        encoder, number = WordEncoder(path, end, byte_level=True), 0
+        ids, counts, keys = np.empty(0, np.uint32), np.empty(0, np.int64), []
+        part = 0
 
-        def close():
-            ids, counts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        def shard(n: int) -> pa.RecordBatch:
+            own = ids[:counts[:n].sum()]
             return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([[k for ks in keys for k in ks]], pa.list_(arrow_kind)),
-                pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([compress(ids)], pa.binary())],
+                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([keys[:n]], pa.list_(arrow_kind)),
+                pa.array([counts[:n].tolist()], pa.list_(pa.int64())), pa.array([len(own)], pa.int64()), pa.array([compress(own)], pa.binary())],
                 names=["part", "shard", "doc_ids", "doc_lengths", "n_ids", "payload"])
 
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
             for lo, texts in string_blocks(batch.column(1)):
-                ids, counts = encoder.encode(texts)
-                held.append((ids, counts))
-                keys.append(batch.column(0).slice(lo, len(counts)).to_pylist())
-                if sum(len(h[0]) for h in held) >= shard_ids:
-                    yield close()
-                    number, held, keys = number + 1, [], []
-        if held:
-            yield close()
+                new, new_counts = encoder.encode(texts)
+                ids, counts = np.concatenate([ids, new]), np.concatenate([counts, new_counts])
+                keys += batch.column(0).slice(lo, len(new_counts)).to_pylist()
+                while len(ids) >= shard_ids:
+                    n = int(np.searchsorted(np.cumsum(counts), shard_ids)) + 1
+                    yield shard(n)
+                    ids, counts, keys, number = ids[counts[:n].sum():].copy(), counts[n:], keys[n:], number + 1
+        if len(counts):
+            yield shard(len(counts))
 
     ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
     made = ordered.mapInArrow(shards, SHARDS.format(kind=kind))

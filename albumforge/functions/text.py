@@ -11,10 +11,11 @@ PUNCTUATION_ORDER = " _-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$"
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key for file names: case ignored, digit runs compared as numbers.
+    """Sort key for file names, one string: case ignored, digit runs compared as numbers.
 
     A digit run becomes its length (3 digits) and itself without leading zeros,
-    so runs of any length below 1000 compare by value.
+    so runs of any length below 1000 compare by value. The key is one string, so
+    a digit meets whatever stands at its place in the other name.
     """
     ranked = "".join(chr(i + 1) for i in range(len(PUNCTUATION_ORDER)))
     runs = F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
@@ -26,7 +27,7 @@ def natural_key(name: Column) -> Column:
             F.concat(F.lpad(F.length(digits).cast("string"), 3, "0"), digits),
         ).otherwise(F.translate(run, PUNCTUATION_ORDER, ranked))
 
-    return F.transform(runs, key)
+    return F.array_join(F.transform(runs, key), "")
 
 
 def clean_base(name: Column) -> Column:

@@ -77,7 +77,7 @@ def with_positions(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column
     biggest group where the caller knows it; otherwise it is counted.
     """
     keys = list(keys)
-    if _fits(df, keys, window_rows, largest):
+    if keys and _fits(df, keys, window_rows, largest):
         group = Window.partitionBy(*keys)
         ranked = df.withColumn(out, (F.row_number().over(group.orderBy(*order_by)) - 1).cast("bigint"))
         return ranked.withColumn(size, F.count("*").over(group)) if size else ranked

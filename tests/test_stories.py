@@ -103,6 +103,13 @@ def test_natural_order(spark):
                    "IMG_12345678901234567890122.jpg", "IMG_12345678901234567890123.jpg"]
 
 
+@pytest.mark.parametrize("before,after", [("photo 10.jpg", "photo2.jpg"), ("img_1.jpg", "img1.jpg"), ("a-1.jpg", "a1.jpg"), ("a.jpg", "a1.jpg"),
+                                          ("a1.jpg", "ab.jpg"), ("IMG_9", "img_10"), ("a", "a b"), ("a2b10", "a2b011")])
+def test_natural_order_of_pairs(spark, before, after):
+    df = spark.createDataFrame([(after,), (before,)], "n string")
+    assert [r["n"] for r in df.orderBy(tx.natural_key(F.col("n"))).collect()] == [before, after]
+
+
 def test_export_numbers_skip_what_is_not_exported(spark):
     kept = spark.createDataFrame(
         [("L", 0, "a", "Beach day.PNG", datetime(2025, 5, 2), None, None), ("L", 1, "b", "x.jpg", datetime(2025, 5, 1), None, None),

@@ -28,11 +28,14 @@ def listing(spark: SparkSession, sf: str) -> DataFrame:
 @query("accepted_uploads", f"""WITH f AS (
   SELECT page_id % 3 AS library_id, page_id AS ordinal, concat('img', page_id, {list(SUFFIXES)}[page_id % 9 + 1]) AS name,
          length(html) * 20000 AS length FROM pages),
-g AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY ordinal) AS no FROM f
-      WHERE regexp_matches(lower(name), '\\.(jpg|jpeg|png|heic|heif|webp|tiff)$') AND length <= 52428800)
-SELECT library_id, ordinal, name FROM g WHERE no <= 500""")
+g AS (SELECT *, CASE WHEN NOT regexp_matches(lower(name), '\\.(jpg|jpeg|png|heic|heif|webp|tiff)$') THEN 'type'
+                     WHEN length > 52428800 THEN 'size' END AS fault FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY library_id, fault IS NULL ORDER BY ordinal) AS no FROM g)
+SELECT library_id, ordinal, name, coalesce(fault, CASE WHEN no > 40 THEN 'count' END) AS reject_reason,
+       fault IS NULL AND no <= 40 AS accepted FROM n""")
 def accepted_uploads(spark: SparkSession, sf: str) -> DataFrame:
-    return uploads.accept_uploads(listing(spark, sf)).select("library_id", "ordinal", "name")
+    """With a limit of 40 files, so that uploads of the small tables meet it."""
+    return uploads.accept_uploads(listing(spark, sf), most=40).select("library_id", "ordinal", "name", "reject_reason", "accepted")
 
 
 def tags(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,8 +126,8 @@ def itinerary_problems(spark: SparkSession, sf: str) -> DataFrame:
     return itineraries.itinerary_problems(itinerary_docs(spark, sf))
 
 
-# (start, end) of a day's events: an overlap, an empty instant, one that ends before it starts.
-WINDOWS = (("07:00", "09:30"), ("09:00", "12:00"), ("13:00", "13:00"), ("18:00", "17:00"), ("20:15", "23:59"))
+# (start, end) of a day's events: an overlap, an empty instant, one that ends before it starts, one that runs past midnight.
+WINDOWS = (("07:00", "09:30"), ("09:00", "12:00"), ("13:00", "13:00"), ("18:00", "17:00"), ("20:15", "23:59"), ("22:00", "25:10"))
 
 
 def trip_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +148,8 @@ V_MATCH = views.V_PHOTOS + f""",
 v_trip AS (
   SELECT library_id, concat(d, '_', n) AS event_id, strftime(d, '%Y-%m-%d') AS date,
          CAST(date_diff('day', DATE '2024-01-01', d) * 10 + n AS INT) AS ord, concat('act', n) AS activity,
-         CAST(concat(d, ' ', s) AS TIMESTAMP) AS t0, CAST(concat(d, ' ', e) AS TIMESTAMP) AS t1
+         d + to_minutes(CAST(left(s, 2) AS INT) * 60 + CAST(right(s, 2) AS INT)) AS t0,
+         d + to_minutes(CAST(left(e, 2) AS INT) * 60 + CAST(right(e, 2) AS INT)) AS t1
   FROM (SELECT DISTINCT library_id, CAST(ts AS DATE) AS d FROM v_photos WHERE ts IS NOT NULL AND day(ts) % 3 <> 0)
   CROSS JOIN (VALUES {', '.join(f"({n}, '{s}', '{e}')" for n, (s, e) in enumerate(WINDOWS))}) w(n, s, e)),
 v_match AS (

@@ -1,9 +1,10 @@
 """Photos matched to itinerary windows.
 
-Windows start and end on whole minutes of one local day. A day falls into 2,880
-pieces: each exact minute, and the open stretch after it. Which event comes
-first is the same all over a piece, so it is worked out once per piece and the
-match is a plain equality join, with no pairs to filter.
+Windows start and end on whole minutes of local time; a clock of 24:00 or later
+runs on into the next days. A day is cut at the bounds of its windows only, so
+n windows make at most 2n + 1 pieces. Which event comes first is the same all
+over a piece: it is worked out once, and a photo looks its piece up in the one
+row that its day has.
 """
 
 from __future__ import annotations
@@ -16,40 +17,52 @@ from albumforge.operators.chapters import middle_photo
 from albumforge.operators.ordering import with_positions
 
 OTHER = "other_moments"
-PIECES_PER_DAY = 2880
 
 
 def window_start(date: Column, clock: Column) -> Column:
-    """Local wall-clock time of 'HH:MM' on a date."""
-    return F.try_to_timestamp(F.concat(date, F.lit(" "), clock)).cast("timestamp_ntz")
+    """Local wall-clock time of 'HH:MM' on a date; hours run on past midnight. Null where either can't be read."""
+    parts = F.split(clock, ":")
+    minutes = F.get(parts, F.lit(0)).try_cast("int") * 60 + F.get(parts, F.lit(1)).try_cast("int")
+    day = F.try_to_timestamp(date).cast("timestamp_ntz")
+    return day + F.make_dt_interval(mins=minutes)
 
 
-def _minute(clock: Column) -> Column:
-    parts = F.split(clock, ":")
-    return parts[0].try_cast("int") * 60 + parts[1].try_cast("int")
+def day_pieces(events: DataFrame, library_id: str = "library_id") -> DataFrame:
+    """(library, date) to ``bounds``, ascending: local time, the first event at it, and the first event after it until the next.
+
+    An event of several days counts on each of them, from midnight or to the
+    day's end. Events without a usable window, or that end before they start,
+    cover nothing.
+    """
+    timed = events.select(library_id, "ord", "event_id", window_start(F.col("date"), F.col("start_time")).alias("_from"),
+                          window_start(F.col("date"), F.col("end_time")).alias("_to")).where("_from <= _to")
+    split = timed.withColumn("_date", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
+    midnight = F.col("_date").cast("timestamp_ntz")
+    cut = split.select(library_id, "_date", "ord", "event_id", F.greatest("_from", midnight).alias("_from"),
+                       F.least("_to", midnight + F.expr("INTERVAL 1 DAY")).alias("_to"))
+    whole = cut.groupBy(library_id, "_date").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "event_id", "_from", "_to"))).alias("_events"))
+    at = F.array_sort(F.array_distinct(F.flatten(F.array(F.transform("_events", lambda e: e["_from"]), F.transform("_events", lambda e: e["_to"])))))
 
+    def first(test) -> Column:
+        return F.get(F.filter("_events", test), F.lit(0))["event_id"]
 
-def first_event_per_piece(events: DataFrame, library_id: str = "library_id") -> DataFrame:
-    """(library, date, piece) to the first event, in itinerary order, that covers it."""
-    start, end = _minute(F.col("start_time")) * 2, _minute(F.col("end_time")) * 2
-    last = F.least(end, F.lit(PIECES_PER_DAY - 1))
-    covered = events.where(end.isNotNull() & (start <= last)).select(
-        library_id, F.to_date("date").alias("_date"), "ord", "event_id",
-        F.explode(F.sequence(start, last)).alias("_piece"))
-    return covered.groupBy(library_id, "_date", "_piece").agg(
-        F.min(F.struct("ord", "event_id"))["event_id"].alias("event_id"))
+    return whole.select(library_id, "_date", F.transform(at, lambda b: F.struct(
+        b.alias("at"), first(lambda e: (e["_from"] <= b) & (e["_to"] >= b)).alias("here"),
+        first(lambda e: (e["_from"] <= b) & (e["_to"] > b)).alias("after"))).alias("bounds"))
 
 
 def match_events(photos: DataFrame, events: DataFrame, tz: str = "UTC",
                  library_id: str = "library_id") -> DataFrame:
     """Add ``event_id``: the first event whose window holds the photo's time, else 'other_moments'."""
     wall = local_time(F.col("ts"), tz)
-    minute = F.hour(wall) * 60 + F.minute(wall)
-    exact = F.date_trunc("minute", wall) == wall
-    timed = photos.withColumn("_date", F.to_date(wall)).withColumn(
-        "_piece", minute * 2 + F.when(exact, 0).otherwise(1))
-    matched = timed.join(first_event_per_piece(events, library_id), [library_id, "_date", "_piece"], "left")
-    return matched.withColumn("event_id", F.coalesce("event_id", F.lit(OTHER))).drop("_date", "_piece")
+    timed = photos.withColumns({"_wall": wall.cast("timestamp_ntz"), "_date": F.to_date(wall)})
+    joined = timed.join(day_pieces(events, library_id), [library_id, "_date"], "left")
+    before = F.filter("bounds", lambda b: b["at"] <= F.col("_wall"))
+    last = F.when(F.size(before) > 0, F.element_at(before, -1))
+    found = joined.withColumn("_last", last).withColumn(
+        "event_id", F.coalesce(F.when(F.col("_last.at") == F.col("_wall"), F.col("_last.here")).otherwise(F.col("_last.after")), F.lit(OTHER)))
+    return found.drop("_date", "_wall", "bounds", "_last")
 
 
 def place_in_events(matched: DataFrame, library_id: str = "library_id") -> DataFrame:

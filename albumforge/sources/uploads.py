@@ -2,38 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from albumforge.operators.ordering import with_positions
 
 # Accepted file types and upload limits.
 IMAGE_NAME = r"(?i)\.(jpg|jpeg|png|heic|heif|webp|tiff)$"
 MAX_FILE_BYTES = 50 * 1024 * 1024
-MAX_FILES_PER_UPLOAD = 500
+# The number of files an upload form takes at once; a caller may ask for it.
+FORM_FILES = 500
 
 
 def list_images(spark: SparkSession, path: str) -> DataFrame:
-    """Files under ``path`` as (path, modificationTime, length, content).
+    """Image files under ``path`` as (path, modificationTime, length, content).
 
-    Content is only read for rows that survive the caller's filters and only if
-    it is selected.
+    Other names are left out by the file listing, so they are never opened; the
+    size limit reaches the reader, and content is read only if it is selected.
     """
+    either = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in "jpg,jpeg,png,heic,heif,webp,tiff")
     return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .where(F.col("path").rlike(IMAGE_NAME) & (F.col("length") <= MAX_FILE_BYTES))
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either}}}").load(path)
+        .where(F.col("length") <= MAX_FILE_BYTES)
     )
 
 
 def accept_uploads(listing: DataFrame, upload: str = "library_id", order: str = "ordinal",
-                   name: str = "name", length: str = "length") -> DataFrame:
-    """Supported types, size limit, and the first 500 files of each upload.
+                   name: str = "name", length: str = "length", most: int | None = None) -> DataFrame:
+    """Every file with ``accepted`` and, where it is not, ``reject_reason``: 'type', 'size' or 'count'.
 
-    The rank filter becomes a group limit before the shuffle, so a huge upload
-    sends at most 500 rows per task.
+    ``most`` files of an upload are accepted, in input order, if the caller sets
+    it; the places are counted over the rows of good files only.
     """
-    good = listing.where(F.col(name).rlike(IMAGE_NAME) & (F.col(length) <= MAX_FILE_BYTES))
-    w = Window.partitionBy(upload).orderBy(order)
-    return good.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= MAX_FILES_PER_UPLOAD).drop("_no")
+    fault = F.when(~F.coalesce(F.col(name).rlike(IMAGE_NAME), F.lit(False)), "type").when(
+        ~F.coalesce(F.col(length) <= MAX_FILE_BYTES, F.lit(False)), "size")
+    judged = listing.withColumn("reject_reason", fault)
+    if most is not None:
+        good = judged.where("reject_reason IS NULL").select(upload, order)
+        placed = with_positions(good, [upload], [F.col(order).asc()], out="_no").where(F.col("_no") >= most)
+        over = placed.select(F.col(upload).alias("_upload"), F.col(order).alias("_order"))
+        judged = judged.join(over, (F.col(upload) == F.col("_upload")) & (F.col(order) == F.col("_order")), "left").withColumn(
+            "reject_reason", F.coalesce("reject_reason", F.when(F.col("_order").isNotNull(), "count"))).drop("_upload", "_order")
+    return judged.withColumn("accepted", F.col("reject_reason").isNull())
 
 
 def _first_set(*names: str) -> Column:

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from albumforge.operators import chapters as ch
 from albumforge.operators import documents as doc
-from albumforge.operators.cluster import place_in_clusters
 from albumforge.operators.dedup import burst_members
-from albumforge.plans.strategies import get_strategy
+from albumforge.plans.strategies import Kind, Step, step
 from albumforge.session import cut_lineage
 
 
@@ -40,15 +39,22 @@ def select_photos(files: DataFrame, cluster_by: str = "day", cluster_options: Ma
     that several later steps read are cut to the checkpoint folder once, so no
     step is worked out again.
     """
-    given = dict(stages or {})
-    stage = lambda name, strategy: given.get(name) or get_strategy(name, strategy)
-    marked = cut_lineage(files.transform(stage("dedup", "default")))
+    given = {Kind(name): run for name, run in (stages or {}).items()}
+
+    def chosen(kind: Kind, name: str) -> Step:
+        """The named step, its work replaced where the caller gave a function for it."""
+        known = step(kind, name)
+        return Step(given[kind], known.reads, known.adds, known.keeps, known.place) if kind in given else known
+
+    marked = cut_lineage(files.transform(chosen(Kind.DEDUP, "default")))
     kept = marked.where(F.col("status") == "kept")
-    clustered = kept.transform(stage("cluster", cluster_by), **dict(cluster_options or {}))
-    placed = cut_lineage(ch.chapter_photos(place_in_clusters(clustered)))
-    if "aestheticScore" in given:
-        placed = cut_lineage(placed.transform(given["aestheticScore"]))
-    heroes = placed.transform(stage("heroSelect", "default"), highlight_dates=highlight_dates, tz=tz)
+    clusters = chosen(Kind.CLUSTER, cluster_by)
+    clustered = kept.transform(clusters, **dict(cluster_options or {}))
+    placed = cut_lineage(ch.chapter_photos(clusters.place(clustered)))
+    if Kind.SCORE in given:
+        # A scorer of the caller's names its own result; it may add columns but drop none, and no photo.
+        placed = cut_lineage(placed.transform(Step(given[Kind.SCORE])))
+    heroes = placed.transform(chosen(Kind.HERO, "default"), highlight_dates=highlight_dates, tz=tz)
     keys = ["library_id", "cluster_idx"]
     chapters = cut_lineage(
         heroes.join(ch.median_coords(placed, keys), keys, "left")

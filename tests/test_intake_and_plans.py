@@ -129,8 +129,12 @@ def test_image_listing(spark, tmp_path):
 def test_upload_limit(spark):
     rows = [(lib, i, f"{i}.jpg", 10) for lib in (1, 2) for i in range(600 if lib == 1 else 3)]
     df = spark.createDataFrame(rows, "library_id int, ordinal int, name string, length long")
-    got = {r["library_id"]: r["count"] for r in uploads.accept_uploads(df).groupBy("library_id").count().collect()}
-    assert got == {1: 500, 2: 3}
+    count = lambda d: {(r["library_id"], r["reject_reason"]): r["count"] for r in d.groupBy("library_id", "reject_reason").count().collect()}
+    assert count(uploads.accept_uploads(df, most=uploads.FORM_FILES)) == {(1, None): 500, (1, "count"): 100, (2, None): 3}
+    assert count(uploads.accept_uploads(df)) == {(1, None): 600, (2, None): 3}
+    odd = spark.createDataFrame([(1, 0, None, 1), (1, 1, "a.gif", 1), (1, 2, "a.jpg", None), (1, 3, "a.jpg", 10**9), (1, 4, "b.PNG", 5)], df.schema)
+    got = {r["ordinal"]: (r["accepted"], r["reject_reason"]) for r in uploads.accept_uploads(odd).collect()}
+    assert got == {0: (False, "type"), 1: (False, "type"), 2: (False, "size"), 3: (False, "size"), 4: (True, None)}
 
 
 def test_itinerary_file(spark, tmp_path):
@@ -150,14 +154,29 @@ def test_model_reply(spark, reply, want):
     assert (tuple(row) if row else None) == want
 
 
-def test_strategies(spark):
-    strategies.register_strategy("cluster", "all", lambda df, **_: df.withColumn("cluster_idx", F.lit(0)))
-    df = spark.range(3).transform(strategies.get_strategy("cluster", "all"))
-    assert df.where("cluster_idx = 0").count() == 3
-    with pytest.raises(KeyError, match="Unknown strategy"):
-        strategies.get_strategy("cluster", "nope")
-    with pytest.raises(KeyError, match="Unknown stage"):
-        strategies.get_strategy("nope", "day")
+def test_steps_of_ones_own(spark):
+    strategies.offer("cluster", "all", lambda df, **_: df.withColumn("cluster_idx", F.lit(0)), reads=["id"], adds=["cluster_idx"])
+    df = spark.range(3).transform(strategies.step("cluster", "all"))
+    assert df.where("cluster_idx = 0").count() == 3 and "all" in strategies.offered("cluster")
+    with pytest.raises(LookupError, match="nope"):
+        strategies.step("cluster", "nope")
+    with pytest.raises(ValueError):
+        strategies.step("nope", "day")
+
+
+def test_steps_are_held_to_their_contract(spark):
+    strategies.offer("heroSelect", "lossy", lambda df: df.drop("id"))
+    with pytest.raises(strategies.BrokenContract, match="gone"):
+        strategies.step("heroSelect", "lossy")(spark.range(2))
+    with pytest.raises(strategies.BrokenContract, match="not there"):
+        strategies.step("cluster", "day")(spark.range(2))
+
+
+def test_scoring_step_drops_no_photo(spark):
+    rows = [("L", f"p{i}", i // 5, i, float(i), i != 9) for i in range(10)]
+    placed = spark.createDataFrame(rows, "library_id string, photo_id string, cluster_idx int, pos int, variance double, has_file boolean")
+    got = {r["photo_id"]: r["is_candidate"] for r in strategies.step("aestheticScore", "default")(placed).collect()}
+    assert got == {f"p{i}": i in (2, 3, 4, 6, 7, 8) for i in range(10)}
 
 
 def test_model_failures_become_null(spark):

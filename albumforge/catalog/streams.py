@@ -16,7 +16,7 @@ from albumforge.operators import metrics as m
 from albumforge.session import shared_dir
 from albumforge.sources import telemetry
 from albumforge.streaming import intake, photos, usage
-from albumforge.streaming.running import append_events, drain, use_rocksdb
+from albumforge.streaming.running import append_events, drain, last_state, latest, use_rocksdb
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -64,11 +64,10 @@ def stream_rate_flags(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY library_id ORDER BY ts) > INTERVAL 45 MINUTE THEN 1 ELSE 0 END AS b FROM p),
 g AS (SELECT *, sum(b) OVER (PARTITION BY library_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM s),
 c AS (SELECT library_id, no, min(ts) AS a, max(ts) AS z, count(*) AS photos FROM g GROUP BY 1, 2)
-SELECT library_id, epoch_us(a) AS first_us, epoch_us(z) AS last_us, photos FROM c
-WHERE z + INTERVAL 45 MINUTE < (SELECT max(ts) FROM p) - INTERVAL 1 HOUR""")
+SELECT library_id, epoch_us(a) AS first_us, epoch_us(z) AS last_us, photos FROM c""")
 def stream_photo_sessions(spark: SparkSession, sf: str) -> DataFrame:
     rows = event_stream(spark, sf).where("event_type <> 'error'").select((F.col("user_id") % 10).alias("library_id"), "ts")
-    return drain(photos.photo_sessions(rows)).select(
+    return last_state(drain(photos.photo_sessions(rows), "complete")).select(
         "library_id", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "photos")
 
 
@@ -90,15 +89,12 @@ def metric_stream(spark: SparkSession, sf: str, stored: str, event_name: str, **
                     F.to_json(F.struct(*[v.alias(n) for n, v in props.items()])).alias("properties"))
 
 
-def closed_days(sql: str) -> str:
-    """The batch metric without the last day, which the stream still holds open."""
-    return f"SELECT * FROM ({sql}) WHERE day < (SELECT strftime(max(ts), '%Y-%m-%d') FROM events)"
-
-
 def register_daily(metric: str, batch_name: str, stored: str, event_name: str, props) -> None:
-    @query(f"stream_{batch_name}", closed_days(ORACLES[batch_name]))
+    @query(f"stream_{batch_name}", ORACLES[batch_name])
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return usage_metrics.as_text_day(drain(usage.daily_metric(metric_stream(spark, sf, stored, event_name, **props()), metric)))
+        updates = drain(usage.daily_metric(metric_stream(spark, sf, stored, event_name, **props()), metric), "update")
+        keys = ["day", *[c for c in ("bail_from", "source", "detail") if c in updates.columns]]
+        return usage_metrics.as_text_day(latest(updates, keys))
 
 
 register_daily("uploads", "uploads_by_day", "signup", m.PHOTOS_UPLOADED, lambda: {"count": F.col("k")})

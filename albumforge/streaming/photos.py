@@ -13,9 +13,12 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from albumforge.operators.dedup import HAMMING_THRESHOLD, WINDOW, RecentKept
 
 
-def photo_sessions(photos: DataFrame, gap_minutes: int = 45, late: str = "1 hour",
+def photo_sessions(photos: DataFrame, gap_minutes: int = 45, late: str | None = None,
                    library_id: str = "library_id") -> DataFrame:
-    """Closed sessions per library: first and last photo time and the photo count.
+    """Sessions per library: first and last photo time and the photo count.
+
+    In complete mode all sessions, open ones included, whatever their rows' age.
+    With ``late``, closed sessions in append mode; rows that come later are lost.
 
     A gap of exactly the limit still joins, one microsecond more splits: a session
     window merges while the next event is before its end, so its length is the
@@ -24,7 +27,9 @@ def photo_sessions(photos: DataFrame, gap_minutes: int = 45, late: str = "1 hour
     """
     photos.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     length = f"{gap_minutes} minutes 1 microsecond"
-    dated = photos.where(F.col("ts").isNotNull()).withWatermark("ts", late)
+    dated = photos.where(F.col("ts").isNotNull())
+    if late is not None:
+        dated = dated.withWatermark("ts", late)
     grouped = dated.groupBy(library_id, F.session_window("ts", length).alias("_w")).agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("photos"))
     return grouped.drop("_w")

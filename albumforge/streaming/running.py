@@ -55,3 +55,16 @@ def drain(stream: DataFrame, output_mode: str = "append") -> DataFrame:
         schema = T.StructType([*stream.schema.fields, T.StructField("batch_no", T.IntegerType())])
     query.awaitTermination()
     return spark.read.schema(schema).parquet(out)
+
+
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The last emission of each key from a stream drained in update mode; null keys are keys too."""
+    values = [c for c in updates.columns if c not in (*keys, "batch_no")]
+    last = F.max_by(F.struct(*values), "batch_no").alias("_last")
+    return updates.groupBy(*keys).agg(last).select(*keys, "_last.*")
+
+
+def last_state(updates: DataFrame) -> DataFrame:
+    """The result as it stood after the last micro-batch, from a stream drained in complete mode."""
+    newest = updates.agg(F.max("batch_no").alias("_newest"))
+    return updates.join(F.broadcast(newest), F.col("batch_no") == F.col("_newest")).drop("batch_no", "_newest")

@@ -22,10 +22,16 @@ DAILY = {
 }
 
 
-def daily_metric(events: DataFrame, metric: str, late: str = "0 seconds") -> DataFrame:
-    """One row per closed day; in update mode, the day so far."""
+def daily_metric(events: DataFrame, metric: str, late: str | None = None) -> DataFrame:
+    """In update mode, each day so far, whenever it changes; rows of any age count.
+
+    With ``late``, one row per closed day in append mode, and rows that come
+    later than that are lost.
+    """
     name, keys, aggregates = DAILY[metric]
-    windowed = m.named(events, name).withWatermark("server_ts", late)
+    windowed = m.named(events, name)
+    if late is not None:
+        windowed = windowed.withWatermark("server_ts", late)
     grouping: list[Column] = [F.window("server_ts", "1 day").alias("_w"), *keys()]
     out = windowed.groupBy(*grouping).agg(*aggregates())
     return out.withColumn("day", F.col("_w.start")).drop("_w")

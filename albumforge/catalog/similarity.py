@@ -10,6 +10,7 @@ from albumforge.catalog.registry import query
 from albumforge.functions.pixels import unit_vector
 from albumforge.operators import semantic as sm
 from albumforge.operators import snapshots as sn
+from albumforge.session import cut_lineage
 from albumforge.sources.scored import attach_scores, attach_vectors
 
 
@@ -110,6 +111,18 @@ def semantic_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return sm.place_semantic(sm.semantic_clusters(v)).select("library_id", "photo_id", "cluster_idx", "pos", "cluster_size")
 
 
+@query("settled_clusters", "SELECT label AS library_id, count(*) AS photos, 0 AS misplaced FROM embeddings GROUP BY 1")
+def settled_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors that are nearer to another cluster's mean than to their own: none, whatever the start points."""
+    v = embedded(spark, sf)
+    found = cut_lineage(sm.kmeans(v.select("library_id", "photo_id", "ordinal", "embedding")))
+    means = sm.update(found).groupBy("library_id").agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("c"))
+    own = found.withColumnRenamed("cluster", "own")
+    # Numbers of clusters are dense, so a place in the array is the number.
+    again = sm.assign(own, means.select("library_id", F.transform("c", lambda x: x["centroid"]).alias("centroids")))
+    return again.groupBy("library_id").agg(F.count("*").alias("photos"), F.count_if(F.col("cluster") != F.col("own")).alias("misplaced"))
+
+
 @query("ordered_clusters", f"""WITH {views.V_PHOTOS},
 c AS (SELECT *, CASE WHEN ordinal % 7 > 0 THEN ordinal % 6 END AS cluster FROM v_photos),
 g AS (SELECT library_id, cluster, row_number() OVER (PARTITION BY library_id ORDER BY cluster IS NULL, min(ts) NULLS LAST, cluster) - 1 AS idx FROM c GROUP BY 1, 2)

@@ -175,10 +175,14 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
         active = cut_lineage(_pack(filled, library_id))
         left, lost = active.agg(F.count("*"), F.sum("_lost")).first()
         if lost:
-            draw = F.struct(_u01(F.lit(seed), F.lit(1000 + round_no), "ordinal"), "ordinal")
-            spare = big.groupBy(library_id).agg(F.max_by("embedding", draw).alias("_spare"))
-            refilled = filled.join(spare, library_id).withColumn(
-                "centroid", F.coalesce("centroid", F.transform("_spare", lambda x: x.cast("double"))))
+            # Each lost cluster gets a vector of its own: the first drawn to the first lost one, and so on.
+            by_draw = Window.partitionBy(library_id).orderBy(_u01(F.lit(seed), F.lit(1000 + round_no), "ordinal"), "ordinal")
+            by_slot = Window.partitionBy(library_id).orderBy("cluster")
+            spare = big.withColumn("_no", F.row_number().over(by_draw)).where(F.col("_no") <= lost).select(
+                library_id, "_no", F.transform("embedding", lambda x: x.cast("double")).alias("_spare"))
+            gone = filled.where("centroid IS NULL").select(library_id, "cluster", F.row_number().over(by_slot).alias("_no"))
+            refill = gone.join(spare, [library_id, "_no"]).drop("_no")
+            refilled = filled.join(refill, [library_id, "cluster"], "left").withColumn("centroid", F.coalesce("centroid", "_spare"))
             active = cut_lineage(_pack(refilled, library_id))
         active = active.drop("_lost")
         if not left:

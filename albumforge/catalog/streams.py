@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumforge.catalog import duplicates, usage_metrics, views
-from albumforge.catalog.event_intake import V_BATCHES, raw_batches
+from albumforge.catalog.event_intake import DAY_SECONDS, V_BATCHES, raw_batches
 from albumforge.catalog.registry import ORACLES, query
 from albumforge.functions import pixels as px
 from albumforge.functions.times import instant_of
@@ -30,24 +30,29 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Request batches written out as files and read back as a stream of small micro-batches."""
+    """Request batches written out as files, earlier ones first, and read back as a stream of micro-batches."""
     path = f"{shared_dir(spark)}/albumforge-batches-{uuid.uuid4().hex}"
-    raw_batches(spark, sf).repartitionByRange(4, "received_at").write.json(path)
-    return telemetry.batch_stream(spark, path, files_per_trigger=2)
+    raw = raw_batches(spark, sf)
+    middle = raw.agg(F.expr("percentile_approx(received_at, 0.5)")).first()[0]
+    for part in ("received_at <= {m}", "received_at > {m}"):
+        raw.where(F.expr(part.format(m=f"timestamp_micros({int(middle.timestamp() * 1_000_000)})"))).coalesce(1).write.mode("append").json(path)
+    return telemetry.batch_stream(spark, path, files_per_trigger=1)
 
 
 @query("stream_accepted_events", f"""WITH {V_BATCHES}
 SELECT e.batch_id, CAST(e.event_no AS INT) AS event_no, e.session_id, e.event_name, s.ua_bucket
-FROM v_ev e JOIN v_shape s ON e.batch_id = s.batch_id WHERE s.shape_fault IS NULL AND e.valid""")
+FROM v_ev e JOIN v_outcome s ON e.batch_id = s.batch_id WHERE s.reject_reason IS NULL AND e.valid""")
 def stream_accepted_events(spark: SparkSession, sf: str) -> DataFrame:
-    return drain(intake.accepted_rows(batch_stream(spark, sf))).select(
+    use_rocksdb(spark)
+    return drain(intake.accepted_rows(batch_stream(spark, sf), DAY_SECONDS, 1)).select(
         "batch_id", "event_no", "session_id", "event_name", "ua_bucket")
 
 
 @query("stream_rejected_batches", f"""WITH {V_BATCHES}
-SELECT batch_id, ua_bucket, coalesce(shape_fault, 'no valid events') AS reject_reason FROM v_shape WHERE shape_fault IS NOT NULL OR NOT any_valid""")
+SELECT batch_id, ua_bucket, reject_reason FROM v_outcome WHERE reject_reason IS NOT NULL""")
 def stream_rejected_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return drain(intake.rejected_batches(batch_stream(spark, sf))).select("batch_id", "ua_bucket", "reject_reason")
+    use_rocksdb(spark)
+    return drain(intake.rejected_batches(batch_stream(spark, sf), DAY_SECONDS, 1)).select("batch_id", "ua_bucket", "reject_reason")
 
 
 @query("stream_rate_flags", """WITH r AS (SELECT event_id AS batch_id, concat('s', user_id % 7) AS rate_key, ts FROM events)
@@ -137,11 +142,12 @@ def stream_first_completions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_event_table", f"""WITH {V_BATCHES}
 SELECT strftime(s.received_at, '%Y-%m-%d') AS day, e.event_name, count(*) AS events, count(*) AS ids
-FROM v_ev e JOIN v_shape s ON e.batch_id = s.batch_id WHERE s.shape_fault IS NULL AND e.valid GROUP BY 1, 2""")
+FROM v_ev e JOIN v_outcome s ON e.batch_id = s.batch_id WHERE s.reject_reason IS NULL AND e.valid GROUP BY 1, 2""")
 def stream_event_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Accepted rows appended to the event table by day, then read back by name."""
+    """Rows of batches within the limit appended to the event table by day, then read back by name."""
+    use_rocksdb(spark)
     base = f"{shared_dir(spark)}/albumforge-events-{uuid.uuid4().hex}"
-    rows = intake.accepted_rows(batch_stream(spark, sf))
+    rows = intake.accepted_rows(batch_stream(spark, sf), DAY_SECONDS, 1)
     append_events(rows, f"{base}/table", f"{base}/checkpoint", available_now=True).awaitTermination()
     return telemetry.read_events(spark, f"{base}/table").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_name").agg(
         F.count("*").alias("events"), F.countDistinct("id").alias("ids"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,62 +15,82 @@ from albumforge.functions.telemetry import RATE_MAX_REQUESTS, RATE_WINDOW_SECOND
 from albumforge.operators.intake import event_rows, has_valid_event, read_batches
 
 
-def accepted_rows(batches: DataFrame) -> DataFrame:
-    """Stateless part: faulty batches dropped, valid events cleaned. The same plan as in batch."""
-    return event_rows(read_batches(batches))
+def accepted_rows(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, max_requests: int = RATE_MAX_REQUESTS,
+                  keep_seconds: int | None = None) -> DataFrame:
+    """Clean rows of batches that are well formed and within the limit of their key."""
+    return event_rows(read_batches(limited(batches, window_seconds, max_requests, keep_seconds).where("NOT rate_limited")))
 
 
-def rejected_batches(batches: DataFrame) -> DataFrame:
-    """Side output: batches that are not accepted and why (all reasons but the rate)."""
-    read = read_batches(batches)
-    reason = F.coalesce("reject_reason", F.when(~has_valid_event(), "no valid events"))
-    return read.select("batch_id", "received_at", "ua_bucket", reason.alias("reject_reason")).where(
-        F.col("reject_reason").isNotNull())
+def rejected_batches(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, max_requests: int = RATE_MAX_REQUESTS,
+                     keep_seconds: int | None = None) -> DataFrame:
+    """Side output: batches that leave no row, and the first reason."""
+    columns = ["batch_id", "received_at", "ua_bucket", "reject_reason"]
+    faulty = read_batches(batches).where(F.col("reject_reason").isNotNull()).select(*columns)
+    formed = read_batches(limited(batches, window_seconds, max_requests, keep_seconds))
+    reason = F.when(F.col("rate_limited"), "rate limited").when(~has_valid_event(), "no valid events")
+    return faulty.unionByName(formed.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull()).select(*columns))
 
 
 class RateLimiter(StatefulProcessor):
-    """Per key, the times of the last ``max_requests`` requests.
+    """Per key, the times of the last ``max_requests`` requests; with ``keep_seconds`` a key quiet for so long is forgotten.
 
     A request is over the limit when the one ``max_requests`` places before it
     is still inside the window, so no more times need to be kept, whatever the
     key's traffic. Rejected requests count.
     """
 
-    OUTPUT = T.StructType([
-        T.StructField("rate_key", T.StringType()), T.StructField("batch_id", T.LongType()),
-        T.StructField("rate_limited", T.BooleanType())])
-
-    def __init__(self, window_seconds: int, max_requests: int):
+    def __init__(self, window_seconds: int, max_requests: int, carried: list[str], keep_seconds: int | None):
         self.span = window_seconds * 1_000_000
-        self.limit = max_requests
+        self.limit, self.carried = max_requests, carried
+        self.keep = None if keep_seconds is None else 1000 * max(keep_seconds, window_seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", T.StructType([T.StructField("us", T.ArrayType(T.LongType()))]))
+        times = T.StructType([T.StructField("us", T.ArrayType(T.LongType()))])
+        self.recent = handle.getValueState("recent", times, self.keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["us", "batch_id"], kind="stable")
         state = self.recent.get()
-        recent = list(state[0]) if state is not None else []
-        flags = []
+        recent, flags = deque(state[0] if state is not None else (), maxlen=self.limit), []
         for now in frame["us"].tolist():
-            flags.append(len(recent) >= self.limit and now - recent[-self.limit] < self.span)
-            recent = (recent + [int(now)])[-self.limit:]
-        self.recent.update((recent,))
-        yield pd.DataFrame({"rate_key": [key[0]] * len(frame), "batch_id": frame["batch_id"].values, "rate_limited": flags})
+            flags.append(len(recent) == self.limit and now - recent[0] < self.span)
+            recent.append(int(now))
+        self.recent.update((list(recent),))
+        out = frame[["batch_id", *self.carried]].assign(rate_limited=flags)
+        out.insert(0, "rate_key", key[0])
+        yield out
 
     def close(self) -> None:
         pass
 
 
+def _flagged(formed: DataFrame, window_seconds: int, max_requests: int, carried: list[str], keep_seconds: int | None) -> DataFrame:
+    schema = T.StructType([
+        T.StructField("rate_key", T.StringType()), T.StructField("batch_id", T.LongType()),
+        *[formed.schema[c] for c in carried], T.StructField("rate_limited", T.BooleanType())])
+    slim = formed.select("rate_key", "batch_id", F.unix_micros("received_at").alias("us"), *carried)
+    return slim.groupBy("rate_key").transformWithStateInPandas(
+        statefulProcessor=RateLimiter(window_seconds, max_requests, carried, keep_seconds), outputStructType=schema,
+        outputMode="append", timeMode="None" if keep_seconds is None else "ProcessingTime")
+
+
+def limited(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, max_requests: int = RATE_MAX_REQUESTS,
+            keep_seconds: int | None = None) -> DataFrame:
+    """Raw batches that pass the shape checks, with ``rate_limited``. Others never count for a key.
+
+    A stream that runs on should set ``keep_seconds``, by the clock; it then
+    makes micro-batches without input too, so a run over what is there now
+    would not end.
+    """
+    return _flagged(formed_batches(batches), window_seconds, max_requests, ["received_at", "user_agent", "body"], keep_seconds).drop("rate_key")
+
+
 def rate_flags(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS,
-               max_requests: int = RATE_MAX_REQUESTS) -> DataFrame:
+               max_requests: int = RATE_MAX_REQUESTS, keep_seconds: int | None = None) -> DataFrame:
     """(rate_key, batch_id, rate_limited) for well-formed batches. Only key, id and time reach the state."""
-    slim = batches.select("rate_key", "batch_id", F.unix_micros("received_at").alias("us"))
-    return slim.groupBy("rate_key").transformWithStateInPandas(
-        statefulProcessor=RateLimiter(window_seconds, max_requests), outputStructType=RateLimiter.OUTPUT,
-        outputMode="append", timeMode="None")
+    return _flagged(batches, window_seconds, max_requests, [], keep_seconds)
 
 
 def formed_batches(batches: DataFrame) -> DataFrame:
-    """Batches that pass the shape checks, with their rate key."""
-    return read_batches(batches).where(F.col("reject_reason").isNull()).select("batch_id", "rate_key", "received_at")
+    """Batches that pass the shape checks, with their rate key, as they came in."""
+    return read_batches(batches).where(F.col("reject_reason").isNull()).select("batch_id", "rate_key", "received_at", "user_agent", "body")

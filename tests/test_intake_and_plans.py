@@ -250,6 +250,7 @@ def test_stream_replay_over_many_batches(spark, tmp_path):
 
 
 def test_events_are_appended_once(spark, tmp_path):
+    use_rocksdb(spark)
     bodies = [json.dumps({"events": [event(f"s{i}", "n")] * (i % 3 + 1)}) for i in range(9)]
     path, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
     requests(spark, bodies).coalesce(3).write.json(path)

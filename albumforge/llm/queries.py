@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from albumforge.llm.common import table
 from albumforge.llm.language import held_out_language
-from albumforge.llm.license_scan import license_scan
+from albumforge.llm.license_scan import PHRASES, TEMPLATES, license_scan
 from albumforge.llm.mixing import mix
 from albumforge.llm.ngram_join import ngram_jaccard_join
 from albumforge.llm.packing import best_fit_packing
@@ -19,6 +19,7 @@ from albumforge.llm.token_files import read_digests, write_token_files
 from albumforge.llm.toxicity import held_out_toxicity
 from albumforge.llm.vantage import nearest
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -78,3 +79,48 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op1_ngram_jaccard"] = rf"""WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reached.doc_id, sides.y FROM reached JOIN sides ON sides.x = reached.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.least AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(r) AS least FROM reached GROUP BY 1) m ON m.doc_id = d.doc_id"""
+
+_SPLIT = r"list_filter(regexp_split_to_array({x}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda v: v <> '')"
+
+
+def _at(phrase: str) -> str:
+    test = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split()))
+    return f"list_filter(range(1, len(w) + 1), lambda i: {test})"
+
+
+_ROWS = ", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in TEMPLATES)
+ORACLES["op9_license_scan"] = f"""WITH
+t AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS x FROM documents),
+w AS (SELECT rid, doc_id, {_SPLIT.format(x="x")} AS w FROM t),
+a AS (SELECT rid, doc_id, len(w) AS n_words, {", ".join(f"{_at(phrase)} AS p{i}" for i, (phrase, _) in enumerate(PHRASES))} FROM w),
+b AS (SELECT *, list_concat(p0, list_concat(p1, p2)) AS every,
+             list_filter([{", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(PHRASES))}], lambda v: v IS NOT NULL) AS base FROM a),
+l AS (SELECT rid, list_distinct({_SPLIT.format(x="line")}) AS own FROM (SELECT rid, unnest(string_split(x, chr(10))) AS line FROM t)),
+f AS (SELECT rid, label, len(list_intersect(own, words)) / len(words) AS containment
+      FROM l JOIN (VALUES {_ROWS}) v(label, words) ON 10 * len(list_intersect(own, words)) >= 8 * len(words)),
+m AS (SELECT rid, list(DISTINCT label) AS more, max(containment) AS containment FROM f GROUP BY 1)
+SELECT doc_id, n_words, len(every) AS n_base, list_min(every) - 1 AS first_word, list_max(every) - 1 AS last_word,
+       array_to_string(list_sort(base), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ',') AS labels,
+       CASE WHEN len(every) > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0)::DOUBLE END AS score
+FROM b LEFT JOIN m ON m.rid = b.rid"""
+
+ORACLES["op10_vantage_search"] = """WITH
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+g AS (SELECT * FROM v WHERE len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score FROM g q JOIN g c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20"""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,6 +81,13 @@ class RecentKept:
         return "kept", None, None, best
 
 
+@dataclass(frozen=True)
+class Slot:
+    """A kept photo of an earlier piece, known by its place in what was handed on."""
+
+    number: int
+
+
 def _walked(batch: pa.RecordBatch, library_id: str) -> Iterator[tuple]:
     """(library, photo, hash or None, part) per row; Arrow keeps 64-bit values exact beside nulls."""
     return zip(*(batch.column(c).to_pylist() for c in (library_id, "photo_id", "hash", "_part")))
@@ -95,10 +103,11 @@ def near_duplicates(photos: DataFrame, threshold: int = HAMMING_THRESHOLD, windo
     library runs through many tasks. A task's result depends on the tasks before
     it only through the few photos last kept there. First every task walks its
     piece as if nothing came before and reports what it ends with. Then the ends
-    are handed on, and only pieces that start from something else than assumed
-    and lie wholly inside one library are walked again, until no end changes.
-    An end rarely depends on its start, so this takes about two rounds; if it
-    always did, it would still be exact. The driver sees one row per task.
+    are handed on, and only pieces that start from other hashes than assumed and
+    lie wholly inside one library are walked again, until no end changes. A
+    piece that passes on what it was handed says so by place, so which photo it
+    is gets filled in at the end: a library of equal pictures takes two rounds,
+    however many pieces it has. The driver sees one row per task.
     """
     lib_type = photos.schema[library_id].dataType
     laid = spread_sorted(
@@ -109,7 +118,8 @@ def near_duplicates(photos: DataFrame, threshold: int = HAMMING_THRESHOLD, windo
     end_schema = T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("first", lib_type), T.StructField("last", lib_type),
         T.StructField("hashes", T.ArrayType(T.LongType())),
-        T.StructField("ids", T.ArrayType(photos.schema["photo_id"].dataType))])
+        T.StructField("ids", T.ArrayType(photos.schema["photo_id"].dataType)),
+        T.StructField("slots", T.ArrayType(T.IntegerType()))])
     out_schema = T.StructType([
         T.StructField(library_id, lib_type), photos.schema["photo_id"],
         T.StructField("ordinal", T.LongType()), T.StructField("visit", T.LongType()),
@@ -120,13 +130,15 @@ def near_duplicates(photos: DataFrame, threshold: int = HAMMING_THRESHOLD, windo
     def starting(entries: dict, part: int) -> RecentKept:
         return RecentKept(entries.get(part, ()), threshold, window)
 
-    def ends_of(entries: dict):
+    def ends_of(assumed: dict):
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             recent, first, last, part = None, None, None, None
             for batch in batches:
                 for lib, pid, value, p in _walked(batch, library_id):
                     if recent is None:
-                        recent, first, part = starting(entries, p), lib, p
+                        # What is handed on is known by its place only.
+                        handed = [(h, Slot(k)) for k, h in enumerate(assumed.get(p, ()))]
+                        recent, first, part = RecentKept(handed, threshold, window), lib, p
                     elif lib != last:
                         recent = RecentKept((), threshold, window)
                     last = lib
@@ -134,7 +146,9 @@ def near_duplicates(photos: DataFrame, threshold: int = HAMMING_THRESHOLD, windo
             if recent is not None:
                 yield pa.RecordBatch.from_pydict({
                     "part": [part], "first": [first], "last": [last],
-                    "hashes": [[h for h, _ in recent.entries]], "ids": [[i for _, i in recent.entries]],
+                    "hashes": [[h for h, _ in recent.entries]],
+                    "ids": [[None if isinstance(i, Slot) else i for _, i in recent.entries]],
+                    "slots": [[i.number if isinstance(i, Slot) else None for _, i in recent.entries]],
                 }, schema=end_arrow)
 
         return walk
@@ -158,21 +172,25 @@ def near_duplicates(photos: DataFrame, threshold: int = HAMMING_THRESHOLD, windo
         return walk
 
     ends: dict[int, dict] = {}
-    entries: dict[int, tuple] = {}
+    assumed: dict[int, tuple] = {}
     pending: list[int] | None = None
     while pending is None or pending:
         todo = laid if pending is None else laid.where(F.col("_part").isin(pending))
         # One row per task, each with at most ``window`` fingerprints.
-        for row in todo.mapInArrow(ends_of(entries), end_schema).collect():
+        for row in todo.mapInArrow(ends_of(assumed), end_schema).collect():
             ends[row["part"]] = row
         order = sorted(ends)
-        handed = {
-            after: tuple(zip(ends[before]["hashes"], ends[before]["ids"]))
-            for before, after in zip(order, order[1:]) if ends[before]["last"] == ends[after]["first"]
-        }
+        handed = {after: tuple(ends[before]["hashes"]) for before, after in zip(order, order[1:])
+                  if ends[before]["last"] == ends[after]["first"]}
         pending = [p for p in handed
-                   if handed[p] != entries.get(p, ()) and ends[p]["first"] == ends[p]["last"]]
-        entries = handed
+                   if handed[p] != assumed.get(p, ()) and ends[p]["first"] == ends[p]["last"]]
+        assumed = handed
+
+    entries: dict[int, tuple] = {}
+    for before, after in zip(order, order[1:]):
+        if after in assumed:
+            start, end = entries.get(before, ()), ends[before]
+            entries[after] = tuple((h, i if k is None else start[k][1]) for h, i, k in zip(end["hashes"], end["ids"], end["slots"]))
 
     return laid.mapInArrow(statuses(entries), out_schema)
 

@@ -108,3 +108,19 @@ def test_laplacian_twins_agree(spark):
     cols = [f(F.col("g"), F.col("w"), F.col("h")) for f in (px.laplacian_variance, px.laplacian_variance_np)]
     for a, b in df.select(*cols).collect():
         assert a == pytest.approx(b, rel=1e-9) and a >= 0
+
+
+def test_equal_pictures_take_two_rounds(spark):
+    """Pieces that pass on what they were handed are not walked again and again."""
+    rows = [("L", f"p{i:04}", i, f"n{i:04}", 5) for i in range(2000)]
+    df = spark.createDataFrame(rows, "library_id string, photo_id string, ordinal long, name string, hash long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("walk", "near duplicates")
+    try:
+        found = dd.near_duplicates(df, partitions=20)
+        jobs = len(tracker.getJobIdsForGroup("walk"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {(r["status"], r["rep_id"]): r["count"] for r in found.groupBy("status", "rep_id").count().collect()}
+    assert got == {("kept", None): 1, ("burst", "p0000"): 1999}
+    assert jobs <= 6

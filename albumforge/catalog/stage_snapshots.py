@@ -147,7 +147,7 @@ def nested_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Whole documents, read back and checked."""
     from albumforge.operators.checks import document_problems
 
-    docs = doc.nested_documents(*document_inputs(spark, sf), max_photos=1_000_000)
+    docs = doc.nested_documents(*document_inputs(spark, sf))
     d = F.parse_json("body")
     bad = document_problems(docs).groupBy("library_id").agg(F.count("*").alias("problems"))
     sizes = docs.select(

@@ -2,7 +2,8 @@
 
 A document is kept as tables (photos, chapters, chapter photos, bursts, meta). As
 JSON it is written in parts of bounded size, so a library of any size can be
-written; libraries up to ``max_photos`` also come as one nested document.
+written. A library can also come as one nested document, which is one value and
+so bounded by what a row may hold.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from albumforge.operators.ordering import with_positions
 
 VERSION = "1.0"
 ROWS_PER_PART = 1000
-MAX_NESTED_PHOTOS = 5000
 
 
 def photo_map(photos: DataFrame, chapter_photos: DataFrame, bursts: DataFrame,
@@ -118,10 +118,16 @@ def _meta(meta: DataFrame) -> Column:
 
 def nested_documents(mapped: DataFrame, chapters: DataFrame, chapter_photos: DataFrame, burst_rows: DataFrame,
                      meta: DataFrame, generated_at: Column | None = None, library_id: str = "library_id",
-                     max_photos: int = MAX_NESTED_PHOTOS) -> DataFrame:
-    """One JSON document per library of at most ``max_photos``; larger ones are served by ``document_parts``."""
-    small = mapped.groupBy(library_id).agg(F.count("*").alias("_n")).where(F.col("_n") <= max_photos).select(library_id)
-    only = lambda df: df.join(small, library_id, "left_semi")
+                     max_photos: int | None = None) -> DataFrame:
+    """One JSON document per library, of every library unless the caller sets ``max_photos``.
+
+    The whole document is one row; ``document_parts`` is the form for libraries
+    of any size.
+    """
+    only = lambda df: df
+    if max_photos is not None:
+        small = mapped.groupBy(library_id).agg(F.count("*").alias("_n")).where(F.col("_n") <= max_photos).select(library_id)
+        only = lambda df: df.join(small, library_id, "left_semi")
     when = F.current_timestamp() if generated_at is None else generated_at
     entries = only(photo_entries(mapped, library_id)).groupBy(library_id).agg(
         F.map_from_entries(F.collect_list(F.struct("id", F.struct(*ENTRY)))).alias("photos"))

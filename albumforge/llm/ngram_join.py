@@ -12,8 +12,8 @@ orders, by other hashes, sift the candidates that are left, before whole sets
 are compared.
 
 Nodes are distinct shingle sets: exact copies meet once. In a group of sets
-that share a shingle, each is held against the group's first; sets still apart
-after that are compared across components only, so a group of alike sets never
+that share a shingle, each is held against the one with the fewest shingles of
+its own, which for copies with edits is their origin; sets still apart after that are compared across components only, so a group of alike sets never
 gives all its pairs, and no link between components is missed.
 """
 
@@ -163,8 +163,9 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
     # Within one set: shingles that no other prefix holds come first, then those that few hold.
     own = Window.partitionBy("digest")
     length = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1").cast("int")
-    place = length - F.count(F.lit(1)).over(own).cast("int") + F.row_number().over(own.orderBy("shared", "token")) - 1
-    members = written(shared.select("token", "hot", "digest", "n", length.alias("length"), place.alias("place")), "ngram-members")
+    alone = length - F.count(F.lit(1)).over(own).cast("int")
+    place = alone + F.row_number().over(own.orderBy("shared", "token")) - 1
+    members = written(shared.select("token", "hot", "digest", "n", length.alias("length"), alone.alias("alone"), place.alias("place")), "ngram-members")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of digests that link: the other orders' prefixes first, then whole sets."""
@@ -279,23 +280,25 @@ def _side(members: DataFrame, k: int, *more: str) -> DataFrame:
 
 def _by_token(members: DataFrame) -> DataFrame:
     # A shingle below the hot class is in fewer than 2^14 distinct sets, so its group is bounded.
-    return members.filter("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token", "digest")
+    return members.filter("NOT hot").drop("hot").repartition("token").sortWithinPartitions("token", "alone", "digest")
 
 
 def _stars(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of each shingle's first set with its others, where they pass the filters."""
+    """Pairs (a < b) of each shingle's leading set, which has the fewest shingles of its own, with its others, where they pass the filters."""
     def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, mark, n, length, place in _whole_groups(batches, ["token", *_SIDE], 1):
             begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             lead = np.repeat(begin, np.diff(np.append(begin, len(token))))
             good = _close(n[lead], length[lead], place[lead], n, length, place, num, den) & (lead != np.arange(len(lead)))
             if good.any():
-                yield pa.RecordBatch.from_pydict({"a": mark[lead][good], "b": mark[good]})
+                a, b = mark[lead][good], mark[good]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     hot = members.filter("hot")
-    first = hot.groupBy("token").agg(F.min(F.struct(*_SIDE)).alias("f")).select("token", *[F.col(f"f.{c}").alias(f"{c}_1") for c in _SIDE])
-    far = _side(hot, 2).join(first, "token").filter(f"digest_1 < digest_2 AND {_close_columns(num, den)}")
-    return _by_token(members).mapInArrow(starred, "a long, b long").unionByName(far.select(F.col("digest_1").alias("a"), F.col("digest_2").alias("b")))
+    first = hot.groupBy("token").agg(F.min(F.struct("alone", *_SIDE)).alias("f")).select("token", *[F.col(f"f.{c}").alias(f"{c}_1") for c in _SIDE])
+    far = _side(hot, 2).join(first, "token").filter(f"digest_1 <> digest_2 AND {_close_columns(num, den)}")
+    return _by_token(members).mapInArrow(starred, "a long, b long").unionByName(
+        far.select(F.least("digest_1", "digest_2").alias("a"), F.greatest("digest_1", "digest_2").alias("b")))
 
 
 def _across(held: DataFrame, num: int, den: int) -> DataFrame:

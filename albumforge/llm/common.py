@@ -68,3 +68,20 @@ MOST_BROADCAST = 1_000_000
 def sized(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """``df`` marked for broadcast if it has ``most`` rows at most; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def cutoff(df: DataFrame, count: str, most: int) -> int:
+    """The least count that no more than ``most`` rows reach; rows with equal counts are in or out together.
+
+    Counts are tallied by value, from 65,536 on by powers of two, so the driver
+    gets a bounded histogram and no task sorts the rows.
+    """
+    bucket = F.when(F.col(count) < 65536, F.col(count)).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(count))).cast("long"))
+    tally = sorted(((r["b"], r["n"]) for r in df.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, rows = 1 << 62, 0
+    for value, n in tally:
+        rows += n
+        if rows > most:
+            break
+        least = value
+    return least

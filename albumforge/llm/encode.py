@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of texts handled at a time, and distinct words that a worker remembers (a bound on its memory, not on the words).
-BLOCK_BYTES, REMEMBERED = 8 << 20, 800_000
+BLOCK_BYTES, REMEMBERED = 2 << 20, 500_000
 
 #: Where a word ends before ASCII punctuation the vocabularies cut too, so words and what is stuck to them are remembered apart.
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -69,7 +69,19 @@ class WordEncoder:
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.starts, self.lengths, self.blocks = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def _thin(self) -> None:
+        """Leave words that came in more than one block since the last time; all go where these are too many."""
+        n = len(self.places)
+        kept = np.flatnonzero(self.blocks[:n] > 1)
+        if len(kept) > REMEMBERED * 3 // 4:
+            self._forget()
+            return
+        words = np.array(list(self.places), object)[kept].tolist()
+        ids, lengths = gather(self.flat, self.starts[kept], self.lengths[kept]), self.lengths[kept]
+        self._forget()
+        self._keep(words, ids, lengths)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -81,6 +93,7 @@ class WordEncoder:
         have = len(self.places)
         while have + len(words) > len(self.starts):
             self.starts, self.lengths = np.concatenate([self.starts, np.empty_like(self.starts)]), np.concatenate([self.lengths, np.empty_like(self.lengths)])
+            self.blocks = np.concatenate([self.blocks, np.zeros_like(self.blocks)])
         self.starts[have:have + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[have:have + len(words)] = lengths
         self.places.update(zip(words, range(have, have + len(words)), strict=True))
@@ -142,10 +155,11 @@ class WordEncoder:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.places) > REMEMBERED:
-            self._forget()
+            self._thin()
         fresh = [w for w in distinct if w not in self.places]
         self._learn(fresh)
         places = np.fromiter((self.places[w] for w in distinct), np.int64, len(distinct))
+        self.blocks[places] += 1
         starts_of, lengths_of = self.starts[places], self.lengths[places]
         index = coded.indices.to_numpy(zero_copy_only=False)
         lengths = lengths_of[index]

@@ -36,7 +36,7 @@ from albumforge.llm.shingles import digests, mixed, shingle_sets
 #: Sketch cells as a power of two; sets whose digests a task remembers, to pass over copies; count class from which a shingle's postings are salted.
 CELL_BITS, SEEN, HOT_CLASS, SALTS = 21, 1_000_000, 15, 32
 MARK_BITS = 25
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def _cells(shingles: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
@@ -116,7 +116,7 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
         sets, sketch, none = _Sets(words), np.zeros(1 << CELL_BITS, np.int64), None
         for batch in batches:
             for lo, shingles, counts, marks, new in sets.blocks(batch):
-                sketch += np.bincount(_cells(shingles[np.repeat(new, counts)]), minlength=1 << CELL_BITS)
+                np.add.at(sketch, _cells(shingles[np.repeat(new, counts)]), 1)
                 ids = none = batch.column(0).slice(lo, len(counts))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.array(marks), pa.nulls(len(counts), pa.binary())], names=["doc_id", "n", "digest", "sketch"])
         if none is not None:
@@ -172,11 +172,12 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(1 << MARK_BITS, bool)
+            bits = np.zeros(1 << MARK_BITS - 3, np.uint8)
             for batch in batches:
-                bits[_cells(batch.column(0).to_numpy().view(np.uint64), MARK_BITS)] = True
+                cells = _cells(batch.column(0).to_numpy().view(np.uint64), MARK_BITS)
+                np.bitwise_or.at(bits, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
             if bits.any():
-                yield pa.RecordBatch.from_pydict({"sketch": pa.array([_packed(np.packbits(bits))], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"sketch": pa.array([_packed(bits)], pa.binary())})
 
         # At most 4 MB: which digests are wanted. A bit set by another digest only lets a set through that no pair asks for.
         bits = _merged_bits(written(wanted.mapInArrow(mark, "sketch binary"), "ngram-marks"))
@@ -185,10 +186,11 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
         sent = sc.broadcast(bits)
 
         def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sets, asked = _Sets(words), np.unpackbits(sent.value).view(bool)
+            sets, asked = _Sets(words), sent.value
             for batch in batches:
                 for _, shingles, n, marks, new in sets.blocks(batch):
-                    new &= asked[_cells(marks.view(np.uint64), MARK_BITS)]
+                    cells = _cells(marks.view(np.uint64), MARK_BITS)
+                    new &= (asked[cells >> 3] >> (cells & 7) & 1).astype(bool)
                     ends = np.cumsum(n)
                     own = [shingles[e - m:e] for e, m in zip(ends[new], n[new], strict=True)]
                     firsts = [[_ordered(x, classes.value, k)[:_prefix(len(x), num, den)].view(np.int64) for k in range(2, orders + 1)] for x in own]

@@ -24,7 +24,7 @@ from albumforge.llm.encode import string_blocks
 #: Hashed features, rank of the space, labelled vectors of each class, neighbours that vote.
 FEATURES, RANK, EACH_CLASS, NEIGHBOURS = 4096, 48, 2048, 15
 REPEATED = 8.0
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 def _hashed(strings: pa.Array, salt: int) -> np.ndarray:

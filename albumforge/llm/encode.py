@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -182,3 +183,9 @@ class WordEncoder:
         odd[starts[:-1][full]] |= space[starts[:-1][full]]
         odd[starts[1:][full] - 1] |= space[starts[1:][full] - 1]
         return np.unique(np.searchsorted(starts, np.flatnonzero(odd), "right") - 1)
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str, end: int, byte_level: bool) -> WordEncoder:
+    """The encoder of this worker process: tasks that it runs one after the other share what was learned."""
+    return WordEncoder(path, end, byte_level)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from albumforge.llm.common import clashing, written
-from albumforge.llm.encode import WordEncoder, string_blocks
+from albumforge.llm.encode import string_blocks, worker_encoder
 
 CAPACITY = 4096
 #: Pieces above this share of the capacity are large; sizes after rounding; tokens that one task packs together.
@@ -33,7 +33,7 @@ LARGE, GROUPS, BLOCK_TOKENS = 1 / 6, 48, 6_000_000
 def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each text and an end id, cut where longer than ``capacity``."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, end, byte_level=False)
+        encoder = worker_encoder(path, end, False)
         for batch in batches:
             for lo, texts in string_blocks(batch.column(1)):
                 ids, counts = encoder.encode(texts)

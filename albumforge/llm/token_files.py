@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumforge.llm.common import clashing, written
-from albumforge.llm.encode import WordEncoder, gather, string_blocks
+from albumforge.llm.encode import gather, string_blocks, worker_encoder
 
 MAGIC = b"repair01"
 #: Ids after which a shard is closed (a document is never split); rounds of replacement, rules of a round, least count of a pair.
@@ -156,7 +156,7 @@ def write_token_files(docs: DataFrame, folder: str | None, path: str, end: int =
     arrow_kind = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number = WordEncoder(path, end, byte_level=True), 0
+        encoder, number = worker_encoder(path, end, True), 0
         ids, counts, keys = np.empty(0, np.uint32), np.empty(0, np.int64), []
         part = 0
 

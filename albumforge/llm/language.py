@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from albumforge.llm.common import clashing, in_fold, written
 from albumforge.llm.encode import string_blocks
+from albumforge.llm.workers import lean
 
 #: Longest n-gram; entries of the model, of words and of n-grams, per language; languages (an entry is about 100 bytes in a worker).
 LONGEST, MOST_WORDS, MOST_GRAMS, MOST_LANGUAGES = 4, 20_000, 20_000, 64
@@ -146,7 +147,7 @@ def language_of(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id",
                     share[some] = (odds.max(axis=1) / odds.sum(axis=1))[some]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(names[best], pa.string()), pa.array(share)], names=["doc_id", "lang_pred", "score"])
 
-    return text.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return text.mapInArrow(lean(predict), f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out_language(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:

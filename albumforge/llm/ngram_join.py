@@ -32,6 +32,7 @@ from albumforge.llm.common import clashing, written
 from albumforge.llm.encode import string_blocks
 from albumforge.llm.graph import components
 from albumforge.llm.shingles import digests, mixed, shingle_sets
+from albumforge.llm.workers import lean
 
 #: Sketch cells as a power of two; sets whose digests a task remembers, to pass over copies; count class from which a shingle's postings are salted.
 CELL_BITS, SEEN, HOT_CLASS, SALTS = 21, 1_000_000, 15, 32
@@ -123,7 +124,7 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, none.type), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([_packed(sketch)], pa.binary())],
                                              names=["doc_id", "n", "digest", "sketch"])
 
-    surveyed = written(text.mapInArrow(survey, f"doc_id {kind}, n long, digest long, sketch binary"), "ngram-survey")
+    surveyed = written(text.mapInArrow(lean(survey), f"doc_id {kind}, n long, digest long, sketch binary"), "ngram-survey")
     nodes = surveyed.filter("n >= 0").drop("sketch")
     counts = _merged(surveyed.filter("n < 0").select("sketch"))
     if counts is None:
@@ -158,8 +159,8 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
             keep = shared > 1
             yield pa.RecordBatch.from_pydict({"token": token[keep], "hot": salt[keep] > 0, "digest": mark[keep], "n": n[keep], "shared": shared[keep]})
 
-    dealt = text.mapInArrow(posted, "token long, salt int, digest long, n int").repartition("token", "salt").sortWithinPartitions("token", "salt", "digest")
-    shared = dealt.mapInArrow(grouped, "token long, hot boolean, digest long, n int, shared long")
+    dealt = text.mapInArrow(lean(posted), "token long, salt int, digest long, n int").repartition("token", "salt").sortWithinPartitions("token", "salt", "digest")
+    shared = dealt.mapInArrow(lean(grouped), "token long, hot boolean, digest long, n int, shared long")
     # Within one set: shingles that no other prefix holds come first, then those that few hold.
     own = Window.partitionBy("digest")
     length = F.expr(f"n - (({num} * n + {den - 1}) div {den}) + 1").cast("int")
@@ -198,7 +199,7 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
                         yield pa.RecordBatch.from_arrays([pa.array(marks[new]), pa.array(firsts, pa.list_(pa.list_(pa.int64()))),
                                                           pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], names=["digest", "firsts", "shingles"])
 
-        sets = written(text.mapInArrow(drawn, "digest long, firsts array<array<long>>, shingles array<long>").dropDuplicates(["digest"]), "ngram-sets")
+        sets = written(text.mapInArrow(lean(drawn), "digest long, firsts array<array<long>>, shingles array<long>").dropDuplicates(["digest"]), "ngram-sets")
         firsts, whole = sets.select("digest", "firsts"), sets.select("digest", "shingles")
         sifted = (pairs.join(firsts.toDF("a", "first_a"), "a").join(firsts.toDF("b", "first_b"), "b")
                   .filter(F.forall(F.arrays_zip("first_a", "first_b"), lambda f: F.arrays_overlap(f["first_a"], f["first_b"]))).select("a", "b"))
@@ -299,7 +300,7 @@ def _stars(members: DataFrame, num: int, den: int) -> DataFrame:
     hot = members.filter("hot")
     first = hot.groupBy("token").agg(F.min(F.struct("alone", *_SIDE)).alias("f")).select("token", *[F.col(f"f.{c}").alias(f"{c}_1") for c in _SIDE])
     far = _side(hot, 2).join(first, "token").filter(f"digest_1 <> digest_2 AND {_close_columns(num, den)}")
-    return _by_token(members).mapInArrow(starred, "a long, b long").unionByName(
+    return _by_token(members).mapInArrow(lean(starred), "a long, b long").unionByName(
         far.select(F.least("digest_1", "digest_2").alias("a"), F.greatest("digest_1", "digest_2").alias("b")))
 
 
@@ -323,4 +324,4 @@ def _across(held: DataFrame, num: int, den: int) -> DataFrame:
     open_ = hot.groupBy("token").agg((F.min("component") != F.max("component")).alias("open")).filter("open").select("token")
     pairs = _side(hot.join(open_, "token", "left_semi"), 1, "component").join(_side(hot, 2, "component"), "token").filter(
         f"digest_1 < digest_2 AND component_1 <> component_2 AND {_close_columns(num, den)}")
-    return _by_token(held).mapInArrow(crossed, "a long, b long").unionByName(pairs.select(F.col("digest_1").alias("a"), F.col("digest_2").alias("b")))
+    return _by_token(held).mapInArrow(lean(crossed), "a long, b long").unionByName(pairs.select(F.col("digest_1").alias("a"), F.col("digest_2").alias("b")))

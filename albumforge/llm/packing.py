@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from albumforge.llm.common import clashing, written
 from albumforge.llm.encode import string_blocks, worker_encoder
+from albumforge.llm.workers import lean
 
 CAPACITY = 4096
 #: Pieces above this share of the capacity are large; sizes after rounding; tokens that one task packs together.
@@ -50,7 +51,7 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, id_co
 
     named = clashing(docs, id_column, text_column).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = named.schema["doc_id"].dataType.simpleString()
-    return named.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return named.mapInArrow(lean(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def _fullest(sizes: list[int], left: list[int], capacity: int) -> list[int]:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from albumforge.llm.common import clashing, in_fold, sized
 from albumforge.llm.encode import string_blocks
+from albumforge.llm.workers import lean
 
 #: Hashed features, rank of the space, labelled vectors of each class, neighbours that vote.
 FEATURES, RANK, EACH_CLASS, NEIGHBOURS = 4096, 48, 2048, 15
@@ -126,7 +127,7 @@ def quality_votes(docs: DataFrame, sample: DataFrame, id_column: str = "doc_id",
                 own = space.value.score(texts) if space.value else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(own, pa.float64())], names=["doc_id", "score"])
 
-    return text.mapInArrow(score, f"doc_id {kind}, score double")
+    return text.mapInArrow(lean(score), f"doc_id {kind}, score double")
 
 
 def held_out_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from albumforge.llm.common import clashing, written
 from albumforge.llm.encode import gather, string_blocks, worker_encoder
+from albumforge.llm.workers import lean
 
 MAGIC = b"repair01"
 #: Ids after which a shard is closed (a document is never split); rounds of replacement, rules of a round, least count of a pair.
@@ -181,7 +182,7 @@ def write_token_files(docs: DataFrame, folder: str | None, path: str, end: int =
             yield shard(len(counts))
 
     ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    made = ordered.mapInArrow(shards, SHARDS.format(kind=kind))
+    made = ordered.mapInArrow(lean(shards), SHARDS.format(kind=kind))
     if folder is None:
         return written(made, "token-files")
     made.write.parquet(folder)
@@ -221,5 +222,5 @@ def read_digests(files: DataFrame) -> DataFrame:
                     batch.column("doc_ids")[i].values, pa.array(ends - counts), pa.array(counts), pa.array(crc)],
                     names=["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    decoded = files.mapInArrow(decode, f"part int, shard int, doc_id {kind}, at long, n_tokens long, ids_crc32 long")
+    decoded = files.mapInArrow(lean(decode), f"part int, shard int, doc_id {kind}, at long, n_tokens long, ids_crc32 long")
     return decoded.join(_starts(files), ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

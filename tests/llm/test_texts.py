@@ -175,6 +175,22 @@ def test_language(spark, docs, nothing):
     assert {r["lang_pred"] for r in language_of(docs, labelled.limit(0)).collect()} == {"und"}
 
 
+def test_language_reads_whole_runs_and_every_lang(spark):
+    # 70 letters that both languages have, then 200 of one alone, in one run; and more languages than 64.
+    labelled = spark.createDataFrame([("kakakaka " * 3, "aa"), ("kakakaka " * 3 + "zuzizuzi", "bb")] + [(f"q{chr(0x4E00 + i)}q " * 2, f"l{i:02}") for i in range(70)], "text string, lang string")
+    asked = [(1, "ka" * 35 + "zuzi" * 50), *[(100 + i, f"q{chr(0x4E00 + i)}q") for i in range(70)]]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_of(spark.createDataFrame(asked, "doc_id long, text string"), labelled).collect()}
+    assert got == {1: "bb"} | {100 + i: f"l{i:02}" for i in range(70)}
+
+
+def test_language_does_not_depend_on_what_is_broadcast(spark, docs):
+    rng = random.Random(5)
+    labelled = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(12)), lang) for lang, words in VOCABULARY.items() for _ in range(10)], "text string, lang string")
+    asked = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900, "wassers steine the lichter zzz"), (901, "qq"), (902, None)], "doc_id long, text string"))
+    whole, joined = ({(r["doc_id"], r["lang_pred"], round(r["score"], 9)): 1 for r in language_of(asked, labelled, head_rates=h, gram_rates=g).collect()} for h, g in ((10**6, 10**6), (9, 0)))
+    assert whole == joined
+
+
 def labelled_texts(spark, bad, n=300):
     rng = random.Random(6)
     plain = ["".join(rng.choice("klmnoprst") for _ in range(4)) for _ in range(150)]

@@ -3,7 +3,7 @@
 Each stage works on all rows that its predecessor kept and returns the columns
 of documents, but for the last, which returns the packed pieces. A decision is
 made per id: rows that share an id share it. Rows with a null id are judged
-together, as one id.
+together, as one id. Only the join decides per row, by a key of its own.
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    joined = written(ngram_jaccard_join(docs), "components")
-    first = joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = _only(docs, first)
-    # Equal ids are rare; only then is the text dealt by id to leave one row of each.
-    rows, ids = first.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).first()
-    return kept if rows == ids else kept.dropDuplicates(["doc_id"])
+    """One row of each group of near copies: the one with the smallest id, null ids last. Rows without links all stay, whatever their ids."""
+    # Written once, so that a row has the same key wherever it is read.
+    keyed = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    joined = written(ngram_jaccard_join(keyed, "_key").select(F.col("doc_id").alias("_key"), "component_id"), "components")
+    by_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    first = joined.join(keyed.select("_key", "doc_id"), "_key").groupBy("component_id").agg(F.min(by_id).alias("first"))
+    return keyed.join(sized(written(first.select("first._key"), "leaders")), "_key", "left_semi").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from albumforge.llm.graph import components
 from albumforge.llm.license_scan import TEMPLATES, license_scan
 from albumforge.llm.ngram_join import ngram_jaccard_join
@@ -47,6 +48,27 @@ def test_join_equals_brute_force(docs, rows, hot_class):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
 
 
+def test_near_copies_keep_one_row_of_each_group(spark, rows, framed):
+    # A third of the ids null, the others shared by rows with different texts.
+    own = [(None if i % 3 == 0 else i // 4, *r[1:]) for i, r in enumerate(rows)]
+    sets = [shingles(r[1]) for r in own]
+    group = list(range(len(own)))
+    for i in range(len(own)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {}
+    for g, r in zip(group, own, strict=True):
+        first[g] = min(first.get(g, (True, 0)), (r[0] is None, r[0] or 0))
+    docs = framed(own)
+    got = corpus_pipeline.near_copies(spark, docs.repartition(3), "")
+    assert got.columns == docs.columns
+    of_text = {r[1]: g for g, r in zip(group, own, strict=True) if shingles(r[1])}
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert Counter((of_text[t], i is None, i or 0) for i, t in kept if t in of_text) == Counter((g, *first[g]) for g in set(of_text.values()))
+    assert Counter(x for x in kept if x[1] not in of_text) == Counter((r[0], r[1]) for r in own if not shingles(r[1]))
+
+
 def test_join_of_nothing(nothing):
     assert ngram_jaccard_join(nothing).collect() == []
 

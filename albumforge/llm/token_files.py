@@ -3,7 +3,7 @@
 Documents are dealt by ranges of their id and written in ascending order. A
 shard is a row of a Parquet table: the ids of its documents, compressed. In
 rounds, the most frequent neighbouring pairs of a shard get nonterminals and
-are replaced from left to right; a rule is a pair, and the length of its
+are replaced from left to right, until no pair is frequent; a rule is a pair, and the length of its
 expansion is stored with it, so a place in the shard is found by adding up
 lengths, without decoding what comes before.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from albumforge.llm.encode import gather, string_blocks, worker_encoder
 from albumforge.llm.workers import lean
 
 MAGIC = b"repair01"
-#: Ids after which a shard is closed (a document is never split); rounds of replacement, rules of a round, least count of a pair.
-SHARD_IDS, ROUNDS, ROUND_RULES, LEAST = 1 << 20, 5, 2048, 12
+#: Ids after which a shard is closed (a document is never split); rules of a round, least count of a pair.
+SHARD_IDS, ROUND_RULES, LEAST = 1 << 20, 2048, 12
 CELLS = 1 << 18
 
 
@@ -40,29 +41,34 @@ def _cells(code: np.ndarray) -> np.ndarray:
     return (code * np.int64(-7046029254386353131) >> np.int64(64 - 18)) & np.int64(CELLS - 1)
 
 
-def _frequent(code: np.ndarray, cell: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent pair codes, counted exactly; pairs in cells that are too empty can't be frequent and are not sorted."""
+def _frequent(code: np.ndarray, cell: np.ndarray, most: int, least: int) -> tuple[np.ndarray, bool]:
+    """The most frequent pair codes, counted exactly, and whether they are all that stand ``least`` times; pairs in cells that are too empty can't be frequent and are not sorted."""
     filled = np.bincount(cell, minlength=CELLS)
     cut = least
     if (filled >= cut).sum() > 4 * most:
         cut = max(cut, int(np.partition(filled, -4 * most)[-4 * most]))
     found, n = np.unique(code[filled[cell] >= cut], return_counts=True)
     keep = n >= least
+    if cut > least and not keep.any():
+        # Full cells of rare pairs only: emptier cells may still hold a frequent one.
+        cut = least
+        found, n = np.unique(code[filled[cell] >= cut], return_counts=True)
+        keep = n >= least
     found, n = found[keep], n[keep]
-    return found[np.lexsort((found, -n))[:most]]
+    return found[np.lexsort((found, -n))[:most]], cut == least and len(found) <= most
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, least: int = LEAST) -> bytes:
-    """A shard's payload. ``rounds`` and the other limits weigh time against size; what is left unreplaced stays as it is."""
+def compress(ids: np.ndarray, rounds: int | None = None, round_rules: int = ROUND_RULES, least: int = LEAST) -> bytes:
+    """A shard's payload. Rounds go on until no pair stands ``least`` times, or for ``rounds`` of them."""
     symbols = ids.astype(np.int32)
     bound = int(symbols.max()) + 1 if len(symbols) else 0
-    left, right, lengths = [], [], np.ones(bound, np.int64)
-    for _ in range(rounds):
+    left, right, lengths, look = [], [], np.ones(bound, np.int64), None
+    for _ in count() if rounds is None else range(rounds):
         if len(symbols) < 2:
             break
-        code = _pairs(symbols)
+        code = _pairs(symbols) if look is None else symbols[look].astype(np.int64) << 32 | symbols[look + 1]
         cell = _cells(code)
-        rules = _frequent(code, cell, round_rules, least)
+        rules, whole = _frequent(code, cell, round_rules, least)
         if not len(rules):
             break
         by = np.sort(rules)
@@ -72,7 +78,7 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RUL
         own = code[hit]
         at = np.minimum(np.searchsorted(by, own), len(by) - 1)
         same = by[at] == own
-        hit, at = hit[same], at[same]
+        hit, at = hit[same] if look is None else look[hit[same]], at[same]
         # Overlapping hits: within a run of hits every second one is taken, from the left.
         begins = np.flatnonzero(np.append(True, hit[1:] != hit[:-1] + 1))
         since = np.arange(len(hit)) - np.repeat(begins, np.diff(np.append(begins, len(hit))))
@@ -90,6 +96,11 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RUL
         stay[hit + 1] = False
         symbols[hit] = base + name[at]
         symbols = symbols[stay]
+        look = None
+        if whole:
+            # Every frequent pair was replaced wherever it stood: only pairs with a new symbol can be frequent next time.
+            new = symbols >= base
+            look = np.flatnonzero(new[:-1] | new[1:])
     a, b = (np.concatenate(x).astype("<i4") if x else np.empty(0, "<i4") for x in (left, right))
     head = np.array([bound, len(a), len(symbols)], "<i8").tobytes()
     width = "<u2" if len(lengths) <= 1 << 16 else "<u4"

@@ -175,6 +175,17 @@ def test_language(spark, docs, nothing):
     assert {r["lang_pred"] for r in language_of(docs, labelled.limit(0)).collect()} == {"und"}
 
 
+def test_no_frequent_pair_is_left_in_a_shard():
+    rng = np.random.default_rng(3)
+    passages = [rng.integers(0, 3000, n) for n in (300, 90, 41)]
+    ids = np.concatenate([np.append(passages[i], rng.integers(0, 3000, 7)) for i in rng.integers(0, 3, 200)] + [np.full(999, 5), rng.integers(0, 40, 20_000)]).astype(np.uint32)
+    for rules in (2048, 20):
+        shard = Shard(compress(ids, round_rules=rules))
+        symbols = shard.symbols.astype(np.int64)
+        assert np.unique(symbols[:-1] << 32 | symbols[1:], return_counts=True)[1].max() < 12
+        assert (shard.all() == ids).all() and shard.rule_lengths.max() >= 300
+
+
 def test_language_reads_whole_runs_and_every_lang(spark):
     # 70 letters that both languages have, then 200 of one alone, in one run; and more languages than 64.
     labelled = spark.createDataFrame([("kakakaka " * 3, "aa"), ("kakakaka " * 3 + "zuzizuzi", "bb")] + [(f"q{chr(0x4E00 + i)}q " * 2, f"l{i:02}") for i in range(70)], "text string, lang string")

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of texts handled at a time, and distinct words that a worker remembers (a bound on its memory, not on the words).
-BLOCK_BYTES, REMEMBERED = 2 << 20, 500_000
+BLOCK_BYTES, REMEMBERED = 1 << 20, 300_000
 
 #: Where a word ends before ASCII punctuation the vocabularies cut too, so words and what is stuck to them are remembered apart.
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -31,13 +31,13 @@ _ODD_SPACE = re.compile(rb"[\t\x0b-\r\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2
 _ALONE = re.compile(r"^[^\S \n]|.\s|<\||^\s?$", re.S)
 
 
-def string_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES):
-    """(first row, texts) in blocks of about ``block_bytes``; nulls become empty."""
+def string_blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES, block_rows: int = 1 << 30):
+    """(first row, texts) in blocks of about ``block_bytes`` and at most ``block_rows`` rows; nulls become empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     lo = 0
     while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + block_bytes, "right")) - 1)
+        hi = max(lo + 1, min(lo + block_rows, int(np.searchsorted(ends, ends[lo] + block_bytes, "right")) - 1))
         yield lo, texts.slice(lo, hi - lo)
         lo = hi
 

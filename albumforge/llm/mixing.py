@@ -14,10 +14,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from albumforge.llm.common import SPACES, clashing, numbered, text_or_empty, written
+from albumforge.llm.common import SPACES, clashing, numbered, scanned, text_or_empty, written
+from albumforge.llm.workers import lean_group
 
 #: Weights by source, in code point order, repeated; share of all words to take; most copies of a document.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -109,33 +110,37 @@ def _round_group(pdf: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", weights: tuple[int, ...] = WEIGHTS,
-        share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (0 to ``most``) for every row.
+        share: float = SHARE, most: float = MOST, seed: int = 7, key_column: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies (0 to ``most``) for every row, and its ``row_key`` where ``key_column`` (text) is given.
 
     Draws hang on the seed, the id and the place among equal rows, so reruns
     agree whatever the partitions. Null source: a source of its own, weighed last.
     Null ids take part like any other. A document without words is never drawn;
-    a target of a source without words is 0. Equal rows are rounded one by one.
+    a target of a source without words is 0. Rows of one id and size are rounded
+    one by one, numbered by ranges, so any number of them may be equal. Of a very
+    long text only the size goes on; other columns are left out.
     """
     # Ids travel as text: pandas would turn whole numbers next to a null into floats.
-    sized = clashing(docs, id_column, source_column, text_column).select(
-        F.col(id_column).cast("string").alias("doc_id"), F.col(source_column).alias("source"), word_count(text_column).alias("size"))
-    counted = written(sized, "mix-sizes")
+    key = F.lit(None).cast("string") if key_column is None else F.col(key_column)
+    sized = clashing(docs, *dict.fromkeys([id_column, source_column, text_column, *([key_column] if key_column else [])])).select(
+        F.col(id_column).cast("string").alias("doc_id"), F.col(source_column).alias("source"), word_count(text_column).alias("size"),
+        key.alias("row_key"), F.xxhash64(text_column).alias("text_hash"))
+    numbered_rows = written(sized.withColumn("equal", F.xxhash64("source", "doc_id", "size")).withColumn("one", F.lit(1).cast("long")).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    counted = scanned(numbered_rows, "equal", ["source", "doc_id", "size", "text_hash", "row"], {"one": "add"}, "mix-sizes").withColumn("copy", F.col("run_one").cast("int"))
     goal = targets(counted, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    equal = F.row_number().over(Window.partitionBy("source", "doc_id", "size").orderBy(F.lit(1)))
     order = F.xxhash64("doc_id", "size")
-    rated = counted.withColumn("copy", equal).join(goal.withColumn("rate", rate), counted["source"].eqNullSafe(goal["source"]), "left").drop(goal["source"])
-    base = rated.select("doc_id", "source", "size", "source_size", "target", "source_rows", "copy", order.alias("order"),
+    rated = counted.join(goal.withColumn("rate", rate), counted["source"].eqNullSafe(goal["source"]), "left").drop(goal["source"])
+    base = rated.select("row_key", "doc_id", "source", "size", "source_size", "target", "source_rows", "copy", order.alias("order"),
                         F.floor("rate").cast("int").alias("whole"),
                         F.when(F.col("size") > 0, F.col("rate") - F.floor("rate")).otherwise(0.0).alias("part"))
-    schema = "doc_id string, source string, size long, source_size long, target double, source_rows long, copy int, order long, whole int, part double, done boolean"
+    schema = "row_key string, doc_id string, source string, size long, source_size long, target double, source_rows long, copy int, order long, whole int, part double, done boolean"
     level, out, rows = 0, [], base
     while True:
         groups = F.ceil(F.col("source_rows") / GROUP_ROWS).cast("int")
         dealt = rows.withColumn("group", F.pmod(F.xxhash64("order", "copy", F.lit(level)), groups))
         most_groups = dealt.agg(F.max(groups)).first()[0] or 1
-        rounded = written(dealt.groupBy("source", "group").applyInPandas(_rounder(seed + level, most_groups <= 1), schema), f"mix-level{level}")
+        rounded = written(dealt.groupBy("source", "group").applyInPandas(lean_group(_rounder(seed + level, most_groups <= 1)), schema), f"mix-level{level}")
         out.append(rounded.filter("done"))
         if most_groups <= 1:
             break
@@ -145,4 +150,5 @@ def mix(docs: DataFrame, id_column: str = "doc_id", source_column: str = "source
     decided = out[0]
     for more in out[1:]:
         decided = decided.unionByName(more)
-    return decided.select(F.col("doc_id").cast(docs.schema[id_column].dataType), "source", "size", "source_size", "target", (F.col("whole") + F.round("part").cast("int")).alias("copies"))
+    return decided.select(F.col("doc_id").cast(docs.schema[id_column].dataType), "source", "size", "source_size", "target", (F.col("whole") + F.round("part").cast("int")).alias("copies"),
+                          *(["row_key"] if key_column else []))

@@ -181,7 +181,7 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column:
                 yield pa.RecordBatch.from_pydict({"sketch": pa.array([_packed(bits)], pa.binary())})
 
         # At most 4 MB: which digests are wanted. A bit set by another digest only lets a set through that no pair asks for.
-        bits = _merged_bits(written(wanted.mapInArrow(mark, "sketch binary"), "ngram-marks"))
+        bits = _merged_bits(written(wanted.mapInArrow(lean(mark), "sketch binary"), "ngram-marks"))
         if bits is None:
             return spark.createDataFrame([], "a long, b long")
         sent = sc.broadcast(bits)

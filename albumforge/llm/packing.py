@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from albumforge.llm.common import clashing, written
 from albumforge.llm.encode import string_blocks, worker_encoder
-from albumforge.llm.workers import lean
+from albumforge.llm.workers import lean, lean_group
 
 CAPACITY = 4096
-#: Pieces above this share of the capacity are large; sizes after rounding; tokens that one task packs together.
-LARGE, GROUPS, BLOCK_TOKENS = 1 / 6, 48, 6_000_000
+#: Pieces above this share of the capacity are large; sizes after rounding; tokens, and pieces, that one task packs together.
+LARGE, GROUPS, BLOCK_TOKENS, BLOCK_PIECES = 1 / 6, 48, 6_000_000, 200_000
 
 
 def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -135,10 +135,10 @@ def best_fit_packing(docs: DataFrame, path: str, end: int = 1, capacity: int = C
     """
     kind = docs.schema[id_column].dataType
     cut = written(pieces(docs, path, end, capacity, id_column, text_column), "pack-pieces")
-    tokens = cut.agg(F.sum("length")).first()[0] or 0
-    blocks = max(1, -(-tokens // BLOCK_TOKENS))
+    size = cut.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("pieces")).first()
+    blocks = max(1, -(-size["tokens"] // BLOCK_TOKENS), -(-size["pieces"] // BLOCK_PIECES))
     # Equal pieces differ by their file row only: a random deal would not rerun, and one block is bounded either way.
     spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(blocks)).cast("int")
     dealt = cut.withColumn("row", F.monotonically_increasing_id()).withColumn("block", spread).drop("row").withColumn("doc_id", F.col("doc_id").cast("string"))
-    packed = dealt.groupBy("block").applyInPandas(_pack(capacity), "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = dealt.groupBy("block").applyInPandas(lean_group(_pack(capacity)), "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return packed.withColumn("doc_id", F.col("doc_id").cast(kind))

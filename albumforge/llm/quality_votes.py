@@ -17,15 +17,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from albumforge.llm.common import clashing, in_fold, sized
+from albumforge.llm.common import clashing, fresh, in_fold, sized
 from albumforge.llm.encode import string_blocks
 from albumforge.llm.workers import lean
 
 #: Hashed features, rank of the space, labelled vectors of each class, neighbours that vote.
 FEATURES, RANK, EACH_CLASS, NEIGHBOURS = 4096, 48, 2048, 15
 REPEATED = 8.0
-BLOCK = 1 << 20
+#: Bytes and rows of texts handled at a time: a block's bags are a dense matrix of rows by features.
+BLOCK, BLOCK_ROWS = 1 << 19, 256
 
 
 def _hashed(strings: pa.Array, salt: int) -> np.ndarray:
@@ -93,13 +95,13 @@ def fit(sample: DataFrame) -> Space | None:
     """The space of a bounded sample (columns text, label): its bags reach the driver as sparse rows."""
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, texts in string_blocks(batch.column(0), BLOCK):
+            for lo, texts in string_blocks(batch.column(0), BLOCK, BLOCK_ROWS):
                 x = bags(texts)
                 at = [np.flatnonzero(row) for row in x]
                 yield pa.RecordBatch.from_arrays([pa.array([a.astype(np.int32).tobytes() for a in at], pa.binary()), pa.array([row[a].tobytes() for row, a in zip(x, at, strict=True)], pa.binary()),
                                                   batch.column(1).slice(lo, len(texts)).cast(pa.int32())], names=["at", "x", "label"])
 
-    rows = sample.select("text", "label").mapInArrow(sparse, "at binary, x binary, label int").collect()
+    rows = sample.select("text", "label").mapInArrow(lean(sparse), "at binary, x binary, label int").collect()
     if not rows:
         return None
     # The order that rows came in must not matter.
@@ -110,34 +112,51 @@ def fit(sample: DataFrame) -> Space | None:
     return Space(x, np.array([r["label"] for r in rows]))
 
 
+def scored(docs: DataFrame, sample: DataFrame, text_column: str, name: str) -> DataFrame:
+    """``docs``, all columns, with the score ``name`` of each row."""
+    space = docs.sparkSession.sparkContext.broadcast(fit(sample))
+    at = docs.columns.index(text_column)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, texts in string_blocks(batch.column(at), BLOCK, BLOCK_ROWS):
+                own = space.value.score(texts) if space.value else np.zeros(len(texts))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(texts)).columns, pa.array(own, pa.float64())], names=[*docs_columns, name])
+
+    docs_columns = docs.columns
+    return docs.mapInArrow(lean(score), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def quality_votes(docs: DataFrame, sample: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and score (0 to 1, higher: good likelier) of every row of ``docs``; ``sample`` (text, label) must be bounded.
 
     Null and empty texts have no features: they get the sample's share of good
-    texts, as does every text when the sample is empty (0 then). Null ids and
-    equal rows stay; other columns are left out.
+    texts, as does every text when the sample is empty (0 then). Very long texts
+    are one block each. Null ids and equal rows stay; other columns are left out.
     """
-    space = docs.sparkSession.sparkContext.broadcast(fit(sample))
     text = clashing(docs, id_column, text_column).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    kind = text.schema["doc_id"].dataType.simpleString()
+    return scored(text, sample, "text", "score").select("doc_id", "score")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, texts in string_blocks(batch.column(1), BLOCK):
-                own = space.value.score(texts) if space.value else np.zeros(len(texts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(own, pa.float64())], names=["doc_id", "score"])
 
-    return text.mapInArrow(lean(score), f"doc_id {kind}, score double")
+def drawn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", each_class: int = EACH_CLASS) -> DataFrame:
+    """text and label of at most ``each_class`` ids of each label whose crc32 leaves no 0 modulo 5; one text of each id, whatever rows share it."""
+    said = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label")).filter(
+        F.col("_id").isNotNull() & F.col("label").isin(0, 1) & ~in_fold(F.col("_id"), 5, 0)).distinct()
+    picked = [said.filter(F.col("label") == k).orderBy(F.xxhash64("_id"), "_id").limit(each_class) for k in (0, 1)]
+    rows = clashing(docs, id_column, text_column)
+    chosen = sized(picked[0].unionByName(picked[1]))
+    known = rows.join(chosen, rows[id_column] == chosen["_id"]).filter(F.col(text_column).isNotNull())
+    return known.groupBy("_id", "label").agg(F.min_by(F.col(text_column), F.struct(F.xxhash64(text_column), F.length(text_column))).alias("text")).select("text", "label")
 
 
 def held_out_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality",
                      each_class: int = EACH_CLASS, least: float = 0.3) -> DataFrame:
-    """``quality_votes`` of all rows, learned from at most ``each_class`` rows of each label whose crc32 of the id leaves no 0 modulo 5."""
-    said = labels.select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("label")).filter(
-        F.col("_id").isNotNull() & F.col("label").isin(0, 1) & ~in_fold(F.col("_id"), 5, 0)).distinct()
-    drawn = [said.filter(F.col("label") == k).orderBy(F.xxhash64("_id"), "_id").limit(each_class) for k in (0, 1)]
-    rows = clashing(docs, id_column, text_column)
-    chosen = sized(drawn[0].unionByName(drawn[1]))
-    sample = rows.join(chosen, rows[id_column] == chosen["_id"]).filter(F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"), "label")
-    scored = quality_votes(docs, sample, id_column, text_column)
-    return scored.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    """``quality_votes`` of all rows, learned from ``drawn`` labelled texts."""
+    voted = quality_votes(docs, drawn(docs, labels, id_column, text_column, label_column, each_class), id_column, text_column)
+    return voted.select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, each judged by its own text, whose score is at least ``least``."""
+    name = fresh(docs, "score")
+    return scored(docs, drawn(docs, labels), "text", name).filter(F.col(name) >= least).drop(name)

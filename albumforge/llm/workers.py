@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 
 
@@ -24,3 +25,13 @@ def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         release()
 
     return run
+
+
+def lean_group(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The same for a function of one group."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = fn(pdf)
+        release()
+        return out
+
+    return run

@@ -1,9 +1,9 @@
 """Documents to packed sequences: STAGES names the steps; run() writes each as Parquet and reads it again for the next.
 
 Each stage works on all rows that its predecessor kept and returns the columns
-of documents, but for the last, which returns the packed pieces. A decision is
-made per id: rows that share an id share it. Rows with a null id are judged
-together, as one id. Only the join decides per row, by a key of its own.
+of documents, but for the last, which returns the packed pieces. Decisions are
+made per row: where a stage has to come back to a row it does so by a key of
+the row's own, so null and repeated ids share nothing.
 """
 
 from __future__ import annotations
@@ -12,47 +12,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumforge.llm.common import sized, table, written
+from albumforge.llm.common import fresh, keyed, sized, table, written
 from albumforge.llm.mixing import mix
 from albumforge.llm.ngram_join import ngram_jaccard_join
 from albumforge.llm.packing import best_fit_packing
 from albumforge.llm.quality_rules import quality_rules
-from albumforge.llm.quality_votes import held_out_quality
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids`` (column doc_id)."""
-    wanted = sized(ids.select(F.col("doc_id").alias("_wanted")).distinct())
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_wanted"]), "left_semi")
+from albumforge.llm.quality_votes import good_rows
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours' votes find good."""
-    votes = written(held_out_quality(docs, table(spark, sf_dir, "labels")), "votes")
-    return _only(docs, votes.filter("predicted = 1"))
+    return good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
-    return _only(docs, quality_rules(docs).filter("kept"))
+    key = fresh(docs, "row_key")
+    rows = keyed(docs, key)
+    kept = quality_rules(rows, key).filter("kept").select(F.col("doc_id").alias(key))
+    return rows.join(sized(written(kept, "kept")), key, "left_semi").select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the one with the smallest id, null ids last. Rows without links all stay, whatever their ids."""
-    # Written once, so that a row has the same key wherever it is read.
-    keyed = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
-    joined = written(ngram_jaccard_join(keyed, "_key").select(F.col("doc_id").alias("_key"), "component_id"), "components")
-    by_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
-    first = joined.join(keyed.select("_key", "doc_id"), "_key").groupBy("component_id").agg(F.min(by_id).alias("first"))
-    return keyed.join(sized(written(first.select("first._key"), "leaders")), "_key", "left_semi").select(*docs.columns)
+    key = fresh(docs, "row_key")
+    rows = keyed(docs, key)
+    joined = written(ngram_jaccard_join(rows, key).select(F.col("doc_id").alias(key), "component_id"), "components")
+    by_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))
+    first = joined.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(by_id).alias("first"))
+    return rows.join(sized(written(first.select(F.col("first.key").alias(key)), "leaders")), key, "left_semi").select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    copies = mix(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_taken")
-    taken = sized(written(copies, "copies"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_taken"]))
-    return joined.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    key, times = fresh(docs, "row_key"), fresh(docs, "copies")
+    rows = keyed(docs, key)
+    taken = written(mix(rows, key_column=key).filter("copies > 0").select(F.col("row_key").alias(key), F.col("copies").alias(times)), "copies")
+    return rows.join(sized(taken), key).withColumn(times, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

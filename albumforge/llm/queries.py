@@ -119,16 +119,18 @@ def _at(phrase: str) -> str:
     return f"list_filter(range(1, len(w) + 1), lambda i: {test})"
 
 
-_ROWS = ", ".join(f"('{label}', {sorted(set(text.split()))})" for label, text in TEMPLATES)
+_ROWS = ", ".join(f"({i}, '{t.label}', {t.words}, {t.required.split()}, {t.span}, {-(-4 * len(t.words) // 5)})" for i, t in enumerate(TEMPLATES))
 ORACLES["op9_license_scan"] = f"""WITH
 t AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS x FROM documents),
 w AS (SELECT rid, doc_id, {_SPLIT.format(x="x")} AS w FROM t),
 a AS (SELECT rid, doc_id, len(w) AS n_words, {", ".join(f"{_at(phrase)} AS p{i}" for i, (phrase, _) in enumerate(PHRASES))} FROM w),
 b AS (SELECT *, list_concat(p0, list_concat(p1, p2)) AS every,
              list_filter([{", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, (_, label) in enumerate(PHRASES))}], lambda v: v IS NOT NULL) AS base FROM a),
-l AS (SELECT rid, list_distinct({_SPLIT.format(x="line")}) AS own FROM (SELECT rid, unnest(string_split(x, chr(10))) AS line FROM t)),
-f AS (SELECT rid, label, len(list_intersect(own, words)) / len(words) AS containment
-      FROM l JOIN (VALUES {_ROWS}) v(label, words) ON 10 * len(list_intersect(own, words)) >= 8 * len(words)),
+v(no, label, words, required, span, need) AS (VALUES {_ROWS}),
+o AS (SELECT w.rid, w.w, v.* FROM w JOIN v ON list_has_all(w.w, v.required)),
+s AS (SELECT rid, label, words, required, need, unnest(list_transform(range(1, greatest(1, len(w) - span + 1) + 1), lambda i: w[i:i + span - 1])) AS block FROM o),
+f AS (SELECT rid, label, len(list_distinct(list_intersect(block, words))) / len(words) AS containment FROM s
+      WHERE list_has_all(block, required) AND len(list_distinct(list_intersect(block, words))) >= need),
 m AS (SELECT rid, list(DISTINCT label) AS more, max(containment) AS containment FROM f GROUP BY 1)
 SELECT doc_id, n_words, len(every) AS n_base, list_min(every) - 1 AS first_word, list_max(every) - 1 AS last_word,
        array_to_string(list_sort(base), ',') AS base_labels,

@@ -125,19 +125,55 @@ def brute_scan(text):
         places += at
         base |= {label} if at else set()
     labels, best = set(base), 0.0
-    for line in (text or "").translate(LOWER).split("\n"):
-        block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-        for label, template in TEMPLATES:
-            t = set(template.split())
-            if 10 * len(block & t) >= 8 * len(t):
-                labels.add(label)
-                best = max(best, len(block & t) / len(t))
+    for template in TEMPLATES:
+        own, required = set(template.words), set(template.required.split())
+        for i in range(len(w)):
+            block = set(w[i:i + template.span])
+            if required <= block and 10 * len(block & own) >= 8 * len(own):
+                labels.add(template.label)
+                best = max(best, len(block & own) / len(own))
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(1.0 if places else best, 9))
 
 
+HEADERS = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction""",
+    "bsd": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions""",
+    "gpl": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that""",
+    "apache-2.0": """Licensed under the Apache
+License, Version 2.0 (the "License");""",
+    "unlicense": "This is free and unencumbered software released\ninto the public domain.",
+}
+NEAR_MISSES = {
+    "Licensed under the GNU General Public License": "gpl",
+    "This work is licensed under a Creative Commons Attribution license": "",
+    "the new album was released under pressure and the driver had no license": "",
+    "released " + "word " * 30 + "under the MIT license": "mit",
+    "MIT " + "word " * 30 + "released under the license": "",
+    "Permission to copy this text is granted; the software is free of charge.": "",
+    "released under the M\u0130T license, or the \u212aMIT one": "",
+}
+
+
 def test_scan_equals_brute_force(docs, rows, nothing, framed):
-    more = [(5000 + i, t, None, None) for i, t in enumerate([x for _, x in TEMPLATES] + [" ".join(x.split()[1:]) for _, x in TEMPLATES] + [" ".join(x.split()[:-3]) for _, x in TEMPLATES])]
+    whole = [t.text for t in TEMPLATES]
+    more = whole + [" ".join(x.split()[1:]) for x in whole] + [" ".join(x.split()[:-3]) for x in whole] + [x.replace(" ", "\n* ").upper() for x in whole]
+    more += list(HEADERS.values()) + list(NEAR_MISSES) + ["the license of the " * 3000 + whole[17] + " the license" * 3000]
+    more = [(5000 + i, t, None, None) for i, t in enumerate(more)]
     got = license_scan(docs.unionByName(framed(more))).collect()
     mine = Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], round(r["score"], 9)) for r in got)
     assert mine == Counter((r[0], *brute_scan(r[1])) for r in [*rows, *more])
     assert license_scan(nothing).collect() == []
+
+
+def test_scan_finds_wrapped_headers_and_tells_licences_apart(spark):
+    own = [*HEADERS.values(), *NEAR_MISSES]
+    docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan(docs).collect()}
+    assert [got[i] for i in range(len(own))] == [*HEADERS, *NEAR_MISSES.values()]

@@ -217,6 +217,8 @@ def prefix_trie(conversations: DataFrame, every: int = 5, most: int = 9, most_ce
     # What may be shared: exact groups, and back to their members.
     maybe = seen.filter("NOT single")
     groups = maybe.groupBy(*_KEY).agg(F.min("conv").alias("owner"), F.count(F.lit(1)).alias("members"), F.max("length").alias("longest")).filter("members > 1")
+    # Written, so that the join has a shuffle of its own, whose hot prefixes the planner can cut.
+    groups = written(groups, "trie-groups")
     member = written(maybe.drop("single", "top").join(groups, _KEY, "left"), "trie-members")
     shared, alone = member.filter("owner IS NOT NULL"), member.filter("owner IS NULL")
     # The deepest node that a conversation doesn't own, and whether its end is another's or goes on.

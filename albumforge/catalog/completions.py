@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumforge.catalog import usage_metrics, views
@@ -14,20 +14,27 @@ from albumforge.operators.completion import completion_events as emitted
 
 _CELLS = [f"{c}_q{i}" for c in sel.CELLS for i in range(4)]
 
-V_DONE = f"""{views.V_CONF},
-v_click AS (SELECT concat('src', user_id % 20) AS library_id, event_id % 50 AS photo_id FROM events WHERE event_type = 'click'),
-v_press AS (SELECT library_id, count(*) AS presses, count(DISTINCT photo_id) AS photos FROM v_click GROUP BY 1),
+V_SESS = f"""{views.V_CONF},
 v_sess AS (
   SELECT concat('src', user_id % 20) AS library_id, concat('s', user_id) AS session_id, min(ts) AS done
   FROM events WHERE event_type = 'purchase' GROUP BY 1, 2),
-v_open AS (SELECT concat('s', user_id) AS session_id, min(ts) AS opened FROM events WHERE event_type = 'signup' GROUP BY 1),
+v_open AS (SELECT concat('s', user_id) AS session_id, min(ts) AS opened FROM events WHERE event_type = 'signup' GROUP BY 1)"""
+
+# All presses of the library.
+V_PRESS = """v_click AS (SELECT concat('src', user_id % 20) AS library_id, event_id % 50 AS photo_id FROM events WHERE event_type = 'click'),
+v_press AS (SELECT s.library_id, s.session_id, count(*) AS presses, count(DISTINCT photo_id) AS photos FROM v_sess s JOIN v_click c ON c.library_id = s.library_id GROUP BY 1, 2)"""
+
+
+def done_sql(press: str) -> str:
+    """The completion events as CTEs, given how v_press (library_id, session_id, presses, photos) is made."""
+    return f"""{V_SESS}, {press},
 v_bucket AS (SELECT library_id, quality, {CELL} AS cell,
              CASE WHEN quality IS NOT NULL THEN CAST(least(3, greatest(0, floor(quality * 4))) AS INT) END AS b, auto, kept FROM v_conf),
 v_lib AS (SELECT library_id, count(*) AS uploaded, count(*) FILTER (auto) AS auto_kept, count(*) FILTER (kept) AS user_kept,
           count(*) FILTER (quality IS NULL) AS null_quality,
           {', '.join(f"count(*) FILTER (cell = '{c}' AND b = {i}) AS {c}_q{i}" for c in sel.CELLS for i in range(4))} FROM v_bucket GROUP BY 1),
 v_all AS (SELECT s.*, o.opened, p.presses, p.photos, l.* EXCLUDE (library_id) FROM v_sess s LEFT JOIN v_open o ON o.session_id = s.session_id
-          LEFT JOIN v_press p ON p.library_id = s.library_id LEFT JOIN v_lib l ON l.library_id = s.library_id),
+          LEFT JOIN v_press p ON p.library_id = s.library_id AND p.session_id = s.session_id LEFT JOIN v_lib l ON l.library_id = s.library_id),
 v_events AS (
   SELECT library_id, session_id, done AS server_ts, '{m.CURATION_DURATION}' AS event_name, concat('{{"ms":', CAST(round((epoch_us(done) - epoch_us(opened)) / 1000.0e0) AS BIGINT), '}}') AS properties
   FROM v_all WHERE opened IS NOT NULL
@@ -39,16 +46,36 @@ v_events AS (
     concat('{{', {", ',', ".join(f"""'"{c}":', coalesce({c}, 0)""" for c in _CELLS)}, ',"nullQuality":', coalesce(null_quality, 0), '}}') FROM v_all)"""
 
 
+V_DONE = done_sql(V_PRESS)
+
+
+def library() -> Column:
+    return F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("library_id")
+
+
+def session() -> Column:
+    return F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id")
+
+
+def opened(spark: SparkSession, sf: str) -> DataFrame:
+    return views.events(spark, sf).where("event_type = 'signup'").groupBy(session()).agg(F.min("ts").alias("started_at"))
+
+
+def marked(spark: SparkSession, sf: str) -> DataFrame:
+    return views.selection(spark, sf).withColumnsRenamed({"auto": "is_auto", "kept": "is_kept"})
+
+
+def uploads(photos: DataFrame) -> DataFrame:
+    return photos.groupBy("library_id").agg(F.count("*").alias("uploaded"))
+
+
 def completions(spark: SparkSession, sf: str) -> DataFrame:
     e = views.events(spark, sf)
-    library, session = F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")), F.concat(F.lit("s"), F.col("user_id").cast("string"))
-    opened = e.where("event_type = 'signup'").groupBy(session.alias("session_id")).agg(F.min("ts").alias("started_at"))
-    finishes = e.where("event_type = 'purchase'").select(library.alias("library_id"), session.alias("session_id"), F.col("ts").alias("finished_at"))
+    finishes = e.where("event_type = 'purchase'").select(library(), session(), F.col("ts").alias("finished_at"))
     clicks = e.where("event_type = 'click'").select(
-        library.alias("library_id"), (F.col("event_id") % 50).alias("photo_id"), F.col("event_id").alias("seq"), F.lit("flip").alias("action"))
-    photos = views.selection(spark, sf).withColumnsRenamed({"auto": "is_auto", "kept": "is_kept"})
-    uploaded = photos.groupBy("library_id").agg(F.count("*").alias("uploaded"))
-    return emitted(finishes.join(opened, "session_id", "left"), clicks, photos, uploaded)
+        library(), (F.col("event_id") % 50).alias("photo_id"), F.col("event_id").alias("seq"), F.lit("flip").alias("action"))
+    photos = marked(spark, sf)
+    return emitted(finishes.join(opened(spark, sf), "session_id", "left"), clicks, photos, uploads(photos))
 
 
 @query("completion_events", f"""WITH {V_DONE}

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumforge.catalog import duplicates, usage_metrics, views
 from albumforge.catalog.event_intake import DAY_SECONDS, V_BATCHES, raw_batches
 from albumforge.catalog.registry import ORACLES, query
+from albumforge.catalog.stream_completions import LATE, timed_events
 from albumforge.functions import pixels as px
 from albumforge.functions.times import instant_of
 from albumforge.operators import metrics as m
 from albumforge.session import shared_dir
 from albumforge.sources import telemetry
 from albumforge.streaming import intake, photos, usage
-from albumforge.streaming.running import append_events, drain, last_state, latest, use_rocksdb
+from albumforge.streaming.running import append_events, append_values, drain, last_state, latest, use_rocksdb, watermark_of, write_slices
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -30,13 +31,10 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def batch_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Request batches written out as files, earlier ones first, and read back as a stream of micro-batches."""
+    """Request batches written out as files, in time slices of several files, and read back a slice at a time."""
     path = f"{shared_dir(spark)}/albumforge-batches-{uuid.uuid4().hex}"
-    raw = raw_batches(spark, sf)
-    middle = raw.agg(F.expr("percentile_approx(received_at, 0.5)")).first()[0]
-    for part in ("received_at <= {m}", "received_at > {m}"):
-        raw.where(F.expr(part.format(m=f"timestamp_micros({int(middle.timestamp() * 1_000_000)})"))).coalesce(1).write.mode("append").json(path)
-    return telemetry.batch_stream(spark, path, files_per_trigger=1)
+    write_slices(raw_batches(spark, sf), "received_at", path, form="json")
+    return telemetry.batch_stream(spark, path, files_per_trigger=4)
 
 
 @query("stream_accepted_events", f"""WITH {V_BATCHES}
@@ -59,8 +57,9 @@ def stream_rejected_batches(spark: SparkSession, sf: str) -> DataFrame:
 SELECT batch_id, rate_key, count(*) OVER (PARTITION BY rate_key ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999' SECOND PRECEDING AND CURRENT ROW) > 3 AS rate_limited FROM r""")
 def stream_rate_flags(spark: SparkSession, sf: str) -> DataFrame:
     use_rocksdb(spark)
-    requests = event_stream(spark, sf).select(
-        F.col("event_id").alias("batch_id"), F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("rate_key"),
+    known = F.col("event_type") != "clock"
+    requests = timed_events(spark, sf).select(
+        F.col("event_id").alias("batch_id"), F.when(known, F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string"))).alias("rate_key"),
         F.col("ts").alias("received_at"))
     return drain(intake.rate_flags(requests, 3600, 3)).select("batch_id", "rate_key", "rate_limited")
 
@@ -151,3 +150,39 @@ def stream_event_table(spark: SparkSession, sf: str) -> DataFrame:
     append_events(rows, f"{base}/table", f"{base}/checkpoint", available_now=True).awaitTermination()
     return telemetry.read_events(spark, f"{base}/table").groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_name").agg(
         F.count("*").alias("events"), F.countDistinct("id").alias("ids"))
+
+
+def timing_events(events: DataFrame, stored: str, event_name: str, **props) -> DataFrame:
+    e = events.withColumn("k", F.regexp_replace("props", "[^0-9]", "").cast("int"))
+    return e.select(F.when(F.col("event_type") == stored, event_name).alias("event_name"), F.col("ts").alias("server_ts"),
+                    F.to_json(F.struct(*[v.alias(n) for n, v in props.items()])).alias("properties"))
+
+
+def run_timings(spark: SparkSession, sf: str, metric: str, stored: str, event_name: str, props) -> tuple[DataFrame, DataFrame, Column]:
+    """Latest sketches, stored values, and the time before which days are closed, after the stream has run.
+
+    The clock's own event has a name of its own: it takes part as a sample of no metric.
+    """
+    events = timing_events(timed_events(spark, sf), stored, event_name, **props())
+    path = f"{shared_dir(spark)}/albumforge-timings-{uuid.uuid4().hex}"
+    append_values(usage.timing_values(events, metric), f"{path}/values", f"{path}/values-checkpoint", available_now=True).awaitTermination()
+    timed = usage.timing_values(events.withWatermark("server_ts", LATE), metric)
+    ran: list = []
+    updates = drain(usage.day_sketches(timed), "update", ran)
+    values = spark.read.schema("server_ts timestamp, stage string, ms decimal(20,6), day date").parquet(f"{path}/values")
+    return latest(updates, ["day", "stage"]), values, watermark_of(ran[0])
+
+
+def register_timing(metric: str, batch_name: str, stored: str, event_name: str, props) -> None:
+    @query(f"stream_{batch_name}", ORACLES[batch_name])
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        sketches, values, closed = run_timings(spark, sf, metric, stored, event_name, props)
+        if metric == "stage_durations":
+            return usage_metrics.as_text_day(m.timing(values, ["stage"], F.col("ms")))
+        return usage_metrics.as_text_day(usage.timings_now(sketches, values, closed))
+
+
+register_timing("time_to_curation", "time_to_curation_by_day", "view", m.TIME_TO_CURATION, lambda: {"ms": F.col("event_id") * 37 % 90000 + F.col("k")})
+register_timing("curation_duration", "curation_duration_by_day", "click", m.CURATION_DURATION, lambda: {"ms": F.col("event_id") * 101 % 7000 + F.col("k")})
+register_timing("stage_durations", "stage_durations", "view", m.STAGE_DURATION, lambda: {
+    "exif": F.col("k") * 3, "dedup": F.col("event_id") % 5000, "cluster": F.col("event_id") % 7, "thumbnail": F.when(F.col("k") % 4 > 0, F.col("event_id") * 13 % 100003)})

@@ -66,7 +66,7 @@ def uploads_by_day(events: DataFrame) -> DataFrame:
     return named(events, PHOTOS_UPLOADED).groupBy(day_of()).agg(*uploads())
 
 
-def _timing(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
+def timing(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
     """Samples, rounded mean, p50 and p95 of a timing."""
     keys = list(keys)
     timed = rows.select(*keys, value.cast("decimal(20,6)").alias("ms"))
@@ -88,14 +88,14 @@ def _timing(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
 
 def timing_by_day(events: DataFrame, event_name: str) -> DataFrame:
     """Daily timing of an event that carries ``ms``."""
-    return _timing(named(events, event_name).withColumn("day", day_of()), ["day"], text("ms"))
+    return timing(named(events, event_name).withColumn("day", day_of()), ["day"], text("ms"))
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
     """Timing per stage; every property key of the event is a stage."""
     stages = named(events, STAGE_DURATION).select(
         F.explode(F.from_json("properties", "map<string,string>")).alias("stage", "value"))
-    return _timing(stages, ["stage"], F.col("value"))
+    return timing(stages, ["stage"], F.col("value"))
 
 
 def toggles() -> list[Column]:

@@ -8,8 +8,8 @@ library's photos directly:
   largest group is checked to be small, else by range-partitioning on (group,
   order), which cuts a big group over many tasks;
 * ``neighbours`` and ``running`` work on fixed-size blocks of those ranks;
-* ``rank_values`` picks exact order statistics, from value counts when a group
-  is big.
+* ``rank_values`` picks exact order statistics from value counts, by splitting
+  the bucket that holds a rank.
 
 Plain windows are used where the group is a pre-aggregated table (chapters of a
 library, days of a library) or where the filter ``row_number() <= n`` lets Spark
@@ -142,49 +142,39 @@ def running(df: DataFrame, keys: Sequence[str], value: str, out: str, how: str =
 
 
 def rank_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column],
-                width: float, window_rows: int | None = None, largest: int | None = None) -> DataFrame:
+                width: float, parts: int = 1024) -> DataFrame:
     """Exact order statistics of ``value`` per group, nulls ignored.
 
     ``ranks`` maps an output name to a 0-based rank given as an expression over
-    ``n`` (the number of non-null values). Small groups are ranked by a window.
-    Otherwise values are counted first, so repeats cost nothing after the map
-    side; a histogram of buckets ``width`` wide finds the bucket each rank falls
-    in, and only that bucket is ordered by value, so no group is sorted whole.
+    ``n`` (the number of non-null values). Values are counted first, so repeats
+    cost nothing after the map side. Then the bucket that holds a rank is found
+    and split, twice: buckets ``width`` wide, then ``parts`` in each of those hit;
+    only the values of the last ones are put in order. One path whatever the
+    sizes, and no job runs while the plan is made: a window sees a group's
+    buckets, a bucket's parts, or the distinct values of one part.
     """
     keys = list(keys)
-    known = df.where(F.col(value).isNotNull())
-    if _fits(known, keys, window_rows, largest):
-        group = Window.partitionBy(*keys)
-        ranked = known.select(*keys, F.col(value).alias("_v"), F.count("*").over(group).alias("n"),
-                              (F.row_number().over(group.orderBy(value)) - 1).alias("_r"))
-        return ranked.groupBy(*keys).agg(*[
-            F.max(F.when(F.col("_r") == rank, F.col("_v"))).alias(name) for name, rank in ranks.items()])
-    counted = (
-        known
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_c"))
-        .withColumn("_b", F.floor(F.col("_v") / width))
-    )
-    by_bucket = Window.partitionBy(*keys).orderBy("_b")
-    coarse = (
-        counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_c"))
-        .withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
-        .withColumn("_lo", F.sum("_c").over(by_bucket) - F.col("_c"))
-        .withColumn("_hi", F.col("_lo") + F.col("_c"))
-    )
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank"))
-                       for name, rank in ranks.items()])
-    hits = coarse.withColumn(
-        "_want", F.filter(wanted, lambda w: (w["rank"] >= F.col("_lo")) & (w["rank"] < F.col("_hi")))
-    ).where(F.size("_want") > 0).select(*keys, "_b", "_lo", "_want")
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v")
-    fine = (
-        counted.join(hits, [*keys, "_b"])
-        .withColumn("_top", F.col("_lo") + F.sum("_c").over(inside))
-        .withColumn("_from", F.col("_top") - F.col("_c"))
-        .withColumn("_w", F.explode("_want"))
-        .where((F.col("_w.rank") >= F.col("_from")) & (F.col("_w.rank") < F.col("_top")))
-    )
-    return fine.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in ranks]
-    )
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    place = F.col("_v") / width
+    sized = counted.withColumn("_b0", F.floor(place)).withColumn(
+        "_b1", F.floor((place - F.floor(place)) * parts))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items()])
+    whole = Window.partitionBy(*keys)
+    tally = sized.groupBy(*keys, "_b0").agg(F.sum("_c").alias("_c"))
+    hits = _holding(tally.withColumn("n", F.sum("_c").over(whole)).withColumn("_want", wanted).withColumn("_base", F.lit(0).cast("bigint")), keys, "_b0")
+    inner = [*keys, "_b0"]
+    parted = sized.join(hits.select(*inner, "_base", "_want"), inner)
+    tally = parted.groupBy(*inner, "_b1").agg(F.sum("_c").alias("_c"), F.first("_base").alias("_base"), F.first("_want").alias("_want"))
+    hits = _holding(tally, inner, "_b1")
+    last = [*inner, "_b1"]
+    found = _holding(sized.join(hits.select(*last, "_base", "_want"), last), last, "_v")
+    named = found.select(*keys, "_v", F.explode("_want").alias("_w"))
+    return named.groupBy(*keys).agg(*[F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+def _holding(tally: DataFrame, group: Sequence[str], bucket: str) -> DataFrame:
+    """The rows of ``tally`` (``_c`` values each, ``_base`` values before the group) that hold a wanted rank, with the values before them as ``_base``."""
+    upto = F.sum("_c").over(Window.partitionBy(*group).orderBy(bucket))
+    placed = tally.withColumn("_top", F.col("_base") + upto).withColumn("_base", F.col("_top") - F.col("_c"))
+    held = F.filter("_want", lambda w: (w["rank"] >= F.col("_base")) & (w["rank"] < F.col("_top")))
+    return placed.withColumn("_want", held).where(F.size("_want") > 0).drop("_top")

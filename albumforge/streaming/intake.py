@@ -13,82 +13,85 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from albumforge.functions.telemetry import RATE_MAX_REQUESTS, RATE_WINDOW_SECONDS
 from albumforge.operators.intake import event_rows, has_valid_event, read_batches
+from albumforge.streaming.completion import of_kind
 
+# How far behind the newest request one may come in; the server stamps them itself, so this is its own delay.
+LATE = "10 minutes"
 
-def accepted_rows(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, max_requests: int = RATE_MAX_REQUESTS,
-                  keep_seconds: int | None = None) -> DataFrame:
+
+def accepted_rows(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, max_requests: int = RATE_MAX_REQUESTS, late: str = LATE) -> DataFrame:
     """Clean rows of batches that are well formed and within the limit of their key."""
-    return event_rows(read_batches(limited(batches, window_seconds, max_requests, keep_seconds).where("NOT rate_limited")))
+    return event_rows(read_batches(limited(batches, window_seconds, max_requests, late).where("NOT rate_limited")))
 
 
-def rejected_batches(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, max_requests: int = RATE_MAX_REQUESTS,
-                     keep_seconds: int | None = None) -> DataFrame:
+def rejected_batches(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, max_requests: int = RATE_MAX_REQUESTS, late: str = LATE) -> DataFrame:
     """Side output: batches that leave no row, and the first reason."""
     columns = ["batch_id", "received_at", "ua_bucket", "reject_reason"]
     faulty = read_batches(batches).where(F.col("reject_reason").isNotNull()).select(*columns)
-    formed = read_batches(limited(batches, window_seconds, max_requests, keep_seconds))
+    formed = read_batches(limited(batches, window_seconds, max_requests, late))
     reason = F.when(F.col("rate_limited"), "rate limited").when(~has_valid_event(), "no valid events")
     return faulty.unionByName(formed.withColumn("reject_reason", reason).where(F.col("reject_reason").isNotNull()).select(*columns))
 
 
 class RateLimiter(StatefulProcessor):
-    """Per key, the times of the last ``max_requests`` requests; with ``keep_seconds`` a key quiet for so long is forgotten.
+    """Per key, a list of the times of its last ``max_requests`` requests, gone once the watermark has left their window behind.
 
     A request is over the limit when the one ``max_requests`` places before it
     is still inside the window, so no more times need to be kept, whatever the
-    key's traffic. Rejected requests count.
+    key's traffic. Rejected requests count. Each micro-batch that brings a key
+    requests moves its timer to the end of the newest one's window: a request
+    behind that finds nothing in its window, so nothing is lost with the list.
     """
 
-    def __init__(self, window_seconds: int, max_requests: int, carried: list[str], keep_seconds: int | None):
+    def __init__(self, window_seconds: int, max_requests: int, carried: list[str]):
         self.span = window_seconds * 1_000_000
         self.limit, self.carried = max_requests, carried
-        self.keep = None if keep_seconds is None else 1000 * max(keep_seconds, window_seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        times = T.StructType([T.StructField("us", T.ArrayType(T.LongType()))])
-        self.recent = handle.getValueState("recent", times, self.keep)
+        self.handle = handle
+        self.recent = handle.getListState("recent", T.StructType([T.StructField("us", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(["us", "batch_id"], kind="stable")
-        state = self.recent.get()
-        recent, flags = deque(state[0] if state is not None else (), maxlen=self.limit), []
+        recent, flags = deque((r[0] for r in self.recent.get()), maxlen=self.limit), []
         for now in frame["us"].tolist():
             flags.append(len(recent) == self.limit and now - recent[0] < self.span)
             recent.append(int(now))
-        self.recent.update((list(recent),))
+        self.recent.put([(us,) for us in recent])
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer((max(recent) + self.span) // 1000 + 1)
         out = frame[["batch_id", *self.carried]].assign(rate_limited=flags)
         out.insert(0, "rate_key", key[0])
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        self.recent.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def _flagged(formed: DataFrame, window_seconds: int, max_requests: int, carried: list[str], keep_seconds: int | None) -> DataFrame:
+def _flagged(formed: DataFrame, window_seconds: int, max_requests: int, carried: list[str], late: str) -> DataFrame:
     schema = T.StructType([
         T.StructField("rate_key", T.StringType()), T.StructField("batch_id", T.LongType()),
         *[formed.schema[c] for c in carried], T.StructField("rate_limited", T.BooleanType())])
-    slim = formed.select("rate_key", "batch_id", F.unix_micros("received_at").alias("us"), *carried)
-    return slim.groupBy("rate_key").transformWithStateInPandas(
-        statefulProcessor=RateLimiter(window_seconds, max_requests, carried, keep_seconds), outputStructType=schema,
-        outputMode="append", timeMode="None" if keep_seconds is None else "ProcessingTime")
+    columns = dict.fromkeys(["rate_key", "batch_id", "received_at", *carried])
+    slim = formed.select(*columns, F.unix_micros("received_at").alias("us")).withWatermark("received_at", late)
+    return of_kind(slim, "received_at", F.col("rate_key").isNotNull()).groupBy("rate_key").transformWithStateInPandas(
+        statefulProcessor=RateLimiter(window_seconds, max_requests, carried), outputStructType=schema,
+        outputMode="append", timeMode="EventTime")
 
 
-def limited(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, max_requests: int = RATE_MAX_REQUESTS,
-            keep_seconds: int | None = None) -> DataFrame:
-    """Raw batches that pass the shape checks, with ``rate_limited``. Others never count for a key.
-
-    A stream that runs on should set ``keep_seconds``, by the clock; it then
-    makes micro-batches without input too, so a run over what is there now
-    would not end.
-    """
-    return _flagged(formed_batches(batches), window_seconds, max_requests, ["received_at", "user_agent", "body"], keep_seconds).drop("rate_key")
+def limited(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, max_requests: int = RATE_MAX_REQUESTS, late: str = LATE) -> DataFrame:
+    """Raw batches that pass the shape checks, with ``rate_limited``. Others never count for a key."""
+    return _flagged(formed_batches(batches), window_seconds, max_requests, ["received_at", "user_agent", "body"], late).drop("rate_key")
 
 
-def rate_flags(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS,
-               max_requests: int = RATE_MAX_REQUESTS, keep_seconds: int | None = None) -> DataFrame:
-    """(rate_key, batch_id, rate_limited) for well-formed batches. Only key, id and time reach the state."""
-    return _flagged(batches, window_seconds, max_requests, [], keep_seconds)
+def rate_flags(batches: DataFrame, window_seconds: int = RATE_WINDOW_SECONDS, max_requests: int = RATE_MAX_REQUESTS, late: str = LATE) -> DataFrame:
+    """(rate_key, batch_id, rate_limited) for well-formed batches. Only key, id and time reach the state; a null key only moves the clock."""
+    return _flagged(batches, window_seconds, max_requests, [], late)
 
 
 def formed_batches(batches: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -33,10 +33,22 @@ def append_events(rows: DataFrame, path: str, checkpoint: str, available_now: bo
     return (writer.trigger(availableNow=True) if available_now else writer).start(path)
 
 
-def drain(stream: DataFrame, output_mode: str = "append") -> DataFrame:
+def append_values(values: DataFrame, path: str, checkpoint: str, available_now: bool = False, time: str = "server_ts") -> StreamingQuery:
+    """Rows of a stream stored by the day of ``time``, each micro-batch once."""
+    writer = values.withColumn("day", F.to_date(time)).writeStream.format("parquet").partitionBy("day").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start(path)
+
+
+def watermark_of(query: StreamingQuery) -> Column:
+    """The watermark that the last micro-batch ran with."""
+    return F.to_timestamp(F.lit(query.recentProgress[-1]["eventTime"]["watermark"]))
+
+
+def drain(stream: DataFrame, output_mode: str = "append", finished: list[StreamingQuery] | None = None) -> DataFrame:
     """Run a stream over what its source holds now and return everything it emitted.
 
     In update mode every emission is kept with its micro-batch number ``batch_no``.
+    The query that has run is added to ``finished``.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/albumforge-stream-{uuid.uuid4().hex}"
@@ -54,9 +66,35 @@ def drain(stream: DataFrame, output_mode: str = "append") -> DataFrame:
             keep).trigger(availableNow=True).start()
         schema = T.StructType([*stream.schema.fields, T.StructField("batch_no", T.IntegerType())])
     query.awaitTermination()
+    if finished is not None:
+        finished.append(query)
     return spark.read.schema(schema).parquet(out)
 
 
+def write_slices(rows: DataFrame, time: str, path: str, slices: int = 3, files: int = 4, form: str = "parquet", closing: DataFrame | None = None) -> None:
+    """``rows`` under ``path`` as they would have come in: one time slice after the other, each in ``files`` files.
+
+    ``closing`` comes last: a row that only moves the clock on, in a slice of its
+    own, and one more, as a watermark takes effect in the micro-batch behind it.
+    For runs over a table at rest; a live source brings its own files.
+    """
+    bounds = rows.agg(F.percentile_approx(time, [k / slices for k in range(1, slices)], 10_000)).first()[0] or []
+    at = F.lit(0)
+    for b in bounds:
+        at = at + (F.col(time) > F.lit(b)).cast("int")
+    for k in range(slices):
+        rows.where(F.coalesce(at, F.lit(0)) == k).repartition(files).write.mode("append").format(form).save(path)
+    if closing is not None:
+        for copies in (files, 1):
+            each = closing.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).repartitionByRange(copies, "_copy")
+            each.drop("_copy").write.mode("append").format(form).save(path)
+
+
+def slice_stream(spark: SparkSession, schema: T.StructType, path: str, files: int = 4) -> DataFrame:
+    """What ``write_slices`` wrote as Parquet, a slice for each micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     """The last emission of each key from a stream drained in update mode; null keys are keys too."""
     values = [c for c in updates.columns if c not in (*keys, "batch_no")]

@@ -74,10 +74,9 @@ def test_running_across_blocks(spark, rows, how):
         assert out[(g, p)] == state.get(g)
 
 
-@pytest.mark.parametrize("window_rows", [0, 10**9])
-def test_rank_values(spark, rows, window_rows):
-    got = rank_values(frame(spark, rows), ["g"], "v", {"lo": F.lit(0), "mid": F.floor(F.col("n") / 2), "hi": F.col("n") - 1},
-                      width=6, window_rows=window_rows).collect()
+@pytest.mark.parametrize("width", [0.25, 6, 1e9])
+def test_rank_values(spark, rows, width):
+    got = rank_values(frame(spark, rows), ["g"], "v", {"lo": F.lit(0), "mid": F.floor(F.col("n") / 2), "hi": F.col("n") - 1}, width, parts=4).collect()
     by = {}
     for g, v, _ in rows:
         if v is not None:
@@ -86,3 +85,13 @@ def test_rank_values(spark, rows, window_rows):
     for r in got:
         vs = sorted(by[r["g"]])
         assert (r["lo"], r["mid"], r["hi"]) == (vs[0], vs[len(vs) // 2], vs[-1])
+
+
+def test_rank_values_of_one_place_and_of_close_ones(spark):
+    same = spark.range(2_000_000).select(F.lit("same").alias("g"), F.lit(-12.3456789).alias("v"))
+    close = spark.range(50_000).select(F.lit("close").alias("g"), (F.col("id") * 1e-9 - 5).alias("v"))
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    plan = rank_values(same.union(close), ["g"], "v", {"mid": F.floor(F.col("n") / 2)}, 0.001)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == started  # nothing ran yet
+    got = {r["g"]: r["mid"] for r in plan.collect()}
+    assert got == {"same": -12.3456789, "close": 25_000 * 1e-9 - 5}

@@ -17,7 +17,7 @@ from albumforge.operators import metrics as m
 from albumforge.session import shared_dir
 from albumforge.sources import telemetry
 from albumforge.streaming import intake, photos, usage
-from albumforge.streaming.running import append_events, append_values, drain, last_state, latest, use_rocksdb, watermark_of, write_slices
+from albumforge.streaming.running import append_events, append_values, drain, last_state, latest, record_first, slice_stream, use_rocksdb, watermark_of, write_slices
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -86,6 +86,20 @@ def stream_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return drain(photos.near_duplicates(rows, duplicates.THRESHOLD)).select("library_id", "photo_id", "status", "rep_id", "distance")
 
 
+@query("stream_near_duplicates_in_pieces", f"""WITH {duplicates.WALK_SQL}
+SELECT library_id, photo_id, status, rep_id, distance, nearest_distance FROM v_walk""")
+def stream_near_duplicates_in_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    v = views.table(spark, sf, "embeddings")
+    i = F.col("vec_id")
+    rows = v.select(F.col("label").alias("library_id"), i.alias("name_no"), F.concat(F.lit("photo_"), i.cast("string")).alias("photo_id"),
+                    F.when(i % 9 != 4, px.block_hash(F.col("embedding"))).alias("hash"))
+    path = f"{shared_dir(spark)}/albumforge-walk-{uuid.uuid4().hex}"
+    write_slices(rows, "name_no", f"{path}/in")
+    photos.record_near_duplicates(slice_stream(spark, rows.schema, f"{path}/in"), f"{path}/out", f"{path}/checkpoint", duplicates.THRESHOLD,
+                                  available_now=True).awaitTermination()
+    return photos.recorded_near_duplicates(spark, f"{path}/out").select("library_id", "photo_id", "status", "rep_id", "distance", "nearest_distance")
+
+
 def metric_stream(spark: SparkSession, sf: str, stored: str, event_name: str, **props) -> DataFrame:
     e = event_stream(spark, sf).where(F.col("event_type") == stored).withColumn(
         "k", F.regexp_replace("props", "[^0-9]", "").cast("int"))
@@ -132,11 +146,14 @@ def stream_replayed_choices(spark: SparkSession, sf: str) -> DataFrame:
     return updates.groupBy("library_id", "photo_id").agg(last).select("library_id", "photo_id", "s.kept", "s.presses")
 
 
-@query("stream_first_completions", "SELECT DISTINCT concat('s', user_id) AS session_id FROM events WHERE event_type = 'purchase'")
+@query("stream_first_completions", "SELECT concat('s', user_id) AS session_id, epoch_us(min(ts)) AS first_us FROM events WHERE event_type = 'purchase' GROUP BY 1")
 def stream_first_completions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = event_stream(spark, sf).where("event_type = 'purchase'").select(
+    """Every session finishes in several slices, days apart, and comes out once."""
+    rows = timed_events(spark, sf).where("event_type = 'purchase'").select(
         F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), F.col("ts").alias("server_ts"))
-    return drain(usage.first_completions(rows, "60 days")).select("session_id")
+    path = f"{shared_dir(spark)}/albumforge-firsts-{uuid.uuid4().hex}"
+    record_first(rows, ["session_id"], "server_ts", f"{path}/table", f"{path}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("session_id", F.unix_micros("server_ts").alias("first_us"))
 
 
 @query("stream_event_table", f"""WITH {V_BATCHES}

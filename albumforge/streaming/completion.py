@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from albumforge.operators.completion import reports
+from albumforge.streaming.running import record_first
 
 
 def of_kind(timed: DataFrame, time: str, condition: Column) -> DataFrame:
@@ -43,23 +43,9 @@ def finished_sessions(finishes: DataFrame, presses: DataFrame, longest: str = "1
 def record_completions(finished: DataFrame, facts: DataFrame, path: str, checkpoint: str, available_now: bool = False,
                        library_id: str = "library_id") -> StreamingQuery:
     """Completion events of each session's first finish, written under ``path``; a later finish reports nothing, however late.
-
-    What was reported is looked up in the table itself, so no state has to
-    remember a session for ever. Each micro-batch owns a folder: one that is
-    repeated replaces what it wrote.
     """
-    keys = [library_id, "session_id"]
-
-    def keep(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        first = batch.groupBy(*keys).agg(F.min_by(F.struct("finished_at", "started_at", "presses", "distinct_photos"), "finished_at").alias("_f")).select(*keys, "_f.*")
-        if number:
-            done = spark.read.schema(T.StructType([*[first.schema[k] for k in keys], T.StructField("batch_no", T.IntegerType())])).parquet(path)
-            first = first.join(done.where(F.col("batch_no") < number).select(*keys).distinct(), keys, "left_anti")
-        reports(first, facts, library_id).write.mode("overwrite").parquet(f"{path}/batch_no={number}")
-
-    writer = finished.writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return record_first(finished, [library_id, "session_id"], "finished_at", path, checkpoint, available_now,
+                        lambda first: reports(first, facts, library_id))
 
 
 def bail_outs(leaves: DataFrame, finishes: DataFrame, longest: str = "1 day") -> DataFrame:

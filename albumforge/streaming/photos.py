@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from albumforge.operators.dedup import HAMMING_THRESHOLD, WINDOW, RecentKept
+from albumforge.operators.dedup import near_duplicates as batch_walk
 
 
 def photo_sessions(photos: DataFrame, gap_minutes: int = 45, late: str | None = None,
@@ -79,3 +80,51 @@ def near_duplicates(photos: DataFrame, threshold: int = HAMMING_THRESHOLD, windo
     schema = "library_id string, photo_id string, status string, rep_id string, distance int, nearest_distance int"
     return slim.groupBy("library_id").transformWithStateInPandas(
         statefulProcessor=NearDuplicateWalk(threshold, window), outputStructType=schema, outputMode="append", timeMode="None")
+
+
+# Micro-batches after which the kept photos of all libraries are written together again.
+GATHER = 32
+
+
+def record_near_duplicates(photos: DataFrame, path: str, checkpoint: str, threshold: int = HAMMING_THRESHOLD, window: int = WINDOW,
+                           available_now: bool = False, library_id: str = "library_id", partitions: int | None = None) -> StreamingQuery:
+    """The same walk with no library in one task: each micro-batch is walked in pieces, from where the one before ended.
+
+    The state is a table, ``window`` photos of each library that came: the last
+    ones kept. They go ahead of the library's new photos, where they are kept
+    again, since they were compared with more before. Then the batch walk takes
+    over, which cuts a busy library over many tasks. ``name_no`` (0 and up) is the
+    order inside a library. A micro-batch that is repeated replaces its folders.
+    """
+    by_library = Window.partitionBy(library_id).orderBy(F.col("visit").desc())
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(library_id, "photo_id", "hash", F.col("name_no").cast("bigint").alias("ordinal"))
+        rows = new
+        recent = None
+        if number:
+            state = T.StructType([new.schema[library_id], new.schema["photo_id"], new.schema["hash"], T.StructField("visit", T.LongType()), T.StructField("batch_no", T.IntegerType())])
+            recent = spark.read.schema(state).parquet(f"{path}/recent").where((F.col("batch_no") < number) & (F.col("batch_no") >= (number - 1) // GATHER * GATHER))
+            newest = recent.groupBy(library_id).agg(F.max("batch_no").alias("batch_no"))
+            recent = recent.join(newest, [library_id, "batch_no"])
+            touched = recent.join(new.select(library_id).distinct(), library_id, "left_semi")
+            ahead = (-F.row_number().over(by_library)).cast("bigint")
+            rows = touched.select(library_id, "photo_id", "hash", ahead.alias("ordinal")).unionByName(new)
+        walked = batch_walk(rows.withColumn("name", F.lit("")), threshold, window, library_id, partitions)
+        out = f"{path}/walked/batch_no={number}"
+        walked.write.mode("overwrite").parquet(out)
+        done = spark.read.schema(walked.schema).parquet(out).where("status = 'kept'")
+        last = done.withColumn("_no", F.row_number().over(by_library)).where(F.col("_no") <= window)
+        kept = last.join(rows.select(library_id, "photo_id", "hash"), [library_id, "photo_id"]).select(library_id, "photo_id", "hash", "visit")
+        if number % GATHER == 0 and recent is not None:
+            kept = kept.unionByName(recent.join(new.select(library_id).distinct(), library_id, "left_anti").select(*kept.columns))
+        kept.write.mode("overwrite").parquet(f"{path}/recent/batch_no={number}")
+
+    writer = photos.writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def recorded_near_duplicates(spark: SparkSession, path: str) -> DataFrame:
+    """Every photo that has come in, with its status; photos that only went ahead of a later micro-batch are left out."""
+    return spark.read.parquet(f"{path}/walked").where("ordinal >= 0").drop("visit")

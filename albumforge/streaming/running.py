@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +96,28 @@ def slice_stream(spark: SparkSession, schema: T.StructType, path: str, files: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def record_first(rows: DataFrame, keys: list[str], order: str, path: str, checkpoint: str, available_now: bool = False,
+                 told: Callable[[DataFrame], DataFrame] = lambda first: first) -> StreamingQuery:
+    """The first row of each key, by ``order``, written under ``path`` as ``told`` has it; a later one never is, however late.
+
+    What was written is looked up in the table itself, so no state has to
+    remember a key for ever; ``told`` keeps the key columns. Each micro-batch
+    owns a folder: one that is repeated replaces what it wrote.
+    """
+    rest = [c for c in rows.columns if c not in (*keys, order)]
+
+    def keep(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = batch.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("_f")).select(*keys, "_f.*")
+        if number:
+            done = spark.read.schema(T.StructType([*[first.schema[k] for k in keys], T.StructField("batch_no", T.IntegerType())])).parquet(path)
+            first = first.join(done.where(F.col("batch_no") < number).select(*keys).distinct(), keys, "left_anti")
+        told(first).write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+
+    writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(keep)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     """The last emission of each key from a stream drained in update mode; null keys are keys too."""
     values = [c for c in updates.columns if c not in (*keys, "batch_no")]

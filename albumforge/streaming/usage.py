@@ -96,11 +96,6 @@ def timings_now(sketches: DataFrame, values: DataFrame, closed_before: Column) -
     return closed.unionByName(sketched_timings(sketches.where(~ended("day")), ["day"]))
 
 
-def first_completions(finishes: DataFrame, late: str = "1 day", session: str = "session_id") -> DataFrame:
-    """The first finish of a session; repeats within the watermark are dropped."""
-    return finishes.withWatermark("server_ts", late).dropDuplicatesWithinWatermark([session])
-
-
 class ChoiceReplay(StatefulProcessor):
     """Per (library, photo): whether it is kept, and how often it was pressed."""
 

@@ -11,7 +11,7 @@ from albumforge.operators import curation
 from albumforge.operators import metrics as m
 from albumforge.operators.completion import completion_events, library_facts
 from albumforge.streaming import completion as live
-from albumforge.streaming import intake, usage
+from albumforge.streaming import intake, photos, usage
 from albumforge.streaming.running import drain, latest, slice_stream, use_rocksdb, watermark_of, write_slices
 
 START = datetime(2025, 3, 1)
@@ -49,8 +49,8 @@ def test_completions_and_bail_outs_equal_batch(spark, tmp_path):
     rows = [(lib, s, kind, photo, START + timedelta(seconds=t)) for lib, s, kind, photo, t in usage_rows()]
     schema = "library_id string, session_id string, kind string, photo_id string, at timestamp"
     df, stream = sliced(spark, rows, schema, "at", f"{tmp_path}/in", (None, "-", "clock", None, START + timedelta(days=400)))
-    photos = spark.createDataFrame([(f"L{i % 6}", i % 2 == 0, i % 3 == 0, i / 50) for i in range(40)], "library_id string, is_auto boolean, is_kept boolean, quality double")
-    uploaded = photos.groupBy("library_id").agg(F.count("*").alias("uploaded"))
+    library = spark.createDataFrame([(f"L{i % 6}", i % 2 == 0, i % 3 == 0, i / 50) for i in range(40)], "library_id string, is_auto boolean, is_kept boolean, quality double")
+    uploaded = library.groupBy("library_id").agg(F.count("*").alias("uploaded"))
 
     def of(name, *kinds):
         timed = stream.withColumnRenamed("at", name).withWatermark(name, "1 hour")
@@ -58,13 +58,13 @@ def test_completions_and_bail_outs_equal_batch(spark, tmp_path):
 
     finishes = of("finished_at", "finish").select("library_id", "session_id", "finished_at", F.lit(START).alias("started_at"))
     presses = of("pressed_at", "press").select("session_id", "photo_id", "pressed_at")
-    live.record_completions(live.finished_sessions(finishes, presses, "2 days"), library_facts(photos, uploaded), f"{tmp_path}/table", f"{tmp_path}/ck", available_now=True).awaitTermination()
+    live.record_completions(live.finished_sessions(finishes, presses, "2 days"), library_facts(library, uploaded), f"{tmp_path}/table", f"{tmp_path}/ck", available_now=True).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/table")
     # One session is one library's only one in each batch run: presses count by session.
     by_session = df.withColumns({"library": F.col("library_id"), "library_id": F.col("session_id")})
     done = by_session.where("kind = 'finish'").select("library_id", "session_id", F.col("at").alias("finished_at"), F.lit(START).alias("started_at"))
     pressed = by_session.where("kind = 'press'").select("library_id", "photo_id", F.unix_micros("at").alias("seq"), F.lit("flip").alias("action"))
-    want = completion_events(done, pressed, photos.withColumn("library_id", F.lit("none")), uploaded.withColumn("library_id", F.lit("none")))
+    want = completion_events(done, pressed, library.withColumn("library_id", F.lit("none")), uploaded.withColumn("library_id", F.lit("none")))
     keep = [m.CURATION_DURATION, m.TOGGLE_COUNT]
     rows_of = lambda d: sorted(tuple(r) for r in d.where(F.col("event_name").isin(keep)).select("session_id", "server_ts", "event_name", "properties").collect())
     assert rows_of(got) == rows_of(want) and got.count() == 2 * len(rows_of(got))
@@ -96,6 +96,20 @@ def test_limiter_forgets_keys(spark, tmp_path):
     assert max(totals) > 0 and totals[-1] == 0
 
 
+def test_busy_library_is_walked_in_pieces(spark, tmp_path):
+    from test_dedup import library, loop
+
+    use_rocksdb(spark)
+    own = {"busy": library(random.Random(3), 400, True), "quiet": library(random.Random(4), 40, True)}
+    rows = [(lib, i, f"{lib}{i}", h) for lib, hashes in own.items() for i, h in enumerate(hashes)] + [("late", 399, "late0", 5)]
+    df = spark.createDataFrame(rows, "library_id string, name_no long, photo_id string, hash long")
+    write_slices(df, "name_no", f"{tmp_path}/in", slices=5)
+    stream = slice_stream(spark, df.schema, f"{tmp_path}/in")
+    photos.record_near_duplicates(stream, f"{tmp_path}/out", f"{tmp_path}/ck", available_now=True, partitions=6).awaitTermination()
+    got = {r["photo_id"]: (r["status"], r["rep_id"], r["distance"], r["nearest_distance"]) for r in photos.recorded_near_duplicates(spark, f"{tmp_path}/out").collect()}
+    assert got == {**{k: v for lib, hashes in own.items() for k, v in loop([(f"{lib}{i}", h) for i, h in enumerate(hashes)]).items()}, "late0": ("kept", None, None, None)}
+
+
 def test_percentiles_of_open_and_closed_days(spark, tmp_path):
     use_rocksdb(spark)
     rng = np.random.default_rng(3)

@@ -14,19 +14,15 @@ from albumforge.functions.geo import coordinate_key
 from albumforge.operators.ordering import with_positions
 from albumforge.sources.scored import parse_reply
 
-# Names with their known place among the others, as a person would file them; the query's own key has no part in it.
-NATURAL_NAMES = ("a.jpg", "a-1.jpg", "a1.jpg", "a02.jpg", "a10.jpg", "ab.jpg", "img_1.jpg", "img_9.jpg", "img_10.jpg", "img1.jpg", "img2.jpg",
-                 "photo 2.jpg", "photo 10.jpg", "photo2.jpg", "photo10.jpg")
-NATURAL_ORDER = ("a-1.jpg", "a.jpg", "a1.jpg", "a02.jpg", "a10.jpg", "ab.jpg", "img_1.jpg", "img_9.jpg", "img_10.jpg", "img1.jpg", "img2.jpg",
-                 "photo 2.jpg", "photo 10.jpg", "photo2.jpg", "photo10.jpg")
+# A name as numbers: punctuation by its place in the order, then digit runs by value, then other characters by code.
+NAME_SQL = """list_transform(regexp_extract_all(lower({name}), '[0-9]+|[^0-9]'), lambda t:
+  CASE WHEN t[1] BETWEEN '0' AND '9' THEN (1::BIGINT << 60) + CAST(t AS BIGINT) WHEN strpos('{order}', t) > 0 THEN strpos('{order}', t) ELSE (2::BIGINT << 60) + ord(t) END)"""
 
 
-@query("natural_name_order", f"""WITH n AS (SELECT page_id, {list(NATURAL_NAMES)}[page_id % {len(NATURAL_NAMES)} + 1] AS name FROM pages)
-SELECT page_id, row_number() OVER (ORDER BY list_position({list(NATURAL_ORDER)}, name), page_id) - 1 AS pos FROM n""")
+@query("natural_name_order", f"""WITH k AS (SELECT page_id, {NAME_SQL.format(name='url', order=tx.PUNCTUATION_ORDER.replace("'", "''"))} AS parts FROM pages)
+SELECT page_id, row_number() OVER (ORDER BY parts, page_id) - 1 AS pos FROM k""")
 def natural_name_order(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.array(*[F.lit(n) for n in NATURAL_NAMES])
-    p = views.table(spark, sf, "pages").select(
-        "page_id", tx.natural_key(F.get(names, (F.col("page_id") % len(NATURAL_NAMES)).cast("int"))).alias("key"))
+    p = views.table(spark, sf, "pages").select("page_id", tx.natural_key(F.col("url")).alias("key"))
     return with_positions(p, [], [F.col("key").asc(), F.col("page_id").asc()]).select("page_id", "pos")
 
 

@@ -104,23 +104,59 @@ def default_cluster_counts(spark: SparkSession, sf: str) -> DataFrame:
     return embedded(spark, sf).groupBy("library_id").agg(F.count("*").alias("n")).withColumn("k", sm.default_k(F.col("n")))
 
 
-@query("semantic_clusters")
+def kmeans_sql(rounds: int, k: int = 6) -> str:
+    """v_c{rounds}: library, photo and cluster of the rows of v_vec (library_id, photo_id, ordinal, blocks), from the first ``k`` of each library as start."""
+    steps = [f"v_m0 AS (SELECT library_id, rn - 1 AS c, blocks FROM (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY ordinal) AS rn FROM v_vec) WHERE rn <= {k})"]
+    for r in range(1, rounds + 1):
+        steps.append(f"""v_c{r} AS (SELECT library_id, photo_id, CAST(c AS INT) AS cluster FROM (
+  SELECT e.library_id, e.photo_id, m.c, row_number() OVER (PARTITION BY e.library_id, e.photo_id ORDER BY list_inner_product(e.blocks, m.blocks) DESC, m.c) AS rn
+  FROM v_vec e JOIN v_m{r - 1} m ON m.library_id = e.library_id) WHERE rn = 1),
+v_s{r} AS (SELECT a.library_id, a.cluster, i, avg(e.blocks[i]) AS x FROM v_c{r} a JOIN v_vec e ON e.library_id = a.library_id AND e.photo_id = a.photo_id, range(1, 65) d(i) GROUP BY ALL),
+v_m{r} AS (SELECT library_id, cluster AS c, list(x / n ORDER BY i) AS blocks FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY library_id, cluster)) AS n FROM v_s{r}) GROUP BY 1, 2)""")
+    return ",\n".join(steps)
+
+
+# Rounds from given starts, and clusters of each library then.
+GIVEN_ROUNDS, GIVEN_K = 6, 6
+
+
+@query("semantic_clusters", f"""WITH {views.V_EMB}, v_vec AS (SELECT * FROM v_emb),
+{kmeans_sql(GIVEN_ROUNDS, GIVEN_K)},
+g AS (SELECT library_id, cluster, row_number() OVER (PARTITION BY library_id ORDER BY cluster) - 1 AS cluster_idx FROM (SELECT DISTINCT library_id, cluster FROM v_c{GIVEN_ROUNDS}))
+SELECT c.library_id, c.photo_id, CAST(g.cluster_idx AS INT) AS cluster_idx, row_number() OVER (PARTITION BY c.library_id, c.cluster ORDER BY v.ordinal) - 1 AS pos,
+       count(*) OVER (PARTITION BY c.library_id, c.cluster) AS cluster_size
+FROM v_c{GIVEN_ROUNDS} c JOIN g ON g.library_id = c.library_id AND g.cluster = c.cluster JOIN v_vec v ON v.photo_id = c.photo_id""")
 def semantic_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Start points are drawn, so this one has no reference SQL; the single steps do."""
+    """From given start points, so that SQL can follow; drawn ones: see settled_clusters."""
     v = embedded(spark, sf).withColumn("ts", F.lit(None).cast("timestamp"))
-    return sm.place_semantic(sm.semantic_clusters(v)).select("library_id", "photo_id", "cluster_idx", "pos", "cluster_size")
+    found = sm.semantic_clusters(v, GIVEN_K, first_centroids(v, GIVEN_K), max_rounds=GIVEN_ROUNDS)
+    return sm.place_semantic(found).select("library_id", "photo_id", "cluster_idx", "pos", "cluster_size")
 
 
-@query("settled_clusters", "SELECT label AS library_id, count(*) AS photos, 0 AS misplaced FROM embeddings GROUP BY 1")
+@query("settled_clusters", f"""WITH {views.V_EMB}, v_vec AS (SELECT * FROM v_emb),
+{kmeans_sql(1, 12)},
+n AS (SELECT library_id, count(*) AS photos, CAST(greatest(2, least(12, floor(count(*) / 8.0e0 + 0.5e0))) AS INT) AS k FROM v_vec GROUP BY 1),
+o AS (SELECT library_id, avg(best) AS cosine FROM (SELECT e.library_id, e.photo_id, max(list_inner_product(e.blocks, m.blocks)) AS best
+  FROM v_vec e JOIN v_m0 m ON m.library_id = e.library_id JOIN n ON n.library_id = e.library_id WHERE m.c < n.k GROUP BY 1, 2) GROUP BY 1)
+SELECT n.library_id, n.photos, 0 AS misplaced, k AS clusters, o.cosine > 0 AS closer, TRUE AS settled FROM n JOIN o ON o.library_id = n.library_id""")
 def settled_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors that are nearer to another cluster's mean than to their own: none, whatever the start points."""
+    """What holds whatever the start points: no vector is nearer to another cluster's mean than to its own, every cluster
+    has members, and vectors are closer to their means than to the first k vectors of their library."""
     v = embedded(spark, sf)
     found = cut_lineage(sm.kmeans(v.select("library_id", "photo_id", "ordinal", "embedding")))
     means = sm.update(found).groupBy("library_id").agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("c"))
     own = found.withColumnRenamed("cluster", "own")
     # Numbers of clusters are dense, so a place in the array is the number.
-    again = sm.assign(own, means.select("library_id", F.transform("c", lambda x: x["centroid"]).alias("centroids")))
-    return again.groupBy("library_id").agg(F.count("*").alias("photos"), F.count_if(F.col("cluster") != F.col("own")).alias("misplaced"))
+    centroids = cut_lineage(means.select("library_id", F.transform("c", lambda x: x["centroid"]).alias("centroids")))
+    best = lambda sims: sims.max(axis=1)
+    again = sm.against_centroids(own, centroids, sm._nearest, {"cluster": "centroids"})
+    near = sm.against_centroids(again, centroids, best, {"cosine": "centroids"})
+    sizes = v.groupBy("library_id").agg(F.count("*").alias("n")).withColumn("k", sm.default_k(F.col("n")))
+    starts = first_centroids(v, sm.MOST_CLUSTERS).join(sizes, "library_id").select("library_id", F.slice("centroids", F.lit(1), F.col("k")).alias("centroids"))
+    near = sm.against_centroids(near, cut_lineage(starts), best, {"before": "centroids"})
+    return near.groupBy("library_id").agg(
+        F.count("*").alias("photos"), F.count_if(F.col("cluster").cast("int") != F.col("own")).cast("int").alias("misplaced"),
+        F.countDistinct("own").cast("int").alias("clusters"), (F.avg("cosine") > F.avg("before")).alias("closer"), F.bool_and("settled").alias("settled"))
 
 
 @query("ordered_clusters", f"""WITH {views.V_PHOTOS},

@@ -6,12 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumforge.catalog import duplicates, views
+from albumforge.catalog import clustering, duplicates, similarity, views
 from albumforge.catalog.clustering import gap_placed
 from albumforge.catalog.registry import query
 from albumforge.functions import models
 from albumforge.functions import pixels as px
 from albumforge.operators import selection as sel
+from albumforge.operators import semantic as sm
+from albumforge.operators.dedup import dedup
 from albumforge.plans.selection import Selection, select_photos
 from albumforge.session import cut_lineage
 
@@ -36,8 +38,6 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def selected(spark: SparkSession, sf: str) -> Selection:
-    from albumforge.operators.dedup import dedup
-
     return select_photos(files(spark, sf), "timeGap", stages={"dedup": lambda df: dedup(df, duplicates.THRESHOLD)})
 
 
@@ -58,6 +58,55 @@ def selected_photos(spark: SparkSession, sf: str) -> DataFrame:
         "library_id", "photo_id", F.when(F.col("status") == "kept", "selected").otherwise("burst-only").alias("role"))
 
 
+# The same path with days, and with similarity from given starts, in place of gaps.
+_PLACED = views.V_CHAPTERS[views.V_CHAPTERS.index("v_placed AS ("):]
+DAY_PATH_SQL = f"""WITH {duplicates.WALK_SQL}, {V_KEPT}, {clustering.DAY_SQL.format(shift='')}, v_clustered AS (SELECT * FROM v_by_day),
+{_PLACED}"""
+SIMILAR_PATH_SQL = f"""WITH {duplicates.WALK_SQL}, {V_KEPT},
+v_vec AS (SELECT p.library_id, p.photo_id, p.ordinal, e.blocks FROM v_photos p JOIN v_emb e ON e.photo_id = p.photo_id),
+{similarity.kmeans_sql(similarity.GIVEN_ROUNDS, similarity.GIVEN_K)},
+v_numbered AS (SELECT c.library_id, c.cluster, CAST(row_number() OVER (PARTITION BY c.library_id ORDER BY min(p.ts) NULLS LAST, c.cluster) - 1 AS INT) AS cluster_idx
+  FROM v_c{similarity.GIVEN_ROUNDS} c JOIN v_photos p ON p.photo_id = c.photo_id GROUP BY 1, 2),
+v_clustered AS (SELECT p.*, n.cluster_idx FROM v_photos p JOIN v_c{similarity.GIVEN_ROUNDS} c ON c.photo_id = p.photo_id
+  JOIN v_numbered n ON n.library_id = c.library_id AND n.cluster = c.cluster),
+{_PLACED}"""
+CHAPTER_COLUMNS = """
+SELECT library_id, chapter_id, photo_count, hero_photo_id, date, round(lat, 6) AS lat, round(lng, 6) AS lng FROM v_chapters"""
+
+
+def chapter_rows(found: Selection) -> DataFrame:
+    return found.chapters.select(
+        "library_id", "chapter_id", "photo_count", "hero_photo_id", "date",
+        F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+@query("selected_chapters_by_day", DAY_PATH_SQL + CHAPTER_COLUMNS)
+def selected_chapters_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    return chapter_rows(select_photos(files(spark, sf), "day", stages={"dedup": lambda df: dedup(df, duplicates.THRESHOLD)}))
+
+
+@query("selected_chapters_by_similarity", SIMILAR_PATH_SQL + CHAPTER_COLUMNS)
+def selected_chapters_by_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Starts are the first photos kept, known after the first stage; so the step takes them from its own input."""
+    vectors = views.vectors(spark, sf).select("photo_id", F.col("blocks").alias("embedding"))
+    given = files(spark, sf).join(vectors, "photo_id")
+    step = lambda kept: sm.semantic_clusters(kept, similarity.GIVEN_K, similarity.first_centroids(kept, similarity.GIVEN_K), max_rounds=similarity.GIVEN_ROUNDS)
+    return chapter_rows(select_photos(given, "semantic", stages={"dedup": lambda df: dedup(df, duplicates.THRESHOLD), "cluster": step}))
+
+
+def halves():
+    """A model of two numbers: the sums of a vector's halves."""
+    return lambda x: np.stack([x[:, :32].sum(axis=1), x[:, 32:].sum(axis=1)], axis=1)
+
+
+@query("model_vectors", f"""WITH {views.V_EMB}
+SELECT photo_id, round(list_sum(blocks[1:32]), 5) AS low, round(list_sum(blocks[33:64]), 5) AS high FROM v_emb""")
+def model_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    v = views.vectors(spark, sf).select("photo_id", F.transform("blocks", lambda x: x.cast("double")).alias("x"))
+    made = v.select("photo_id", models.model_vectors(halves, 2, F.col("x"), input_shapes=[[64]]).alias("v"))
+    return made.select("photo_id", F.round(F.get("v", F.lit(0)), 5).alias("low"), F.round(F.get("v", F.lit(1)), 5).alias("high"))
+
+
 def squash():
     return lambda x: 1 / (1 + np.exp(-x))
 

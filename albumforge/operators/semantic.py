@@ -8,7 +8,7 @@ summariser, which combines before its shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,6 +25,8 @@ from albumforge.operators.ordering import with_positions
 from albumforge.session import cut_lineage
 
 MAX_ROUNDS = 50
+# Fixed value: the most clusters that a library gets by default.
+MOST_CLUSTERS = 12
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -90,7 +92,7 @@ def against_centroids(vectors: DataFrame, centroids: DataFrame, measure: Callabl
 
 
 def default_k(n: Column) -> Column:
-    return F.greatest(F.lit(2), F.least(F.lit(12), half_up(n / 8))).cast("int")
+    return F.greatest(F.lit(2), F.least(F.lit(MOST_CLUSTERS), half_up(n / 8))).cast("int")
 
 
 def assign(vectors: DataFrame, centroids: DataFrame, library_id: str = "library_id") -> DataFrame:
@@ -112,33 +114,62 @@ def _u01(*cols) -> Column:
 
 
 def seed_centroids(vectors: DataFrame, sizes: DataFrame, seed: int = 0, library_id: str = "library_id",
-                   small: bool | None = None) -> DataFrame:
-    """k-means++ start: each next vector is drawn with weight (1 - cosine)^2 to the chosen ones.
-
-    A weighted draw is an arg-max over u^(1/w) with u from a hash of the row and
-    the round, so every round is one mergeable aggregate.
+                   small: bool | None = None, rounds: int = 2, over: int = 2) -> DataFrame:
+    """Start centroids by oversampling: ``rounds`` times, ``over`` * k more vectors of each library are drawn at once.
+
+    A vector is drawn with weight (1 - cosine)^2 to those chosen so far: the
+    top ones by log(u)/weight, with u from a hash of the row, which Spark limits per
+    library before the shuffle. Each vector then counts for its nearest candidate,
+    and a weighted k-means++ among the few candidates of a library leaves k.
+    The number of passes over the vectors doesn't grow with k.
     """
     draw = F.struct(_u01(F.lit(seed), F.lit(0), "ordinal"), "ordinal")
     first = vectors.groupBy(library_id).agg(F.max_by("embedding", draw).alias("_v")).join(
         sizes.select(library_id, "k"), library_id)
-    chosen = cut_lineage(first.select(library_id, "k", F.array("_v").alias("centroids")))
-    top = chosen.agg(F.max("k")).first()[0] or 0
-    for step in range(1, top):
-        weighed = against_centroids(
-            vectors, chosen.where(F.col("k") > step), _seed_weight, {"_w": "centroids"}, library_id, small)
-        # log(u)/w orders like u^(1/w); a zero weight comes last
-        key = F.when(F.col("_w") > 0, F.log(_u01(F.lit(seed), F.lit(step), "ordinal")) / F.col("_w")).otherwise(
-            F.lit(float("-inf")))
-        drawn = weighed.groupBy(library_id).agg(F.max_by("embedding", F.struct(key, "ordinal")).alias("_v"))
-        chosen = cut_lineage(chosen.join(drawn, library_id, "left").select(
-            library_id, "k",
-            F.when(F.col("_v").isNull(), F.col("centroids")).otherwise(F.array_append("centroids", F.col("_v"))).alias("centroids")))
-    return chosen
+    doubles = lambda c: F.transform(c, lambda x: x.cast("double"))
+    chosen = cut_lineage(first.select(library_id, "k", F.array(doubles("_v")).alias("centroids")))
+    most = chosen.agg(F.max("k")).first()[0] or 0
+    for step in range(1, rounds + 1):
+        weighed = against_centroids(vectors, chosen, _seed_weight, {"_w": "centroids"}, library_id, small).where("_w > 0")
+        # log(u)/w orders like u^(1/w).
+        key = F.log(_u01(F.lit(seed), F.lit(step), "ordinal")) / F.col("_w")
+        best = Window.partitionBy(library_id).orderBy(key.desc(), "ordinal")
+        top = weighed.withColumn("_no", F.row_number().over(best)).where(F.col("_no") <= over * most)
+        fresh = top.join(F.broadcast(chosen.select(library_id, "k")) if small else chosen.select(library_id, "k"), library_id).where(F.col("_no") <= over * F.col("k"))
+        drawn = fresh.groupBy(library_id).agg(F.array_sort(F.collect_list(F.struct("_no", doubles("embedding").alias("v")))).alias("_new"))
+        more = F.coalesce(F.transform("_new", lambda r: r["v"]), F.array().cast("array<array<double>>"))
+        chosen = cut_lineage(chosen.join(drawn, library_id, "left").select(library_id, "k", F.concat("centroids", more).alias("centroids")))
+    near = against_centroids(vectors, chosen, _nearest, {"_c": "centroids"}, library_id, small)
+    counted = near.groupBy(library_id, F.col("_c").cast("int").alias("_c")).agg(F.count("*").alias("n"))
+    weights = counted.groupBy(library_id).agg(F.map_from_entries(F.collect_list(F.struct("_c", "n"))).alias("_n"))
+    rows = chosen.join(weights, library_id).withColumn(
+        "_n", F.transform("centroids", lambda c, i: F.coalesce(F.try_element_at("_n", i), F.lit(0).cast("bigint"))))
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["centroids"] = [_weighted_start(_matrix(c), np.asarray(n, np.float64), k, seed) for c, n, k in zip(pdf["centroids"], pdf["_n"], pdf["k"], strict=True)]
+            yield pdf[[library_id, "k", "centroids"]]
+
+    return rows.mapInPandas(reduced, T.StructType([chosen.schema[library_id], chosen.schema["k"], chosen.schema["centroids"]]))
+
+
+def _weighted_start(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> list[list[float]]:
+    """k of the candidates (fewer where these are) by k-means++ with weights."""
+    rng = np.random.default_rng(seed)
+    picked = [int(np.argmax(rng.random(len(weights)) ** (1 / np.maximum(weights, 1e-9))))]
+    while len(picked) < k:
+        far = weights * (1 - (candidates @ candidates[picked].T).max(axis=1)) ** 2
+        # Rounding leaves a chosen one a little weight.
+        far[picked] = 0
+        if far.sum() <= 1e-18:
+            break
+        picked.append(int(rng.choice(len(far), p=far / far.sum())))
+    return candidates[picked].tolist()
 
 
 def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None = None, seed: int = 0,
            max_rounds: int = MAX_ROUNDS, library_id: str = "library_id") -> DataFrame:
-    """Add ``cluster`` to every vector.
+    """Add ``cluster`` to every vector, and ``settled``: whether its library's assignments had stopped changing.
 
     Libraries with at most k vectors get one cluster per vector. All other
     libraries run together; one leaves the loop when none of its assignments
@@ -150,7 +181,7 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
     sizes = counts.withColumn("k", F.lit(k) if k else default_k(F.col("n")))
     few = sizes.where(F.col("n") <= F.col("k")).select(library_id)
     trivial = with_positions(vectors.join(few, library_id, "left_semi"), [library_id],
-                             [F.col("ordinal").asc()], out="cluster").withColumn("cluster", F.col("cluster").cast("int"))
+                             [F.col("ordinal").asc()], out="cluster").withColumns({"cluster": F.col("cluster").cast("int"), "settled": F.lit(True)})
     big = cut_lineage(vectors.join(few, library_id, "left_anti"))
     many = cut_lineage(sizes.where(F.col("n") > F.col("k")))
     # Both the current and the previous centroids may have to travel.
@@ -168,7 +199,7 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
             unit_vector(mean).alias("centroid"),
             F.count_if(F.col("cluster") != F.col("_before")).alias("_moved")))
         moving = found.groupBy(library_id).agg(F.sum("_moved").alias("_moved")).where("_moved > 0").select(library_id)
-        settled.append(active.join(moving, library_id, "left_anti").select(library_id, "centroids"))
+        settled.append(active.join(moving, library_id, "left_anti").select(library_id, "centroids", F.lit(True).alias("settled")))
         slots = active.join(moving, library_id, "left_semi").select(
             library_id, F.posexplode("centroids").alias("cluster", "_old"))
         filled = slots.join(found.drop("_moved"), [library_id, "cluster"], "left")
@@ -188,9 +219,11 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
         if not left:
             break
     # A library still moving at the last round keeps the assignment it had then.
-    settled.append(active.select(library_id, F.col("previous").alias("centroids")))
+    settled.append(active.select(library_id, F.col("previous").alias("centroids"), F.lit(False).alias("settled")))
     final = cut_lineage(reduce(DataFrame.unionByName, settled))
     assigned = against_centroids(big, final, _nearest, {"cluster": "centroids"}, library_id, small)
+    known = final.select(library_id, "settled")
+    assigned = assigned.join(F.broadcast(known) if small else known, library_id)
     return assigned.withColumn("cluster", F.col("cluster").cast("int")).unionByName(trivial)
 
 
@@ -219,10 +252,10 @@ def order_clusters(assigned: DataFrame, library_id: str = "library_id") -> DataF
 
 
 def semantic_clusters(photos: DataFrame, k: int | None = None, initial: DataFrame | None = None, seed: int = 0,
-                      library_id: str = "library_id") -> DataFrame:
-    """Photos with ``cluster_idx`` by similarity of ``embedding``."""
+                      library_id: str = "library_id", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """Photos with ``cluster_idx`` by similarity of ``embedding``; ``initial``: given start centroids of each library."""
     vectors = photos.where(F.col("embedding").isNotNull()).select(library_id, "photo_id", "ordinal", "embedding")
-    found = kmeans(vectors, k, initial, seed, library_id=library_id).select(library_id, "photo_id", "cluster")
+    found = kmeans(vectors, k, initial, seed, max_rounds, library_id).select(library_id, "photo_id", "cluster")
     return order_clusters(photos.join(found, [library_id, "photo_id"], "left"), library_id)
 
 

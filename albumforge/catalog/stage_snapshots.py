@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from albumforge.operators import chapters as ch
 from albumforge.operators import cluster as cl
 from albumforge.operators import documents as doc
 from albumforge.operators import snapshots as sn
+from albumforge.session import cut_lineage, shared_dir
 
 
 @query("tag_snapshot", f"WITH {views.V_PHOTOS} SELECT library_id, count(*) AS photos, count(ts) AS with_date, count(lat) AS with_gps FROM v_photos GROUP BY 1")
@@ -139,6 +142,55 @@ def document_chapter_photos(spark: SparkSession, sf: str) -> DataFrame:
     return listed.select("library_id", "chapter_id", "photo_id", (F.col("part") * 20 + F.col("i")).alias("pos"))
 
 
+# Parts are stored, and two libraries are written again from photos that were changed.
+REDONE = "library_id IN (2, 5)"
+V_STORED = f"""{V_MAP},
+v_day AS (SELECT library_id, day, row_number() OVER (PARTITION BY library_id ORDER BY day NULLS LAST) AS no FROM (SELECT DISTINCT library_id, CAST(ts AS DATE) AS day FROM v_shown)),
+v_doc AS (
+  SELECT s.*, printf('chapter_%03d', d.no) AS chapter_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY s.library_id, d.no) AS n
+  FROM v_shown s JOIN v_day d ON d.library_id = s.library_id AND CAST(s.ts AS DATE) IS NOT DISTINCT FROM d.day
+  WINDOW w AS (PARTITION BY s.library_id, d.no ORDER BY s.ts, s.ordinal))"""
+
+
+def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored parts after a first write of all libraries and a second one of two of them,"""
+    path = f"{shared_dir(spark)}/albumforge-documents-{uuid.uuid4().hex}"
+    # Each section is read from the same five tables, so they are worked out once.
+    tables = [cut_lineage(t) for t in document_inputs(spark, sf)]
+    stale = [t.withColumn("lat", F.lit(0.0)) if "lat" in t.columns else t for t in tables]
+    stale = [t.where(REDONE) for t in stale]
+    good = [t.where(f"NOT ({REDONE})") for t in tables]
+    doc.replace_documents(doc.document_parts(*[a.unionByName(b) for a, b in zip(good, stale)], rows_per_part=20), path)
+    doc.replace_documents(doc.document_parts(*[t.where(REDONE) for t in tables], rows_per_part=20), path)
+    return doc.read_documents(spark, path)
+
+
+@query("document_chapters", f"""WITH {V_STORED}
+SELECT library_id, chapter_id, max(CASE WHEN pos = n // 2 THEN photo_id END) AS hero_photo_id, strftime(min(ts), '%Y-%m-%d') AS date,
+       list_sort(list(lat) FILTER (lat IS NOT NULL))[count(lat) // 2 + 1] AS lat FROM v_doc GROUP BY 1, 2""")
+def document_chapters(spark: SparkSession, sf: str) -> DataFrame:
+    """The chapter section of stored documents: libraries written again have their new coordinates, the others are as they were."""
+    heads = stored_documents(spark, sf).where("section = 'chapter'")
+    kind = "struct<id:string,heroPhotoId:string,date:string,coords:struct<lat:double,lng:double>>"
+    told = heads.select(F.col("library_id").cast("bigint").alias("library_id"), F.from_json("body", kind).alias("c"))
+    return told.select("library_id", F.col("c.id").alias("chapter_id"), F.col("c.heroPhotoId").alias("hero_photo_id"), "c.date", F.col("c.coords.lat").alias("lat"))
+
+
+@query("document_bursts_and_meta", f"""WITH {V_STORED},
+b AS (SELECT a.library_id, concat('photo_', a.ordinal - 1) AS owner, a.photo_id AS value FROM v_all a JOIN v_shown s ON s.library_id = a.library_id AND s.ordinal = a.ordinal - 1 WHERE a.candidate),
+m AS (SELECT p.library_id, count(*) AS all_photos, count(*) FILTER (NOT candidate) AS kept, count(DISTINCT coalesce(CAST(ts AS DATE), DATE '1900-01-01')) FILTER (NOT candidate) AS chapters FROM v_all p GROUP BY 1),
+d AS (SELECT library_id, strftime(min(ts), '%Y-%m-%d') AS s, strftime(max(ts), '%Y-%m-%d') AS e FROM v_mapped GROUP BY 1)
+SELECT library_id, 'burstGroups' AS section, owner, value FROM b
+UNION ALL SELECT m.library_id, 'meta', '', concat(all_photos, ' ', kept, ' ', chapters, ' ', s, ' ', e) FROM m JOIN d ON d.library_id = m.library_id""")
+def document_bursts_and_meta(spark: SparkSession, sf: str) -> DataFrame:
+    parts = stored_documents(spark, sf).withColumn("library_id", F.col("library_id").cast("bigint"))
+    bursts = parts.where("section = 'burstGroups'").select("library_id", "section", "owner", F.explode(F.from_json("body", "array<string>")).alias("value"))
+    kind = "struct<totalPhotosInput:bigint,totalPhotosAfterDedup:bigint,totalChapters:bigint,dateRange:struct<start:string,end:string>>"
+    meta = parts.where("section = 'meta'").select("library_id", "section", "owner", F.from_json("body", kind).alias("m")).select(
+        "library_id", "section", "owner", F.concat_ws(" ", "m.totalPhotosInput", "m.totalPhotosAfterDedup", "m.totalChapters", "m.dateRange.start", "m.dateRange.end").alias("value"))
+    return bursts.unionByName(meta)
+
+
 @query("nested_documents", f"""WITH {V_MAP},
 c AS (SELECT library_id, count(DISTINCT coalesce(CAST(ts AS DATE), DATE '1900-01-01')) AS chapters FROM v_shown GROUP BY 1),
 n AS (SELECT library_id, count(*) AS photos, count(*) FILTER (candidate) AS bursts FROM v_mapped GROUP BY 1)

@@ -17,6 +17,8 @@ from albumforge.operators import curation as cu
 from albumforge.operators import documents as doc
 from albumforge.operators import itinerary as it
 from albumforge.operators import story as st
+from albumforge.plans.stories import curated_story as curated
+from albumforge.plans.stories import itinerary_story as along_itinerary
 from albumforge.session import cut_lineage
 
 # Day clusters: thirty-one chapters per library, thousands of photos each.
@@ -319,3 +321,62 @@ def story_rows(spark: SparkSession, sf: str) -> DataFrame:
     trips = events.select("library_id", F.concat(F.lit("Trip "), F.col("library_id").cast("string")).alias("trip_name")).distinct()
     return doc.story_rows(placed, it.event_chapters(placed, events), trips).select(
         "library_id", "trip_name", "event_id", "activity", "photo_id", "pos")
+
+
+# Of every library, each third photo is kept, but of library 4 none.
+KEPT = "ordinal % 3 = 0 AND library_id <> 4"
+V_CURATED = V_LOCATED + f""",
+v_cur_placed AS (SELECT * FROM v_day_placed WHERE {KEPT}),
+v_cur_chapters AS (
+  SELECT l.library_id, l.cluster_idx, l.chapter_id, l.lat, l.lng, l.label, count(*) AS photo_count,
+         coalesce(max(CASE WHEN k.photo_id = l.hero_photo_id THEN k.photo_id END), arg_min(k.photo_id, k.pos)) AS hero_photo_id
+  FROM v_located l JOIN v_cur_placed k ON k.library_id = l.library_id AND k.cluster_idx = l.cluster_idx GROUP BY ALL),
+v_cur_title AS (SELECT *, row_number() OVER (PARTITION BY library_id ORDER BY cluster_idx) AS day_index,
+  concat('Day ', row_number() OVER (PARTITION BY library_id ORDER BY cluster_idx), CASE WHEN coalesce(label, '') = '' THEN '' ELSE concat(' — ', label) END) AS title FROM v_cur_chapters),
+{V_TWO.format(placed="v_cur_placed")}, {V_CARD.format(placed="v_cur_placed", chapters="v_cur_chapters", picks=PICKS)},
+v_cur_legs AS (SELECT library_id, lat, lng, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM v_cur_chapters WINDOW w AS (PARTITION BY library_id ORDER BY cluster_idx)),
+v_cur_km AS (SELECT library_id, CAST(floor(coalesce(sum({KM.format(a='p', b='')}), 0) + 0.5) AS BIGINT) AS km FROM v_cur_legs GROUP BY 1),
+v_cur_land AS (SELECT library_id, arg_max(country, cluster_idx) AS country FROM v_located WHERE country IS NOT NULL GROUP BY 1),
+v_cur_trip AS (SELECT library_id, min(ts) AS s, max(ts) AS e, count(*) AS photos FROM v_photos GROUP BY 1),
+v_cover AS (
+  SELECT k.library_id, concat(CASE WHEN coalesce(country, '') = '' THEN '' ELSE concat(country, ', ') END,
+           CASE WHEN monthname(s) = monthname(e) THEN monthname(s) ELSE concat(monthname(s), '–', monthname(e)) END, ' ', year(e)) AS trip_name,
+         CASE WHEN km >= 50 THEN concat(format('{{:,}}', km), 'km travelled') ELSE concat(format('{{:,}}', photos), ' photos taken') END AS stat
+  FROM v_cur_km k JOIN v_cur_trip t ON t.library_id = k.library_id LEFT JOIN v_cur_land l ON l.library_id = k.library_id)"""
+
+
+@query("curated_story", f"""WITH {V_CURATED}, f AS (
+  SELECT library_id, 0 AS frame_no, 'cover' AS type, NULL AS chapter_id, trip_name AS title, stat AS detail FROM v_cover
+  UNION ALL SELECT t.library_id, 2 * day_index - 1, 'chapterDivider', chapter_id, title, concat(d.top_photo_id, ',', d.bottom_photo_id)
+  FROM v_cur_title t JOIN v_div d ON d.library_id = t.library_id AND d.cluster_idx = t.cluster_idx
+  UNION ALL SELECT t.library_id, 2 * day_index, 'photoCard', chapter_id, c.layout, c.photo_ids
+  FROM v_cur_title t JOIN v_card c ON c.library_id = t.library_id AND c.cluster_idx = t.cluster_idx
+  UNION ALL SELECT library_id, 2 * max(day_index) + 1, 'coda', NULL, NULL, 'The end.' FROM v_cur_title GROUP BY 1)
+SELECT library_id, CAST(frame_no AS INT) AS frame_no, type, chapter_id, title, detail, CASE WHEN frame_no > 0 THEN 2000 * (frame_no - 1) END AS start_ms FROM f""")
+def curated_story(spark: SparkSession, sf: str) -> DataFrame:
+    placed = day_placed(spark, sf)
+    meta = views.photos(spark, sf).groupBy("library_id").agg(
+        F.count("*").alias("photos"), F.to_date(F.min("ts")).alias("start_date"), F.to_date(F.max("ts")).alias("end_date"))
+    made = curated(located(spark, sf, placed), placed, placed.where(KEPT), meta)
+    return made.frames.select(
+        "library_id", "frame_no", "type", "chapter_id", F.coalesce("trip_name", "title", "layout").alias("title"),
+        F.coalesce("stat", F.when(F.col("type") == "chapterDivider", F.concat_ws(",", "top_photo_id", "bottom_photo_id")),
+                   F.array_join("photo_ids", ","), "text").alias("detail"), "start_ms")
+
+
+@query("itinerary_story", f"""WITH {up.V_MATCH},
+m AS (SELECT library_id, event_id, photo_id, photo_count, CASE WHEN event_id LIKE '%\\_1' ESCAPE '\\' THEN photo_count - 1 - pos ELSE pos END AS pos FROM v_matched),
+c AS (SELECT library_id, event_id, count(*) AS photo_count, max(CASE WHEN pos = photo_count // 2 THEN photo_id END) AS hero_photo_id FROM m GROUP BY 1, 2)
+SELECT t.library_id, concat('Trip ', t.library_id) AS trip_name, t.event_id, t.activity, coalesce(c.photo_count, 0) AS photo_count, c.hero_photo_id, m.photo_id, m.pos
+FROM v_trip t LEFT JOIN c ON c.library_id = t.library_id AND c.event_id = t.event_id LEFT JOIN m ON m.library_id = t.library_id AND m.event_id = t.event_id
+UNION ALL SELECT m.library_id, concat('Trip ', m.library_id), m.event_id, 'Other Moments', c.photo_count, c.hero_photo_id, m.photo_id, m.pos
+FROM m JOIN c ON c.library_id = m.library_id AND c.event_id = m.event_id WHERE m.event_id = 'other_moments'""")
+def itinerary_story(spark: SparkSession, sf: str) -> DataFrame:
+    """The second event of each day is asked for in reverse order."""
+    photos, events = views.photos(spark, sf), up.trip_events(spark, sf)
+    trips = events.select("library_id", F.concat(F.lit("Trip "), F.col("library_id").cast("string")).alias("trip_name")).distinct()
+    as_matched = it.place_in_events(up.matched(spark, sf)).where("event_id LIKE '%\\_1'")
+    order = as_matched.select("library_id", "event_id", "photo_id", (F.col("photo_count") - 1 - F.col("pos")).alias("new_pos"))
+    _, rows = along_itinerary(photos, events, trips, order)
+    return rows.select(
+        "library_id", "trip_name", "event_id", "activity", "photo_count", "hero_photo_id", "photo_id", "pos")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from albumforge.catalog.event_intake import pick
 from albumforge.catalog.registry import query
 from albumforge.functions.times import instant_of
 from albumforge.operators import itinerary as it
-from albumforge.session import cut_lineage
+from albumforge.operators.dedup import fingerprint
+from albumforge.session import cut_lineage, shared_dir
 from albumforge.sources import itineraries, uploads
 
 SUFFIXES = (".jpg", ".JPEG", ".png", ".gif", ".heic", ".txt", ".tiff", ".jpgx", "")
@@ -38,6 +41,26 @@ def accepted_uploads(spark: SparkSession, sf: str) -> DataFrame:
     return uploads.accept_uploads(listing(spark, sf), most=40).select("library_id", "ordinal", "name", "reject_reason", "accepted")
 
 
+def write_upload(spark: SparkSession, sf: str, path: str) -> None:
+    """Every document as a file of its own, written by the tasks through the cluster's file system: lang/id and one of the endings."""
+    docs = views.table(spark, sf, "documents").select(
+        F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.concat(F.lit("img"), F.col("doc_id").cast("string"), pick(SUFFIXES, F.col("doc_id") % 9))).alias("name"),
+        F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    uploads.write_files(docs, path)
+
+
+@query("listed_files", f"""WITH f AS (
+  SELECT concat('img', doc_id, {list(SUFFIXES)}[doc_id % 9 + 1]) AS name, coalesce(text, '') AS x FROM documents),
+g AS (SELECT * FROM f WHERE regexp_matches(lower(name), '[.](jpg|jpeg|png|heic|heif|webp|tiff)$') AND strlen(x) BETWEEN 1 AND 4000)
+SELECT name, strlen(x) AS length, sha256(x) AS fingerprint FROM g""")
+def listed_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Real files of a folder: other endings are never listed, those above the limit (4,000 bytes here) never opened."""
+    path = f"{shared_dir(spark)}/albumforge-upload-{uuid.uuid4().hex}"
+    write_upload(spark, sf, path)
+    return uploads.list_images(spark, path, 4000).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), "length", fingerprint(F.col("content")).alias("fingerprint"))
+
+
 def tags(spark: SparkSession, sf: str) -> DataFrame:
     e, i, ts = views.events(spark, sf), F.col("event_id"), F.col("ts")
     null = F.lit(None).cast("int")

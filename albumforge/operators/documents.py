@@ -8,7 +8,7 @@ so bounded by what a row may hold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumforge.functions import text as tx
@@ -186,3 +186,21 @@ def story_rows(placed: DataFrame, event_chapters: DataFrame, trips: DataFrame, l
     photos = placed.select(library_id, "event_id", "photo_id", "pos")
     return event_chapters.join(trips.select(library_id, "trip_name"), library_id, "left").join(
         photos, [library_id, "event_id"], "left")
+
+
+def replace_documents(documents: DataFrame, path: str, library_id: str = "library_id") -> None:
+    """Document parts under ``path``, by library; only the libraries in ``documents`` are replaced.
+
+    Each library is a partition of the table, so writing it again, or running a
+    job again that was lost, leaves one copy; other libraries' files are not
+    touched. Parts of a large library are spread over files.
+    """
+    order = [c for c in ("section", "owner", "part") if c in documents.columns]
+    laid = documents.repartitionByRange(library_id, *order).sortWithinPartitions(library_id, *order)
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(library_id).parquet(path)
+
+
+def read_documents(spark: SparkSession, path: str, *sections: str) -> DataFrame:
+    """Parts of the given sections; files hold sections in order, so others are skipped."""
+    parts = spark.read.parquet(path)
+    return parts.where(F.col("section").isin(*sections)) if sections else parts

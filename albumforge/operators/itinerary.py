@@ -9,8 +9,14 @@ row that its day has.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from albumforge.functions.times import local_time
 from albumforge.operators.chapters import middle_photo
@@ -27,12 +33,31 @@ def window_start(date: Column, clock: Column) -> Column:
     return day + F.make_dt_interval(mins=minutes)
 
 
+def sweep(events: list[dict]) -> list[dict]:
+    """The bounds of a day's events (``_from``, ``_to``, ``event_id``; first ones first), ascending, each with the first event
+    at it (``here``) and the first one after it until the next bound (``after``). Events that are open wait in a heap."""
+    begins = sorted(range(len(events)), key=lambda i: events[i]["_from"])
+    bounds, open_, at, out = sorted({e[c] for e in events for c in ("_from", "_to")}), [], 0, []
+    for b in bounds:
+        while at < len(begins) and events[begins[at]]["_from"] <= b:
+            heapq.heappush(open_, begins[at])
+            at += 1
+        while open_ and events[open_[0]]["_to"] < b:
+            heapq.heappop(open_)
+        here = events[open_[0]]["event_id"] if open_ else None
+        while open_ and events[open_[0]]["_to"] <= b:
+            heapq.heappop(open_)
+        out.append({"at": b, "here": here, "after": events[open_[0]]["event_id"] if open_ else None})
+    return out
+
+
 def day_pieces(events: DataFrame, library_id: str = "library_id") -> DataFrame:
     """(library, date) to ``bounds``, ascending: local time, the first event at it, and the first event after it until the next.
 
     An event of several days counts on each of them, from midnight or to the
     day's end. Events without a usable window, or that end before they start,
-    cover nothing.
+    cover nothing. A day has at most 1,441 bounds, as they are whole minutes; its
+    events, however many, are swept once.
     """
     timed = events.select(library_id, "ord", "event_id", window_start(F.col("date"), F.col("start_time")).alias("_from"),
                           window_start(F.col("date"), F.col("end_time")).alias("_to")).where("_from <= _to")
@@ -42,14 +67,17 @@ def day_pieces(events: DataFrame, library_id: str = "library_id") -> DataFrame:
                        F.least("_to", midnight + F.expr("INTERVAL 1 DAY")).alias("_to"))
     whole = cut.groupBy(library_id, "_date").agg(
         F.array_sort(F.collect_list(F.struct("ord", "event_id", "_from", "_to"))).alias("_events"))
-    at = F.array_sort(F.array_distinct(F.flatten(F.array(F.transform("_events", lambda e: e["_from"]), F.transform("_events", lambda e: e["_to"])))))
+    name = events.schema["event_id"].dataType
+    bound = T.StructType([T.StructField("at", T.TimestampNTZType()), T.StructField("here", name), T.StructField("after", name)])
+    schema = T.StructType([whole.schema[library_id], whole.schema["_date"], T.StructField("bounds", T.ArrayType(bound))])
+    arrow = to_arrow_schema(schema)
 
-    def first(test) -> Column:
-        return F.get(F.filter("_events", test), F.lit(0))["event_id"]
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds = pa.array([sweep(day) for day in batch.column(2).to_pylist()], type=arrow.field("bounds").type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bounds], schema=arrow)
 
-    return whole.select(library_id, "_date", F.transform(at, lambda b: F.struct(
-        b.alias("at"), first(lambda e: (e["_from"] <= b) & (e["_to"] >= b)).alias("here"),
-        first(lambda e: (e["_from"] <= b) & (e["_to"] > b)).alias("after"))).alias("bounds"))
+    return whole.mapInArrow(swept, schema)
 
 
 def match_events(photos: DataFrame, events: DataFrame, tz: str = "UTC",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +18,36 @@ MAX_FILE_BYTES = 50 * 1024 * 1024
 FORM_FILES = 500
 
 
-def list_images(spark: SparkSession, path: str) -> DataFrame:
+def write_files(contents: DataFrame, path: str) -> None:
+    """One file under ``path`` for each row (``name``, which may hold folders, and ``content``), written by the tasks.
+
+    Files go through Arrow's file systems, so ``path`` is the full name of a
+    folder that every executor reaches. A row that is written again replaces its file.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scheme, _, rest = path.rpartition(":")
+        store, root = (fs.LocalFileSystem(), f"/{rest.lstrip('/')}") if scheme in ("", "file") else fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                store.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_pydict({"files": [batch.num_rows]})
+
+    contents.select("name", "content").mapInArrow(write, "files long").agg(F.sum("files")).collect()
+
+
+def list_images(spark: SparkSession, path: str, most_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Image files under ``path`` as (path, modificationTime, length, content).
 
     Other names are left out by the file listing, so they are never opened; the
     size limit reaches the reader, and content is read only if it is selected.
+    Spark leaves files without a byte out.
     """
     either = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in "jpg,jpeg,png,heic,heif,webp,tiff")
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either}}}").load(path)
-        .where(F.col("length") <= MAX_FILE_BYTES)
+        .where(F.col("length") <= most_bytes)
     )
 
 

@@ -20,7 +20,7 @@ from albumforge.llm.packing import best_fit_packing, pack_block
 from albumforge.llm.quality_rules import quality_rules
 from albumforge.llm.quality_votes import quality_votes
 from albumforge.llm.token_files import Shard, compress, read_digests, write_token_files
-from albumforge.llm.toxicity import toxicity
+from albumforge.llm.toxicity import toxicity, train
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -226,6 +226,64 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity(nothing, nothing.select("text", "label"), nothing.select("text", "label")).collect() == []
 
 
+def brute_ratios(counted, texts):
+    """Sum of log ratios and distinct expressions of each text, with dictionaries."""
+    def pairs_of(text):
+        w = [x for x in re.split(r"[^\w]+|[\d_]+", (text or "").lower()) if x]
+        return set(zip([None, *w], w, strict=False))
+
+    words, pairs = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for text, label in counted:
+        own = pairs_of(text)
+        for w in {w for _, w in own}:
+            words[w][label] += 1
+        for v, w in own:
+            if v is not None:
+                pairs[v, w][label] += 1
+    d = 0.75
+    total = [sum(c[k] for c in words.values()) for k in (0, 1)]
+    freed = [sum(min(c[k], d) for c in words.values()) for k in (0, 1)]
+    share = total[1] / sum(total)
+    follows, heads, left = Counter(w for _, w in pairs), defaultdict(lambda: [0, 0]), Counter()
+    for (v, _), c in pairs.items():
+        for k in (0, 1):
+            heads[v][k] += c[k]
+            left[v] += min(c[k], d)
+
+    def weight(c):
+        n = sum(c)
+        return max(0.0, 1 - 9 / max((c[1] - n * share) ** 2 / max(n * share * (1 - share), 1e-9), 1e-9))
+
+    def u(w, k):
+        return (max(words[w][k] - d, 0) + freed[k] * (follows[w] + 0.5) / (len(pairs) + 0.5 * len(words))) / total[k]
+
+    def ratio(v, w):
+        if (v, w) in pairs and weight(pairs[v, w]):
+            p = [max(pairs[v, w][k] - d, 0) / max(1, heads[v][k]) + left[v] / sum(heads[v]) * u(w, k) for k in (0, 1)]
+            return np.log(p[1] / p[0]) * weight(pairs[v, w])
+        return np.log(u(w, 1) / u(w, 0)) * weight(words[w]) if w in words else 0.0
+
+    return [(sum(ratio(*e) for e in pairs_of(t)), len(pairs_of(t))) for t in texts]
+
+
+def test_toxicity_model_equals_dictionaries(spark):
+    rng = random.Random(8)
+    words = [a + b for a in ("ka", "lo", "mi", "tu") for b in ("n", "r", "s", "da")]
+    counted = []
+    for i in range(400):
+        label = int(i % 5 == 0)
+        w = [rng.choice(words) for _ in range(rng.randrange(1, 25))]
+        if label:
+            w[rng.randrange(len(w)):0] = ["vile", rng.choice(["beast", "kan"])]
+        counted.append((" ".join(w).title(), label))
+    model = train(spark.createDataFrame(counted, "text string, label int").repartition(3))
+    texts = [t for t, _ in counted[:60]] + ["", "unheard of things", "Vile vile, BEAST! kan-kan", "kan " * 4000]
+    total, n = model.ratios(pa.array(texts, pa.large_string()))
+    want = brute_ratios(counted, texts)
+    assert n.tolist() == [k for _, k in want]
+    assert np.allclose(total, [x for x, _ in want], atol=1e-9) and any(abs(x) > 1 for x, _ in want)
+
+
 def test_quality_votes(spark, docs, nothing):
     known, rows = labelled_texts(spark, ["###", "&&&x", "%%%"])
     sample = known.filter("doc_id % 2 = 0").select("text", "label")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from albumforge.llm.common import clashing, written
 from albumforge.llm.encode import gather, string_blocks, worker_encoder
@@ -161,11 +162,13 @@ def write_token_files(docs: DataFrame, folder: str | None, path: str, end: int =
     """Encode every text, end each with ``end``, write shards in ascending order of id, and return the table of them.
 
     Null texts are empty (the end id alone), null ids come first, equal rows are
-    written each. ``folder`` None: a table of its own in the shared folder.
+    written each. Rows that share an id are dealt by text, so any number of them
+    may. A text is never cut: a very long one makes its shard longer. Other
+    columns are left out. ``folder`` None: a table of its own in the shared folder.
     """
     named = clashing(docs, id_column, text_column).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = named.schema["doc_id"].dataType.simpleString()
-    arrow_kind = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
+    arrow_kind = to_arrow_type(named.schema["doc_id"].dataType)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number = worker_encoder(path, end, True), 0
@@ -192,7 +195,7 @@ def write_token_files(docs: DataFrame, folder: str | None, path: str, end: int =
         if len(counts):
             yield shard(len(counts))
 
-    ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    ordered = named.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
     made = ordered.mapInArrow(lean(shards), SHARDS.format(kind=kind))
     if folder is None:
         return written(made, "token-files")

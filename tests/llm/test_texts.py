@@ -226,6 +226,17 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity(nothing, nothing.select("text", "label"), nothing.select("text", "label")).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,0)", "string", "date"])
+def test_token_files_of_other_ids(spark, kind):
+    value = "date_add(DATE'2020-01-01', int(id div 3))" if kind == "date" else f"CAST(id div 3 AS {kind})"
+    docs = spark.range(30).selectExpr(f"CASE WHEN id % 5 > 0 THEN {value} END AS doc_id", "concat('text number ', id) AS text", "1 AS part")
+    got = read_digests(write_token_files(docs, None, BYTES, shard_ids=40)).orderBy("start").collect()
+    assert len(got) == 30 and [r["start"] for r in got] == [sum(x["n_tokens"] for x in got[:i]) for i in range(30)]
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in docs.collect())
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i if i is not None else 0))
+
+
 def brute_ratios(counted, texts):
     """Sum of log ratios and distinct expressions of each text, with dictionaries."""
     def pairs_of(text):

@@ -107,7 +107,13 @@ def metric_stream(spark: SparkSession, sf: str, stored: str, event_name: str, **
                     F.to_json(F.struct(*[v.alias(n) for n, v in props.items()])).alias("properties"))
 
 
+# By metric query: the stored event type, the event it stands for, and its properties.
+EVENTS: dict[str, tuple] = {}
+
+
 def register_daily(metric: str, batch_name: str, stored: str, event_name: str, props) -> None:
+    EVENTS[batch_name] = (stored, event_name, props)
+
     @query(f"stream_{batch_name}", ORACLES[batch_name])
     def run(spark: SparkSession, sf: str) -> DataFrame:
         updates = drain(usage.daily_metric(metric_stream(spark, sf, stored, event_name, **props()), metric), "update")
@@ -191,6 +197,8 @@ def run_timings(spark: SparkSession, sf: str, metric: str, stored: str, event_na
 
 
 def register_timing(metric: str, batch_name: str, stored: str, event_name: str, props) -> None:
+    EVENTS[batch_name] = (stored, event_name, props)
+
     @query(f"stream_{batch_name}", ORACLES[batch_name])
     def run(spark: SparkSession, sf: str) -> DataFrame:
         sketches, values, closed = run_timings(spark, sf, metric, stored, event_name, props)

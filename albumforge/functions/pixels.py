@@ -74,34 +74,40 @@ def laplacian_variance(gray: Column, width: Column, height: Column) -> Column:
     return F.when(count > 0, value).when(count == 0, F.lit(0.0))
 
 
+def _stacked(grids: pd.Series, rows: np.ndarray) -> np.ndarray:
+    """Grids of one size as a matrix, a row each."""
+    return np.stack(grids.iloc[rows].to_numpy()).astype(np.float64)
+
+
 @F.pandas_udf(T.DoubleType())
 def laplacian_variance_np(gray: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    def one(cells, w, h):
-        if cells is None:
-            return None
+    """The same for whole batches: one array operation for all grids of a size."""
+    out = np.full(len(gray), np.nan)
+    known = pd.DataFrame({"w": width, "h": height})[gray.notna().to_numpy()].reset_index(names="at")
+    at = {label: k for k, label in enumerate(gray.index)}
+    for (w, h), own in known.groupby(["w", "h"]):
+        rows = np.array([at[x] for x in own["at"]])
         if w < 3 or h < 3:
-            return 0.0
-        g = np.asarray(cells, dtype=np.float64).reshape(int(h), int(w))
-        lap = g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]
-        return float(max(0.0, np.mean(lap * lap) - np.mean(lap) ** 2))
-
-    return pd.Series([one(g, w, h) for g, w, h in zip(gray, width, height)], dtype="float64")
+            out[rows] = 0.0
+            continue
+        g = _stacked(gray, rows).reshape(len(rows), int(h), int(w))
+        lap = g[:, :-2, 1:-1] + g[:, 2:, 1:-1] + g[:, 1:-1, :-2] + g[:, 1:-1, 2:] - 4 * g[:, 1:-1, 1:-1]
+        out[rows] = np.maximum(0.0, (lap * lap).mean(axis=(1, 2)) - lap.mean(axis=(1, 2)) ** 2)
+    return pd.Series(out).where(gray.notna().to_numpy(), None).astype("Float64")
 
 
 @F.pandas_udf(T.LongType())
 def block_hash_np(gray: pd.Series) -> pd.Series:
-    """32 x 32 gray grid straight to its 64-bit hash."""
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-
-    def one(cells):
-        if cells is None:
-            return None
-        means = np.asarray(cells, dtype=np.float64).reshape(8, 4, 8, 4).mean(axis=(1, 3)).ravel()
-        ordered = np.sort(means)
-        on = means > (ordered[31] + ordered[32]) / 2
-        return int(np.bitwise_or.reduce(np.where(on, weights, np.uint64(0))).astype(np.int64))
-
-    return pd.Series([one(g) for g in gray], dtype="Int64")
+    """32 x 32 gray grids straight to their 64-bit hashes, a batch at a time."""
+    known = np.flatnonzero(gray.notna().to_numpy())
+    out = pd.Series([None] * len(gray), dtype="Int64")
+    if len(known):
+        means = _stacked(gray, known).reshape(len(known), 8, 4, 8, 4).mean(axis=(2, 4)).reshape(len(known), 64)
+        ordered = np.sort(means, axis=1)
+        on = means > ((ordered[:, 31] + ordered[:, 32]) / 2)[:, None]
+        weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+        out.iloc[known] = np.where(on, weights, np.uint64(0)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    return out
 
 
 def fold_sum(values: Column) -> Column:

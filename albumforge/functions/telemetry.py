@@ -20,18 +20,16 @@ RATE_MAX_REQUESTS = 60
 INDEX_LIMIT = 4294967295
 
 
+# What an engine's lower-case user agent holds, the first match counts; and what a phone's does.
+ENGINES = (("edge", "edg/"), ("chrome", "chrome|crios"), ("firefox", "firefox|fxios"), ("safari", "safari"))
+PHONES = "mobile|iphone|ipad|android"
+
+
 def browser_bucket(user_agent: Column) -> Column:
     """'<engine>-<mobile|desktop>'; the raw text is not kept."""
-    s = F.lower(F.coalesce(user_agent, F.lit("")))
-    engine = (
-        F.when(s.rlike("edg/"), "edge")
-        .when(s.rlike("chrome|crios"), "chrome")
-        .when(s.rlike("firefox|fxios"), "firefox")
-        .when(s.rlike("safari"), "safari")
-        .otherwise("other")
-    )
-    device = F.when(s.rlike("mobile|iphone|ipad|android"), "mobile").otherwise("desktop")
-    return F.concat(engine, F.lit("-"), device)
+    text = F.lower(F.coalesce(user_agent, F.lit("")))
+    known = [F.when(text.rlike(pattern), F.lit(engine)) for engine, pattern in ENGINES]
+    return F.concat_ws("-", F.coalesce(*known, F.lit("other")), F.when(text.rlike(PHONES), "mobile").otherwise("desktop"))
 
 
 def json_type(value: Column) -> Column:

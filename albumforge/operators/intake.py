@@ -104,10 +104,9 @@ def has_valid_event(events: str = "_events"):
 def batch_outcomes(raw: DataFrame, window_seconds: int = t.RATE_WINDOW_SECONDS,
                    max_requests: int = t.RATE_MAX_REQUESTS) -> DataFrame:
     """Every batch with its reject reason (null when accepted). Only well-formed batches count for the rate."""
-    read = read_batches(raw)
-    # The bodies stay where they are: only key, time and id are ordered, and only limited ids come back.
-    slim = cut_lineage(
-        read.where(F.col("reject_reason").isNull()).select("batch_id", "rate_key", "received_at"))
+    # Bodies are parsed once; only key, time and id are ordered, and only limited ids come back.
+    read = cut_lineage(read_batches(raw))
+    slim = read.where(F.col("reject_reason").isNull()).select("batch_id", "rate_key", "received_at")
     limited = mark_rate(slim, window_seconds, max_requests).where("rate_limited").select("batch_id", "rate_limited")
     judged = read.join(limited, "batch_id", "left").withColumn("rate_limited", F.coalesce("rate_limited", F.lit(False)))
     return judged.withColumn("reject_reason", F.coalesce(

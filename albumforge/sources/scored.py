@@ -31,8 +31,8 @@ def attach_scores(photos: DataFrame, scores: DataFrame, candidates: DataFrame,
 
 def parse_reply(content):
     """A model's text reply to (score, keep, reason), or null when there is no usable score."""
-    bare = F.regexp_replace(F.trim(content), r"^```(?i:json)?\s*", "")
-    bare = F.regexp_replace(bare, r"```\s*$", "")
+    # What stands inside a fence, or the whole reply where there is none.
+    bare = F.regexp_extract(content, r"(?is)^\s*(?:```(?:json)?)?(.*?)(?:```)?\s*$", 1)
     doc = F.try_parse_json(bare)
 
     def typed(key: str, cast: str, *types: str):

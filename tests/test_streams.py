@@ -135,3 +135,24 @@ def test_percentiles_of_open_and_closed_days(spark, tmp_path):
     assert sorted(now) == [1, 2, 3] and [now[1], now[2]] == [exact[1], exact[2]]
     # A day's state is a sketch, not its samples.
     assert sketches.agg(F.max(F.length("sketch"))).first()[0] < 40_000
+
+
+def test_settled_events_skip_other_names(spark, tmp_path):
+    from albumforge.sources import telemetry
+
+    rng = random.Random(6)
+    rows = [(f"name{rng.randrange(40)}", START + timedelta(seconds=rng.randrange(2 * 86400)), json.dumps({"ms": i, "s": "x"})) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "event_name string, server_ts timestamp, properties string")
+    path = f"{tmp_path}/table"
+    for _ in range(2):
+        telemetry.settle_events(df.repartition(4), path)
+    # One day again, with fewer rows: only that day changes.
+    telemetry.settle_events(df.where("to_date(server_ts) = '2025-03-02' AND event_name < 'name2'"), path)
+    want = sorted((r[0], r[1], json.loads(r[2])["ms"]) for r in rows if r[1].day == 1 or r[0] < "name2")
+    found = telemetry.settled_events(spark, path)
+    assert sorted((r["event_name"], r["server_ts"], json.loads(r["properties"])["ms"]) for r in found.collect()) == want
+    one = telemetry.read_events(spark, path, "name7").where("day = '2025-03-01'")
+    assert one.count() == sum(w[0] == "name7" and w[1].day == 1 for w in want)
+    plan = one.select("event_name", "properties")._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "EqualTo(event_name,name7)" in text and "PartitionFilters: [isnotnull(day" in text and "variant" in text

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of texts handled at a time, and distinct words that a worker remembers (a bound on its memory, not on the words).
-BLOCK_BYTES, REMEMBERED = 1 << 20, 300_000
+BLOCK_BYTES, REMEMBERED = 2 << 20, 500_000
 
 #: Where a word ends before ASCII punctuation the vocabularies cut too, so words and what is stuck to them are remembered apart.
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -59,11 +59,11 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 class WordEncoder:
     """ids of texts, with ``end`` put after each. ``byte_level``: the vocabulary keeps white space, as part of the word behind it."""
 
-    def __init__(self, path: str, end: int, byte_level: bool):
+    def __init__(self, path: str, end: int, byte_level: bool, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.byte_level = Tokenizer.from_file(path), end, byte_level
+        self.tokenizer, self.end, self.byte_level, self.remembered = Tokenizer.from_file(path), end, byte_level, remembered
         self.feed = self._ids(["\n"])[0] if byte_level else self._ids(["\x01"])[0]
         self._forget()
 
@@ -76,7 +76,7 @@ class WordEncoder:
         """Leave words that came in more than one block since the last time; all go where these are too many."""
         n = len(self.places)
         kept = np.flatnonzero(self.blocks[:n] > 1)
-        if len(kept) > REMEMBERED * 3 // 4:
+        if len(kept) > self.remembered * 3 // 4:
             self._forget()
             return
         words = np.array(list(self.places), object)[kept].tolist()
@@ -155,7 +155,7 @@ class WordEncoder:
         words = pa.Array.from_buffers(pa.large_string(), len(pieces) - 1, [None, pa.py_buffer(pieces.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.places) > REMEMBERED:
+        if len(self.places) > self.remembered:
             self._thin()
         fresh = [w for w in distinct if w not in self.places]
         self._learn(fresh)
@@ -186,6 +186,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def worker_encoder(path: str, end: int, byte_level: bool) -> WordEncoder:
+def worker_encoder(path: str, end: int, byte_level: bool, remembered: int = REMEMBERED) -> WordEncoder:
     """The encoder of this worker process: tasks that it runs one after the other share what was learned."""
-    return WordEncoder(path, end, byte_level)
+    return WordEncoder(path, end, byte_level, remembered)

@@ -29,14 +29,16 @@ from albumforge.llm.workers import lean, lean_group
 CAPACITY = 4096
 #: Pieces above this share of the capacity are large; sizes after rounding; tokens, and pieces, that one task packs together.
 LARGE, GROUPS, BLOCK_TOKENS, BLOCK_PIECES = 1 / 6, 48, 6_000_000, 200_000
+#: Bytes of texts encoded at a time and words that a worker remembers: less than the encoder's own bounds, as packing follows other stages in workers that these have filled.
+BLOCK_BYTES, REMEMBERED = 1 << 20, 300_000
 
 
 def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each text and an end id, cut where longer than ``capacity``."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path, end, False)
+        encoder = worker_encoder(path, end, False, REMEMBERED)
         for batch in batches:
-            for lo, texts in string_blocks(batch.column(1)):
+            for lo, texts in string_blocks(batch.column(1), BLOCK_BYTES):
                 ids, counts = encoder.encode(texts)
                 ids = ids.astype("<u4")
                 n = -(-counts // capacity)

@@ -21,9 +21,14 @@ from albumforge.streaming.running import append_events, append_values, drain, la
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table's file as a stream."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream: one file, or a folder of part files."""
+    path = f"{sf}/{name}.parquet"
+    at_rest = spark.read.parquet(path)
+    reader = spark.readStream.schema(at_rest.schema)
+    # A stream reads folders only, so a single file is picked out of the one it lies in.
+    if any(f.endswith(f"/{name}.parquet") for f in at_rest.inputFiles()):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return reader.parquet(path)
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:

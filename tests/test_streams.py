@@ -156,3 +156,18 @@ def test_settled_events_skip_other_names(spark, tmp_path):
     plan = one.select("event_name", "properties")._jdf.queryExecution().executedPlan()
     text = plan.toString()
     assert "EqualTo(event_name,name7)" in text and "PartitionFilters: [isnotnull(day" in text and "variant" in text
+
+
+def test_replay_of_a_table_in_parts(spark, tmp_path):
+    from albumforge.catalog.registry import QUERIES
+    from albumforge.catalog import streams  # noqa: F401
+
+    rows = [(c, t, ("user", "assistant", "system")[(c + t) % 3]) for c in range(20) for t in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string")
+    one, parts = f"{tmp_path}/one", f"{tmp_path}/parts"
+    df.coalesce(1).write.parquet(f"{one}/out")
+    next((tmp_path / "one" / "out").glob("part-*.parquet")).rename(tmp_path / "one" / "conversations.parquet")
+    df.repartition(4).write.parquet(f"{parts}/conversations.parquet")
+    got = [sorted(map(tuple, QUERIES["stream_replayed_choices"](spark, sf).collect())) for sf in (one, parts)]
+    assert got[0] == got[1] and len(got[0]) == 60
+    assert {r[3] for r in got[0]} == {3}

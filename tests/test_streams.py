@@ -171,3 +171,17 @@ def test_replay_of_a_table_in_parts(spark, tmp_path):
     got = [sorted(map(tuple, QUERIES["stream_replayed_choices"](spark, sf).collect())) for sf in (one, parts)]
     assert got[0] == got[1] and len(got[0]) == 60
     assert {r[3] for r in got[0]} == {3}
+
+
+def test_near_duplicates_of_a_table_in_parts(spark, tmp_path):
+    from albumforge.catalog import streams  # noqa: F401
+    from albumforge.catalog.registry import QUERIES
+
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).round(3).tolist(), i % 3) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    df.repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["stream_near_duplicates"](spark, str(tmp_path)).collect()
+    batch = QUERIES["near_duplicates"](spark, str(tmp_path)).collect()
+    assert sorted(r["photo_id"] for r in got) == sorted(f"photo_{i}" for i in range(120))
+    assert {r["photo_id"]: (r["status"], r["rep_id"], r["distance"]) for r in got} == {r["photo_id"]: (r["status"], r["rep_id"], r["distance"]) for r in batch}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from albumforge.operators.documents import BURSTS, CHAPTERS, HEAD, PHOTOS, TAIL, TO_BURSTS, TO_CHAPTERS
+
 
 def problems(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
     """Rows of (keys, problem) for each rule that holds; a rule that is null does not."""
@@ -87,6 +89,31 @@ def document_problems(docs: DataFrame, library_id: str = "library_id") -> DataFr
     })
 
 
+def document_line_problems(lines: DataFrame, library_id: str = "library_id") -> DataFrame:
+    """The same for documents in lines (``documents.document_lines``): their frames put together, and each line on its own."""
+    read = read_lines(lines, library_id)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda r: r["text"])
+    frames = lines.where(F.col("place").isin(HEAD, TO_CHAPTERS, TO_BURSTS, TAIL)).groupBy(library_id).agg(F.array_join(texts, "").alias("body"))
+    own = read.groupBy(library_id).agg(F.bool_or(F.col("entries").isNull()).alias("_bad"), F.bool_or(F.contains("text", F.lit("blob:"))).alias("_blob"))
+    inside = problems(own, [library_id], {"unreadable": F.col("_bad"), "blob address": F.col("_blob")})
+    return document_problems(frames, library_id).unionByName(inside).distinct()
+
+
+def read_lines(lines: DataFrame, library_id: str = "library_id") -> DataFrame:
+    """Lines that hold entries, each read by itself, with ``entries``: the photos in it, or the chapters or groups that begin in it; null where it can't be read."""
+    bare = F.regexp_replace("text", "^,", "")
+    list_name = F.when(F.col("place") == CHAPTERS, "photoIds").otherwise("candidateIds")
+    whole = F.concat(F.when(F.col("first"), bare).otherwise(F.concat(F.lit('{"'), list_name, F.lit('":['), bare)),
+                     F.when(F.col("last"), F.lit("")).otherwise(F.lit("]}")))
+    # As text inside an array, nothing may follow the object.
+    held = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), whole, F.lit("]"))), "$", "array<variant>")
+    ids = F.try_variant_get(F.get(held, F.lit(0)), F.when(F.col("place") == CHAPTERS, "$.photoIds").otherwise("$.candidateIds"), "array<string>")
+    listed = F.when((F.size(held) == 1) & ids.isNotNull(), F.col("first").cast("int"))
+    photos = F.concat(F.lit("{"), bare, F.lit("}"))
+    entries = F.when(F.col("place") == PHOTOS, F.when(F.try_parse_json(photos).isNotNull(), F.size(F.json_object_keys(photos)))).otherwise(listed)
+    return lines.where(F.col("place").isin(PHOTOS, CHAPTERS, BURSTS)).select(library_id, "place", "text", entries.cast("bigint").alias("entries"))
+
+
 def survey_check(surveys: DataFrame, default_target: int = 30) -> DataFrame:
     """``trip_name`` and ``target_text`` against ``photo_count``: trimmed name, whole target within range."""
     name = F.trim("trip_name")

@@ -121,8 +121,8 @@ def nested_documents(mapped: DataFrame, chapters: DataFrame, chapter_photos: Dat
                      max_photos: int | None = None) -> DataFrame:
     """One JSON document per library, of every library unless the caller sets ``max_photos``.
 
-    The whole document is one row; ``document_parts`` is the form for libraries
-    of any size.
+    The whole document is one row; ``document_parts`` and ``document_lines`` are
+    the forms for libraries of any size.
     """
     only = lambda df: df
     if max_photos is not None:
@@ -152,6 +152,77 @@ def nested_documents(mapped: DataFrame, chapters: DataFrame, chapter_photos: Dat
         F.coalesce("burstGroups", empty).alias("burstGroups"), "meta")).alias("body"))
 
 
+# Where the lines of a nested document stand: its frame, and what fills it.
+HEAD, PHOTOS, TO_CHAPTERS, CHAPTERS, TO_BURSTS, BURSTS, TAIL = range(7)
+LINE_ORDER = ("place", "no", "owner", "part")
+
+
+def _inside(body: Column) -> Column:
+    """JSON text without its outer brackets."""
+    return F.substring(body, F.lit(2), F.length(body) - 2)
+
+
+def _behind(first: Column, text: Column) -> Column:
+    return F.concat(F.when(first, F.lit("")).otherwise(F.lit(",")), text)
+
+
+def _list_lines(rows: DataFrame, place: int, no: Column, owner: Column, pos: str, opening: Column, closing: Column, library_id: str, rows_per_part: int) -> DataFrame:
+    """Objects that end with a list of photo ids, cut into lines; ``opening`` and ``closing`` are the text around the list."""
+    keyed = rows.select(library_id, no.cast("bigint").alias("no"), owner.alias("owner"), F.col(pos).alias("_pos"), "photo_id",
+                        F.floor(F.col(pos) / rows_per_part).alias("part"), opening.alias("_open"), closing.alias("_close"))
+    lines = keyed.groupBy(library_id, "no", "owner", "part").agg(
+        F.first("_open").alias("_open"), F.first("_close").alias("_close"),
+        _inside(F.to_json(F.transform(_ordered("_pos", "photo_id"), lambda r: r["photo_id"]))).alias("_ids"))
+    ends = lines.groupBy(library_id, "no", "owner").agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
+    front = ends.groupBy(library_id).agg(F.min(F.struct("no", "owner")).alias("_front"))
+    first, last = F.col("part") == F.col("_first"), F.col("part") == F.col("_last")
+    own = F.struct("no", "owner") == F.col("_front")
+    return lines.join(ends, [library_id, "no", "owner"]).join(front, library_id).select(
+        library_id, F.lit(place).alias("place"), "no", "owner", "part", first.alias("first"), last.alias("last"),
+        F.concat(F.when(first, _behind(own, F.col("_open"))).otherwise(F.lit(",")), F.col("_ids"), F.when(last, F.col("_close")).otherwise(F.lit(""))).alias("text"))
+
+
+def document_lines(mapped: DataFrame, chapters: DataFrame, chapter_photos: DataFrame, burst_rows: DataFrame, meta: DataFrame,
+                   generated_at: Column | None = None, library_id: str = "library_id", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """The nested documents as text in lines of at most ``rows_per_part`` entries, so of libraries of any size.
+
+    Lines of a library put together in ``LINE_ORDER`` are its document. A line
+    holds whole entries of one list; ``first`` and ``last`` say whether the chapter
+    or burst group it belongs to begins and ends in it.
+    """
+    keys = [library_id, "chapter_id"]
+    entries = with_positions(photo_entries(mapped, library_id), [library_id], [F.col("ordinal").asc()], out="_at")
+    maps = entries.groupBy(library_id, F.floor(F.col("_at") / rows_per_part).alias("part")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("id", F.struct(*ENTRY))))).alias("_map"))
+    plain = lambda place, part, first, text: [F.lit(place).alias("place"), F.lit(0).cast("bigint").alias("no"), F.lit("").alias("owner"), part.alias("part"),
+                                              F.lit(True).alias("first"), F.lit(True).alias("last"), _behind(first, text).alias("text")]
+    photos = maps.select(library_id, *plain(PHOTOS, F.col("part"), F.col("part") == 0, _inside(F.col("_map"))))
+    rest = F.to_json(F.struct(F.col("hero_photo_id").alias("heroPhotoId"), "date", F.when(F.col("lat").isNotNull(), F.struct("lat", "lng")).alias("coords")))
+    heads = chapters.select(*keys, F.col("cluster_idx").alias("_idx"), F.concat(
+        F.lit("]"), F.when(rest == "{}", F.lit("}")).otherwise(F.concat(F.lit(","), F.substring(rest, F.lit(2), F.length(rest))))).alias("_rest"))
+    opened = lambda name, c, ids: F.concat(F.regexp_replace(F.to_json(F.struct(F.col(c).alias(name))), r"\}$", ","), F.lit(f'"{ids}":['))
+    listed = chapter_photos.select(*keys, "pos", "photo_id").join(heads, keys)
+    chaps = _list_lines(listed, CHAPTERS, F.col("_idx"), F.col("chapter_id"), "pos", opened("id", "chapter_id", "photoIds"), F.col("_rest"), library_id, rows_per_part)
+    bursts = _list_lines(burst_rows, BURSTS, F.lit(0), F.col("rep_id"), "candidate_no", opened("representativeId", "rep_id", "candidateIds"), F.lit("]}"), library_id, rows_per_part)
+    stamp = F.date_format(F.current_timestamp() if generated_at is None else generated_at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    start = F.to_json(F.struct(F.lit(VERSION).alias("version"), stamp.alias("generatedAt")))
+    told = chapter_photos.join(chapters.select(*keys), keys, "left_semi").select(library_id).distinct().withColumn("_told", F.lit(True))
+    framed = meta.select(library_id, start.alias("_start"), F.to_json(_meta(meta)).alias("_meta")).join(
+        mapped.select(library_id).distinct(), library_id, "left_semi").join(told, library_id, "left")
+    has = F.coalesce("_told", F.lit(False))
+    frame = ((HEAD, F.concat(F.regexp_replace("_start", r"\}$", ""), F.lit(',"photos":{'))),
+             (TO_CHAPTERS, F.when(has, F.lit('},"chapters":[')).otherwise(F.lit("}"))),
+             (TO_BURSTS, F.when(has, F.lit('],"burstGroups":[')).otherwise(F.lit(',"burstGroups":['))),
+             (TAIL, F.concat(F.lit('],"meta":'), F.col("_meta"), F.lit("}"))))
+    zero = F.lit(0).cast("bigint")
+    out = framed.select(library_id, F.explode(F.array(*[F.struct(F.lit(place).alias("place"), text.alias("text")) for place, text in frame])).alias("_f")).select(
+        library_id, "_f.place", zero.alias("no"), F.lit("").alias("owner"), zero.alias("part"), F.lit(True).alias("first"), F.lit(True).alias("last"), "_f.text")
+    known = framed.select(library_id)
+    for lines in (photos, chaps, bursts):
+        out = out.unionByName(lines.join(known, library_id, "left_semi"))
+    return out
+
+
 def write_documents(documents: DataFrame, path: str, library_id: str = "library_id") -> None:
     """JSON lines, libraries kept together and large ones spread over files."""
     order = [c for c in (library_id, "section", "owner", "part") if c in documents.columns]

@@ -157,6 +157,28 @@ def test_large_libraries_come_in_parts(spark, tmp_path):
     assert photos == [f"p{i}" for i in range(5)]
 
 
+def test_document_in_lines_is_the_nested_one(spark):
+    mapped, heads, placed, bursts, meta = document_tables(spark)
+    more = spark.createDataFrame([("L", "p0", f"p{i}", i) for i in range(1, 4)] + [("L", "p2", "p3", 0)], bursts.schema)
+    second = spark.createDataFrame([("L", 1, "chapter_002", None, None, None, None), ("L", 2, "chapter_003", "p9", "2025-06-01", None, None)], heads.schema)
+    extra = placed.where("ordinal < 2").withColumns({"cluster_idx": F.lit(1), "chapter_id": F.lit("chapter_002")})
+    tables = (mapped, heads.unionByName(second), placed.unionByName(extra), bursts.unionByName(more), meta)
+    for given in (tables, (mapped, heads.limit(0), placed, bursts.limit(0), meta)):
+        lines = documents.document_lines(*given, generated_at=F.lit(datetime(2025, 6, 1)), rows_per_part=2).orderBy("library_id", *documents.LINE_ORDER).cache()
+        rows = lines.collect()
+        body = documents.nested_documents(*given, generated_at=F.lit(datetime(2025, 6, 1))).first()["body"]
+        assert json.loads("".join(r["text"] for r in rows)) == json.loads(body)
+        # No line holds more than two entries of a list.
+        assert max(r["text"].count('"qualityScore"') for r in rows) == 2
+        want = {k: len(json.loads(body).get(k, [])) for k in ("photos", "chapters", "burstGroups")}
+        got = {p: sum(r["entries"] for r in checks.read_lines(lines).collect() if r["place"] == p) for p in (documents.PHOTOS, documents.CHAPTERS, documents.BURSTS)}
+        assert list(got.values()) == list(want.values())
+        problems = {r["problem"] for r in checks.document_line_problems(lines).collect()}
+        assert problems == {r["problem"] for r in checks.document_problems(spark.createDataFrame([("L", body)], "library_id string, body string")).collect()}
+    broken = lines.withColumn("text", F.when(F.col("place") == documents.PHOTOS, F.concat("text", F.lit('"blob:'))).otherwise(F.col("text")))
+    assert {"unreadable", "blob address"} <= {r["problem"] for r in checks.document_line_problems(broken).collect()}
+
+
 def trip(spark, windows):
     return spark.createDataFrame([("L", i, f"e{i}", "2025-03-15", s, e) for i, (s, e) in enumerate(windows)],
                                  "library_id string, ord int, event_id string, date string, start_time string, end_time string")

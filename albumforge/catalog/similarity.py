@@ -143,7 +143,7 @@ def settled_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """What holds whatever the start points: no vector is nearer to another cluster's mean than to its own, every cluster
     has members, and vectors are closer to their means than to the first k vectors of their library."""
     v = embedded(spark, sf)
-    found = cut_lineage(sm.kmeans(v.select("library_id", "photo_id", "ordinal", "embedding")))
+    found = cut_lineage(sm.kmeans(v.select("library_id", "photo_id", "ordinal", "embedding"), max_rounds=None))
     means = sm.update(found).groupBy("library_id").agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("c"))
     own = found.withColumnRenamed("cluster", "own")
     # Numbers of clusters are dense, so a place in the array is the number.

@@ -8,6 +8,7 @@ summariser, which combines before its shuffle.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -168,9 +169,13 @@ def _weighted_start(candidates: np.ndarray, weights: np.ndarray, k: int, seed: i
 
 
 def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None = None, seed: int = 0,
-           max_rounds: int = MAX_ROUNDS, library_id: str = "library_id") -> DataFrame:
+           max_rounds: int | None = MAX_ROUNDS, library_id: str = "library_id") -> DataFrame:
     """Add ``cluster`` to every vector, and ``settled``: whether its library's assignments had stopped changing.
 
+    With ``max_rounds`` None the rounds go on until all have. Each brings vectors
+    closer to their means, so that comes; only restarts could work against it, and
+    there are none after MAX_ROUNDS: a cluster lost then keeps its centroid.
+
     Libraries with at most k vectors get one cluster per vector. All other
     libraries run together; one leaves the loop when none of its assignments
     changes. Only centroids are written between rounds: the assignment before is
@@ -193,7 +198,7 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
     active = active.withColumn("previous", F.lit(None).cast(active.schema["centroids"].dataType))
     settled = []
     mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding"))))
-    for round_no in range(max_rounds):
+    for round_no in itertools.count() if max_rounds is None else range(max_rounds):
         stepped = against_centroids(big, active, _nearest, {"cluster": "centroids", "_before": "previous"}, library_id, small)
         found = cut_lineage(stepped.groupBy(library_id, F.col("cluster").cast("int").alias("cluster")).agg(
             unit_vector(mean).alias("centroid"),
@@ -203,6 +208,8 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
         slots = active.join(moving, library_id, "left_semi").select(
             library_id, F.posexplode("centroids").alias("cluster", "_old"))
         filled = slots.join(found.drop("_moved"), [library_id, "cluster"], "left")
+        if round_no >= MAX_ROUNDS and max_rounds is None:
+            filled = filled.withColumn("centroid", F.coalesce("centroid", "_old"))
         active = cut_lineage(_pack(filled, library_id))
         left, lost = active.agg(F.count("*"), F.sum("_lost")).first()
         if lost:

@@ -34,7 +34,7 @@ from albumforge.llm.workers import lean
 
 #: Taken off each count and given to backoff. Standard deviations from chance up to which a ratio is none.
 DISCOUNT, CHANCE = 0.75, 3.0
-#: Bounds of what the driver and workers hold: entries of each kind, strongest evidence first (16 bytes each); texts that the curve is fitted on.
+#: Bounds of what the driver and workers hold: entries of each kind (16 bytes each; more stay in tables that texts are joined to); texts that the curve is fitted on.
 MOST_ENTRIES, MOST_FITTED = 1_000_000, 20_000
 BLOCK = 2 << 20
 
@@ -111,8 +111,16 @@ class Model:
         return np.bincount(doc, ratio, len(texts)), np.bincount(doc, minlength=len(texts))
 
 
-def train(labelled: DataFrame) -> Model:
-    """A model from the columns text and label (1: toxic). All words and pairs of all rows are counted, in tables; the driver gets totals and the entries that say something."""
+class Tables:
+    """The same ratios where they are too many for a worker: ``words`` (word, ratio) and ``pairs`` (before, word, ratio)."""
+
+    def __init__(self, words: DataFrame, pairs: DataFrame):
+        self.words, self.pairs = words, pairs
+
+
+def train(labelled: DataFrame) -> Model | Tables:
+    """A model from the columns text and label (1: toxic). All words and pairs of all rows are counted, in tables; the driver gets totals and the entries that say something,
+    unless these are more than MOST_ENTRIES of a kind: then all of them stay tables."""
     d = DISCOUNT
     words = written(_counted(labelled, pairs=False), "toxic-words")
     pairs = written(_counted(labelled, pairs=True), "toxic-pairs")
@@ -136,18 +144,42 @@ def train(labelled: DataFrame) -> Model:
     by_word = written(known.select("word", "n0", "n1", "h0", "h1", *[unigram(c).alias(f"u{c}") for c in (0, 1)], rest.alias("rest")), "toxic-model")
 
     def saying(rows: DataFrame) -> DataFrame:
-        """Rows that are not chance; where these are too many, the ones farthest from it."""
-        told = rows.withColumn("weight", shrinkage(share)).filter("weight > 0")
-        return told.orderBy(F.desc("weight"), *[c for c in ("before", "word") if c in rows.columns]).limit(MOST_ENTRIES) if told.count() > MOST_ENTRIES else told
+        """Rows that are not chance."""
+        return rows.withColumn("weight", shrinkage(share)).filter("weight > 0")
 
     own = saying(by_word).select("word", (F.log(F.col("u1") / F.col("u0")) * F.col("weight")).alias("ratio"))
     second, first = by_word.select("word", "u0", "u1"), by_word.select(F.col("word").alias("before"), "h0", "h1", "rest")
     joined = saying(pairs).join(second, "word").join(first, "before")
     p = [F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.greatest(F.col(f"h{c}"), F.lit(1)) + F.col("rest") * F.col(f"u{c}") for c in (0, 1)]
     both = joined.select("before", "word", (F.log(p[1] / p[0]) * F.col("weight")).alias("ratio"))
+    own, both = written(own, "toxic-own"), written(both, "toxic-both")
+    if max(own.count(), both.count()) > MOST_ENTRIES:
+        return Tables(own, both)
     return Model(own.toPandas(), both.toPandas())
 
 
+def joined_ratios(texts: DataFrame, model: Tables, carried: list[str]) -> DataFrame:
+    """The columns ``carried``, with total and n: what ``Model.ratios`` gives for each row's ``text``, by joins to the tables."""
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in carried)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, block in string_blocks(batch.column(0), BLOCK):
+                doc, word, before = expressions(block)
+                by = np.argsort(doc, kind="stable")
+                ends = pa.array(np.append(0, np.cumsum(np.bincount(doc, minlength=len(block)))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v[by].view(np.int64))) for v in (word, before)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i + 1).slice(lo, len(block)) for i in range(len(carried))], *lists], names=[*carried, "words", "befores"])
+
+    begun = texts.select("text", *carried).mapInArrow(lean(listed), f"{kinds}, words array<long>, befores array<long>")
+    # Written with its numbers, which the joins come back to.
+    begun = written(begun.withColumn("row", F.monotonically_increasing_id()), "toxic-begun")
+    each = begun.select("row", F.explode(F.arrays_zip("words", "befores")).alias("e")).select("row", F.col("e.words").alias("word"), F.col("e.befores").alias("before"))
+    told = each.join(model.pairs.withColumnRenamed("ratio", "_pair"), ["before", "word"], "left").join(model.words.withColumnRenamed("ratio", "_word"), "word", "left")
+    totals = told.groupBy("row").agg(F.sum(F.coalesce(F.nullif("_pair", F.lit(0.0)), "_word", F.lit(0.0))).alias("total"))
+    return begun.select(*carried, "row", F.size("words").cast("long").alias("n")).join(totals, "row", "left").select(*carried, F.coalesce("total", F.lit(0.0)).alias("total"), "n")
+
+
 def features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
     """What the curve sees: the ratio per word, and the same against the noise that a text of this length has."""
     per_word = total / np.maximum(1, n)
@@ -177,7 +209,9 @@ def toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, id_column:
     other columns are left out.
     """
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(train(counted))
+    trained = train(counted)
+    joined = isinstance(trained, Tables)
+    model = sc.broadcast(None if joined else trained)
     text = clashing(docs, id_column, text_column).select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     kind = text.schema["doc_id"].dataType.simpleString()
     if "key" not in fitted.columns:
@@ -192,7 +226,10 @@ def toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, id_column:
 
     # By hash of the key, so that no task has to gather texts: about MOST_FITTED rows, all of them where there are no more.
     sample = fitted.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.lit(1e6 * MOST_FITTED / max(1, fitted.count())))
-    found = sample.select("text", "label", "key").mapInArrow(lean(ratios), "total double, n long, label int, key long")
+    if joined:
+        found = joined_ratios(sample.select("text", F.col("label").cast("int").alias("label"), "key"), trained, ["label", "key"])
+    else:
+        found = sample.select("text", "label", "key").mapInArrow(lean(ratios), "total double, n long, label int, key long")
     rows = found.dropDuplicates(["key", "label"]).toPandas().sort_values(["total", "n", "label"])
     x, y = features(rows["total"].to_numpy(float), rows["n"].to_numpy(float)), rows["label"].to_numpy(float)
     weights = sc.broadcast(logistic(x, y))
@@ -203,6 +240,13 @@ def toxicity(docs: DataFrame, counted: DataFrame, fitted: DataFrame, id_column:
                 z = features(*model.value.ratios(texts)) @ weights.value
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
 
+    def curved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = features(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))) @ weights.value
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
+
+    if joined:
+        return joined_ratios(text, trained, ["doc_id"]).mapInArrow(lean(curved), f"doc_id {kind}, score double")
     return text.mapInArrow(lean(score), f"doc_id {kind}, score double")
 
 

@@ -327,3 +327,23 @@ def test_pipeline_stages(spark):
     for r in packed:
         got[r["doc_id"]] += r["length"]
     assert got == Counter({i: n * length[i] for i, n in mixed.items()})
+
+
+def test_toxicity_joins_what_workers_do_not_hold(spark, monkeypatch):
+    from albumforge.llm import toxicity as tox
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        label = int(i % 3 == 0)
+        words = [f"w{k}" for k in rng.integers(0, 40, 12)] + ([f"bad{k}" for k in rng.integers(0, 6, 6)] if label else [f"good{k}" for k in rng.integers(0, 6, 6)])
+        rows.append((i, " ".join(words), label))
+    rows += [(240, None, 0), (241, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3).cache()
+    known = docs.filter("text IS NOT NULL")
+    scores = lambda: {r["doc_id"]: r["score"] for r in tox.toxicity(docs, known.filter("doc_id % 2 = 0"), known.filter("doc_id % 2 = 1")).collect()}
+    held = scores()
+    monkeypatch.setattr(tox, "MOST_ENTRIES", 3)
+    joined = scores()
+    assert sorted(joined) == list(range(242)) and max(abs(joined[i] - held[i]) for i in held) < 1e-9
+    assert max(held.values()) - min(held.values()) > 0.5

@@ -42,9 +42,12 @@ def accepted_uploads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def write_upload(spark: SparkSession, sf: str, path: str) -> None:
-    """Every document as a file of its own, written by the tasks through the cluster's file system: lang/id and one of the endings."""
+    """Every document as a file of its own, written by the tasks through the cluster's file system: lang/folder/id and one of the endings.
+
+    The folders, one for every thousand ids, let the listing run in parallel.
+    """
     docs = views.table(spark, sf, "documents").select(
-        F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.concat(F.lit("img"), F.col("doc_id").cast("string"), pick(SUFFIXES, F.col("doc_id") % 9))).alias("name"),
+        F.concat_ws("/", F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.lit("img"), F.col("doc_id").cast("string"), pick(SUFFIXES, F.col("doc_id") % 9))).alias("name"),
         F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     uploads.write_files(docs, path)
 

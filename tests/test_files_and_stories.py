@@ -96,3 +96,12 @@ def test_files_are_listed_by_name_and_size(spark, tmp_path):
     assert got == {"x.jpg": b"z" * 7, "y.JPEG": b"z" * 7, "z.png": b"z" * 7}
     plan = found.select("path", "length")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,100)" in plan and "content" not in plan.split("ReadSchema")[1]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    from albumforge.sources import uploads
+
+    rows = [(f"{i % 3}/{i // 100}/img{i}.jpg", bytes([i % 256]) * 50) for i in range(600)]
+    uploads.write_files(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path))
+    found = uploads.list_images(spark, str(tmp_path))
+    assert found.count() == 600 and found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism

@@ -40,7 +40,8 @@ def json_type(value: Column) -> Column:
 def text_field(value: Column, key: str) -> Column:
     """The field's text when it is a JSON string, else null."""
     field = F.try_variant_get(value, f"$.{key}", "variant")
-    return F.when(json_type(field) == "STRING", F.try_variant_get(value, f"$.{key}", "string"))
+    # A string's schema is its bare type name.
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(value, f"$.{key}", "string"))
 
 
 def clean_properties(raw: Column) -> Column:

@@ -36,6 +36,15 @@ def read_batches(raw: DataFrame) -> DataFrame:
     )
 
 
+def parsed_events(formed: DataFrame) -> DataFrame:
+    """``read_batches`` for batches known to pass its checks: their events, and no reject reason."""
+    doc = F.try_parse_json("body")
+    return formed.select(
+        "*", F.try_variant_get(doc, "$.events", "array<variant>").alias("_events"),
+        F.from_json("body", "events array<string>")["events"].alias("_texts"),
+        t.browser_bucket(F.col("user_agent")).alias("ua_bucket"), F.lit(None).cast("string").alias("reject_reason"))
+
+
 def mark_rate(batches: DataFrame, window_seconds: int = t.RATE_WINDOW_SECONDS,
               max_requests: int = t.RATE_MAX_REQUESTS) -> DataFrame:
     """Flag requests over the limit of their key; rejected requests count too.
@@ -78,7 +87,8 @@ def event_rows(batches: DataFrame) -> DataFrame:
     )
     v = F.col("_e.v")
     raw_props = F.get_json_object(F.col("_e.t"), "$.properties")
-    rows = exploded.where(t.json_type(v) == "OBJECT").select(
+    # What is no object has no session and drops out with the faulty ones below.
+    rows = exploded.select(
         "batch_id", "event_no",
         t.text_field(v, "session_id").alias("session_id"),
         t.text_field(v, "event_name").alias("event_name"),

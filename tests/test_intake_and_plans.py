@@ -259,3 +259,26 @@ def test_events_are_appended_once(spark, tmp_path):
         append_events(rows, out, ck, available_now=True).awaitTermination()
     table = telemetry.read_events(spark, out, "n")
     assert table.count() == 18 and table.select("id").distinct().count() == 18
+
+
+def test_limiter_calls_do_not_grow_with_keys(spark, tmp_path):
+    use_rocksdb(spark)
+    start = datetime(2025, 1, 1)
+    # Three requests of each of 1,200 keys, in two files: the first two are within the limit, the third only where the first is too old.
+    rows = [(f"k{i % 1200}", i, start + timedelta(seconds=i // 1200 * 20 + (60 if i >= 2400 and i % 2 else 0))) for i in range(3600)]
+    df = spark.createDataFrame(rows, "rate_key string, batch_id long, received_at timestamp")
+    path = str(tmp_path / "in")
+    df.where("batch_id < 2000").coalesce(1).write.mode("append").json(path)
+    df.where("batch_id >= 2000").coalesce(1).write.mode("append").json(path)
+    ran = []
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).json(path)
+    got = {r["batch_id"]: r["rate_limited"] for r in drain(live.rate_flags(stream, 60, 2), finished=ran).collect()}
+    assert got == {i: i >= 2400 and i % 2 == 0 for i in range(3600)}
+    # A list, its timer and the timer's index for each group, not for each key.
+    totals = [p["stateOperators"][0]["numRowsTotal"] for p in ran[0].recentProgress if p["stateOperators"]]
+    assert 0 < max(totals) <= 3 * live.KEY_GROUPS < 1200
+
+
+def test_events_that_are_no_objects_leave_no_row(spark):
+    bodies = [json.dumps({"events": [7, "text", None, ["session_id"], {"session_id": {"a": 1}, "event_name": "n"}, event("s", "n")]})]
+    assert [r["event_no"] for r in intake.event_rows(intake.read_batches(requests(spark, bodies))).collect()] == [5]

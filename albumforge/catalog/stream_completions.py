@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from albumforge.catalog import completions, views
 from albumforge.catalog.registry import query
 from albumforge.operators.completion import library_facts
-from albumforge.session import shared_dir
+from albumforge.session import cut_lineage, shared_dir
 from albumforge.streaming import completion as live
-from albumforge.streaming.running import drain, slice_stream, use_rocksdb, write_slices
+from albumforge.streaming.running import drain, files_for, slice_stream, use_rocksdb, write_slices
 
 # How long a session lasts, and how late a row may come.
 LONGEST, LATE = "7 days", "1 day"
@@ -23,12 +23,13 @@ def timed_events(spark: SparkSession, sf: str) -> DataFrame:
     """The event table as a stream of three slices, oldest first, with a row a year later that only moves the clock."""
     path = f"{shared_dir(spark)}/albumforge-usage-{uuid.uuid4().hex}"
     rows = views.events(spark, sf).select("event_id", "user_id", "event_type", "ts", "props")
-    closing = rows.agg(F.max("ts").alias("last")).select(
+    closing = cut_lineage(rows.agg(F.max("ts").alias("last"))).select(
         # A join asks for its key before the watermark is read, so the row has one.
         F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("clock").alias("event_type"),
         (F.col("last") + F.expr("INTERVAL 365 DAYS")).alias("ts"), F.lit(None).cast("string").alias("props"))
-    write_slices(rows, "ts", path, closing=closing)
-    return slice_stream(spark, rows.schema, path)
+    files = files_for(rows)
+    write_slices(rows, "ts", path, files=files, closing=closing)
+    return slice_stream(spark, rows.schema, path, files)
 
 
 def finishes(events: DataFrame) -> DataFrame:
@@ -41,16 +42,15 @@ v_press AS (SELECT s.library_id, s.session_id, count(*) AS presses, count(DISTIN
   FROM v_sess s JOIN events e ON e.event_type = 'click' AND concat('s', e.user_id) = s.session_id AND e.ts <= s.done AND e.ts >= s.done - INTERVAL {LONGEST} GROUP BY 1, 2)""")}
 SELECT library_id, session_id, epoch_us(server_ts) AS at_us, event_name, properties FROM v_events""")
 def stream_completion_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions finish again and again in later slices, long after the watermark passed their first finish: they report once."""
-    use_rocksdb(spark)
+    """Sessions finish again and again in later slices, long after the clock passed their first finish: they report once."""
     events = timed_events(spark, sf)
-    clicks = events.select("event_type", completions.session(), (F.col("event_id") % 50).alias("photo_id"), F.col("ts").alias("pressed_at")).withWatermark("pressed_at", LATE)
-    presses = live.of_kind(clicks, "pressed_at", F.col("event_type") == "click").drop("event_type")
-    done = finishes(events).join(completions.opened(spark, sf), "session_id", "left")
+    kind = F.when(F.col("event_type") == "click", "press").when(F.col("event_type") == "purchase", "finish")
+    usage = events.select(completions.library(), completions.session(), kind.alias("kind"), (F.col("event_id") % 50).alias("photo_id"), F.col("ts").alias("at"))
     photos = completions.marked(spark, sf)
     path = f"{shared_dir(spark)}/albumforge-completions-{uuid.uuid4().hex}"
-    live.record_completions(live.finished_sessions(done, presses, LONGEST), library_facts(photos, completions.uploads(photos)),
-                            f"{path}/table", f"{path}/checkpoint", available_now=True).awaitTermination()
+    # Every micro-batch looks both up, so they are worked out once.
+    started, facts = cut_lineage(completions.opened(spark, sf)), cut_lineage(library_facts(photos, completions.uploads(photos)))
+    live.record_usage(usage, started, facts, path, f"{path}/checkpoint", LONGEST, LATE, available_now=True).awaitTermination()
     return spark.read.parquet(f"{path}/table").select("library_id", "session_id", F.unix_micros("server_ts").alias("at_us"), "event_name", "properties")
 
 

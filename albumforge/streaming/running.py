@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -72,6 +73,11 @@ def drain(stream: DataFrame, output_mode: str = "append", finished: list[Streami
     return spark.read.schema(schema).parquet(out)
 
 
+def files_for(rows: DataFrame, rows_per_file: int = 500_000, slices: int = 3, least: int = 4) -> int:
+    """Files of a slice, so that none holds many more than ``rows_per_file`` rows: a slice is written and read by as many tasks as it needs."""
+    return max(least, math.ceil(rows.count() / slices / rows_per_file))
+
+
 def write_slices(rows: DataFrame, time: str, path: str, slices: int = 3, files: int = 4, form: str = "parquet", closing: DataFrame | None = None) -> None:
     """``rows`` under ``path`` as they would have come in: one time slice after the other, each in ``files`` files.
 

@@ -185,3 +185,31 @@ def test_near_duplicates_of_a_table_in_parts(spark, tmp_path):
     batch = QUERIES["near_duplicates"](spark, str(tmp_path)).collect()
     assert sorted(r["photo_id"] for r in got) == sorted(f"photo_{i}" for i in range(120))
     assert {r["photo_id"]: (r["status"], r["rep_id"], r["distance"]) for r in got} == {r["photo_id"]: (r["status"], r["rep_id"], r["distance"]) for r in batch}
+
+
+def test_sessions_that_finish_often_report_once(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [("L", f"s{i % 3}", kind, f"p{rng.randrange(40)}" if kind == "press" else None, START + timedelta(seconds=rng.randrange(40 * 86400)))
+            for i in range(1500) for kind in ("press", "finish")]
+    rows += [("L", "never", "press", "p1", START), ("L", "alone", "finish", None, START + timedelta(days=3)),
+             # Two presses at the edges of the longest session, one just outside.
+             ("L", "edge", "finish", None, START + timedelta(days=9)), ("L", "edge", "press", "p1", START + timedelta(days=9)),
+             ("L", "edge", "press", "p2", START + timedelta(days=7)), ("L", "edge", "press", "p3", START + timedelta(days=7) - timedelta(microseconds=1))]
+    schema = "library_id string, session_id string, kind string, photo_id string, at timestamp"
+    df, stream = sliced(spark, rows, schema, "at", f"{tmp_path}/in", (None, None, "clock", None, START + timedelta(days=400)))
+    library = spark.createDataFrame([("L", True, True, 0.5)], "library_id string, is_auto boolean, is_kept boolean, quality double")
+    facts = library_facts(library, library.groupBy("library_id").agg(F.count("*").alias("uploaded")))
+    started = spark.createDataFrame([("s0", START - timedelta(seconds=2))], "session_id string, started_at timestamp")
+    ran = live.record_usage(stream, started, facts, f"{tmp_path}/out", f"{tmp_path}/ck", "2 days", "1 hour", available_now=True)
+    ran.awaitTermination()
+    got = {}
+    for r in spark.read.parquet(f"{tmp_path}/out/table").collect():
+        assert (r["session_id"], r["event_name"]) not in got
+        got[r["session_id"], r["event_name"]] = (r["server_ts"], json.loads(r["properties"]))
+    for s in ("s0", "s1", "s2", "alone", "edge"):
+        done = min(r[4] for r in rows if r[1] == s and r[2] == "finish")
+        near = [r[3] for r in rows if r[1] == s and r[2] == "press" and done - timedelta(days=2) <= r[4] <= done]
+        assert got[s, m.TOGGLE_COUNT] == (done, {"presses": len(near), "distinctPhotos": len(set(near))})
+        assert ((s, m.CURATION_DURATION) in got) == (s == "s0")
+    assert {s for s, _ in got} == {"s0", "s1", "s2", "alone", "edge"}
+    assert not any(p["stateOperators"] for p in ran.recentProgress)

@@ -17,7 +17,10 @@ from albumforge.operators import metrics as m
 from albumforge.session import shared_dir
 from albumforge.sources import telemetry
 from albumforge.streaming import intake, photos, usage
-from albumforge.streaming.running import append_events, append_values, drain, last_state, latest, record_first, slice_stream, use_rocksdb, watermark_of, write_slices
+from albumforge.streaming.running import append_events, append_values, drain, files_for, last_state, latest, record_first, slice_stream, use_rocksdb, watermark_of, write_slices
+
+# A batch's body has some 10 kB.
+BATCHES_PER_FILE = 5000
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,8 +41,12 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 def batch_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Request batches written out as files, in time slices of several files, and read back a slice at a time."""
     path = f"{shared_dir(spark)}/albumforge-batches-{uuid.uuid4().hex}"
-    write_slices(raw_batches(spark, sf), "received_at", path, form="json")
-    return telemetry.batch_stream(spark, path, files_per_trigger=4)
+    # Bodies are put together once; every slice is cut from the stored ones.
+    raw_batches(spark, sf).write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    files = files_for(rows, BATCHES_PER_FILE)
+    write_slices(rows, "received_at", f"{path}/in", files=files, form="json")
+    return telemetry.batch_stream(spark, f"{path}/in", files_per_trigger=files)
 
 
 @query("stream_accepted_events", f"""WITH {V_BATCHES}

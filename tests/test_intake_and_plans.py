@@ -279,6 +279,25 @@ def test_limiter_calls_do_not_grow_with_keys(spark, tmp_path):
     assert 0 < max(totals) <= 3 * live.KEY_GROUPS < 1200
 
 
+def test_batches_for_a_stream_are_put_together_once(spark, tmp_path, monkeypatch):
+    from albumforge.catalog import streams
+
+    made, text = spark.sparkContext.accumulator(0), json.dumps({"events": [event()]})
+
+    @F.udf("string")
+    def body(i):
+        made.add(1)
+        return text
+
+    rows = spark.range(60).select(F.col("id").alias("batch_id"), F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).alias("received_at"),
+                                  F.lit("ua").alias("user_agent"), body("id").alias("body"))
+    monkeypatch.setattr(streams, "raw_batches", lambda spark, sf: rows)
+    monkeypatch.setattr(streams, "BATCHES_PER_FILE", 3)
+    stream = streams.batch_stream(spark, str(tmp_path))
+    assert made.value == 60
+    assert sorted(r["batch_id"] for r in drain(stream).collect()) == list(range(60))
+
+
 def test_events_that_are_no_objects_leave_no_row(spark):
     bodies = [json.dumps({"events": [7, "text", None, ["session_id"], {"session_id": {"a": 1}, "event_name": "n"}, event("s", "n")]})]
     assert [r["event_no"] for r in intake.event_rows(intake.read_batches(requests(spark, bodies))).collect()] == [5]

@@ -86,7 +86,7 @@ def chapter_photos(placed: DataFrame, library_id: str = "library_id") -> DataFra
 
 def live_bursts(bursts: DataFrame, chapter_photos: DataFrame, library_id: str = "library_id") -> DataFrame:
     """Burst rows whose representative is in a chapter."""
-    reps = chapter_photos.select(library_id, F.col("photo_id").alias("rep_id")).distinct()
+    reps = chapter_photos.select(library_id, F.col("photo_id").alias("rep_id"))
     return bursts.join(reps, [library_id, "rep_id"], "left_semi")
 
 

@@ -24,9 +24,10 @@ def photo_map(photos: DataFrame, chapter_photos: DataFrame, bursts: DataFrame,
               library_id: str = "library_id") -> DataFrame:
     """Photos a document holds: those shown, and burst candidates of a shown photo."""
     keys = [library_id, "photo_id"]
-    shown = chapter_photos.select(*keys).distinct()
+    # Semi joins only: a photo that is named twice is held once all the same.
+    shown = chapter_photos.select(*keys)
     candidates = bursts.join(shown.withColumnRenamed("photo_id", "rep_id"), [library_id, "rep_id"], "left_semi").select(*keys)
-    return photos.join(shown.unionByName(candidates).distinct(), keys, "left_semi")
+    return photos.join(shown.unionByName(candidates), keys, "left_semi")
 
 
 def _column(df: DataFrame, name: str, kind: str) -> Column:

@@ -1,7 +1,9 @@
-"""Session defaults and the one way this package cuts lineage."""
+"""Session defaults and the two ways this package cuts lineage."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,3 +42,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: what ``cut_lineage`` does, for a table that is read several times by some of its columns."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/albumforge-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

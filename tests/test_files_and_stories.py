@@ -105,3 +105,29 @@ def test_small_files_share_tasks(spark, tmp_path):
     uploads.write_files(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path))
     found = uploads.list_images(spark, str(tmp_path))
     assert found.count() == 600 and found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_parts_are_made_once_when_documents_are_replaced(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(i):
+        made.add(1)
+        return f"[{i}]"
+
+    i = F.col("id")
+    parts = spark.range(200).select((i % 4).alias("library_id"), F.lit("photos").alias("section"), F.lit("").alias("owner"), i.alias("part"), body("id").alias("body"))
+    doc.replace_documents(parts, f"{tmp_path}/documents")
+    assert made.value == 200
+    got = doc.read_documents(spark, f"{tmp_path}/documents", "photos").collect()
+    assert sorted((r["part"], r["library_id"], r["body"]) for r in got) == [(n, n % 4, f"[{n}]") for n in range(200)]
+
+
+def test_a_photo_named_twice_is_held_once(spark):
+    from albumforge.operators import chapters as ch
+
+    photos = spark.createDataFrame([(1, f"p{n}", n) for n in range(5)], "library_id int, photo_id string, ordinal int")
+    listed = spark.createDataFrame([(1, "p0"), (1, "p0"), (1, "p3")], "library_id int, photo_id string")
+    bursts = spark.createDataFrame([(1, "p1", "p0"), (1, "p3", "p0"), (1, "p2", "p4")], "library_id int, photo_id string, rep_id string")
+    assert sorted(r["photo_id"] for r in doc.photo_map(photos, listed, bursts).collect()) == ["p0", "p1", "p3"]
+    assert sorted(r["photo_id"] for r in ch.live_bursts(bursts, listed).collect()) == ["p1", "p3"]

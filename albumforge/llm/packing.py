@@ -24,20 +24,25 @@ from pyspark.sql import functions as F
 
 from albumforge.llm.common import clashing, written
 from albumforge.llm.encode import string_blocks, worker_encoder
-from albumforge.llm.workers import lean, lean_group
+from albumforge.llm.workers import lean, lean_group, release, small_batches
 
 CAPACITY = 4096
 #: Pieces above this share of the capacity are large; sizes after rounding; tokens, and pieces, that one task packs together.
 LARGE, GROUPS, BLOCK_TOKENS, BLOCK_PIECES = 1 / 6, 48, 6_000_000, 200_000
-#: Bytes of texts encoded at a time and words that a worker remembers: less than the encoder's own bounds, as packing follows other stages in workers that these have filled.
-BLOCK_BYTES, REMEMBERED = 1 << 20, 300_000
+#: Rows that a worker gets and bytes of texts that it encodes at a time, words that it remembers, and bytes after which it gives freed memory back:
+#: less than the encoder's own bounds, as packing follows other stages in executors that these have filled.
+BATCH_ROWS, BLOCK_BYTES, REMEMBERED, RELEASE_BYTES = 1000, 1 << 19, 200_000, 16 << 20
 
 
 def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each text and an end id, cut where longer than ``capacity``."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(path, end, False, REMEMBERED)
+        encoder, done = worker_encoder(path, end, False, REMEMBERED), 0
         for batch in batches:
+            done += batch.nbytes
+            if done > RELEASE_BYTES:
+                release()
+                done = 0
             for lo, texts in string_blocks(batch.column(1), BLOCK_BYTES):
                 ids, counts = encoder.encode(texts)
                 ids = ids.astype("<u4")
@@ -136,7 +141,8 @@ def best_fit_packing(docs: DataFrame, path: str, end: int = 1, capacity: int = C
     result. Sequences are numbered by block, not without gaps.
     """
     kind = docs.schema[id_column].dataType
-    cut = written(pieces(docs, path, end, capacity, id_column, text_column), "pack-pieces")
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        cut = written(pieces(docs, path, end, capacity, id_column, text_column), "pack-pieces")
     size = cut.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("pieces")).first()
     blocks = max(1, -(-size["tokens"] // BLOCK_TOKENS), -(-size["pieces"] // BLOCK_PIECES))
     # Equal pieces differ by their file row only: a random deal would not rerun, and one block is bounded either way.

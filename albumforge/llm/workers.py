@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def release() -> None:
@@ -35,3 +39,15 @@ def lean_group(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataF
         return out
 
     return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that start here send workers at most ``rows`` rows at a time, so that neither side holds a large batch."""
+    usual = spark.conf.get(_BATCH_ROWS)
+    if not 0 < int(usual) <= rows:
+        spark.conf.set(_BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, usual)

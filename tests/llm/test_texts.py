@@ -88,6 +88,22 @@ def test_packing(docs, rows, nothing):
     assert best_fit_packing(nothing, WORDS).collect() == []
 
 
+def test_packing_encodes_few_rows_at_a_time(spark, monkeypatch):
+    from albumforge.llm import packing
+
+    cut, key = packing.string_blocks, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def few(texts, size):
+        if len(texts) > 1000:
+            raise ValueError(f"{len(texts)} rows in one batch")
+        return cut(texts, size)
+
+    monkeypatch.setattr(packing, "string_blocks", few)
+    docs, usual = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "'a b' AS text"), spark.conf.get(key)
+    assert best_fit_packing(docs, WORDS).count() == 3000
+    assert spark.conf.get(key) == usual
+
+
 def test_packing_close_to_the_bound():
     lengths = np.minimum(np.random.default_rng(0).lognormal(6, 1, 6000).astype(int) + 2, 4096)
     sequence, offset = pack_block(lengths)

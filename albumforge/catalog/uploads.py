@@ -20,12 +20,12 @@ SUFFIXES = (".jpg", ".JPEG", ".png", ".gif", ".heic", ".txt", ".tiff", ".jpgx",
 
 
 def listing(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as files; the page length, scaled, is the file size."""
+    """Pages as files; the page length, scaled, is the file size, a 64-bit number: an int ends at pages of 107,374 characters."""
     p = views.table(spark, sf, "pages")
     i = F.col("page_id")
     return p.select((i % 3).alias("library_id"), i.alias("ordinal"),
                     F.concat(F.lit("img"), i.cast("string"), pick(SUFFIXES, i % 9)).alias("name"),
-                    (F.length("html") * 20000).alias("length"))
+                    (F.length("html").cast("long") * 20000).alias("length"))
 
 
 @query("accepted_uploads", f"""WITH f AS (

@@ -131,3 +131,13 @@ def test_a_photo_named_twice_is_held_once(spark):
     bursts = spark.createDataFrame([(1, "p1", "p0"), (1, "p3", "p0"), (1, "p2", "p4")], "library_id int, photo_id string, rep_id string")
     assert sorted(r["photo_id"] for r in doc.photo_map(photos, listed, bursts).collect()) == ["p0", "p1", "p3"]
     assert sorted(r["photo_id"] for r in ch.live_bursts(bursts, listed).collect()) == ["p1", "p3"]
+
+
+def test_sizes_of_long_pages_are_64_bit(spark, tmp_path):
+    from albumforge.catalog import uploads as queries
+
+    rows = [(0, "u", "x" * 107_375), (3, "u", "x" * 2_621), (6, "u", "x" * 2_622), (9, "u", "x" * 150_000), (12, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["ordinal"]: (r["name"], r["reject_reason"], r["accepted"]) for r in queries.accepted_uploads(spark, str(tmp_path)).collect()}
+    assert got == {0: ("img0.jpg", "size", False), 3: ("img3.gif", "type", False), 6: ("img6.tiff", "size", False),
+                   9: ("img9.jpg", "size", False), 12: ("img12.gif", "type", False)}

@@ -9,11 +9,12 @@ summariser, which combines before its shuffle.
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from albumforge.functions.pixels import unit_vector
 from albumforge.functions.scores import half_up
 from albumforge.operators.ordering import with_positions
-from albumforge.session import cut_lineage
+from albumforge.session import cut_lineage, shared_dir
 
 MAX_ROUNDS = 50
 # Fixed value: the most clusters that a library gets by default.
@@ -67,20 +68,7 @@ def against_centroids(vectors: DataFrame, centroids: DataFrame, measure: Callabl
         known = {r[0]: [None if c is None else _matrix(c) for c in r[1:]]
                  for r in centroids.select(library_id, *columns).collect()}
         shared = vectors.sparkSession.sparkContext.broadcast(known)
-
-        def measured(which: int):
-            @F.pandas_udf(T.DoubleType())
-            def by_library(libraries: pd.Series, rows: pd.Series) -> pd.Series:
-                result = np.zeros(len(rows))
-                for lib, at in libraries.groupby(libraries).indices.items():
-                    if shared.value[lib][which] is not None:
-                        result[at] = measure(_matrix(rows.iloc[at]) @ shared.value[lib][which].T)
-                return pd.Series(result)
-
-            return by_library(library_id, "embedding")
-
-        present = vectors.join(F.broadcast(centroids.select(library_id)), library_id, "left_semi")
-        return present.select("*", *[measured(i).alias(out) for i, out in enumerate(outputs)])
+        return _against_shared(vectors, shared, centroids.select(library_id), measure, list(outputs), library_id)
 
     @F.pandas_udf(T.DoubleType())
     def by_row(rows: pd.Series, found: pd.Series) -> pd.Series:
@@ -92,6 +80,23 @@ def against_centroids(vectors: DataFrame, centroids: DataFrame, measure: Callabl
         *[f"_at_{c}" for c in columns])
 
 
+def _against_shared(vectors: DataFrame, shared: Broadcast, libraries: DataFrame, measure: Callable, outputs: list[str], library_id: str) -> DataFrame:
+    """``against_centroids`` with broadcast centroids: for each of ``libraries`` a list with a matrix, or None, for each output."""
+    def measured(which: int):
+        @F.pandas_udf(T.DoubleType())
+        def by_library(libraries: pd.Series, rows: pd.Series) -> pd.Series:
+            result = np.zeros(len(rows))
+            for lib, at in libraries.groupby(libraries).indices.items():
+                if shared.value[lib][which] is not None:
+                    result[at] = measure(_matrix(rows.iloc[at]) @ shared.value[lib][which].T)
+            return pd.Series(result)
+
+        return by_library(library_id, "embedding")
+
+    present = vectors.join(F.broadcast(libraries), library_id, "left_semi")
+    return present.select("*", *[measured(i).alias(out) for i, out in enumerate(outputs)])
+
+
 def default_k(n: Column) -> Column:
     return F.greatest(F.lit(2), F.least(F.lit(MOST_CLUSTERS), half_up(n / 8))).cast("int")
 
@@ -178,9 +183,9 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
 
     Libraries with at most k vectors get one cluster per vector. All other
     libraries run together; one leaves the loop when none of its assignments
-    changes. Only centroids are written between rounds: the assignment before is
-    worked out again from the centroids before. A cluster that lost its members
-    restarts from a drawn vector.
+    changes. Only centroids are kept between rounds, by the driver where they are few
+    and in tables where not: the assignment before is worked out again from the
+    centroids before. A cluster that lost its members restarts from a drawn vector.
     """
     counts = vectors.groupBy(library_id).agg(F.count("*").alias("n"))
     sizes = counts.withColumn("k", F.lit(k) if k else default_k(F.col("n")))
@@ -193,45 +198,108 @@ def kmeans(vectors: DataFrame, k: int | None = None, initial: DataFrame | None =
     numbers = (many.agg(F.sum("k")).first()[0] or 0) * (big.agg(F.max(F.size("embedding"))).first()[0] or 0)
     small = 2 * numbers * 8 <= BROADCAST_BYTES
     start = initial if initial is not None else seed_centroids(big, many, seed, library_id, small)
+    final = (_rounds_here if small else _rounds_in_tables)(big, start, seed, max_rounds, library_id)
+    assigned = against_centroids(big, final, _nearest, {"cluster": "centroids"}, library_id, small)
+    known = final.select(library_id, "settled")
+    assigned = assigned.join(F.broadcast(known) if small else known, library_id)
+    return assigned.withColumn("cluster", F.col("cluster").cast("int")).unionByName(trivial)
+
+
+def _counted(max_rounds: int | None) -> Iterator[int]:
+    return itertools.count() if max_rounds is None else iter(range(max_rounds))
+
+
+def _means(stepped: DataFrame, library_id: str) -> DataFrame:
+    """Centroid of each cluster that has members, and how many of these were elsewhere before."""
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding"))))
+    return stepped.groupBy(library_id, F.col("cluster").cast("int").alias("cluster")).agg(
+        unit_vector(mean).alias("centroid"), F.count_if(F.col("cluster") != F.col("_before")).alias("_moved"))
+
+
+def _spare(big: DataFrame, most: int, seed: int, round_no: int, library_id: str) -> DataFrame:
+    """The first ``most`` vectors of each library in the order drawn for this round."""
+    by_draw = Window.partitionBy(library_id).orderBy(_u01(F.lit(seed), F.lit(1000 + round_no), "ordinal"), "ordinal")
+    return big.withColumn("_no", F.row_number().over(by_draw)).where(F.col("_no") <= most).select(
+        library_id, "_no", F.transform("embedding", lambda x: x.cast("double")).alias("_spare"))
+
+
+def _rounds_here(big: DataFrame, start: DataFrame, seed: int, max_rounds: int | None, library_id: str) -> DataFrame:
+    """The rounds where the centroids of all libraries may be broadcast: (library_id, centroids, settled).
+
+    The driver holds these centroids anyway, so it keeps them from round to round: a
+    round is one job that returns a row per cluster, and no plan or table grows with
+    the rounds.
+    """
+    spark = big.sparkSession
+    one = T.StructType([big.schema[library_id]])
+    active = {lib: [_matrix(c), None] for lib, c in start.select(library_id, "centroids").collect()}
+    done, libraries = [], None
+    for round_no in _counted(max_rounds):
+        if not active:
+            break
+        if libraries is None:
+            libraries = spark.createDataFrame([(lib,) for lib in active], one)
+        shared = spark.sparkContext.broadcast(active)
+        found = {(r[0], r["cluster"]): r for r in _means(
+            _against_shared(big, shared, libraries, _nearest, ["cluster", "_before"], library_id), library_id).collect()}
+        shared.destroy()
+        moving = {lib for (lib, _), r in found.items() if r["_moved"]}
+        if len(moving) < len(active):
+            done += [(lib, old.tolist(), True) for lib, (old, _) in active.items() if lib not in moving]
+            active, libraries = {lib: active[lib] for lib in active if lib in moving}, None
+        stepped = {lib: [found[lib, i]["centroid"] if (lib, i) in found else None for i in range(len(old))] for lib, (old, _) in active.items()}
+        if round_no >= MAX_ROUNDS and max_rounds is None:
+            stepped = {lib: [old if new is None else new for new, old in zip(step, active[lib][0], strict=True)] for lib, step in stepped.items()}
+        lost = {lib: [i for i, c in enumerate(step) if c is None] for lib, step in stepped.items() if any(c is None for c in step)}
+        if lost:
+            # Each lost cluster gets a vector of its own: the first drawn to the first lost one, and so on.
+            few = big.join(F.broadcast(spark.createDataFrame([(lib,) for lib in lost], one)), library_id, "left_semi")
+            for lib, no, vector in _spare(few, max(map(len, lost.values())), seed, round_no, library_id).collect():
+                if no <= len(lost[lib]):
+                    stepped[lib][lost[lib][no - 1]] = vector
+        active = {lib: [_matrix(step), active[lib][0]] for lib, step in stepped.items()}
+    # A library still moving at the last round keeps the assignment it had then.
+    done += [(lib, None if old is None else old.tolist(), False) for lib, (_, old) in active.items()]
+    return cut_lineage(spark.createDataFrame(done, T.StructType([
+        *one, T.StructField("centroids", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("settled", T.BooleanType())])))
+
+
+def _rounds_in_tables(big: DataFrame, start: DataFrame, seed: int, max_rounds: int | None, library_id: str) -> DataFrame:
+    """The rounds for any number of libraries: (library_id, centroids, settled). What has settled is stored as it does, so no plan grows with the rounds."""
+    spark = big.sparkSession
     active = cut_lineage(start.select(library_id, F.transform(
         "centroids", lambda c: F.transform(c, lambda x: x.cast("double"))).alias("centroids")))
     active = active.withColumn("previous", F.lit(None).cast(active.schema["centroids"].dataType))
-    settled = []
-    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding"))))
-    for round_no in itertools.count() if max_rounds is None else range(max_rounds):
-        stepped = against_centroids(big, active, _nearest, {"cluster": "centroids", "_before": "previous"}, library_id, small)
-        found = cut_lineage(stepped.groupBy(library_id, F.col("cluster").cast("int").alias("cluster")).agg(
-            unit_vector(mean).alias("centroid"),
-            F.count_if(F.col("cluster") != F.col("_before")).alias("_moved")))
+    path, were = f"{shared_dir(spark)}/albumforge-settled-{uuid.uuid4().hex}", active.count()
+    for round_no in _counted(max_rounds):
+        stepped = against_centroids(big, active, _nearest, {"cluster": "centroids", "_before": "previous"}, library_id, False)
+        found = cut_lineage(_means(stepped, library_id))
         moving = found.groupBy(library_id).agg(F.sum("_moved").alias("_moved")).where("_moved > 0").select(library_id)
-        settled.append(active.join(moving, library_id, "left_anti").select(library_id, "centroids", F.lit(True).alias("settled")))
+        ended = active.join(moving, library_id, "left_anti").select(library_id, "centroids", F.lit(True).alias("settled"))
         slots = active.join(moving, library_id, "left_semi").select(
             library_id, F.posexplode("centroids").alias("cluster", "_old"))
         filled = slots.join(found.drop("_moved"), [library_id, "cluster"], "left")
         if round_no >= MAX_ROUNDS and max_rounds is None:
             filled = filled.withColumn("centroid", F.coalesce("centroid", "_old"))
         active = cut_lineage(_pack(filled, library_id))
-        left, lost = active.agg(F.count("*"), F.sum("_lost")).first()
+        left, lost = active.agg(F.count("*"), F.max("_lost")).first()
+        if left < were:
+            ended.write.mode("append").parquet(path)
+        were = left
         if lost:
             # Each lost cluster gets a vector of its own: the first drawn to the first lost one, and so on.
-            by_draw = Window.partitionBy(library_id).orderBy(_u01(F.lit(seed), F.lit(1000 + round_no), "ordinal"), "ordinal")
             by_slot = Window.partitionBy(library_id).orderBy("cluster")
-            spare = big.withColumn("_no", F.row_number().over(by_draw)).where(F.col("_no") <= lost).select(
-                library_id, "_no", F.transform("embedding", lambda x: x.cast("double")).alias("_spare"))
             gone = filled.where("centroid IS NULL").select(library_id, "cluster", F.row_number().over(by_slot).alias("_no"))
-            refill = gone.join(spare, [library_id, "_no"]).drop("_no")
+            refill = gone.join(_spare(big, lost, seed, round_no, library_id), [library_id, "_no"]).drop("_no")
             refilled = filled.join(refill, [library_id, "cluster"], "left").withColumn("centroid", F.coalesce("centroid", "_spare"))
             active = cut_lineage(_pack(refilled, library_id))
         active = active.drop("_lost")
         if not left:
             break
     # A library still moving at the last round keeps the assignment it had then.
-    settled.append(active.select(library_id, F.col("previous").alias("centroids"), F.lit(False).alias("settled")))
-    final = cut_lineage(reduce(DataFrame.unionByName, settled))
-    assigned = against_centroids(big, final, _nearest, {"cluster": "centroids"}, library_id, small)
-    known = final.select(library_id, "settled")
-    assigned = assigned.join(F.broadcast(known) if small else known, library_id)
-    return assigned.withColumn("cluster", F.col("cluster").cast("int")).unionByName(trivial)
+    rest = active.select(library_id, F.col("previous").alias("centroids"), F.lit(False).alias("settled"))
+    rest.write.mode("append").parquet(path)
+    return spark.read.schema(rest.schema).parquet(path)
 
 
 def _pack(slots: DataFrame, library_id: str) -> DataFrame:

@@ -127,3 +127,46 @@ def test_rounds_go_on_until_all_have_settled(spark, monkeypatch):
     means = np.stack([vectors[own == c].mean(axis=0) for c in range(3)])
     means /= np.linalg.norm(means, axis=1, keepdims=True)
     assert all(r["settled"] for r in rows) and ((vectors @ means.T).argmax(axis=1) == own).all()
+
+
+@pytest.mark.parametrize("bound", [2**26, 0])
+def test_no_plan_grows_with_the_rounds(spark, monkeypatch, bound):
+    import numpy as np
+
+    from albumforge.operators import semantic as sm
+
+    plans, cut = [], sm.cut_lineage
+    monkeypatch.setattr(sm, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().analyzed().toString()), cut(df))[1])
+    monkeypatch.setattr(sm, "BROADCAST_BYTES", bound)
+    vectors = np.random.default_rng(3).normal(size=(300, 4))
+    df = spark.createDataFrame([(f"L{i % 2}", f"p{i}", i, v.tolist()) for i, v in enumerate(vectors)], "library_id string, photo_id string, ordinal long, embedding array<double>")
+    joins = []
+    for rounds in (2, 5):
+        plans.clear()
+        assert not any(r["settled"] for r in sm.kmeans(df, 6, max_rounds=rounds).collect())
+        joins.append(max(plan.count("Join") for plan in plans))
+    assert joins[0] == joins[1]
+
+
+def test_rounds_on_the_driver_and_in_tables_agree(spark, monkeypatch):
+    import numpy as np
+
+    from albumforge.operators import semantic as sm
+
+    # The third start of A has no members: it restarts from a drawn vector.
+    monkeypatch.setattr(sm, "MAX_ROUNDS", 3)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(120, 4)) + np.array([3.0, 0, 0, 0])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [("A" if i < 60 else "B" if i < 117 else "few", f"p{i}", i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "library_id string, photo_id string, ordinal long, embedding array<double>")
+    start = spark.createDataFrame([("A", [vectors[0].tolist(), vectors[1].tolist(), [-1.0, 0.0, 0.0, 0.0]]), ("B", vectors[60:63].tolist())],
+                                  "library_id string, centroids array<array<double>>")
+    found = {}
+    for bound in (2**26, 0):
+        monkeypatch.setattr(sm, "BROADCAST_BYTES", bound)
+        for rounds in (1, 2, None):
+            found[bound, rounds] = sorted((r["photo_id"], r["cluster"], r["settled"]) for r in sm.kmeans(df, 3, start, max_rounds=rounds).collect())
+    for rounds in (1, 2, None):
+        assert found[2**26, rounds] == found[0, rounds] and len(found[0, rounds]) == 120
+    assert {c for p, c, _ in found[0, None] if int(p[1:]) < 60} == {0, 1, 2} and all(s for *_, s in found[0, None])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,16 +13,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumforge.operators.ordering import with_positions
+from albumforge.session import shared_dir
 
 # Accepted file types and upload limits.
-IMAGE_NAME = r"(?i)\.(jpg|jpeg|png|heic|heif|webp|tiff)$"
+IMAGE_ENDINGS = ("jpg", "jpeg", "png", "heic", "heif", "webp", "tiff")
+IMAGE_NAME = rf"(?i)\.({'|'.join(IMAGE_ENDINGS)})$"
 MAX_FILE_BYTES = 50 * 1024 * 1024
 # What opening a file counts as when files are dealt to tasks; with Spark's 4 MB a task gets some 30 files, however small.
 OPEN_COST_BYTES = 64 * 1024
+# The most that a task reads, opening included; folders that it lists; rows and bytes that a worker puts into a batch.
+TASK_BYTES = 128 * 1024 * 1024
+TASK_FOLDERS = 1_000
+BATCH_ROWS = 10_000
+BATCH_BYTES = 16 * 1024 * 1024
 # The number of files an upload form takes at once; a caller may ask for it.
 FORM_FILES = 500
 
 
+def _arrow_store(path: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for ``path``, the full name of a folder, and the folder's name in it."""
+    scheme = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*):", path)
+    if scheme is None or scheme[1] == "file":
+        return fs.LocalFileSystem(), f"/{path[scheme.end() if scheme else 0:].strip('/')}"
+    return fs.FileSystem.from_uri(path)
+
+
 def write_files(contents: DataFrame, path: str) -> None:
     """One file under ``path`` for each row (``name``, which may hold folders, and ``content``), written by the tasks.
 
@@ -27,8 +45,7 @@ def write_files(contents: DataFrame, path: str) -> None:
     folder that every executor reaches. A row that is written again replaces its file.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, _, rest = path.rpartition(":")
-        store, root = (fs.LocalFileSystem(), f"/{rest.lstrip('/')}") if scheme in ("", "file") else fs.FileSystem.from_uri(path)
+        store, root = _arrow_store(path)
         made = set()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -43,20 +60,104 @@ def write_files(contents: DataFrame, path: str) -> None:
     contents.select("name", "content").mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
+def _plain_folder(spark: SparkSession, path: str) -> str | None:
+    """The full name of ``path`` if it is one folder, in a store that Arrow opens."""
+    if any(c in path for c in "{}[]*?\\"):
+        return None
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole = store.makeQualified(at).toString()
+    try:
+        own, root = _arrow_store(whole)
+        return whole if own.get_file_info(root).type == fs.FileType.Directory else None
+    except (pa.ArrowException, ImportError, OSError):
+        return None
+
+
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """Image files under ``folder`` as a stored table (path, modificationTime, length); rows without a length are folders.
+
+    Level by level, each folder by one task, which holds its entries. The driver
+    sees how many folders a level has. What Spark's readers skip is skipped:
+    hidden names and files without a byte.
+    """
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _arrow_store(folder)
+        root, base = root.rstrip("/"), folder.rstrip("/")
+        for batch in batches:
+            for parent in batch.column(0).to_pylist():
+                rows = []
+                for entry in store.get_file_info(fs.FileSelector(root + parent[len(base):], allow_not_found=True)):
+                    name, inner = entry.base_name, entry.type == fs.FileType.Directory
+                    hidden = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+                    if inner and (not hidden or name.startswith(("_metadata", "_common_metadata"))):
+                        rows.append((f"{parent.rstrip('/')}/{name}", None, None))
+                    elif entry.is_file and not hidden and entry.size and name.rpartition(".")[2].lower() in IMAGE_ENDINGS and "." in name:
+                        rows.append((f"{parent.rstrip('/')}/{name}", entry.mtime_ns // 1_000_000 * 1_000, entry.size))
+                for at in range(0, len(rows), BATCH_ROWS):
+                    columns = zip(*rows[at:at + BATCH_ROWS], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "micros", "length"])
+
+    table, levels = f"{shared_dir(spark)}/albumforge-listing-{uuid.uuid4().hex}", []
+    read = lambda *paths: spark.read.schema("path string, modificationTime timestamp, length long").parquet(*paths)
+    folders, n = spark.createDataFrame([(folder,)], "path string"), 1
+    while n:
+        tasks = min(n, max(spark.sparkContext.defaultParallelism, math.ceil(n / TASK_FOLDERS)))
+        found = folders.repartition(tasks).mapInArrow(entries, "path string, micros long, length long")
+        levels.append(f"{table}/{len(levels)}")
+        found.select("path", F.timestamp_micros("micros").alias("modificationTime"), "length").write.parquet(levels[-1])
+        folders = read(levels[-1]).where("length IS NULL").select("path")
+        n = folders.count()
+    return read(*levels)
+
+
+def _content(folder: str) -> Column:
+    """The bytes of the file named by ``path``, which lies under ``folder``; read one after the other, in batches of bounded size."""
+    @F.arrow_udf("binary")
+    def read(paths: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        store, root = _arrow_store(folder)
+        root, base = root.rstrip("/"), folder.rstrip("/")
+        for batch in paths:
+            held, size = [], 0
+            for path in batch.to_pylist():
+                with store.open_input_stream(root + path[len(base):], compression=None) as file:
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= BATCH_BYTES:
+                    yield pa.array(held, pa.binary())
+                    held, size = [], 0
+            if held:
+                yield pa.array(held, pa.binary())
+
+    return read("path")
+
+
 def list_images(spark: SparkSession, path: str, most_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Image files under ``path`` as (path, modificationTime, length, content).
 
     Other names are left out by the file listing, so they are never opened; the
     size limit reaches the reader, and content is read only if it is selected.
-    Spark leaves files without a byte out. Folders are listed in parallel, each
-    by one task. Sets the session's open cost, so that tasks get thousands of small files.
+    Files without a byte are left out. The listing is made now, by tasks, and is a
+    table in the shared folder: the driver never holds the names. Tasks get
+    thousands of small files.
+
+    A single file, a pattern, or a store that only Hadoop knows (s3a, viewfs) goes
+    through Spark's own reader instead, with equal rows; its file index is held by the
+    driver, some 500 bytes a file. That sets the session's open cost.
     """
-    spark.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST_BYTES))
-    either = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in "jpg,jpeg,png,heic,heif,webp,tiff")
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either}}}").load(path)
-        .where(F.col("length") <= most_bytes)
-    )
+    folder = _plain_folder(spark, path)
+    if folder is None:
+        spark.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST_BYTES))
+        either = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ",".join(IMAGE_ENDINGS))
+        return (
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{either}}}").load(path)
+            .where(F.col("length") <= most_bytes)
+        )
+    files = _listed(spark, folder).where(F.col("length") <= most_bytes)
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    cost = n * OPEN_COST_BYTES + size
+    share = min(TASK_BYTES, max(OPEN_COST_BYTES, cost / spark.sparkContext.defaultParallelism))
+    return files.repartition(max(1, math.ceil(cost / share))).withColumn("content", _content(folder))
 
 
 def accept_uploads(listing: DataFrame, upload: str = "library_id", order: str = "ordinal",

@@ -1,5 +1,6 @@
 """Crowded itinerary days, stories after curation, stored documents, files on disk."""
 
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -141,3 +142,41 @@ def test_sizes_of_long_pages_are_64_bit(spark, tmp_path):
     got = {r["ordinal"]: (r["name"], r["reject_reason"], r["accepted"]) for r in queries.accepted_uploads(spark, str(tmp_path)).collect()}
     assert got == {0: ("img0.jpg", "size", False), 3: ("img3.gif", "type", False), 6: ("img6.tiff", "size", False),
                    9: ("img9.jpg", "size", False), 12: ("img12.gif", "type", False)}
+
+
+def test_the_driver_holds_no_list_of_files(spark, tmp_path):
+    rows = [(f"{i % 4}/{i // 40}/img{i}.jpg", bytes([i % 256]) * 50) for i in range(400)]
+    uploads.write_files(spark.createDataFrame(rows, "name string, content binary"), str(tmp_path))
+    found = uploads.list_images(spark, f"file://{tmp_path}/")
+    assert len(found.inputFiles()) < 50
+    assert {r["path"]: bytes(r["content"]) for r in found.collect()} == {f"file:{tmp_path}/{n}": c for n, c in rows}
+
+
+def test_listing_equals_the_reader_of_spark(spark, tmp_path):
+    root = tmp_path / "up"
+    names = ("_x/q.jpg", ".h/q.jpg", "a b%20c/z.jpg", "a b%20c/_k=1/k.heif", "é/ü 1.PNG", ".d.jpg", "_u.jpg", "_u=1.jpg", "x.JPG", "jpg", "a.b.tiff",
+             "n\nl.jpg", "s[1].jpg", "_metadata/m.webp", "_metadata.jpg", "deep/er/and/deeper/d.jpeg", "c._COPYING_/c.jpg", "none/.keep", "x.jpg.txt", "y.jpg ")
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(name.encode())
+    (root / "e.jpg").touch()
+    (root / "link.jpg").symlink_to(root / "x.JPG")
+    (root / "broken.jpg").symlink_to(root / "nothing")
+    (root / "linked").symlink_to(root / "é")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[pP][nN][gG],[hH][eE][iI][cCfF],[wW][eE][bB][pP],[tT][iI][fF][fF]}")
+    columns = ["path", "modificationTime", "length", "content"]
+    found = uploads.list_images(spark, str(root))
+    assert found.schema == reader.load(str(root)).schema
+    got, want = (sorted(map(tuple, df.select(*columns).collect())) for df in (found, reader.load(str(root))))
+    assert got == want and len(got) == 12
+    one = uploads.list_images(spark, f"{root}/x.JPG").select(*columns).collect()
+    assert [tuple(r) for r in one] == [tuple(r) for r in reader.load(f"{root}/x.JPG").select(*columns).collect()]
+    assert uploads.list_images(spark, f"{root}/none").count() == 0
+
+
+def test_large_files_come_in_batches_of_their_own(spark, tmp_path):
+    for i in range(7):
+        (tmp_path / f"{i}.png").write_bytes(bytes([i]) * (5_000_000 + i))
+    found = uploads.list_images(spark, str(tmp_path), 5_000_005).coalesce(1)
+    got = {r["n"]: (r["length"], r["s"]) for r in found.select(F.regexp_extract("path", "([0-9]).png", 1).alias("n"), "length", F.sha2("content", 256).alias("s")).collect()}
+    assert got == {str(i): (5_000_000 + i, hashlib.sha256(bytes([i]) * (5_000_000 + i)).hexdigest()) for i in range(6)}

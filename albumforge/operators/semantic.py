@@ -14,12 +14,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from albumforge.functions.pixels import unit_vector
 from albumforge.functions.scores import half_up
@@ -68,7 +70,20 @@ def against_centroids(vectors: DataFrame, centroids: DataFrame, measure: Callabl
         known = {r[0]: [None if c is None else _matrix(c) for c in r[1:]]
                  for r in centroids.select(library_id, *columns).collect()}
         shared = vectors.sparkSession.sparkContext.broadcast(known)
-        return _against_shared(vectors, shared, centroids.select(library_id), measure, list(outputs), library_id)
+
+        def measured(which: int):
+            @F.pandas_udf(T.DoubleType())
+            def by_library(libraries: pd.Series, rows: pd.Series) -> pd.Series:
+                result = np.zeros(len(rows))
+                for lib, at in libraries.groupby(libraries).indices.items():
+                    if shared.value[lib][which] is not None:
+                        result[at] = measure(_matrix(rows.iloc[at]) @ shared.value[lib][which].T)
+                return pd.Series(result)
+
+            return by_library(library_id, "embedding")
+
+        present = vectors.join(F.broadcast(centroids.select(library_id)), library_id, "left_semi")
+        return present.select("*", *[measured(i).alias(out) for i, out in enumerate(outputs)])
 
     @F.pandas_udf(T.DoubleType())
     def by_row(rows: pd.Series, found: pd.Series) -> pd.Series:
@@ -80,23 +95,6 @@ def against_centroids(vectors: DataFrame, centroids: DataFrame, measure: Callabl
         *[f"_at_{c}" for c in columns])
 
 
-def _against_shared(vectors: DataFrame, shared: Broadcast, libraries: DataFrame, measure: Callable, outputs: list[str], library_id: str) -> DataFrame:
-    """``against_centroids`` with broadcast centroids: for each of ``libraries`` a list with a matrix, or None, for each output."""
-    def measured(which: int):
-        @F.pandas_udf(T.DoubleType())
-        def by_library(libraries: pd.Series, rows: pd.Series) -> pd.Series:
-            result = np.zeros(len(rows))
-            for lib, at in libraries.groupby(libraries).indices.items():
-                if shared.value[lib][which] is not None:
-                    result[at] = measure(_matrix(rows.iloc[at]) @ shared.value[lib][which].T)
-            return pd.Series(result)
-
-        return by_library(library_id, "embedding")
-
-    present = vectors.join(F.broadcast(libraries), library_id, "left_semi")
-    return present.select("*", *[measured(i).alias(out) for i, out in enumerate(outputs)])
-
-
 def default_k(n: Column) -> Column:
     return F.greatest(F.lit(2), F.least(F.lit(MOST_CLUSTERS), half_up(n / 8))).cast("int")
 
@@ -216,6 +214,42 @@ def _means(stepped: DataFrame, library_id: str) -> DataFrame:
         unit_vector(mean).alias("centroid"), F.count_if(F.col("cluster") != F.col("_before")).alias("_moved"))
 
 
+def _means_here(vectors: DataFrame, shared: Broadcast, library_id: str) -> DataFrame:
+    """``_means`` with broadcast centroids, now and before, of every library that ``vectors`` has: a task sums up its vectors of each cluster."""
+    kind = vectors.schema[library_id].dataType
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            cuts = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+            for lib, first, last in zip(coded.dictionary.to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                own, (now, before) = rows[order[first:last]], shared.value[lib]
+                at = np.argmax(own @ now.T, axis=1)
+                was = 0 if before is None else np.argmax(own @ before.T, axis=1)
+                sums, counts, moved = totals.setdefault(lib, (np.zeros(now.shape), np.zeros(len(now), np.int64), np.zeros(len(now), np.int64)))
+                sums += (at == np.arange(len(now))[:, None]).astype(np.float64) @ own
+                counts += np.bincount(at, minlength=len(now))
+                moved += np.bincount(at[at != was], minlength=len(now))
+        for lib, (sums, counts, moved) in totals.items():
+            found = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lib] * len(found), types[0]), pa.array(found, types[1]), pa.array((sums[found] / counts[found, None]).tolist(), types[2]),
+                pa.array(counts[found].astype(np.float64)), pa.array(moved[found])], names)
+
+    out = T.StructType([T.StructField(library_id, kind), T.StructField("cluster", T.IntegerType()), T.StructField("_mean", T.ArrayType(T.DoubleType())),
+                        T.StructField("_n", T.DoubleType()), T.StructField("_moved", T.LongType())])
+    types, names = to_arrow_schema(out).types, out.names
+    parts = vectors.select(library_id, "embedding").mapInArrow(summed, out)
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("_mean")), F.col("_n")))
+    return parts.groupBy(library_id, "cluster").agg(unit_vector(mean).alias("centroid"), F.sum("_moved").alias("_moved"))
+
+
 def _spare(big: DataFrame, most: int, seed: int, round_no: int, library_id: str) -> DataFrame:
     """The first ``most`` vectors of each library in the order drawn for this round."""
     by_draw = Window.partitionBy(library_id).orderBy(_u01(F.lit(seed), F.lit(1000 + round_no), "ordinal"), "ordinal")
@@ -240,8 +274,8 @@ def _rounds_here(big: DataFrame, start: DataFrame, seed: int, max_rounds: int |
         if libraries is None:
             libraries = spark.createDataFrame([(lib,) for lib in active], one)
         shared = spark.sparkContext.broadcast(active)
-        found = {(r[0], r["cluster"]): r for r in _means(
-            _against_shared(big, shared, libraries, _nearest, ["cluster", "_before"], library_id), library_id).collect()}
+        present = big.join(F.broadcast(libraries), library_id, "left_semi")
+        found = {(r[0], r["cluster"]): r for r in _means_here(present, shared, library_id).collect()}
         shared.destroy()
         moving = {lib for (lib, _), r in found.items() if r["_moved"]}
         if len(moving) < len(active):
